@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_format
+from .decontaminate import op7_lsi_decontaminate
+from .langid import op8_ecoc_langid
+from .mtree import OP5_SQL, op5_mtree_topk
 from .neardup import op3_minhash_neardup
 from .packing import op4_best_fit_packing
+from .pii import op2_semicrf_pii
 from .secrets import op1_secret_links
 from .sharding import op10_ring_shards
 from .urls import op9_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_secret_links, op3_minhash_neardup, op4_best_fit_packing, op6_chat_format, op9_url_rules, op10_ring_shards)}
-ORACLES = {"op6_chat_format": OP6_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_links, op2_semicrf_pii, op3_minhash_neardup, op4_best_fit_packing, op5_mtree_topk,
+        op6_chat_format, op7_lsi_decontaminate, op8_ecoc_langid, op9_url_rules, op10_ring_shards,
+    )
+}
+ORACLES = {"op5_mtree_topk": OP5_SQL, "op6_chat_format": OP6_SQL}

@@ -50,16 +50,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: Everything in ASCII that is neither letter nor digit, for words without punctuation.
+_APART = _SPACE.copy()
+_APART[[i for i in range(128) if not chr(i).isalnum()]] = True
 _BY_PLACE = random64(256, 7) | U64(1)
 _BY_BLOCK = random64(1, 8)[0]
 _CUT = re.compile(rb"[ \t-\r]")
 SLICE_BYTES = 1 << 22
 
 
-def _hash_slice(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start bytes of the white-space separated words of ``raw``, with A-Z lower-cased."""
+def _hash_slice(raw: bytes, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and start bytes of the words of ``raw`` between bytes that are ``apart``, with A-Z lower-cased."""
     low = _LOWER[np.frombuffer(raw, np.uint8)]
-    inside = ~_SPACE[low]
+    inside = ~apart[low]
     starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
     if not len(starts):
         return np.empty(0, np.uint64), starts
@@ -71,18 +74,20 @@ def _hash_slice(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(value, starts - first)), starts
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], punctuation: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts`` in order, and the bounds of each text's words (length n + 1).
 
+    Words end at ASCII white space; without ``punctuation`` at all other ASCII signs too.
     Works on slices of a few MB that end at white space, so memory does not follow the longest text beyond its hashes.
     """
     hashes, bounds, total = [], np.zeros(len(texts) + 1, np.int64), 0
     group, size, first = [], 0, 0
+    apart = _SPACE if punctuation else _APART
 
     def flush(upto: int) -> None:
         nonlocal total, group, size, first
         if group:
-            h, at = _hash_slice(b" ".join(group))
+            h, at = _hash_slice(b" ".join(group), apart)
             ends = np.cumsum([len(g) + 1 for g in group])
             bounds[first + 1 : upto + 1] = total + np.searchsorted(at, ends)
             hashes.append(h)
@@ -97,7 +102,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             while at < len(raw):
                 cut = _CUT.search(raw, min(at + SLICE_BYTES, len(raw)))
                 end = cut.end() if cut else len(raw)
-                h, _ = _hash_slice(raw[at:end])
+                h, _ = _hash_slice(raw[at:end], apart)
                 hashes.append(h)
                 total += len(h)
                 at = end
