@@ -1,6 +1,31 @@
-"""All catalogue queries and their SQL."""
+"""All catalogue queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .views import Tables, for_duckdb
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of ``Tables`` as a query, with the SQL of its result in {names}."""
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = for_duckdb(sql)
+        return f
+
+    return register
+
+
+from . import browse_queries, ingest_queries, names_queries  # noqa: E402, F401  (they register themselves)
