@@ -103,9 +103,6 @@ def _bucket(*parts) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode()) % HASHED
 
 
-_TABLE = {**{c: "d" for c in "0123456789"}}
-
-
 def span_features(region: Region, i: int, j: int) -> list[int]:
     """Hashed features of tokens i..j as one segment."""
     text, tokens = region.text, region.tokens
@@ -259,20 +256,17 @@ def gold_segments(region: Region, spans: list[Span]) -> set[tuple[int, int, int]
     return out
 
 
-def train(texts: list[str], epochs: int = 4, rate: float = 0.15) -> Field:
+def train(texts: list[str], epochs: int = 15, rate: float = 0.3) -> Field:
     field, data = Field.empty(), []
     for n, text in enumerate(texts):
         spans = base_spans(text)
-        if n % 2:  # phones without their plus signs are phones too
-            keep, shift, cut = [], 0, []
-            for kind, s, e in sorted(spans, key=lambda x: x[1]):
-                if kind == 3:
-                    cut.append(s)
-            for kind, s, e in spans:
-                shift = sum(c < s for c in cut)
-                within = sum(s <= c < e for c in cut)
-                keep.append((kind, s - shift, e - shift - within))
-            text, spans = "".join(c for i, c in enumerate(text) if i not in set(cut)) if cut else text, keep
+        if n % 2:  # phones without their plus signs, or without country codes, are phones too
+            plain = re.compile(r"\+" if n % 4 == 1 else r"\+[0-9]{1,3} ")
+            cuts = [m.span() for _, s, _ in sorted({x for x in spans if x[0] == 3}, key=lambda x: x[1]) if (m := plain.match(text, s))]
+            moved = lambda at: at - sum(min(at, e) - s for s, e in cuts if s < at)  # noqa: B023, E731
+            spans = [(kind, moved(s), moved(e)) for kind, s, e in spans]
+            for s, e in reversed(cuts):
+                text = text[:s] + text[e:]
         for region in list(regions(text))[:20]:
             gold = gold_segments(region, spans)
             if gold is not None and len(region.tokens) <= 400:
@@ -281,7 +275,7 @@ def train(texts: list[str], epochs: int = 4, rate: float = 0.15) -> Field:
                     data.append((lattice, gold))
     for epoch in range(epochs):
         for lattice, gold in data:
-            field.step(lattice, gold, rate / (1 + epoch))
+            field.step(lattice, gold, rate / (1 + epoch / 4))
     return field
 
 
