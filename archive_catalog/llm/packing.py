@@ -14,7 +14,9 @@ null; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -31,34 +33,90 @@ END_ID = 1
 CACHE_WORDS = 400_000
 #: Control characters that Python takes for white space and the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Words of these characters alone are in composed form; İ lower-cases to two characters.
+_PLAIN = re.compile(r"[!-\u012f\u0131-\u024f]+")
+_NUMERIC = "\\d\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"
+#: The tokenizer's own parts of a lower-cased plain word: some endings, letters, single digits, runs of other signs.
+_PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{_NUMERIC}]+|[{_NUMERIC}]|(?:[^\w\s]|_)+")
 
 
 class WordTokens:
     """Token ids of texts, as little-endian 32-bit bytes, with a bounded cache of white-space separated words.
 
-    The tokenizer never joins characters across white space, so a text's ids are its words' ids in order.
+    The tokenizer never joins characters across white space, so a text's ids are its words' ids in order. Words that the cache lacks
+    are encoded together: those of plain Latin characters by a byte-pair encoder with the same vocabulary, in which a zero byte
+    stands for the end of a part, others by the tokenizer itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        with open(path, encoding="utf-8") as f:
+            content = json.load(f)
+        special = {t["content"] for t in content["added_tokens"]}
+        byte_of = {}
+        for code in range(256):  # the letter by which the vocabulary writes a byte
+            if code < 128:
+                byte_of[letters.pre_tokenize_str(chr(code))[0][0]] = code
+            else:
+                pair = chr(code).encode()
+                byte_of.update(zip(letters.pre_tokenize_str(chr(code))[0][0], pair, strict=True))
+        for text in ("\u0800", "\U00010000", "\U00040000", "\U00100000", *(chr(c) for c in range(0x100, 0x800, 0x40)), *(chr(c) for c in range(0x1000, 0xD000, 0x1000)), "\ue000", "\uf000"):
+            byte_of.update(zip(letters.pre_tokenize_str(text)[0][0], text.encode(), strict=True))
+        ranks = {}
+        for token, number in content["model"]["vocab"].items():
+            if token in special:
+                continue
+            body, end = (token[:-4], b"\0") if token.endswith("</w>") else (token, b"")
+            if all(c in byte_of for c in body):
+                ranks[bytes(byte_of[c] for c in body) + end] = number
+        free = max(content["model"]["vocab"].values()) + 1
+        for code in range(256):  # bytes that no UTF-8 text holds
+            if bytes([code]) not in ranks:
+                ranks[bytes([code])] = free
+                free += 1
+        self.space = ranks[b" "]
+        self.bpe = tiktoken.Encoding("words", pat_str="[^\\x00 ]+\\x00| ", mergeable_ranks=ranks, special_tokens={})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if not any(o in t for o in _ODD) else None for t in texts]
-        new = list({w for words in split if words for w in words}.difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
+    def _plain(self, words: list[str]) -> list[bytes]:
+        marked = _PART.sub("\\g<0>\0", " ".join(words).lower())
+        ids = np.asarray(self.bpe.encode_ordinary(marked), "<u4")
+        cuts = np.flatnonzero(ids == self.space)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
-            new = list({w for words in split if words for w in words})
-        for i in range(0, len(new), 20_000):
-            self.cache.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self._encode([text])[0] for text, words in zip(texts, split, strict=True)]
+        plain = [w for w in words if _PLAIN.fullmatch(w) and "<|" not in w]
+        for i in range(0, len(plain), 50_000):
+            part = plain[i : i + 50_000]
+            self.cache.update(zip(part, self._plain(part), strict=True))
+        rest = list(words.difference(plain))
+        self.cache.update(zip(rest, self._encode(rest), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, get = [], self.cache.get
+        for text in texts:
+            if any(o in text for o in _ODD):
+                out.append(self._encode([text])[0])
+                continue
+            words = text.split()
+            got = list(map(get, words))
+            if None in got:
+                new = {w for w, g in zip(words, got, strict=True) if g is None}
+                self._learn(new if len(self.cache) + len(new) <= CACHE_WORDS else set(words))
+                got = list(map(self.cache.__getitem__, words))
+            out.append(b"".join(got))
+        return out
 
 
 class TightestFit:
