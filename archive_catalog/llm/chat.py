@@ -1,8 +1,8 @@
 """Chat formatting by a finite-state machine over roles and a declarative template.
 
 A template lists, for each role, the pieces of a turn in order and whether each is trained on; the machine lists which role may
-follow which. Control strings can't occur in a formatted text: each character that begins one, and the escape sign itself, is
-escaped by the sign, which ``unescape`` takes back exactly. The result keeps the segments with a loss flag each, so a tokenizer can build the
+follow which. Control strings can't occur in a formatted text: each character that they begin or end with, and the escape sign itself, is
+written as the sign and a digit, which ``unescape`` takes back exactly. The result keeps the segments with a loss flag each, so a tokenizer can build the
 mask, and ``read_back`` recovers turns and trained text from that output alone.
 
 Defined results: turns are ordered by (turn, role, text), nulls first; a null text or role counts as empty; unknown roles are formatted
@@ -31,7 +31,7 @@ class Template:
     fallback: tuple = ()
     follows: dict = field(default_factory=dict)
     accepting: tuple = ()
-    control_starts: str = "<["
+    control: str = "<[|"
 
 
 _OPEN, _MID, _CLOSE = "<|", "|>\n", "</s>\n"
@@ -46,12 +46,16 @@ CHAT = Template(
 
 
 def escape(text: Column, template: Template = CHAT) -> Column:
-    cls = "".join("\\" + c for c in ESCAPE + template.control_starts)
-    return F.regexp_replace(text, f"([{cls}])", r"\\$1")
+    for i, c in enumerate(ESCAPE + template.control):
+        text = F.replace(text, F.lit(c), F.lit(f"{ESCAPE}{i}"))
+    return text
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def unescape(text: Column, template: Template = CHAT) -> Column:
+    """A sign is always followed by its digit, so the sign itself, as number 0, comes last."""
+    for i, c in reversed(list(enumerate(ESCAPE + template.control))):
+        text = F.replace(text, F.lit(f"{ESCAPE}{i}"), F.lit(c))
+    return text
 
 
 def _segments(role: Column, text: Column, template: Template) -> Column:
@@ -93,12 +97,12 @@ def format_chats(turns: DataFrame, template: Template = CHAT, keys: tuple[str, .
 
 def read_back(chats: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """Turns (role, text) parsed from ``formatted`` and the trained text from ``segments``."""
-    # no unescaped "<" is in a role or text, so the marks can only be the template's own
+    # no "<" and no "|" is in a role or text, so the marks can only be the template's own
     body = F.col("formatted")
     pieces = F.slice(F.split(body, r"</s>\n"), 1, F.size(F.split(body, r"</s>\n")) - 1)
     cut = F.transform(pieces, lambda p: F.struct(
-        unescape(F.regexp_extract(p, r"(?s)^<\|((?:[^\\<\[]|\\.)*?)\|>\n", 1)).alias("role"),
-        unescape(F.regexp_replace(p, r"(?s)^<\|(?:[^\\<\[]|\\.)*?\|>\n", "")).alias("text"),
+        unescape(F.regexp_extract(p, r"^<\|([^|]*)\|>\n", 1)).alias("role"),
+        unescape(F.regexp_replace(p, r"^<\|[^|]*\|>\n", "")).alias("text"),
     ))
     trained = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
     return chats.select(*keys, cut.alias("turns"), F.array_join(trained, "").alias("trained"), F.length(body).cast("long").alias("formatted_chars"), "valid", "first_bad")
@@ -128,7 +132,7 @@ OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-f AS (SELECT *, length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '[', '')) AS esc,
+f AS (SELECT *, length(text) + length(text) - length(replace(replace(replace(replace(text, '\', ''), '<', ''), '[', ''), '|', '')) AS esc,
   lag(role) OVER w AS prev, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
