@@ -191,7 +191,7 @@ def fingerprint_decode(t: Tables):
     return t.embeddings.select("vec_id", acoustic.decode_fingerprint(F.base64(raw)).alias("words"))
 
 
-@query("merge_acoustic", """SELECT file_id, coalesce(fingerprint, CASE WHEN file_id % 3 = 0 THEN 'new' END) AS fingerprint, coalesce(bpm, CASE WHEN file_id % 3 = 0 THEN 99.5 END) AS bpm, coalesce(musical_key, CASE WHEN file_id % 3 = 0 THEN 'Dm' END) AS musical_key,
+@query("merge_acoustic", """SELECT file_id, coalesce(fingerprint, CASE WHEN file_id % 3 = 0 THEN 'new' END) AS fingerprint, CAST(coalesce(bpm, CASE WHEN file_id % 3 = 0 THEN 99.5 END) AS DOUBLE) AS bpm, coalesce(musical_key, CASE WHEN file_id % 3 = 0 THEN 'Dm' END) AS musical_key,
     CASE WHEN file_id % 3 = 0 THEN '7A' END AS camelot, CASE WHEN fingerprint IS NULL AND file_id % 3 = 0 THEN 'FINGERPRINTED' ELSE 'HASHED' END AS status, CASE WHEN file_id % 3 = 0 AND (bpm IS NULL OR musical_key IS NULL) THEN 'COMPUTED' END AS key_bpm_source FROM {tracks}""")
 def merge_acoustic(t: Tables):
     audio = t.tracks.select("file_id", "fingerprint", F.lit(None).cast("double").alias("fingerprint_dur"), F.col("bpm").cast("double").alias("bpm"), "musical_key", F.lit(None).cast("string").alias("camelot"), F.lit("HASHED").alias("status"), F.lit(None).cast("string").alias("key_bpm_source"))
