@@ -2,9 +2,10 @@
 
 Passages are TF-IDF vectors over hashed words, with document frequencies counted over all documents. A distributed randomised SVD
 (range finder with power iterations: every task multiplies its passages, the sums meet per block of words) gives a basis of ``RANK``
-latent directions. It is fitted on at most ``FIT_PASSAGES`` passages, the first by a hash of the text, and on the benchmark's
-items; every passage of every document is then indexed: windows as wide as the items (three widths) at a quarter of their width at most are
-projected, and compared with all items by cosine. Candidates go on to a word-level longest common subsequence: an item is found if it keeps ``SURE`` of its words
+latent directions, fitted on at most ``FIT_PASSAGES`` passages of the benchmark, as it is the benchmark's words that are looked for. Every passage of
+every document is then indexed: windows as wide as the items (three widths, a half to a quarter of their width apart) are projected and compared
+with all items by cosine, times how much of the window's length the latent space keeps against how much it keeps of the item's (1 for a
+copy). Candidates go on to a word-level longest common subsequence: an item is found if it keeps ``SURE`` of its words
 in order, or ``LIKELY`` of them and its answer too (column ``answer`` where given, else its rarest words), which finds paraphrases.
 
 Items are compared in blocks of ``ITEM_BLOCK``, so that what is broadcast stays bounded however large the benchmark is.
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 from .shared import U64, chunks, mix64, random64, word_hashes, written
 
 BUCKETS = 1 << 15
-RANK = 32
+RANK = 64
 FIT_PASSAGES = 8192
 PASSAGE_WORDS = 40
-ITEM_BLOCK = 4096
+ITEM_BLOCK = 1024
 STEP = 4
 #: Widths of windows in steps, and how many steps apart they begin.
-WIDTHS = ((4, 1), (8, 2), (15, 3))
-COSINE = 0.6
+WIDTHS = ((4, 2), (8, 3), (15, 4))
+NEARNESS = 0.5
 SURE, LIKELY = 0.7, 0.5
 ANSWER_WORDS = 3
 
@@ -44,14 +45,6 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U64(49)).astype(np.int64)
 
 
-@dataclass(frozen=True)
-class Index:
-    """What a task needs: word vectors (idf times latent direction) and the items of one block."""
-
-    words: np.ndarray
-    idf: np.ndarray
-
-
 @dataclass(frozen=True)
 class Item:
     item_id: int
@@ -170,19 +163,24 @@ def _windows(bounds: np.ndarray, width: int, apart: int) -> tuple[np.ndarray, np
     return (np.concatenate(first), np.concatenate(last)) if first else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def find_items(docs: DataFrame, vectors: np.ndarray, items: list[Item]) -> DataFrame:
-    """Rows doc_id, item_id, cosine, kept_words (share in order), answered for every item found in a document."""
-    by_width = []
-    for k, (width, apart) in enumerate(WIDTHS):
-        least = 0 if k == 0 else (WIDTHS[k - 1][0] + width) * STEP // 2
-        most = (width + WIDTHS[k + 1][0]) * STEP // 2 if k + 1 < len(WIDTHS) else 1 << 60
-        own = [x for x in items if least <= len(x.words) < most]
-        if own:
-            m = np.stack([vectors[buckets(np.array(x.words, np.uint64))].sum(axis=0) for x in own])
-            by_width.append((width, apart, own, (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)))
-
-    def search(texts: list[str | None]) -> Iterator[tuple[int, Item, float, float, bool]]:
-        h, bounds = word_hashes(texts, punctuation=False)
+class Searcher:
+    """Finds the items of one block in texts."""
+
+    def __init__(self, vectors: np.ndarray, idf: np.ndarray, items: list[Item]):
+        # the last column sums up to the squared length of a passage
+        self.vectors = np.concatenate((np.column_stack((vectors, idf**2)), np.zeros((1, RANK + 1)))).astype(np.float32)
+        self.by_width = []
+        for k, (width, apart) in enumerate(WIDTHS):
+            least = 0 if k == 0 else (WIDTHS[k - 1][0] + width) * STEP // 2
+            most = (width + WIDTHS[k + 1][0]) * STEP // 2 if k + 1 < len(WIDTHS) else 1 << 60
+            own = [x for x in items if least <= len(x.words) < most]
+            if own:
+                m = np.stack([self.vectors[buckets(np.array(x.words, np.uint64))].sum(axis=0, dtype=np.float64) for x in own])
+                latent, size = m[:, :RANK], np.sqrt(m[:, RANK:])
+                self.by_width.append((width, apart, own, (latent * size / np.maximum((latent**2).sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)))
+
+    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[Item, int, int, int, int, float]]:
+        """(item, document, its first and end word, first word of the window, nearness) of windows that are near an item."""
         counts = np.diff(bounds)
         steps = -(-counts // STEP)
         step_bounds = np.concatenate(([0], np.cumsum(steps)))
@@ -190,41 +188,46 @@ def find_items(docs: DataFrame, vectors: np.ndarray, items: list[Item]) -> DataF
         place = np.arange(len(h)) + np.repeat(step_bounds[:-1] * STEP - bounds[:-1], counts)
         padded = np.full(step_bounds[-1] * STEP, BUCKETS, np.int64)
         padded[place] = buckets(h)
-        sums = padded_vectors[padded[0::STEP]]
+        sums = self.vectors[padded[0::STEP]]
         for i in range(1, STEP):
-            sums += padded_vectors[padded[i::STEP]]
-        running = np.concatenate((np.zeros((1, RANK)), np.cumsum(sums, axis=0, dtype=np.float64)))
-        best: dict[tuple[int, int], tuple] = {}
-        for width, apart, own, matrix in by_width:
+            sums += self.vectors[padded[i::STEP]]
+        running = np.concatenate((np.zeros((1, RANK + 1)), np.cumsum(sums, axis=0, dtype=np.float64)))
+        for width, apart, own, matrix in self.by_width:
             first, last = _windows(step_bounds, width, apart)
-            for a in range(0, len(first), 1 << 15):
-                s, e = first[a : a + (1 << 15)], last[a : a + (1 << 15)]
+            for a in range(0, len(first), 1 << 13):
+                s, e = first[a : a + (1 << 13)], last[a : a + (1 << 13)]
                 latent = (running[e] - running[s]).astype(np.float32)
-                cosine = latent @ matrix.T
-                norm = np.sqrt(np.einsum("ij,ij->i", latent, latent)) + np.float32(1e-9)
-                at, which = np.nonzero(cosine >= COSINE * norm[:, None])
+                near = (latent[:, :RANK] / np.sqrt(latent[:, RANK:] + np.float32(1e-9))) @ matrix.T
+                at, which = np.nonzero(near >= NEARNESS)
                 owner = np.searchsorted(step_bounds, s[at], side="right") - 1
                 for i, j, doc in zip(at.tolist(), which.tolist(), owner.tolist(), strict=True):
-                    item, base, stop = own[j], int(bounds[doc]), int(bounds[doc + 1])
-                    lo = base + int(s[i] - step_bounds[doc]) * STEP
-                    span = len(item.words)
-                    words = h[max(base, lo - span // 2) : min(stop, lo + width * STEP + span // 2)].tolist()
-                    need = LIKELY * span
-                    if sum(map(item.masks.__contains__, words)) < need:
-                        continue
-                    common = item.common(words)
-                    if common < need:
-                        continue
-                    answered = bool(item.answer) and len(item.answer.intersection(words)) * 3 >= 2 * len(item.answer)
-                    if common >= SURE * span or answered:
-                        found = (common / span, float(cosine[i, j] / norm[i]), answered)
-                        key = (doc, id(item))
-                        if key not in best or found > best[key][1]:
-                            best[key] = (item, found)
+                    base = int(bounds[doc])
+                    yield own[j], doc, base, int(bounds[doc + 1]), base + int(s[i] - step_bounds[doc]) * STEP, float(near[i, j])
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, Item, float, float, bool]]:
+        h, bounds = word_hashes(texts, punctuation=False)
+        best: dict[tuple[int, int], tuple] = {}
+        for item, doc, base, stop, at, cosine in self.candidates(h, bounds):
+            span = len(item.words)
+            words = h[max(base, at - span // 2) : min(stop, at + 3 * span // 2 + STEP)].tolist()
+            need = LIKELY * span
+            if sum(item.masks[w].bit_count() for w in item.masks.keys() & set(words)) < need:  # the places of the item that could be met
+                continue
+            common = item.common(words)
+            if common < need:
+                continue
+            answered = bool(item.answer) and len(item.answer.intersection(words)) * 3 >= 2 * len(item.answer)
+            if common >= SURE * span or answered:
+                found = (common / span, cosine, answered)
+                if (doc, id(item)) not in best or found > best[doc, id(item)][1]:
+                    best[doc, id(item)] = (item, found)
         for (doc, _), (item, (share, cos, answered)) in sorted(best.items(), key=lambda x: (x[0][0], x[1][0].item_id)):
             yield doc, item, cos, share, answered
 
-    padded_vectors = np.concatenate((vectors, np.zeros((1, RANK)))).astype(np.float32)
+
+def find_items(docs: DataFrame, vectors: np.ndarray, idf: np.ndarray, items: list[Item]) -> DataFrame:
+    """Rows doc_id, item_id, cosine, kept_words (share in order), answered for every item found in a document."""
+    search = Searcher(vectors, idf, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,15 +262,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, fit_passages: int = FIT_
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"), answer.alias("answer"))
     frequency, n = document_frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + frequency))
-    sample = _passages(rows.select("text"), fit_passages).unionByName(_passages(items.select("text"), fit_passages))
-    vectors = idf[:, None] * latent_basis(written(sample, "lsi-passages"), idf)
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = None
     for block in range(blocks):
-        own = _items(dealt.where(F.col("block") == block).orderBy("item_id", "text").collect(), idf)
-        part = find_items(rows, vectors, own)
-        found = part if found is None else found.unionByName(part)
+        part = dealt.where(F.col("block") == block)
+        basis = latent_basis(written(_passages(part.select("text"), fit_passages), "lsi-passages"), idf)
+        hits = find_items(rows, idf[:, None] * basis, idf, _items(part.orderBy("item_id", "text").collect(), idf))
+        found = hits if found is None else found.unionByName(hits)
     return found
 
 
