@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE = 64
+PAGE = 256
+CHILDREN = 32
 BLOCK = 8192
 QUERY_BLOCK = 2048
 
@@ -37,6 +38,8 @@ class Node:
     routing: np.ndarray
     radius: float
     rows: np.ndarray | None = None
+    page: np.ndarray | None = None
+    ids: np.ndarray | None = None
     children: list[Node] | None = None
     near: np.ndarray | None = None
     routings: np.ndarray | None = None
@@ -49,7 +52,7 @@ def _distances(points: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 def _deal(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pivots far from each other and the nearest pivot of each point."""
-    n = min(most, max(2, -(-len(points) // PAGE)))
+    n = min(most, max(2, -(-2 * len(points) // PAGE)))
     pivots, least = [0], _distances(points, points[0])
     owner = np.zeros(len(points), np.int64)
     while len(pivots) < n and least.max() > 0:
@@ -61,14 +64,14 @@ def _deal(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(points: np.ndarray, rows: np.ndarray | None = None, routing: np.ndarray | None = None) -> Node:
-    """Bulk-loaded tree: at most PAGE rows a leaf and PAGE children a node."""
+    """Bulk-loaded tree: at most PAGE rows a leaf and about CHILDREN children a node."""
     rows = np.arange(len(points)) if rows is None else rows
     own = points[rows]
     routing = own.mean(axis=0) if routing is None else routing
     radius = float(_distances(own, routing).max())
     if len(rows) <= PAGE:
         return Node(routing, radius, rows=rows, near=_distances(own, routing))
-    pivots, owner = _deal(own, PAGE)
+    pivots, owner = _deal(own, CHILDREN)
     if len(pivots) == 1:  # all are one point: pages of equal rows
         children = [build(points, rows[i : i + PAGE], own[0]) for i in range(0, len(rows), PAGE)] if len(rows) <= PAGE * PAGE else [build(points, rows[i : i + PAGE * PAGE], own[0]) for i in range(0, len(rows), PAGE * PAGE)]
     else:
@@ -79,21 +82,30 @@ def build(points: np.ndarray, rows: np.ndarray | None = None, routing: np.ndarra
 
 @dataclass
 class Index:
-    vectors: np.ndarray
-    ids: np.ndarray
     lift: float
     root: Node
+    exact: bool
 
     @classmethod
     def of(cls, ids: np.ndarray, vectors: np.ndarray) -> Index:
         norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
         top = norms.max()
         points = np.concatenate([vectors.astype(np.float64), np.sqrt(top - norms)[:, None]], axis=1)
-        return cls(vectors, ids, float(top), build(points))
+        # sums of products below 2^53 are exact in floating point
+        exact = top * 4 < 2**53
+        root = build(points)
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node.rows is not None:  # a page holds its rows side by side
+                node.page, node.ids = vectors[node.rows].astype(np.float64 if exact else np.int64), ids[node.rows]
+            todo += node.children or []
+        return cls(float(top), root, exact)
 
     def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), best first."""
         q = np.append(query.astype(np.float64), 0.0)
+        query = query.astype(np.float64 if self.exact else np.int64)
         square = float(q @ q) + self.lift
         best: list[tuple[int, int]] = []  # heap of (score, -id): its least is the k-th best
         slack = 1e-6 * (1 + np.sqrt(square))
@@ -106,11 +118,17 @@ class Index:
             if bound > reach + slack:
                 break
             if node.rows is not None:
-                rows = node.rows[np.abs(node.near - here) <= reach + slack]  # by the distance to the parent only
-                scores = self.vectors[rows] @ query
-                ids = self.ids[rows]
-                floor = best[0][0] if len(best) == k else None
-                for i in np.flatnonzero((ids != own) & (scores >= floor)) if floor is not None else np.flatnonzero(ids != own):
+                near = np.abs(node.near - here) <= reach + slack  # by the distance to the parent only
+                page, ids = (node.page, node.ids) if 2 * np.count_nonzero(near) > len(near) else (node.page[near], node.ids[near])
+                scores = page @ query
+                fit = ids != own
+                if len(best) == k:
+                    fit &= scores >= best[0][0]
+                hits = np.flatnonzero(fit)
+                if len(hits) > 4 * k:  # what the page's own best leave out can't be among the best
+                    scored = scores[hits]
+                    hits = hits[scored >= np.partition(scored, len(scored) - k)[len(scored) - k]]
+                for i in hits:
                     item = (int(scores[i]), -int(ids[i]))
                     if len(best) < k:
                         heapq.heappush(best, item)
