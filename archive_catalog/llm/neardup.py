@@ -4,11 +4,14 @@ Two collections of ``m`` half keys, ``r`` minhashes each, give ``m * m`` tables
 second): 2 * m * r minhashes do the work that would take m * m * 2 * r. A pair of similarity s meets in some table with
 probability (1 - (1 - s^r)^m)^2; with r = 2 and m = 10 that misses 7 of 100,000 pairs at s = 0.8 and fewer above.
 
-Documents with equal shingle sets are one class, named by a digest of the set; all later work is on classes. In each table cell every member is compared
-with one leader, verified on full shingle sets, and components are formed; cells that still hold members of different components get
-another leader, and so on while that settles large cells, then all remaining pairs across components. So no link between
-different components is left unverified within a cell, and a large group of copies costs its size, not its square. Pairs that verified already
-connect need no comparison.
+Documents with equal shingle sets are one class, named by a digest of the set; all later work is on classes that share a table cell with
+another. Of each, the shingles that no other such class holds are counted: a class with s of its n shingles shared overlaps any
+other in s at most, so one with s < 0.8 n links with nothing, and a pair needs min(s, s') >= 0.8 * (n + n' - min(s, s')). These bounds are exact
+and remove nearly all false candidates, such as documents that share one common passage. In each cell every member is then
+compared with one leader (first the one with most of its shingles shared), verified on full shingle sets, and components are formed; cells that
+still hold members of different components get another leader, then all their remaining pairs across components are compared. So no
+link between different components is left unverified within a cell, while a large group of copies costs its size, not its square. Pairs
+that verified links already connect need no comparison.
 
 Defined results: no words or no text means no shingle, linked with nothing; fewer words than a shingle make one shingle; A-Z are
 lower-cased, words end at ASCII white space; rows that repeat id and text are linked; a null id is never the smallest unless all are null,
@@ -29,8 +32,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import U64, chunks, mix64, random64, word_hashes, written
 
-LEADER_ROUNDS = 4
-SKETCH_WORDS = 5
+LEADER_ROUNDS = 2
+#: A sketch has a byte for each of so many bins of the hash range, eight to a long; 0: no shingle in the bin.
+SKETCH_WORDS = 8
+SKETCH_BINS = 8 * SKETCH_WORDS
+#: Ids are broadcast up to this number (a few dozen MB), else joined by shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -77,32 +84,38 @@ def minhashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A byte of the least hash in each bin; as hashes are sorted, that is the first."""
+    low = np.searchsorted(shingles, np.arange(SKETCH_BINS, dtype=np.uint64) << U64(64 - SKETCH_BINS.bit_length() + 1))
+    out = np.zeros(SKETCH_BINS, np.uint8)
+    has = np.diff(np.append(low, len(shingles))) > 0
+    out[has] = (shingles[low[has]] >> U64(40)) % U64(255) + U64(1)
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, band: Banding) -> DataFrame:
-    """doc_id, n_shingles, node, left and right half keys, sketch: a byte of each minhash, eight to a long."""
+    """doc_id, n_shingles, node, left and right half keys, sketch."""
     a, b = random64(band.hashes, 21) | U64(1), random64(band.hashes, 22)
     join = random64(band.rows, 23) | U64(1)
-    pad = SKETCH_WORDS * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in chunks(batch.column("text"), 2000, 1 << 23):
                 texts = batch.column("text")[lo:hi].to_pylist()
-                n, node, halves, sketch = [], [], [], []
+                n, node, halves, sketches = [], [], [], []
                 for s in shingle_sets(texts, band.words):
                     n.append(len(s))
                     if not len(s):
-                        node.append(None), halves.append(np.zeros(2 * band.halves, np.int64)), sketch.append(np.zeros(SKETCH_WORDS, np.int64))
+                        node.append(None), halves.append(np.zeros(2 * band.halves, np.int64)), sketches.append(np.zeros(SKETCH_WORDS, np.int64))
                         continue
                     node.append(digest64(s))
                     m = mix64(minhashes(s, a, b))
                     halves.append(mix64((m.reshape(-1, band.rows) * join).sum(axis=1)).view(np.int64))
-                    low = np.zeros(pad, np.uint8)
-                    low[: min(pad, len(m))] = (m & U64(255))[:pad]
-                    sketch.append(low.view(np.int64))
+                    sketches.append(sketch(s))
                 both = np.array(halves)
                 arrays = lambda x: pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(np.ascontiguousarray(x).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), arrays(both[:, : band.halves]), arrays(both[:, band.halves :]), arrays(np.array(sketch))],
+                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), arrays(both[:, : band.halves]), arrays(both[:, band.halves :]), arrays(np.array(sketches))],
                     names=["doc_id", "n_shingles", "node", "left", "right", "sketch"],
                 )
 
@@ -129,21 +142,23 @@ def _cells(sigs: DataFrame) -> DataFrame:
     return sigs.where("node IS NOT NULL").select("node", F.explode(pairs).alias("cell"))
 
 
-def _equal_bytes(x: Column, y: Column) -> Column:
-    """How many of two longs' eight bytes are equal."""
-    d = x.bitwiseXOR(y)
+def _zero_bytes(d: Column) -> Column:
+    """How many of a long's eight bytes are 0."""
     for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3F3F3F3F3F3F3F3F), (1, 0x7F7F7F7F7F7F7F7F)):  # gather each byte's bits in its lowest
         d = d.bitwiseOR(F.shiftrightunsigned(d, shift).bitwiseAND(F.lit(mask)))
     return F.lit(8) - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
 
 
 def _may_link(band: Banding) -> Column:
-    """Sizes allow the similarity, and the sketches don't show that it is far off (6 standard deviations below)."""
-    p, n = band.percent / 100, min(band.hashes, SKETCH_WORDS * 8)
-    least = max(0, int(n * p - 6 * (n * p * (1 - p)) ** 0.5))
-    equal = sum((_equal_bytes(F.col("sketch")[i], F.col("sketch_b")[i]) for i in range(SKETCH_WORDS)), F.lit(0)) - (SKETCH_WORDS * 8 - n)
-    sizes = (F.least("n_shingles", "n_b") * 100) >= (F.greatest("n_shingles", "n_b") * band.percent)
-    return sizes & (equal >= least)
+    """Sizes and shared shingles allow the similarity, and the sketches don't show that it is far off (4.5 standard deviations below, 3 in a million)."""
+    p = band.percent / 100
+    x, y = F.col("sketch"), F.col("sketch_b")
+    bare = sum((_zero_bytes(x[i].bitwiseOR(y[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    equal = sum((_zero_bytes(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_WORDS)), F.lit(0)) - bare
+    used = F.lit(SKETCH_BINS) - bare
+    common = F.least("shared", "shared_b")
+    fits = common * 100 >= (F.col("n_shingles") + F.col("n_b") - common) * band.percent
+    return fits & (equal >= used * p - F.sqrt(used * (20.25 * p * (1 - p))))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, band: Banding) -> DataFrame:
@@ -165,57 +180,60 @@ def verified(pairs: DataFrame, sets: DataFrame, band: Banding) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def class_components(docs: DataFrame, sigs: DataFrame, band: Banding) -> DataFrame:
-    """(node, label) of classes that are linked with another."""
+def _candidate_classes(docs: DataFrame, sigs: DataFrame, nodes: DataFrame, band: Banding) -> tuple[DataFrame, DataFrame]:
+    """Classes (node, n_shingles, sketch, shared) that may link with another of ``nodes``, and the full sets of ``nodes``."""
+    classes = nodes.join(sigs, "node").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
+    classes = written(classes, "minhash-classes")
+    ids = classes.select("doc_id").distinct()
+    ids = F.broadcast(ids) if classes.count() <= BROADCAST_IDS else ids
+    sets = full_sets(docs.join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("text"), band).where("node IS NOT NULL")
+    sets = written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
+    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    own = held.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    shared = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+    viable = classes.join(own, "node", "left").select("node", "n_shingles", "sketch", shared.alias("shared")).where(F.col("shared") * 100 >= F.col("n_shingles") * band.percent)
+    return written(viable, "minhash-viable"), sets
+
+
+def _open_cells(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows (cell, node, label) of cells whose members are not all of one component."""
+    here = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
+    mixed = here.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
+    return written(here.join(mixed, "cell"), "minhash-open")
+
+
+def class_components(docs: DataFrame, sigs: DataFrame, band: Banding) -> DataFrame | None:
+    """(node, label) of classes that are linked with another; null if none is."""
     cells = _cells(sigs)
     hot = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("cell")
     members = written(cells.join(hot, "cell").distinct(), "minhash-cells")
-    classes = written(members.select("node").distinct().join(sigs, "node").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.struct("doc_id")).getField("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "minhash-classes")
-    other = classes.select(F.col("node").alias("v"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    sets, tested, edges, labels = None, None, None, None
-
-    def test(pairs: DataFrame, name: str) -> DataFrame:
-        """New links among candidate (u, v)."""
-        nonlocal sets, tested
-        new = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if tested is not None:
-            new = new.join(tested, ["u", "v"], "left_anti")
-        new = written(new.join(classes.withColumnRenamed("node", "u"), "u").join(other, "v").where(_may_link(band)).select("u", "v"), f"minhash-{name}")
-        tested = new if tested is None else tested.unionByName(new)
-        nodes = new.select(F.col("u").alias("node")).unionByName(new.select(F.col("v").alias("node"))).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets.select("node"), "node", "left_anti")
-        ids = nodes.join(classes, "node").select("doc_id").distinct()
-        more = full_sets(docs.join(ids, "doc_id", "left_semi").select("text"), band).where("node IS NOT NULL").dropDuplicates(["node"])
-        more = written(more, f"minhash-sets-{name}")
-        sets = more if sets is None else sets.unionByName(more)
-        return written(verified(new, sets, band), f"minhash-links-{name}")
-
+    viable, sets = _candidate_classes(docs, sigs, members.select("node").distinct(), band)
+    members = members.join(viable.select("node"), "node", "left_semi")
+    other = viable.select(F.col("node").alias("v"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("shared").alias("shared_b"))
+    tested, edges, labels = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
-        here = members if labels is None else members.join(labels, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
-        if labels is not None:
-            split = here.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
-            here = here.join(split, "cell")
-            members = written(here.select("cell", "node"), f"minhash-open-{turn}")
-            here = members.join(labels, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
+        here = _open_cells(members, labels)
+        if here.isEmpty():
+            break
+        members = here.select("cell", "node")
         if turn < LEADER_ROUNDS:
-            by = F.xxhash64(F.col("node"), F.lit(turn))
-            leader = F.min_by(F.struct("node", *([] if labels is None else ["label"])), by)
-            led = here.groupBy("cell").agg(leader.alias("leader"))
-            pairs = here.join(led, "cell").where(F.col("node") != F.col("leader.node"))
-            if labels is not None:
-                pairs = pairs.where(F.col("label") != F.col("leader.label"))
-            found = test(pairs.select(F.col("leader.node").alias("u"), F.col("node").alias("v")), f"round{turn}")
+            rank = F.struct(-F.col("shared") / F.col("n_shingles"), F.col("node")) if turn == 0 else F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"))
+            led = here.join(viable, "node").groupBy("cell").agg(F.min_by(F.struct("node", "label"), rank).alias("leader"))
+            pairs = here.join(led, "cell").where(F.col("label") != F.col("leader.label")).select(F.col("leader.node").alias("u"), F.col("node").alias("v"))
+            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            pairs = pairs.join(viable.withColumnRenamed("node", "u"), "u").join(other, "v").where(_may_link(band)).select("u", "v")
         else:
-            full = here.join(classes, "node")
-            right = full.select("cell", F.col("node").alias("v"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-            pairs = full.withColumnRenamed("node", "u").join(right, "cell").where((F.col("u") < F.col("v")) & (F.col("label") < F.col("label_b")) | (F.col("u") < F.col("v")) & (F.col("label") > F.col("label_b"))).where(_may_link(band))
-            found = test(pairs.select("u", "v"), "rest")
-        edges = found if edges is None else edges.unionByName(found)
-        if turn and found.isEmpty():
-            if turn == LEADER_ROUNDS or members.isEmpty():
-                break
+            full = here.join(viable, "node").withColumnRenamed("node", "u")
+            right = here.select("cell", F.col("node").alias("v"), F.col("label").alias("label_b")).join(other, "v")
+            pairs = full.join(right, "cell").where((F.col("u") < F.col("v")) & (F.col("label") != F.col("label_b")) & _may_link(band)).select("u", "v").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        pairs = written(pairs, f"minhash-pairs{turn}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = written(verified(pairs, sets, band), f"minhash-links{turn}")
+        if found.isEmpty():
             continue
+        edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
     return labels
 
@@ -224,8 +242,10 @@ def near_duplicates(docs: DataFrame, band: Banding = Banding(), key: str = "doc_
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs = written(signatures(rows, band), "minhash-signatures")
-    labels = class_components(rows, sigs, band)
-    marked = sigs.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = class_components(rows.withColumnRenamed("doc_id", "id"), sigs, band)
+    marked = sigs.select("doc_id", "n_shingles", "node")
+    # classes in no component are components of their own; a hot class is counted with partial aggregation and joined back
+    marked = marked.withColumn("label", F.col("node")) if labels is None else marked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = marked.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return marked.join(smallest, "label", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce(F.coalesce("least", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept")
