@@ -82,11 +82,11 @@ class Model:
 def train(languages: list[str], features: np.ndarray, labels: np.ndarray, steps: int = 300, rate: float = 8.0, decay: float = 1e-5) -> Model:
     """Full-batch gradient descent with momentum, for all bits at once."""
     codes = codewords(len(languages))
-    target = codes[labels].astype(np.float64)
-    weights, bias = np.zeros((features.shape[1], codes.shape[1])), np.zeros(codes.shape[1])
+    target = codes[labels].astype(np.float32)
+    weights, bias = np.zeros((features.shape[1], codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
     speed_w, speed_b = np.zeros_like(weights), np.zeros_like(bias)
     for _ in range(steps):
-        pull = -target / (1 + np.exp(target * (features @ weights + bias))) / len(labels)
+        pull = -target / (1 + np.exp(target * (features @ weights + bias))) / np.float32(len(labels))
         speed_w = 0.9 * speed_w - rate * (features.T @ pull + decay * weights)
         speed_b = 0.9 * speed_b - rate * pull.sum(axis=0)
         weights += speed_w
@@ -126,8 +126,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int =
         return None
     got = got.sort_values(["lang", "grams"])
     languages = sorted(got["lang"].unique())
-    matrix = np.stack([np.frombuffer(g, "<f4") for g in got["grams"]]).astype(np.float64)
-    return train(languages, matrix, np.array([languages.index(x) for x in got["lang"]]))
+    matrix = np.stack([np.frombuffer(g, "<f4") for g in got["grams"]])
+    labels = np.array([languages.index(x) for x in got["lang"]])
+    del got
+    return train(languages, matrix, labels)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
