@@ -2,11 +2,13 @@
 
 Passages are TF-IDF vectors over hashed words, with document frequencies counted over all documents. A distributed randomised SVD
 (range finder with power iterations: every task multiplies its passages, the sums meet per block of words) gives a basis of ``RANK``
-latent directions, fitted on at most ``FIT_PASSAGES`` passages of the benchmark, as it is the benchmark's words that are looked for. Every passage of
-every document is then indexed: windows as wide as the items (three widths, a half to a quarter of their width apart) are projected and compared
-with all items by cosine, times how much of the window's length the latent space keeps against how much it keeps of the item's (1 for a
-copy). Candidates go on to a word-level longest common subsequence: an item is found if it keeps ``SURE`` of its words
-in order, or ``LIKELY`` of them and its answer too (column ``answer`` where given, else its rarest words), which finds paraphrases.
+latent directions, fitted on at most ``FIT_PASSAGES`` passages of the benchmark, as it is the benchmark's words that are looked for.
+
+The rule is a word-level longest common subsequence: an item is found if any stretch of ``STRETCH`` times its length keeps ``SURE`` of its words
+in order, or ``LIKELY`` of them and its answer too (column ``answer`` where given, else its rarest words), which finds paraphrases. Stretches are
+ruled out only where they lack so many of the item's rarest words that the rule can't hold, for items of any length, so none is
+missed; a nearness in the latent space, at whatever threshold, would miss some. The latent space tells how near what was found is: ``cosine`` is that of
+the item and as many words from where it was found.
 
 Items are compared in blocks of ``ITEM_BLOCK``, so that what is broadcast stays bounded however large the benchmark is.
 
@@ -17,6 +19,7 @@ null; an empty table on either side gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,11 +36,11 @@ RANK = 64
 FIT_PASSAGES = 8192
 PASSAGE_WORDS = 40
 ITEM_BLOCK = 1024
-STEP = 4
-#: Widths of windows in steps, and how many steps apart they begin.
-WIDTHS = ((4, 2), (8, 3), (15, 4))
-NEARNESS = 0.5
 SURE, LIKELY = 0.7, 0.5
+#: An item is looked for in stretches of so many times its words.
+STRETCH = 2
+#: Bounds what a chunk of texts takes in memory.
+MARKS_AT_ONCE = 1 << 22
 ANSWER_WORDS = 3
 
 
@@ -148,81 +151,118 @@ def _passages(docs: DataFrame, fit_passages: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, words array<long>").orderBy("key", "words").limit(fit_passages).select("words")
 
 
-def _windows(bounds: np.ndarray, width: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """First steps and ends of all windows; ``bounds``: each text's steps. The last window of a text ends with it."""
-    first, last = [], []
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        if hi - lo <= width:
-            if hi > lo:
-                first.append(np.array([lo])), last.append(np.array([hi]))
-            continue
-        s = np.arange(lo, hi - width + 1, apart)
-        if s[-1] != hi - width:
-            s = np.append(s, hi - width)
-        first.append(s), last.append(s + width)
-    return (np.concatenate(first), np.concatenate(last)) if first else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
 class Searcher:
-    """Finds the items of one block in texts."""
+    """Finds the items of one block in texts, wherever a stretch meets the rule.
+
+    A stretch that meets m of an item's n places meets k of any n - m + k of them. So k of the rarest words (the marks) must stand in it, with m for ``SURE``
+    and once more for ``LIKELY``, where those of the answer may serve instead. What lacks the marks can't hold the item; all else is compared.
+    """
 
     def __init__(self, vectors: np.ndarray, idf: np.ndarray, items: list[Item]):
-        # the last column sums up to the squared length of a passage
-        self.vectors = np.concatenate((np.column_stack((vectors, idf**2)), np.zeros((1, RANK + 1)))).astype(np.float32)
-        self.by_width = []
-        for k, (width, apart) in enumerate(WIDTHS):
-            least = 0 if k == 0 else (WIDTHS[k - 1][0] + width) * STEP // 2
-            most = (width + WIDTHS[k + 1][0]) * STEP // 2 if k + 1 < len(WIDTHS) else 1 << 60
-            own = [x for x in items if least <= len(x.words) < most]
-            if own:
-                m = np.stack([self.vectors[buckets(np.array(x.words, np.uint64))].sum(axis=0, dtype=np.float64) for x in own])
-                latent, size = m[:, :RANK], np.sqrt(m[:, RANK:])
-                self.by_width.append((width, apart, own, (latent * size / np.maximum((latent**2).sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)))
-
-    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[Item, int, int, int, int, float]]:
-        """(item, document, its first and end word, first word of the window, nearness) of windows that are near an item."""
-        counts = np.diff(bounds)
-        steps = -(-counts // STEP)
-        step_bounds = np.concatenate(([0], np.cumsum(steps)))
-        # words padded to whole steps, by a bucket of zeros
-        place = np.arange(len(h)) + np.repeat(step_bounds[:-1] * STEP - bounds[:-1], counts)
-        padded = np.full(step_bounds[-1] * STEP, BUCKETS, np.int64)
-        padded[place] = buckets(h)
-        sums = self.vectors[padded[0::STEP]]
-        for i in range(1, STEP):
-            sums += self.vectors[padded[i::STEP]]
-        running = np.concatenate((np.zeros((1, RANK + 1)), np.cumsum(sums, axis=0, dtype=np.float64)))
-        for width, apart, own, matrix in self.by_width:
-            first, last = _windows(step_bounds, width, apart)
-            for a in range(0, len(first), 1 << 13):
-                s, e = first[a : a + (1 << 13)], last[a : a + (1 << 13)]
-                latent = (running[e] - running[s]).astype(np.float32)
-                near = (latent[:, :RANK] / np.sqrt(latent[:, RANK:] + np.float32(1e-9))) @ matrix.T
-                at, which = np.nonzero(near >= NEARNESS)
-                owner = np.searchsorted(step_bounds, s[at], side="right") - 1
-                for i, j, doc in zip(at.tolist(), which.tolist(), owner.tolist(), strict=True):
-                    base = int(bounds[doc])
-                    yield own[j], doc, base, int(bounds[doc + 1]), base + int(s[i] - step_bounds[doc]) * STEP, float(near[i, j])
+        self.vectors, self.items = vectors, items
+        marks: list[np.ndarray] = []
+        owner: list[int] = []
+        least: list[int] = []
+        for i, item in enumerate(items):
+            h = np.array(item.words, np.uint64)
+            order = h[np.lexsort((h, -idf[buckets(h)]))]
+            either = []
+            for share in (SURE, LIKELY):
+                need = math.ceil(share * len(h) - 1e-9)
+                k = max(1, need // 4)
+                either.append((np.unique(order[: len(h) - need + k]), k))
+            sure, likely = either
+            if item.answer:
+                answer = np.array(sorted(item.answer), np.uint64)
+                answer = answer[np.argsort(-idf[buckets(answer)], kind="stable")][: len(answer) - -(-2 * len(answer) // 3) + 1]
+                likely = min(likely, (answer, 1), key=lambda x: np.exp(-idf[buckets(x[0])]).sum() / x[1])
+            for words, k in (sure, likely) if item.answer else (sure,):
+                marks.append(words), owner.append(i), least.append(k)
+        self.owner, self.least = np.array(owner, np.int64), np.array(least, np.int64)
+        self.reach = np.array([STRETCH * len(items[i].words) for i in owner], np.int64)
+        self.words, place = np.unique(np.concatenate([np.empty(0, np.uint64), *marks]), return_inverse=True)
+        #: Places in ``words`` and what they mark, as one sorted number.
+        self.listed = np.sort(place * len(owner) + np.repeat(np.arange(len(owner)), [len(m) for m in marks]))
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(self.words >> U64(44)).astype(np.int64)] = True
+
+    def stretches(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item's place, document, first and end word) of what has the marks of an item; stretches of a document that overlap are joined."""
+        at = np.flatnonzero(self.some[(h >> U64(44)).astype(np.int64)])
+        if not len(at):
+            return
+        place = np.minimum(np.searchsorted(self.words, h[at]), len(self.words) - 1)
+        same = self.words[place] == h[at]
+        at, place = at[same], place[same]
+        total = len(self.owner)
+        count = np.searchsorted(self.listed, (place + 1) * total) - np.searchsorted(self.listed, place * total)
+        group = max(1, total * MARKS_AT_ONCE // max(MARKS_AT_ONCE, int(count.sum())))
+        parts = [np.empty((0, 4), np.int64)]
+        for lo in range(0, total, group):
+            first = np.searchsorted(self.listed, place * total + lo)
+            count = np.searchsorted(self.listed, place * total + min(lo + group, total)) - first
+            which = self.listed[np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)] % total
+            key = np.sort(which << 40 | np.repeat(at, count))
+            which, where = key >> 40, key & ((1 << 40) - 1)
+            last = np.arange(len(key)) + self.least[which] - 1
+            i = np.flatnonzero(last < len(key))
+            i = i[(which[last[i]] == which[i]) & (where[last[i]] - where[i] < self.reach[which[i]])]
+            begin, end = where[i], where[last[i]]
+            doc = np.searchsorted(bounds, begin, side="right") - 1
+            inside = end < bounds[doc + 1]
+            i, begin, end, doc = i[inside], begin[inside], end[inside], doc[inside]
+            reach = self.reach[which[i]]
+            parts.append(np.column_stack((self.owner[which[i]], doc, np.maximum(bounds[doc], end - reach + 1), np.minimum(bounds[doc + 1], begin + reach))))
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        held: list[int] | None = None
+        for item, doc, lo, hi in rows.tolist():
+            if held and held[:2] == [item, doc] and lo <= held[3]:
+                held[3] = max(held[3], hi)
+                continue
+            if held:
+                yield tuple(held)
+            held = [item, doc, lo, hi]
+        if held:
+            yield tuple(held)
+
+    def best(self, item: Item, h: np.ndarray) -> tuple[float, bool, int] | None:
+        """(share of words kept, answered, first word) of the best stretch of ``h`` that meets the rule."""
+        span = len(item.words)
+        words = h.tolist()
+        at = [i for i, w in enumerate(words) if w in item.masks or w in item.answer]  # no other word counts, and a stretch may begin with one of them
+        words = [words[i] for i in at]
+        found, end = None, 0
+        for i, start in enumerate(at):
+            while end < len(at) and at[end] < start + STRETCH * span:
+                end += 1
+            if end - i < LIKELY * span:
+                continue
+            some = words[i:end]
+            answered = bool(item.answer) and len(item.answer.intersection(some)) * 3 >= 2 * len(item.answer)
+            need = (LIKELY if answered else SURE) * span
+            most = min(end - i, sum(item.masks[w].bit_count() for w in item.masks.keys() & set(some)))  # the places of the item that could be met
+            if most < need or found and (most / span, answered) <= found[:2]:
+                continue
+            common = item.common(some)
+            if common >= need and (not found or (common / span, answered) > found[:2]):
+                found = (common / span, answered, start)
+        return found
+
+    def cosine(self, item: Item, words: np.ndarray) -> float:
+        x, y = (self.vectors[buckets(w)].sum(axis=0, dtype=np.float64) for w in (np.array(item.words, np.uint64), words))
+        return float(x @ y / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-9))
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, Item, float, float, bool]]:
         h, bounds = word_hashes(texts, punctuation=False)
         best: dict[tuple[int, int], tuple] = {}
-        for item, doc, base, stop, at, cosine in self.candidates(h, bounds):
-            span = len(item.words)
-            words = h[max(base, at - span // 2) : min(stop, at + 3 * span // 2 + STEP)].tolist()
-            need = LIKELY * span
-            if sum(item.masks[w].bit_count() for w in item.masks.keys() & set(words)) < need:  # the places of the item that could be met
-                continue
-            common = item.common(words)
-            if common < need:
-                continue
-            answered = bool(item.answer) and len(item.answer.intersection(words)) * 3 >= 2 * len(item.answer)
-            if common >= SURE * span or answered:
-                found = (common / span, cosine, answered)
-                if (doc, id(item)) not in best or found > best[doc, id(item)][1]:
-                    best[doc, id(item)] = (item, found)
-        for (doc, _), (item, (share, cos, answered)) in sorted(best.items(), key=lambda x: (x[0][0], x[1][0].item_id)):
-            yield doc, item, cos, share, answered
+        for which, doc, lo, hi in self.stretches(h, bounds):
+            found = self.best(self.items[which], h[lo:hi])
+            if found and ((doc, which) not in best or found[:2] > best[doc, which][:2]):
+                best[doc, which] = (*found[:2], lo + found[2])
+        for (doc, which), (share, answered, at) in sorted(best.items(), key=lambda x: (x[0][0], self.items[x[0][1]].item_id)):
+            item = self.items[which]
+            yield doc, item, self.cosine(item, h[at : min(int(bounds[doc + 1]), at + len(item.words))]), share, answered
 
 
 def find_items(docs: DataFrame, vectors: np.ndarray, idf: np.ndarray, items: list[Item]) -> DataFrame:

@@ -238,6 +238,68 @@ def test_decontaminate_empty(spark, small):
     assert decontaminate.contaminated(docs(spark, ["some words"]), bench.where("false")).count() == 0
 
 
+def searcher(items):
+    """Over lists of word numbers, each word as rare as its number is high."""
+    idf = np.ones(decontaminate.BUCKETS)
+    rows = [{"item_id": i, "text": " ".join(f"w{w}" for w in x), "answer": a} for i, (x, a) in enumerate(items)]
+    for w in {w for x, _ in items for w in x}:
+        h = decontaminate.word_hashes([f"w{w}"], punctuation=False)[0]
+        idf[decontaminate.buckets(h)] = 1 + np.log1p(w)
+    return decontaminate.Searcher(np.random.default_rng(0).normal(size=(decontaminate.BUCKETS, decontaminate.RANK)), idf, decontaminate._items(rows, idf))
+
+
+def test_search_equals_brute_force():
+    """No stretch that meets the rule is missed, with any share of the words kept."""
+    rng = random.Random(11)
+    word = lambda: min(int(rng.paretovariate(0.6)), 400)
+    items = [([word() for _ in range(rng.randint(1, 18))], None) for _ in range(12)] + [([word() for _ in range(12)], "w3 w1"), ([word() for _ in range(12)], "?!")]
+    search = searcher(items)
+    texts = []
+    for i in range(60):
+        item = items[i % len(items)][0]
+        keep = rng.choice([0.5, 0.6, 0.7, 0.75, 1.0])
+        text = [word() for _ in range(rng.randrange(20))]
+        for w in item:
+            text += [w if rng.random() < keep else word()] + [word() for _ in range(rng.random() < 0.2)]
+        texts.append(text + [word() for _ in range(rng.randrange(20))])
+    got = {(d, x.item_id): (share, answered) for d, x, _, share, answered in search([" ".join(f"w{w}" for w in t) for t in texts])}
+    want = {}
+    for d, text in enumerate(texts):
+        h = decontaminate.word_hashes([" ".join(f"w{w}" for w in text)], punctuation=False)[0].tolist()
+        for item in search.items:
+            n = len(item.words)
+            for at in range(len(h)):
+                part = h[at : at + 2 * n]
+                row = [0] * (n + 1)
+                for y in part:
+                    row = [0] + [x for x in _next_row(row, item.words, y)]
+                answered = bool(item.answer) and 3 * len(item.answer & set(part)) >= 2 * len(item.answer)
+                if row[-1] >= decontaminate.SURE * n or answered and row[-1] >= decontaminate.LIKELY * n:
+                    want[d, item.item_id] = max(want.get((d, item.item_id), (0, False)), (row[-1] / n, answered))
+    assert got == want and len(want) > 60
+
+
+def _next_row(row, words, y):
+    left = 0
+    for j, x in enumerate(words):
+        left = row[j] + 1 if x == y else max(row[j + 1], left)
+        yield left
+
+
+def test_finds_three_quarters_of_the_words():
+    rng = np.random.default_rng(5)
+    zipf = 1 / np.arange(1, 5001)
+    draw = lambda n: rng.choice(5000, n, p=zipf / zipf.sum()).tolist()
+    items = [(draw(int(rng.integers(15, 60))), None) for _ in range(200)]
+    search = searcher(items)
+    texts = []
+    for x, _ in items:
+        out = set(rng.choice(len(x), len(x) // 4, replace=False).tolist())
+        texts.append(draw(37) + [int(rng.integers(5000)) if i in out else w for i, w in enumerate(x)] + draw(50))
+    found = {(d, x.item_id) for d, x, *_ in search([" ".join(f"w{w}" for w in t) for t in texts])}
+    assert {(i, i) for i in range(200)} <= found
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     rng = random.Random(6)
