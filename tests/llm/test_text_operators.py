@@ -300,6 +300,21 @@ def test_finds_three_quarters_of_the_words():
     assert {(i, i) for i in range(200)} <= found
 
 
+def test_finds_items_of_any_length():
+    rng = np.random.default_rng(6)
+    zipf = 1 / np.arange(1, 5001)
+    draw = lambda n: rng.choice(5000, n, p=zipf / zipf.sum()).tolist()
+    sizes = [1200] * 6 + [600] * 6 + [300] * 6 + [70] * 6 + [6] * 6 + [3] * 6
+    items = [(draw(n), None) for n in sizes]
+    search = searcher(items)
+    texts = [draw(211) + x + draw(97) for x, _ in items]
+    for x, _ in items[12:24]:
+        out = set(rng.choice(len(x), len(x) // 4, replace=False).tolist())
+        texts.append(draw(211) + [int(rng.integers(5000)) if i in out else w for i, w in enumerate(x)])
+    found = {(d, x.item_id) for d, x, *_ in search([" ".join(f"w{w}" for w in t) for t in texts])}
+    assert {(i, i) for i in range(36)} | {(36 + i, 12 + i) for i in range(12)} <= found
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     rng = random.Random(6)
