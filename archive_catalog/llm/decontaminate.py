@@ -2,7 +2,7 @@
 
 Passages are TF-IDF vectors over hashed words, with document frequencies counted over all documents. A distributed randomised SVD
 (range finder with power iterations: every task multiplies its passages, the sums meet per block of words) gives a basis of ``RANK``
-latent directions, fitted on at most ``FIT_PASSAGES`` passages of the benchmark, as it is the benchmark's words that are looked for.
+latent directions, fitted once on all passages of the items and ``FIT_PASSAGES`` of the documents at most, one a document, the first by a hash of the text.
 
 The rule is a word-level longest common subsequence: an item is found if any stretch of ``STRETCH`` times its length keeps ``SURE`` of its words
 in order, or ``LIKELY`` of them and its answer too (column ``answer`` where given, else its rarest words), which finds paraphrases. Stretches are
@@ -34,6 +34,8 @@ from .shared import U64, chunks, mix64, random64, word_hashes, written
 BUCKETS = 1 << 15
 RANK = 64
 FIT_PASSAGES = 8192
+#: Each sends its part of the product, BUCKETS x (RANK + 8) numbers, so they are few.
+FIT_TASKS = 4
 PASSAGE_WORDS = 40
 ITEM_BLOCK = 1024
 SURE, LIKELY = 0.7, 0.5
@@ -72,30 +74,70 @@ class Item:
         return len(self.words) - row.bit_count()
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold each bucket's words, over all of ``docs``, and the number of documents."""
+def gathered(docs: DataFrame, fit_passages: int) -> DataFrame:
+    """Of each task, how many documents hold each bucket's words (bucket, n; at BUCKETS: all documents), and its first ``fit_passages`` passages by hash (key, words).
+
+    Each text offers the passage that a hash of it points to, equal ones one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS + 1, np.int64), 0
+        total, n, held = np.zeros(BUCKETS + 1, np.int64), 0, {}
         for b in batches:
             for lo, hi in chunks(b.column("text"), 2000, 1 << 23):
                 h, bounds = word_hashes(b.column("text")[lo:hi].to_pylist(), punctuation=False)
-                owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                seen = np.unique(owner * BUCKETS + buckets(h)) % BUCKETS
-                total[:BUCKETS] += np.bincount(seen, minlength=BUCKETS)
+                places = buckets(h)
+                seen = (np.repeat(np.arange(hi - lo), np.diff(bounds)) * BUCKETS + places).astype(np.uint32)
+                seen.sort()
+                total[:BUCKETS] += np.bincount(seen[np.concatenate(([True], seen[1:] != seen[:-1]))[: len(seen)]] % BUCKETS, minlength=BUCKETS)
                 n += hi - lo
+                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if e > s:
+                        key = int(mix64(np.array([h[s:e].sum()]))[0])
+                        at = s + key % max(1, e - s - PASSAGE_WORDS + 1)
+                        held[key >> 1] = places[at : min(e, at + PASSAGE_WORDS)].astype(np.int16)
+                if len(held) > 2 * fit_passages:
+                    held = {k: held[k] for k in sorted(held)[:fit_passages]}
         total[BUCKETS] = n
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        keys = sorted(held)[:fit_passages]
+        none = lambda k, kind: pa.nulls(k, kind)
+        short = pa.list_(pa.int16())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), none(len(at), pa.int64()), none(len(at), short)], names=["bucket", "n", "key", "words"])
+        yield pa.RecordBatch.from_arrays([none(len(keys), pa.int64()), none(len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array([held[k] for k in keys], short)], names=["bucket", "n", "key", "words"])
+
+    return docs.mapInArrow(run, "bucket long, n long, key long, words array<short>")
+
 
-    got = docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS + 1 rows at most
+def document_frequencies(gathered: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents that hold each bucket's words, over all documents, and the number of documents."""
+    got = gathered.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS + 1 rows at most
     out = np.zeros(BUCKETS + 1, np.int64)
     out[got["bucket"]] = got["n"]
     return out[:BUCKETS], int(out[BUCKETS])
 
 
+def _passages(texts: DataFrame) -> DataFrame:
+    """All passages of ``texts``, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in chunks(b.column("text"), 2000, 1 << 23):
+                h, bounds = word_hashes(b.column("text")[lo:hi].to_pylist(), punctuation=False)
+                places = buckets(h).astype(np.int16)
+                words = [places[at : min(e, at + PASSAGE_WORDS)] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for at in range(s, e, PASSAGE_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int16()))], names=["words"])
+
+    return texts.mapInArrow(run, "words array<short>")
+
+
+def fitted_passages(gathered: DataFrame, items: DataFrame, fit_passages: int) -> DataFrame:
+    """What the basis is fitted on: the first ``fit_passages`` passages of documents by hash, and all of the items, dealt over ``FIT_TASKS`` files."""
+    sample = gathered.where("key IS NOT NULL").select("key", "words").dropDuplicates(["key"]).orderBy("key").limit(fit_passages).select("words")
+    return written(sample.unionByName(_passages(items.select("text"))).repartition(FIT_TASKS), "lsi-passages")
+
+
 def latent_basis(passages: DataFrame, idf: np.ndarray, rounds: int = 2, extra: int = 8) -> np.ndarray:
-    """Right singular vectors (BUCKETS x RANK) of the TF-IDF rows of ``passages`` (words array<long>: buckets)."""
+    """Right singular vectors (BUCKETS x RANK) of the TF-IDF rows of ``passages`` (words: buckets)."""
     width, block = RANK + extra, 2048
 
     def times(basis: np.ndarray) -> np.ndarray:
@@ -132,25 +174,6 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rounds: int = 2, extra: i
     return basis @ turn[:, np.argsort(-values)[:RANK]]
 
 
-def _passages(docs: DataFrame, fit_passages: int) -> DataFrame:
-    """The first passages by hash: each text offers the one that a hash of it points to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in chunks(b.column("text"), 2000, 1 << 23):
-                h, bounds = word_hashes(b.column("text")[lo:hi].to_pylist(), punctuation=False)
-                keys, words = [], []
-                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    if e > s:
-                        key = int(mix64(np.array([h[s:e].sum()]))[0])
-                        at = s + key % max(1, e - s - PASSAGE_WORDS + 1)
-                        keys.append(key >> 1)
-                        words.append(buckets(h[at : min(e, at + PASSAGE_WORDS)]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["key", "words"])
-
-    return docs.mapInArrow(run, "key long, words array<long>").orderBy("key", "words").limit(fit_passages).select("words")
-
-
 class Searcher:
     """Finds the items of one block in texts, wherever a stretch meets the rule.
 
@@ -300,15 +323,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, fit_passages: int = FIT_
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"), answer.alias("answer"))
-    frequency, n = document_frequencies(rows.select("text"))
+    seen = written(gathered(rows.select("text"), fit_passages), "lsi-documents")
+    frequency, n = document_frequencies(seen)
     idf = np.log((1 + n) / (1 + frequency))
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    vectors = (idf[:, None] * latent_basis(fitted_passages(seen, items, fit_passages), idf)).astype(np.float32)
     found = None
     for block in range(blocks):
         part = dealt.where(F.col("block") == block)
-        basis = latent_basis(written(_passages(part.select("text"), fit_passages), "lsi-passages"), idf)
-        hits = find_items(rows, idf[:, None] * basis, idf, _items(part.orderBy("item_id", "text").collect(), idf))
+        hits = find_items(rows, vectors, idf, _items(part.orderBy("item_id", "text").collect(), idf))
         found = hits if found is None else found.unionByName(hits)
     return found
 

@@ -315,6 +315,19 @@ def test_finds_items_of_any_length():
     assert {(i, i) for i in range(36)} | {(36 + i, 12 + i) for i in range(12)} <= found
 
 
+def test_basis_is_fitted_on_documents_and_whole_items(spark):
+    texts = [" ".join(f"d{i % 7}x{j}" for j in range(30)) for i in range(40)] + [None, ""]
+    items = docs(spark, [" ".join(f"i{j}" for j in range(100)), None])
+    seen = decontaminate.written(decontaminate.gathered(docs(spark, texts).select("text").repartition(3), 500), "lsi-documents")
+    assert decontaminate.document_frequencies(seen)[1] == len(texts)
+    fitted = decontaminate.fitted_passages(seen, items, 500)
+    rows = [r["words"] for r in fitted.collect()]
+    assert sorted(map(len, rows)) == [20] + [30] * 7 + [40] * 2 and fitted.rdd.getNumPartitions() > 1
+    known = np.linalg.norm(decontaminate.latent_basis(fitted, np.ones(decontaminate.BUCKETS)), axis=1)
+    assert all(known[decontaminate.buckets(decontaminate.word_hashes([t], punctuation=False)[0])].min() > 1e-3 for t in ("d0x0 d6x29", "i0 i45 i99"))
+    assert len(decontaminate.fitted_passages(seen, items, 3).collect()) == 6
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     rng = random.Random(6)
