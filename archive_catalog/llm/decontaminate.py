@@ -325,7 +325,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, fit_passages: int = FIT_
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"), answer.alias("answer"))
     seen = written(gathered(rows.select("text"), fit_passages), "lsi-documents")
     frequency, n = document_frequencies(seen)
-    idf = np.log((1 + n) / (1 + frequency))
+    idf = np.log((1 + n) / (1 + frequency)) + 1  # positive, so that words all documents hold count too
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     vectors = (idf[:, None] * latent_basis(fitted_passages(seen, items, fit_passages), idf)).astype(np.float32)

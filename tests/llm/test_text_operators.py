@@ -328,6 +328,13 @@ def test_basis_is_fitted_on_documents_and_whole_items(spark):
     assert len(decontaminate.fitted_passages(seen, items, 3).collect()) == 6
 
 
+def test_a_single_document_is_searched_too(spark, small):
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    item = bench.where("item_id = 3").first()["text"]
+    (row,) = decontaminate.contaminated(docs(spark, [f"some words {item} and more"]), bench).collect()
+    assert (row["doc_id"], row["item_id"], row["kept_words"], row["answered"]) == (0, 3, 1.0, True) and row["cosine"] > 0.9
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     rng = random.Random(6)
