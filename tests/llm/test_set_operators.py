@@ -193,3 +193,21 @@ def test_pipeline_stages(spark, small):
     assert set(red) == kept and any("[EMAIL]" in r["text"] for r in red.values())
     assert all(red[i]["n_chars"] == len(red[i]["text"]) for i in kept)
     assert {r["doc_id"] for r in corpus_pipeline.pack(spark, corpus_pipeline.redact(spark, out, small), small).collect()} == kept
+
+
+def test_stages_decide_on_rows_not_on_ids(spark, small):
+    """Null and repeated ids: every row is judged by its own text."""
+    rng = random.Random(4)
+    text = lambda: " ".join("w" + str(rng.randrange(3000)) for _ in range(80))
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first()["text"]
+    a, b, c, d, e = (text() for _ in range(5))
+    dirty, other = f"{text()} {item} {text()}", f"{text()} {item.lower()}"
+    near = " ".join(a.split()[:-1] + ["changed"])
+    rows = [(1, a), (None, a), (None, a), (None, near), (None, b), (None, b), (2, c), (3, c), (3, d), (3, d), (4, e), (4, e + " more"), (None, dirty), (5, text()), (5, other), (6, " "), (6, " "), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.deduplicate(spark, docs, small)
+    want = [(1, a), (None, b), (2, c), (3, d), (None, dirty), rows[13], (5, other), (6, " "), (None, "")]
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert {k: n for k, n in got.items() if k[0] != 4} == Counter(want) and sum(n for k, n in got.items() if k[0] == 4) == 1
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.clean(spark, out, small).collect())
+    assert kept == got - Counter([(None, dirty), (5, other)])
