@@ -14,6 +14,9 @@ no rows; other columns are ignored. Strong spans are leftmost and non-overlappin
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +31,11 @@ STRONG = {
 }
 WEAK = {
     "login": (r"""\b(?:(?i:username|user|login|client_?id|account|key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", "identifier"),
-    "random": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[a-z0-9+/_=-]{0,64}[A-Z])(?=[A-Z0-9+/_=-]{0,64}[a-z])[A-Za-z0-9+/_=-]{20,64}(?![A-Za-z0-9+/_=-])", "secret"),
+    "random": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", "secret"),
     "endpoint": (r"""(?:https?|jdbc|postgres|mysql|redis|amqp|ftp|s3)://[^\s"'<>]+|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b""", "endpoint"),
 }
+#: What a match of a kind must hold besides.
+MIXED = {"random": ("[0-9]", "[A-Z]", "[a-z]")}
 SCOPE = 160
 _SPAN = "array<struct<start:int,kind:int,end:int,name:string,part:string>>"
 
@@ -49,6 +54,9 @@ def _spans(text: Column, number: int, name: str, pattern: str, part: str, value_
     steps = F.zip_with(sizes, F.slice(F.transform(gaps, lambda x: F.length(x)), 1, F.size(found)), lambda s, g: F.struct(s.alias("size"), g.alias("gap")))
     places = F.aggregate(steps, start, step, lambda acc: acc["out"])
     spans = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), F.lit(name).alias("name"), F.lit(part).alias("part")))
+    if name in MIXED:
+        mixed = lambda x: reduce(and_, (x["value"].rlike(c) for c in MIXED[name]))
+        spans = F.transform(F.filter(F.arrays_zip(spans.alias("span"), found.alias("value")), mixed), lambda x: x["span"])
     if value_least:
         values = F.regexp_extract_all(text, p, 1)
         spans = F.transform(F.filter(F.arrays_zip(spans.alias("span"), values.alias("value")), lambda x: F.length(x["value"]) >= value_least), lambda x: x["span"])

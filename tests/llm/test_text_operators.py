@@ -54,6 +54,15 @@ def test_weak_parts_need_each_other(spark):
     assert rows == {0: ["login", "random", "endpoint"], 1: [], 2: [], 3: [], 4: [], 5: ["login", "random"], 6: ["access", "random"]}
 
 
+def test_long_random_tokens(spark):
+    weak = "Zx9kQ2mN7pL4vR8tW1yB"
+    tokens = [f"AccountKey={weak * 4}abcdef==", weak * 20, weak, weak * 3 + "abcd", weak * 3 + "abcde", "q" * 70 + "B7", "q" * 200 + "B" * 70 + "7"]
+    plain = [weak[:19], "q" * 90 + "1", "A1" * 40, "qB" * 40]
+    texts = [f"login: alice {t} tail" for t in tokens + plain]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs(spark, texts)).collect()}
+    assert rows == {i: f"login:0:12,random:13:{13 + len(t)}" if i < len(tokens) else "" for i, t in enumerate(tokens + plain)}
+
+
 def test_secrets_empty_and_null_id(spark):
     empty = docs(spark, []).where("false")
     assert secrets.find_secrets(empty).count() == 0
