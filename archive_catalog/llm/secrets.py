@@ -4,7 +4,7 @@ Strong spans (assignments, access key ids, long hexadecimal runs) are reported w
 alone: a login-like ``name: value``, a mixed random-looking token, an endpoint (URL or host with port). They are reported only when
 complementary parts co-occur: parts become intervals, an interval join pairs identifiers with secrets whose gap is at
 most ``scope`` code points, within one text, and endpoints join those pairs in the same way. The join is an equi-join on (text, block of
-``scope`` code points), the right side listed under the neighbouring blocks too, so it costs the parts near each other only.
+``scope`` code points), the left side listed under the blocks of both its ends, the right side under the neighbouring blocks too, so it costs the parts near each other only.
 
 Positions are code points: a match starts after the pieces and matches before it. Everything is DataFrame functions.
 
@@ -87,9 +87,13 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text:
     parts = (
         scanned.where(both).select("text_key", "strong", "weak").dropDuplicates(["text_key"])
         .select("text_key", F.explode(F.concat("strong", "weak")).alias("s")).select("text_key", "s.*")
-        .withColumn("block", F.floor(F.col("start") / scope).cast("long"))
     )
-    identifiers = parts.where("part = 'identifier'").select("text_key", "block", *[F.col(c).alias(f"i_{c}") for c in ("start", "end", "kind", "name")])
+
+    def edges(start: str, end: str) -> Column:
+        """The blocks of both ends: what is near a long identifier may be near one of them only."""
+        return F.explode(F.array_distinct(F.array(F.floor(F.col(start) / scope), F.floor(F.col(end) / scope))))
+
+    identifiers = parts.where("part = 'identifier'").withColumn("block", edges("start", "end")).select("text_key", "block", *[F.col(c).alias(f"i_{c}") for c in ("start", "end", "kind", "name")])
     # from each interval to the blocks where a part that is near enough can start
     reach = F.explode(F.sequence(F.floor((F.col("start") - 2 * scope) / scope), F.floor((F.col("end") + scope) / scope)))
     secrets = parts.where("part = 'secret'").withColumn("block", reach).select("text_key", "block", *[F.col(c).alias(f"s_{c}") for c in ("start", "end", "kind", "name")])
@@ -98,7 +102,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text:
     endpoints = parts.where("part = 'endpoint'").withColumn("block", reach).select("text_key", "block", *[F.col(c).alias(f"e_{c}") for c in ("start", "end", "kind", "name")])
     away = F.greatest(F.col("i_start"), F.col("e_start")) - F.least(F.col("i_end"), F.col("e_end"))
     sites = (
-        pairs.select("text_key", "block", "i_start", "i_end").distinct().join(endpoints, ["text_key", "block"]).where((away >= 0) & (away <= scope))
+        pairs.select("text_key", "i_start", "i_end").distinct().withColumn("block", edges("i_start", "i_end")).join(endpoints, ["text_key", "block"]).where((away >= 0) & (away <= scope))
         .select("text_key", F.col("e_start").alias("start"), F.col("e_kind").alias("kind"), F.col("e_end").alias("end"), F.col("e_name").alias("name"))
     )
 

@@ -63,6 +63,13 @@ def test_long_random_tokens(spark):
     assert rows == {i: f"login:0:12,random:13:{13 + len(t)}" if i < len(tokens) else "" for i, t in enumerate(tokens + plain)}
 
 
+def test_long_identifiers_are_linked_at_both_ends(spark):
+    weak, site = "Zx9kQ2mN7pL4vR8tW1yB", "db.internal.example.com:5432"
+    texts = [f"login: {'q' * n} {weak}" for n in (10, 400, 1000)] + [f"AKIA{'X' * 900} {weak}", f"{site} login: {'q' * 900} {weak}", f"{weak} login: {'q' * 900} {site}"]
+    rows = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",") if x] for r in secrets.find_secrets(docs(spark, texts)).collect()}
+    assert rows == {0: ["login", "random"], 1: ["login", "random"], 2: ["login", "random"], 3: ["access", "random"], 4: ["endpoint", "login", "random"], 5: ["random", "login", "endpoint"]}
+
+
 def test_secrets_empty_and_null_id(spark):
     empty = docs(spark, []).where("false")
     assert secrets.find_secrets(empty).count() == 0
