@@ -10,7 +10,7 @@ other in s at most, so one with s < 0.8 n links with nothing, and a pair needs m
 and remove nearly all false candidates, such as documents that share one common passage. In each cell every member is then
 compared with one leader (first the one with most of its shingles shared), verified on full shingle sets, and components are formed; cells that
 still hold members of different components get another leader, then all their remaining pairs across components are compared. So no
-link between different components is left unverified within a cell, while a large group of copies costs its size, not its square. Pairs
+link between different components is left unverified within a cell, but for pairs whose sketches are far apart by chance (about 1 in 100,000 at s = 0.8), while a large group of copies costs its size, not its square. Pairs
 that verified links already connect need no comparison.
 
 Defined results: no words or no text means no shingle, linked with nothing; fewer words than a shingle make one shingle; A-Z are
@@ -150,7 +150,7 @@ def _zero_bytes(d: Column) -> Column:
 
 
 def _may_link(band: Banding) -> Column:
-    """Sizes and shared shingles allow the similarity, and the sketches don't show that it is far off (4.5 standard deviations below, 3 in a million)."""
+    """Sizes and shared shingles allow the similarity, and the sketches don't show that it is far off (4.5 standard deviations below: a pair at the bound is lost about once in 100,000)."""
     p = band.percent / 100
     x, y = F.col("sketch"), F.col("sketch_b")
     bare = sum((_zero_bytes(x[i].bitwiseOR(y[i])) for i in range(SKETCH_WORDS)), F.lit(0))
