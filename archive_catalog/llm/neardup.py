@@ -2,20 +2,24 @@
 
 Two collections of ``m`` half keys, ``r`` minhashes each, give ``m * m`` tables keyed by a pair (half key i of the first, half key j of the
 second): 2 * m * r minhashes do the work that would take m * m * 2 * r. A pair of similarity s meets in some table with
-probability (1 - (1 - s^r)^m)^2; with r = 2 and m = 10 that misses 7 of 100,000 pairs at s = 0.8 and fewer above.
+probability (1 - (1 - s^r)^m)^2; with r = 2 and m = 10 that misses 7 of 100,000 pairs at s = 0.8 and fewer above. Everything
+after the tables is exact.
 
-Documents with equal shingle sets are one class, named by a digest of the set; all later work is on classes that share a table cell with
-another. Of each, the shingles that no other such class holds are counted: a class with s of its n shingles shared overlaps any
-other in s at most, so one with s < 0.8 n links with nothing, and a pair needs min(s, s') >= 0.8 * (n + n' - min(s, s')). These bounds are exact
-and remove nearly all false candidates, such as documents that share one common passage. In each cell every member is then
-compared with one leader (first the one with most of its shingles shared), verified on full shingle sets, and components are formed; cells that
-still hold members of different components get another leader, then all their remaining pairs across components are compared. So no
-link between different components is left unverified within a cell, but for pairs whose sketches are far apart by chance (about 1 in 100,000 at s = 0.8), while a large group of copies costs its size, not its square. Pairs
-that verified links already connect need no comparison.
+Documents with equal shingle sets are one class, named by a digest of the set; all work from the tables on is on classes. Of each that shares a
+table cell with another, the shingles that no other such class holds are counted: a class with s of its n shingles shared overlaps any
+other in s at most, so one with s < 0.8 n links with nothing (documents that share one common passage go here). Classes that meet in cells, directly or by
+others, form a candidate group. In a group every set S is kept as its difference D to the group's majority set (the shingles that more than half of
+its classes hold): |S1 xor S2| = |D1 xor D2|, so with c common elements of D1 and D2 a pair links if and only if
+
+    2 (100 + p) c >= w1 + w2,   w = (100 + p) |D| - (100 - p) |S|,   p: the percentage.
+
+The class with the least w (the leader) links with every class that has w <= -w(leader), and all pairs that link without any common element are
+connected by these; so a group of copies costs its size. All other pairs need common elements: they are found by an exact prefix filter, joining the rarest elements
+of the differences by levels of w, and confirmed on the whole differences. No pair is left out.
 
 Defined results: no words or no text means no shingle, linked with nothing; fewer words than a shingle make one shingle; A-Z are
 lower-cased, words end at ASCII white space; rows that repeat id and text are linked; a null id is never the smallest unless all are null,
-and ``kept`` is false there; an empty table gives no rows; other columns are ignored.
+and ``kept`` is false there; an empty table gives no rows; other columns are ignored; very long texts are shingled in slices.
 """
 
 from __future__ import annotations
@@ -26,18 +30,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import U64, chunks, mix64, random64, word_hashes, written
+from ..operators.graph import components
+from .shared import Scratch, U64, chunks, mix64, random64, word_hashes, written
 
-LEADER_ROUNDS = 2
-#: A sketch has a byte for each of so many bins of the hash range, eight to a long; 0: no shingle in the bin.
-SKETCH_WORDS = 8
-SKETCH_BINS = 8 * SKETCH_WORDS
 #: Ids are broadcast up to this number (a few dozen MB), else joined by shuffle.
 BROADCAST_IDS = 1 << 20
+#: Ranges of w that the prefix filter tells apart.
+LEVELS = 8
 
 
 @dataclass(frozen=True)
@@ -84,42 +86,30 @@ def minhashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """A byte of the least hash in each bin; as hashes are sorted, that is the first."""
-    low = np.searchsorted(shingles, np.arange(SKETCH_BINS, dtype=np.uint64) << U64(64 - SKETCH_BINS.bit_length() + 1))
-    out = np.zeros(SKETCH_BINS, np.uint8)
-    has = np.diff(np.append(low, len(shingles))) > 0
-    out[has] = (shingles[low[has]] >> U64(40)) % U64(255) + U64(1)
-    return out.view(np.int64)
+def _arrays(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 def signatures(docs: DataFrame, band: Banding) -> DataFrame:
-    """doc_id, n_shingles, node, left and right half keys, sketch."""
+    """doc_id, n_shingles, node, half keys (the left ones, then the right ones)."""
     a, b = random64(band.hashes, 21) | U64(1), random64(band.hashes, 22)
     join = random64(band.rows, 23) | U64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in chunks(batch.column("text"), 2000, 1 << 23):
-                texts = batch.column("text")[lo:hi].to_pylist()
-                n, node, halves, sketches = [], [], [], []
-                for s in shingle_sets(texts, band.words):
+                n, node, halves = [], [], []
+                for s in shingle_sets(batch.column("text")[lo:hi].to_pylist(), band.words):
                     n.append(len(s))
                     if not len(s):
-                        node.append(None), halves.append(np.zeros(2 * band.halves, np.int64)), sketches.append(np.zeros(SKETCH_WORDS, np.int64))
+                        node.append(None), halves.append(np.zeros(2 * band.halves, np.int64))
                         continue
                     node.append(digest64(s))
                     m = mix64(minhashes(s, a, b))
                     halves.append(mix64((m.reshape(-1, band.rows) * join).sum(axis=1)).view(np.int64))
-                    sketches.append(sketch(s))
-                both = np.array(halves)
-                arrays = lambda x: pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(np.ascontiguousarray(x).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), arrays(both[:, : band.halves]), arrays(both[:, band.halves :]), arrays(np.array(sketches))],
-                    names=["doc_id", "n_shingles", "node", "left", "right", "sketch"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(node, pa.int64()), _arrays(np.array(halves))], names=["doc_id", "n_shingles", "node", "halves"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, left array<long>, right array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, halves array<long>")
 
 
 def full_sets(docs: DataFrame, band: Banding) -> DataFrame:
@@ -136,105 +126,118 @@ def full_sets(docs: DataFrame, band: Banding) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _cells(sigs: DataFrame) -> DataFrame:
+def _cells(classes: DataFrame, band: Banding) -> DataFrame:
     """(cell, node): a class's place in every table."""
-    pairs = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i, j))))
-    return sigs.where("node IS NOT NULL").select("node", F.explode(pairs).alias("cell"))
-
-
-def _zero_bytes(d: Column) -> Column:
-    """How many of a long's eight bytes are 0."""
-    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3F3F3F3F3F3F3F3F), (1, 0x7F7F7F7F7F7F7F7F)):  # gather each byte's bits in its lowest
-        d = d.bitwiseOR(F.shiftrightunsigned(d, shift).bitwiseAND(F.lit(mask)))
-    return F.lit(8) - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    left, right = F.slice("halves", 1, band.halves), F.slice("halves", band.halves + 1, band.halves)
+    pairs = F.flatten(F.transform(left, lambda x, i: F.transform(right, lambda y, j: F.xxhash64(x, y, i, j))))
+    return classes.select("node", F.explode(pairs).alias("cell"))
 
 
-def _may_link(band: Banding) -> Column:
-    """Sizes and shared shingles allow the similarity, and the sketches don't show that it is far off (4.5 standard deviations below: a pair at the bound is lost about once in 100,000)."""
-    p = band.percent / 100
-    x, y = F.col("sketch"), F.col("sketch_b")
-    bare = sum((_zero_bytes(x[i].bitwiseOR(y[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    equal = sum((_zero_bytes(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_WORDS)), F.lit(0)) - bare
-    used = F.lit(SKETCH_BINS) - bare
-    common = F.least("shared", "shared_b")
-    fits = common * 100 >= (F.col("n_shingles") + F.col("n_b") - common) * band.percent
-    return fits & (equal >= used * p - F.sqrt(used * (20.25 * p * (1 - p))))
+def _candidate_sets(docs: DataFrame, nodes: DataFrame, band: Banding, scratch: Scratch) -> DataFrame:
+    """(node, shingles): the whole sets of ``nodes`` (node, doc_id of one of its rows), one row each."""
+    ids = nodes.select("doc_id").distinct()
+    ids = F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids
+    sets = full_sets(docs.join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("text"), band).where("node IS NOT NULL")
+    return scratch.written(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, band: Banding) -> DataFrame:
-    """Those (u, v) whose full sets are similar enough."""
+def candidate_groups(classes: DataFrame, docs: DataFrame, band: Banding, scratch: Scratch) -> DataFrame | None:
+    """(label, node, shingles) of the classes that may link with another of their group; null if there are none."""
+    cells = _cells(classes, band)
+    hot = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("cell")
+    members = scratch.written(cells.join(hot, "cell").distinct(), "cells")
+    nodes = scratch.written(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "n_shingles"), "nodes")
+    sets = _candidate_sets(docs, nodes, band, scratch)
+    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    own = held.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    viable = nodes.join(own, "node", "left").where((F.col("n_shingles") - F.coalesce("own", F.lit(0))) * 100 >= F.col("n_shingles") * band.percent)
+    members = scratch.written(members.join(viable.select("node"), "node", "left_semi"), "members")
+    first = members.groupBy("cell").agg(F.min("node").alias("u"), F.max("node").alias("hi")).where("u <> hi").select("cell", "u")
+    met = scratch.written(members.join(first, "cell").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "met")
+    if met.isEmpty():
+        return None
+    return scratch.written(sets.join(components(met, "u", "v"), "node").select("label", "node", "shingles"), "groups")
+
+
+def differences(groups: DataFrame, band: Banding, scratch: Scratch) -> DataFrame:
+    """label, node, n (shingles), d (elements of the difference), w, elements: (k: how many differences hold it, x), rarest first, without those of one class only."""
+    held = groups.select("label", F.explode("shingles").alias("x")).groupBy("label", "x").agg(F.count("*").alias("k")).where("k > 1")
+    held = scratch.written(held.join(groups.groupBy("label").agg(F.count("*").alias("m")), "label"), "held")
+    # a set of shingles that half of the classes hold is at most twice as large as their average
+    major = held.where("2 * k > m").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("x", (F.col("m") - F.col("k")).alias("k")))).alias("major"))
+    split = groups.join(major, "label", "left").select("label", "node", "shingles", F.coalesce("major.x", F.array().cast("array<long>")).alias("x"), F.coalesce("major.k", F.array().cast("array<long>")).alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            av, ao, bv, bo = a.values.to_numpy(), a.offsets.to_numpy(), b.values.to_numpy(), b.offsets.to_numpy()
-            keep = np.zeros(batch.num_rows, bool)
+            s, x, k = (batch.column(c) for c in ("shingles", "x", "k"))
+            values = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (s, x, k)]
+            n, more, less, rare = [], [], [], []
             for i in range(batch.num_rows):
-                x, y = av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * common >= band.percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], names=["u", "v"])
-
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def _candidate_classes(docs: DataFrame, sigs: DataFrame, nodes: DataFrame, band: Banding) -> tuple[DataFrame, DataFrame]:
-    """Classes (node, n_shingles, sketch, shared) that may link with another of ``nodes``, and the full sets of ``nodes``."""
-    classes = nodes.join(sigs, "node").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
-    classes = written(classes, "minhash-classes")
-    ids = classes.select("doc_id").distinct()
-    ids = F.broadcast(ids) if classes.count() <= BROADCAST_IDS else ids
-    sets = full_sets(docs.join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("text"), band).where("node IS NOT NULL")
-    sets = written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
-    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    own = held.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    shared = F.col("n_shingles") - F.coalesce("own", F.lit(0))
-    viable = classes.join(own, "node", "left").select("node", "n_shingles", "sketch", shared.alias("shared")).where(F.col("shared") * 100 >= F.col("n_shingles") * band.percent)
-    return written(viable, "minhash-viable"), sets
+                own, most, count = (v[o[i] : o[i + 1]] for v, o in values)
+                n.append(len(own))
+                more.append(np.setdiff1d(own, most, assume_unique=True))
+                gone = ~np.isin(most, own, assume_unique=True)
+                less.append(most[gone]), rare.append(count[gone])
+            listed = lambda parts: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("node"), pa.array(n, pa.int64()), listed(more), listed(less), listed(rare)], names=["label", "node", "n", "more", "less", "rare"])
+
+    apart = scratch.written(split.mapInArrow(run, "label long, node long, n long, more array<long>, less array<long>, rare array<long>"), "apart")
+    extra = (
+        apart.select("label", "node", F.explode("more").alias("x")).join(held.select("label", "x", "k"), ["label", "x"])
+        .groupBy("node").agg(F.collect_list(F.struct("k", "x")).alias("extra"))
+    )
+    lost = F.arrays_zip(F.col("rare").alias("k"), F.col("less").alias("x"))
+    none = F.array().cast("array<struct<k:bigint,x:bigint>>")
+    d, p = F.size("more") + F.size("less"), band.percent
+    return scratch.written(
+        apart.join(extra, "node", "left").select(
+            "label", "node", "n", d.cast("long").alias("d"), ((100 + p) * d - (100 - p) * F.col("n")).alias("w"),
+            F.array_sort(F.concat(F.coalesce("extra", none), F.filter(lost, lambda e: e["k"] > 1))).alias("elements"),
+        ),
+        "differences",
+    )
 
 
-def _open_cells(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (cell, node, label) of cells whose members are not all of one component."""
-    here = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
-    mixed = here.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
-    return written(here.join(mixed, "cell"), "minhash-open")
+def links(apart: DataFrame, band: Banding, scratch: Scratch) -> DataFrame:
+    """(u, v): pairs that connect exactly those classes of ``differences`` that links connect."""
+    per = 2 * (100 + band.percent)
+    lead = apart.groupBy("label").agg(F.min_by("node", F.struct("w", "node")).alias("leader"), F.min("w").alias("low"), F.max("w").alias("high"))
+    rows = scratch.written(apart.join(lead, "label").withColumn("near", F.col("w") + F.col("low") <= 0), "led")
+    star = rows.where("near AND node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    span = F.col("high") - F.col("low") + 1
+    need = lambda w: F.greatest(F.lit(1), F.ceil(w / F.lit(per)))
+    # the position of an element counts those that no other difference holds too: they are rarest
+    alone = F.col("d") - F.size("elements")
+    placed = lambda least: F.filter(F.transform("elements", lambda e, i: F.struct((alone + i).alias("at"), e["x"].alias("x"))), lambda e: e["at"] <= F.col("d") - least)
+    # of a pair the one with the less w is on the left; a class on the right looks for each level of w up to its own
+    left = rows.select("label", "node", "w", "n", "d", F.floor((F.col("w") - F.col("low")) * LEVELS / span).alias("level"), F.explode(placed(need(F.col("w") * 2))).alias("e"))
+    far = rows.where("NOT near").withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("w") - F.col("low")) * LEVELS / span))))
+    far = far.withColumn("from", F.col("low") + F.floor(F.col("level") * span / LEVELS))
+    right = far.select("label", F.col("node").alias("v"), F.col("w").alias("w_v"), F.col("n").alias("n_v"), F.col("d").alias("d_v"), "level", F.explode(placed(need(F.col("w") + F.col("from")))).alias("f"))
+    left = left.select("label", "level", F.col("e.x").alias("x"), F.col("e.at").alias("at"), F.col("node").alias("u"), "w", "n", "d")
+    right = right.select("label", "level", F.col("f.x").alias("x"), F.col("f.at").alias("at_v"), "v", "w_v", "n_v", "d_v")
+    before = (F.col("w") < F.col("w_v")) | ((F.col("w") == F.col("w_v")) & (F.col("u") < F.col("v")))
+    # common elements from here on: where this is the first, all of them
+    rest = F.least(F.col("d") - F.col("at"), F.col("d_v") - F.col("at_v"))
+    sizes = F.least("n", "n_v") * 100 >= F.greatest("n", "n_v") * band.percent
+    pairs = left.join(right, ["label", "level", "x"]).where(before & sizes & (rest * per >= F.col("w") + F.col("w_v"))).select("u", "v").distinct()
+    bare = rows.select("node", "w", F.col("elements.x").alias("x"))
+    a, b = bare.toDF("u", "w_u", "x_u"), bare.toDF("v", "w_v", "x_v")
+    common = F.size(F.array_intersect("x_u", "x_v"))
+    found = scratch.written(pairs, "pairs").join(a, "u").join(b, "v").where(common * per >= F.col("w_u") + F.col("w_v")).select("u", "v")
+    return scratch.written(star.unionByName(found), "links")
 
 
 def class_components(docs: DataFrame, sigs: DataFrame, band: Banding) -> DataFrame | None:
     """(node, label) of classes that are linked with another; null if none is."""
-    cells = _cells(sigs)
-    hot = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("cell")
-    members = written(cells.join(hot, "cell").distinct(), "minhash-cells")
-    viable, sets = _candidate_classes(docs, sigs, members.select("node").distinct(), band)
-    members = members.join(viable.select("node"), "node", "left_semi")
-    other = viable.select(F.col("node").alias("v"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("shared").alias("shared_b"))
-    tested, edges, labels = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        here = _open_cells(members, labels)
-        if here.isEmpty():
-            break
-        members = here.select("cell", "node")
-        if turn < LEADER_ROUNDS:
-            rank = F.struct(-F.col("shared") / F.col("n_shingles"), F.col("node")) if turn == 0 else F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"))
-            led = here.join(viable, "node").groupBy("cell").agg(F.min_by(F.struct("node", "label"), rank).alias("leader"))
-            pairs = here.join(led, "cell").where(F.col("label") != F.col("leader.label")).select(F.col("leader.node").alias("u"), F.col("node").alias("v"))
-            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            pairs = pairs.join(viable.withColumnRenamed("node", "u"), "u").join(other, "v").where(_may_link(band)).select("u", "v")
-        else:
-            full = here.join(viable, "node").withColumnRenamed("node", "u")
-            right = here.select("cell", F.col("node").alias("v"), F.col("label").alias("label_b")).join(other, "v")
-            pairs = full.join(right, "cell").where((F.col("u") < F.col("v")) & (F.col("label") != F.col("label_b")) & _may_link(band)).select("u", "v").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, f"minhash-pairs{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(verified(pairs, sets, band), f"minhash-links{turn}")
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    classes = sigs.where("node IS NOT NULL").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.min("halves").alias("halves"))
+    groups = candidate_groups(scratch.written(classes, "classes"), docs, band, scratch)
+    labels = None
+    if groups is not None:
+        found = links(differences(groups, band, scratch), band, scratch)
+        labels = None if found.isEmpty() else components(found, "u", "v")
+    scratch.drop()
     return labels
 
 

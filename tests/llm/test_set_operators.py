@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from archive_catalog.llm import components as cc
 from archive_catalog.llm import mtree, neardup, sharding, urls
 
 
@@ -64,13 +63,58 @@ def test_near_duplicates(spark, seed, words):
     assert got == [(d, n, c, d == c) for d, n, c in brute_components(texts, words)]
 
 
-def test_near_duplicates_without_leaders(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LEADER_ROUNDS", 0)
-    texts = corpus(3)
+def copies(seed, size, edits, texts=260):
+    """A large group of copies of one text, edited anywhere: many are about as far from each other as a link may be; a chain of edits beside it."""
+    rng = random.Random(seed)
+    word = lambda: "w" + str(rng.randrange(400))
+    base, out = [word() for _ in range(size)], []
+    for _ in range(texts):
+        copy = list(base)
+        for _ in range(rng.randrange(edits)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randrange(2)] = [rng.choice(("some", "other", "word", word()))]
+        out.append(" ".join(copy))
+    chain = [word() for _ in range(size)]
+    for i in range(60):
+        chain[(i * 7) % size] = word()
+        out.append(" ".join(chain))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("seed", "size", "edits"), [(1, 60, 8), (2, 150, 12), (3, 25, 4)])
+def test_near_duplicates_in_a_large_group(spark, seed, size, edits):
+    texts = copies(seed, size, edits)
     got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect())
     assert got == [(d, c) for d, _, c in brute_components(texts, 4)]
 
 
+def test_links_of_a_group_without_a_common_core(spark):
+    """All classes in one group, as a chain of false candidates would make it: the same links as brute force."""
+    from archive_catalog.llm.shared import Scratch
+
+    texts = corpus(5) + [(10_000 + i, t) for i, t in copies(6, 50, 6, 80)]
+    band = neardup.Banding()
+    sets = {neardup.digest64(s): s.view(np.int64) for s in neardup.shingle_sets([t for _, t in texts], 4) if len(s)}
+    for labels in (1, 3):
+        groups = spark.createDataFrame([(i % labels, k, v.tolist()) for i, (k, v) in enumerate(sorted(sets.items()))], "label long, node long, shingles array<long>")
+        scratch = Scratch(spark, "test")
+        found = {tuple(sorted(r)) for r in neardup.links(neardup.differences(groups, band, scratch), band, scratch).collect()}
+        parent = {k: k for k in sets}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        own = {k: i % labels for i, k in enumerate(sorted(sets))}
+        linked = {(a, b) for a in sets for b in sets if a < b and own[a] == own[b] and 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))}
+        assert found <= linked
+        for a, b in found:
+            parent[root(a)] = root(b)
+        assert all(root(a) == root(b) for a, b in linked)
+
+
 def test_near_duplicates_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(none).count() == 0
@@ -79,14 +123,6 @@ def test_near_duplicates_edges(spark):
     assert got == [(-1, -1, False), (-1, 4, False), (4, 4, True), (4, 4, True)]
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "u long, v long")
-    from archive_catalog.llm.shared import shared_dir
-
-    shared_dir(spark)
-    assert {r["node"]: r["label"] for r in cc.components(edges).collect()} == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
-
-
 # --- search ----------------------------------------------------------------------------------------------------------
 def test_mtree_equals_brute_force():
     rng = np.random.default_rng(0)
