@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +10,10 @@ from pyspark.sql import types as T
 
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    return s.astype(object).str.normalize("NFC") if s.notna().any() else s
 
 
 def composed(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the column in composed form; only rows that hold combining marks pass through Python."""
-    marked = F.coalesce(F.col(column).rlike(r"\p{M}|[\x{1100}-\x{11FF}]"), F.lit(False))
-    return df.where(~marked).unionByName(df.where(marked).withColumn(column, _nfc(column)))
+    """``df`` with the column in composed form; of names without combining marks a null passes through Python. The input is planned once."""
+    marked = F.when(F.col(column).rlike(r"\p{M}|[\x{1100}-\x{11FF}]"), F.col(column))
+    return df.withColumn(column, F.coalesce(_nfc(marked), column))

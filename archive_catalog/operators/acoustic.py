@@ -42,7 +42,7 @@ def fingerprint_groups(pairs: DataFrame) -> DataFrame:
     """(kind, group_id, file_id, n_members): transitive closure of the pairs."""
     labels = components(pairs, "a", "b")
     sizes = labels.groupBy("label").agg(F.count("*").alias("n_members"))
-    return labels.join(sizes, "label").select(F.lit("FINGERPRINT").alias("kind"), F.col("label").alias("group_id"), F.col("node").alias("file_id"), "n_members")
+    return labels.join(sizes, "label").select(F.lit("AUDIO_FINGERPRINT").alias("kind"), F.col("label").alias("group_id"), F.col("node").alias("file_id"), "n_members")
 
 
 def _unpack(bits: np.ndarray, at: int, width: int) -> np.ndarray:

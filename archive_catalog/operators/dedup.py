@@ -35,9 +35,9 @@ def fuzzy(files: DataFrame, name: str = "filename", file_id: str = "file_id", ti
 
 
 def report(groups: DataFrame, files: DataFrame, limit: int = 200, kind: str | None = None) -> DataFrame:
-    """The ``limit`` first groups with their members and volumes."""
+    """The ``limit`` newest groups (by ``created_at``; ties by kind and id), of one kind or of all, with their members and volumes."""
     rows = groups if kind is None else groups.where(F.col("kind") == kind)
-    heads = rows.select("kind", "group_id", "n_members").distinct().orderBy("kind", "group_id").limit(limit)
+    heads = rows.groupBy("kind", "group_id").agg(F.max("created_at").alias("created_at")).orderBy(F.desc("created_at"), "kind", "group_id").limit(limit)
     return (
         rows.join(heads.select("kind", "group_id"), ["kind", "group_id"], "left_semi").join(files, "file_id")
         .groupBy("kind", "group_id").agg(F.count("*").alias("n_members"), F.countDistinct("volume_id").alias("n_volumes"), F.sum("size_bytes").alias("total_bytes"))

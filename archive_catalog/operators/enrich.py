@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -57,6 +57,36 @@ def enrich_albums(directories: DataFrame, audio: DataFrame) -> DataFrame:
     return albums.join(first, "directory_id", "left").select("directory_id", F.col("t.file_id").alias("file_id"), F.col("t.fingerprint").alias("fingerprint"), F.col("t.duration_sec").alias("duration_sec"))
 
 
+def enrich_requests(albums: DataFrame, best: DataFrame) -> DataFrame:
+    """What three services are to be asked for each album, each request once: (scope, source, ref_file_id, ref_dir_id, query_used).
+
+    ``albums``: directory_id, name and the representative track's file_id, fingerprint, duration_sec, work_id, resolved_artist, tag_album (null if there is none);
+    ``best``: query_used (a lookup's key), recording_mbid. A lookup is keyed by the digest of the whole fingerprint, as prints may begin alike; a recording, asked for
+    tracks of a known work only, by its id; a release by artist and album.
+    """
+    ready = albums.where(F.col("fingerprint").isNotNull() & (F.col("duration_sec") > 0)).withColumn("lookup", F.sha2("fingerprint", 256))
+
+    def asked(rows: DataFrame, scope: str, source: str, query: Column, file_id: Column, directory_id: Column) -> DataFrame:
+        return rows.select(F.lit(scope).alias("scope"), F.lit(source).alias("source"), file_id.alias("ref_file_id"), directory_id.alias("ref_dir_id"), query.alias("query_used"))
+
+    none = F.lit(None)
+    own, no_file, no_dir = F.col("file_id"), none.cast(albums.schema["file_id"].dataType), none.cast(albums.schema["directory_id"].dataType)
+    known = ready.where("work_id IS NOT NULL").join(best.select(F.col("query_used").alias("lookup"), "recording_mbid"), "lookup")
+    release = tx.trim(F.concat_ws(" ", F.coalesce("resolved_artist", F.lit("")), F.coalesce("tag_album", "name")))
+    return (
+        asked(ready, "FINGERPRINT", "ACOUSTID", F.col("lookup"), own, no_dir)
+        .unionByName(asked(known, "FINGERPRINT", "MUSICBRAINZ", F.col("recording_mbid"), own, no_dir))
+        .unionByName(asked(albums.where(F.length(release) > 1), "ALBUM", "DISCOGS", release, no_file, F.col("directory_id")))
+        .distinct()
+    )
+
+
+def open_requests(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests that no cached response with the same (scope, source, query_used) answers."""
+    key = ["scope", "source", "query_used"]
+    return requests.join(cache.select(*key).distinct(), key, "left_anti")
+
+
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests (source, query_used) that no cached response answers, each once: what a fetcher outside Spark is to get."""
     return requests.where("query_used <> ''").select("source", "query_used").distinct().join(cache.select("source", "query_used"), ["source", "query_used"], "left_anti")

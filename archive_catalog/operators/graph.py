@@ -17,19 +17,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(node, label): each node with the least node that it is connected with. Each round cuts lineage in the shared checkpoint folder."""
+    """(node, label): each node with the least node that it is connected with. Every step cuts lineage in the shared checkpoint folder.
+
+    Each round points every node to its least neighbour, follows the pointers to their ends by doubling, and goes on with the edges between different ends: they
+    are few, so the edges as a whole are joined once only. A round at least halves the nodes that still have edges.
+    """
     shared_folder(edges.sparkSession)
-    there = edges.select(F.col(src).alias("node"), F.col(dst).alias("near"))
-    links = there.unionByName(there.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct().checkpoint()
-    state = links.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")).checkpoint()
-    moved = True
-    while moved:
-        told = links.join(state.select(F.col("node").alias("near"), "label"), "near").groupBy("node").agg(F.min("label").alias("told"))
-        jump = state.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        after = (
-            state.join(told, "node", "left").join(jump, "label", "left")
-            .select("node", F.least("label", "told", "top").alias("next"), "label").checkpoint()
-        )
-        moved = not after.where("next < label").isEmpty()
-        state = after.select("node", F.col("next").alias("label"))
-    return state
+    a, b = F.col(src), F.col(dst)
+    live = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().checkpoint()
+    maps = []
+    while True:
+        there = live.select(F.col("a").alias("node"), F.col("b").alias("near"))
+        ups = there.unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("near"))).groupBy("node").agg(F.least("node", F.min("near")).alias("up")).checkpoint()
+        while True:
+            top = ups.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            after = ups.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")).checkpoint()
+            ups = after.select("node", "up")
+            if after.where("moved").isEmpty():
+                break
+        maps.append(ups)
+        ends = live.join(ups.toDF("a", "x"), "a").join(ups.toDF("b", "y"), "b").where("x <> y")
+        live = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
+        if live.isEmpty():
+            break
+    labels = maps.pop().toDF("node", "label")
+    for ups in reversed(maps):
+        labels = ups.join(labels.toDF("up", "label"), "up", "left").select("node", F.coalesce("label", "up").alias("label"))
+    return labels.checkpoint() if maps else labels

@@ -124,7 +124,7 @@ def run_counters(files: DataFrame, directory: str = "directory_id") -> DataFrame
 
 
 def volume_match(probes: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Probes with the id of the known volume: by serial; without a serial by label, size and file system among volumes without one."""
+    """Probes with the id of the known volume: by serial; without a serial by detected label, size and file system among volumes without one."""
     by_serial = volumes.where("serial IS NOT NULL").groupBy("serial").agg(F.min("volume_id").alias("serial_match"))
     soft = volumes.where("serial IS NULL").groupBy("label", "total_bytes", "fs_type").agg(F.min("volume_id").alias("soft_match"))
     p, s = probes.alias("p"), soft.alias("s")
@@ -136,13 +136,28 @@ def volume_match(probes: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def register_volumes(probes: DataFrame, volumes: DataFrame) -> DataFrame:
-    """The volumes after registration: matched ones take given or detected values, new ones are added (label UNNAMED if none)."""
-    hit = volume_match(probes.withColumn("label", F.coalesce("given_label", "label")), volumes)
-    given = hit.where("matched_id IS NOT NULL").groupBy("matched_id").agg(F.max("given_label").alias("given"), F.max("fs_type").alias("fs"), F.max("total_bytes").alias("size"))
-    kept = volumes.join(given.withColumnRenamed("matched_id", "volume_id"), "volume_id", "left").select(
-        "volume_id", F.coalesce("given", "label").alias("label"), "serial", F.coalesce("fs", "fs_type").alias("fs_type"), F.coalesce("size", "total_bytes").alias("total_bytes")
+    """The volumes after registration of all probes (probe_id, serial, label, given_label, fs_type, total_bytes), in the order of probe_id.
+
+    A matched volume takes the given or else the detected label (UNNAMED if neither) of its last probe and the last file system and size that were detected. Probes
+    that match none are one new volume for each serial, without a serial for each (label, size, file system); one without these too is a volume of its own.
+    A new volume has the id of its first probe.
+    """
+    hit = volume_match(probes, volumes)
+    named = F.coalesce("given_label", "label", F.lit("UNNAMED"))
+    soft = F.col("label").isNotNull() & F.col("total_bytes").isNotNull()
+    key = (
+        F.when(F.col("matched_id").isNotNull(), F.concat(F.lit("id "), "matched_id")).when(F.col("serial").isNotNull(), F.concat(F.lit("serial "), "serial"))
+        .when(soft, F.concat(F.lit("soft "), F.to_json(F.struct("label", "total_bytes", "fs_type")))).otherwise(F.concat(F.lit("probe "), "probe_id"))
+    )
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("probe_id"))).alias(c)
+    one = hit.withColumns({"_key": key, "named": named}).groupBy("_key").agg(
+        F.min("matched_id").alias("matched_id"), F.min("probe_id").alias("first"), F.min("serial").alias("serial"), last("named"), last("fs_type"), last("total_bytes")
+    )
+    known = one.where("matched_id IS NOT NULL").select(F.col("matched_id").alias("volume_id"), "named", F.col("fs_type").alias("fs"), F.col("total_bytes").alias("size"))
+    kept = volumes.join(known, "volume_id", "left").select(
+        "volume_id", F.coalesce("named", "label").alias("label"), "serial", F.coalesce("fs", "fs_type").alias("fs_type"), F.coalesce("size", "total_bytes").alias("total_bytes")
     )
-    new = hit.where("matched_id IS NULL").select(F.col("probe_id").alias("volume_id"), F.coalesce("label", F.lit("UNNAMED")).alias("label"), "serial", "fs_type", "total_bytes")
+    new = one.where("matched_id IS NULL").select(F.col("first").alias("volume_id"), F.col("named").alias("label"), "serial", "fs_type", "total_bytes")
     return kept.unionByName(new)
 
 

@@ -51,6 +51,11 @@ def recent_runs(runs: DataFrame, volumes: DataFrame, limit: int = 10) -> DataFra
     return newest.join(volumes.select("volume_id", "label"), "volume_id", "left").select("run_id", "volume_id", "label", "kind", "status", "started_at")
 
 
+def interrupted_runs(runs: DataFrame, volumes: DataFrame, limit: int = 10) -> DataFrame:
+    """Of the newest runs, those that were interrupted: what a new run may take up again."""
+    return recent_runs(runs, volumes, limit).where("status = 'INTERRUPTED'")
+
+
 def interrupt_runs(runs: DataFrame, starting: DataFrame) -> DataFrame:
     """Runs still marked as running for a (kind, volume_id) that starts anew become interrupted."""
     new = starting.select("kind", "volume_id").distinct().withColumn("_again", F.lit(True))

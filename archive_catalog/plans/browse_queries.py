@@ -157,9 +157,31 @@ def interrupt_runs(t: Tables):
     return stats.interrupt_runs(t.runs, starting).select("run_id", "kind", "volume_id", "status")
 
 
-@query("format_values", """SELECT file_id, CASE WHEN duration_sec > 0 THEN CAST(CAST(floor(duration_sec / 60) AS BIGINT) AS STRING) || ':00' ELSE '' END AS duration, CAST(round(file_id / 1000, 0) AS STRING) IS NOT NULL AS has_size FROM {tracks}""")
+_SIZE = "CASE file_id % 4 WHEN 0 THEN file_id % 3000 WHEN 1 THEN file_id % 9000000 WHEN 2 THEN file_id % 3000000000 ELSE file_id * 7 END"
+_UNIT = "CAST(({0} + {1} // 2) // {1} AS STRING)"
+_TENTHS = lambda n, unit: f"CAST(({n} * 10 + {unit} // 2) // {unit} // 10 AS STRING) || '.' || CAST(({n} * 10 + {unit} // 2) // {unit} % 10 AS STRING)"
+_HUNDREDTHS = f"CAST((n * 100 + {1 << 29}) // {1 << 30} // 100 AS STRING) || '.' || lpad(CAST((n * 100 + {1 << 29}) // {1 << 30} % 100 AS STRING), 2, '0')"
+
+
+@query("format_values", f"""WITH s AS (SELECT file_id, duration_sec + file_id % 60 AS d, {_SIZE} AS n FROM {{tracks}})
+SELECT file_id, CASE WHEN d > 0 THEN CAST(CAST(floor(d / 60) AS BIGINT) AS STRING) || ':' || lpad(CAST(CAST(d AS BIGINT) % 60 AS STRING), 2, '0') ELSE '' END AS duration,
+  CASE WHEN n < 1024 THEN CAST(n AS STRING) || ' B' WHEN n < 1048576 THEN {_UNIT.format('n', 1024)} || ' KB' WHEN n < 1073741824 THEN {_TENTHS('n', 1 << 20)} || ' MB' ELSE {_HUNDREDTHS} || ' GB' END AS size, {_TENTHS('n', 10**9)} || ' GB' AS gigabytes FROM s""")
 def format_values(t: Tables):
-    return t.tracks.select("file_id", tx.duration_text(F.col("duration_sec")).alias("duration"), (tx.bytes_text(F.col("file_id")).isNotNull() & tx.gigabytes(F.col("file_id")).isNotNull()).alias("has_size"))
+    rows = t.tracks.select("file_id", (F.col("duration_sec") + F.col("file_id") % 60).alias("d"), F.expr(_SIZE).alias("n"))
+    return rows.select("file_id", tx.duration_text(F.col("d")).alias("duration"), tx.bytes_text(F.col("n")).alias("size"), tx.gigabytes(F.col("n")).alias("gigabytes"))
+
+
+@query("trailing_disc", r"SELECT volume_id, dir_path, CAST(nullif(regexp_extract(dir_path, '[\s._/-](\d{1,2})\s*$', 1), '') AS INTEGER) AS disc_no FROM {page_dirs}")
+def trailing_disc(t: Tables):
+    """The last number of a directory's name, for sets whose parts are only numbered."""
+    return t.page_dirs.select("volume_id", "dir_path", tx.trailing_number(tx.base_name(F.col("dir_path"))).alias("disc_no"))
+
+
+@query("interrupted_runs", """WITH n AS (SELECT * FROM {runs} ORDER BY started_at DESC, run_id DESC LIMIT 10) SELECT run_id, n.volume_id, label, kind, 'INTERRUPTED' AS status, started_at FROM n LEFT JOIN {volumes} v ON n.volume_id = v.volume_id WHERE status = 'RUNNING' AND kind IN ('SCAN', 'ENRICH')""")
+def interrupted_runs(t: Tables):
+    """Scans and enrichments start anew on all volumes; what was running of the newest runs."""
+    starting = t.volumes.select(F.explode(F.array(F.lit("SCAN"), F.lit("ENRICH"))).alias("kind"), "volume_id")
+    return stats.interrupted_runs(stats.interrupt_runs(t.runs, starting), t.volumes)
 
 
 @query("analyze_summary", f"""WITH n AS (SELECT directory_id, count(*) AS total, count(k) AS numbered, count(DISTINCT k) AS dn, max(k) AS hi FROM (SELECT directory_id, CASE WHEN regexp_matches(filename, '^\\d') THEN file_id % 100 END AS k FROM {{tracks}}) GROUP BY 1)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
-from ..operators import analyze, dedup, snapshot
+from ..operators import analyze, dedup, scan_job, snapshot, stats
 from ..operators.graph import shared_folder
 from ..sources import readers
-from ..streaming.ingest import VersionedTable, stream_ingest
+from ..streaming.ingest import read_table, stream_ingest
 from .catalogue import query
+from .names_queries import _CLUSTERS, dup_fingerprint
 from .views import TABLES, Tables
 
 # --- sources ---------------------------------------------------------------------------------------------------------
@@ -30,12 +31,14 @@ def content_hash(t: Tables):
     return readers.content_hash(t.documents.select("doc_id", "text"), "text").drop("text")
 
 
-@query("decode_text", "SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 OR NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN 'UTF-8' ELSE 'ISO-8859-1' END AS encoding FROM {documents} WHERE NOT regexp_matches(text, '[^\\x00-\\xFF]')")
+_OUTSIDE = "[^\\x00-\\x7F" + "".join(sorted(x for x in readers.upper_half("windows-1250") if x > "\x9f")) + "]"
+
+
+@query("decode_text", f"SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 OR regexp_matches(text, '{_OUTSIDE}') OR NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN 'UTF-8' ELSE 'windows-1250' END AS encoding FROM {{documents}}")
 def decode_text(t: Tables):
-    """Documents of Latin-1 letters, every second one written in that encoding."""
-    latin = t.documents.where(~F.col("text").rlike(r"[^\x00-\xFF]"))
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
-    return readers.decode_text(latin.select("doc_id", raw.alias("content")), fallback="ISO-8859-1").select("doc_id", "text", "encoding")
+    """Every second document that the older character set can write comes in it."""
+    raw = F.when((F.col("doc_id") % 2 == 0) | F.col("text").rlike(_OUTSIDE), F.encode("text", "UTF-8")).otherwise(readers.encode_text(F.col("text")))
+    return readers.decode_text(t.documents.select("doc_id", raw.alias("content"))).select("doc_id", "text", "encoding")
 
 
 @query("table_sizes")
@@ -56,6 +59,11 @@ def mojibake(t: Tables):
     return t.documents.select("doc_id", tx.mojibake(tag, F.col("text")).alias("flag"))
 
 
+@query("walk_order", f"SELECT volume_id, rel_path FROM {{page_files}} WHERE rel_path NOT LIKE '%$RECYCLE.BIN/%' ORDER BY volume_id, string_split(rel_path, '/')")
+def walk_order(t: Tables):
+    return readers.file_inventory(t.page_files).orderBy("volume_id", readers.walk_order()).select("volume_id", "rel_path")
+
+
 # --- names of files --------------------------------------------------------------------------------------------------
 _EXT = f"lower(regexp_extract({_NAME}, '^.+\\.([^.]*)$', 1))"
 _TYPE = f"CASE WHEN lower({_NAME}) = 'thumbs.db' THEN 'SYSTEM' WHEN {_EXT} IN ('mp3', 'flac', 'ogg', 'wav') THEN 'AUDIO' WHEN {_EXT} = 'cue' THEN 'CUE' WHEN {_EXT} = 'm3u' THEN 'PLAYLIST' WHEN {_EXT} IN ('jpg', 'jpeg', 'png') THEN 'IMAGE' WHEN {_EXT} = 'txt' THEN 'TEXT' ELSE 'OTHER' END"
@@ -116,19 +124,27 @@ def cue_tracks_replace(t: Tables):
     return snapshot.replace_children(old, new, "sheet_id")
 
 
+_LISTED = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
 @query(
     "integrity_report",
-    """SELECT * FROM (SELECT 'unique' AS rule, 'lines(l_orderkey,l_linenumber)' AS subject, CAST(sum(n - 1) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM {lineitem} GROUP BY l_orderkey, l_linenumber) WHERE n > 1
-    UNION ALL SELECT 'foreign', 'lines.l_orderkey', count(*) FROM {lineitem} WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {orders})
-    UNION ALL SELECT 'foreign', 'snapshot.rel_path', count(*) FROM {snapshot_new} WHERE rel_path NOT IN (SELECT rel_path FROM {snapshot_old})
-    UNION ALL SELECT 'enum', 'runs.status', count(*) FROM {runs} WHERE status NOT IN ('COMPLETED', 'FAILED')
-    UNION ALL SELECT 'range', 'customers.c_acctbal', count(*) FROM {customer} WHERE c_acctbal < 0) WHERE violations > 0""",
+    f"""SELECT * FROM (SELECT 'unique' AS rule, 'lines(l_orderkey,l_linenumber)' AS subject, CAST(sum(n - 1) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) WHERE n > 1
+    UNION ALL SELECT 'foreign', 'lines.l_orderkey', count(*) FROM {{lineitem}} WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {{orders}})
+    UNION ALL SELECT 'foreign', 'snapshot.rel_path', count(*) FROM {{snapshot_new}} WHERE rel_path NOT IN (SELECT rel_path FROM {{snapshot_old}})
+    UNION ALL SELECT 'enum', 'files.file_type', count(*) FROM (SELECT CASE WHEN file_id % 40 = 0 THEN 'VIDEO' ELSE file_type END AS file_type FROM {{doc_files}}) WHERE file_type NOT IN ({_LISTED(schemas.FILE_TYPES)})
+    UNION ALL SELECT 'enum', 'snapshot.status', count(*) FROM {{snapshot_old}} WHERE status NOT IN ({_LISTED(schemas.STATUSES)})
+    UNION ALL SELECT 'enum', 'runs.status', count(*) FROM (SELECT CASE WHEN run_id % 50 = 0 THEN 'PAUSED' ELSE status END AS status FROM {{runs}}) WHERE status NOT IN ({_LISTED(schemas.RUN_STATUSES)})
+    UNION ALL SELECT 'range', 'customers.c_acctbal', count(*) FROM {{customer}} WHERE c_acctbal < 0) WHERE violations > 0""",
 )
 def integrity_report(t: Tables):
+    files = t.doc_files.withColumn("file_type", F.when(F.col("file_id") % 40 == 0, "VIDEO").otherwise(F.col("file_type")))
+    runs = t.runs.withColumn("status", F.when(F.col("run_id") % 50 == 0, "PAUSED").otherwise(F.col("status")))
     return snapshot.integrity_report(
-        {"lines": t.lineitem, "orders": t.orders, "snapshot": t.snapshot_new, "old": t.snapshot_old, "runs": t.runs, "customers": t.customer},
+        {"lines": t.lineitem, "orders": t.orders, "snapshot": t.snapshot_new, "old": t.snapshot_old, "files": files, "runs": runs, "customers": t.customer, "groups": dup_exact(t), "directories": directory_types(t)},
         {"lines": ["l_orderkey", "l_linenumber"]}, [("lines", "l_orderkey", "orders", "o_orderkey"), ("snapshot", "rel_path", "old", "rel_path")],
-        [("runs", "status", ("COMPLETED", "FAILED"))], [("customers", "c_acctbal")],
+        [("files", "file_type", schemas.FILE_TYPES), ("old", "status", schemas.STATUSES), ("runs", "status", schemas.RUN_STATUSES), ("groups", "kind", schemas.DUPLICATE_KINDS), ("directories", "type", schemas.DIRECTORY_TYPES)],
+        [("customers", "c_acctbal")],
     )
 
 
@@ -139,10 +155,9 @@ def stream_ingest_query(t: Tables):
     t.snapshot_new.withColumn("seq", F.lit(2).cast("long")).unionByName(t.snapshot_old.select("volume_id", "rel_path", "size_bytes", "mtime").withColumn("seq", F.lit(1).cast("long"))).repartitionByRange(4, "seq", "rel_path").write.parquet(f"{base}/in")
     arriving = t.spark.read.parquet(f"{base}/in").schema
     schema = t.spark.read.parquet(f"{base}/in").withColumn("first_seen", F.lit(0).cast("long")).withColumn("last_seen", F.lit(0).cast("long")).schema
-    table = VersionedTable(t.spark, f"{base}/table")
-    q = stream_ingest(t.spark, f"{base}/in", arriving, table, schema, f"{base}/state", ["volume_id", "rel_path"], "seq")
+    q = stream_ingest(t.spark, f"{base}/in", arriving, f"{base}/table", schema, f"{base}/state", ["volume_id", "rel_path"], "seq")
     q.awaitTermination()
-    return table.read(q.lastProgress["batchId"], schema).select("volume_id", "rel_path", "size_bytes", "mtime", "seq")
+    return read_table(t.spark, f"{base}/table", schema).select("volume_id", "rel_path", "size_bytes", "mtime", "seq")
 
 
 # --- directories -----------------------------------------------------------------------------------------------------
@@ -224,22 +239,42 @@ def run_counters(t: Tables):
 
 
 # --- volumes ---------------------------------------------------------------------------------------------------------
-_MATCH = """m AS (SELECT p.*, CASE WHEN p.serial IS NOT NULL THEN a.volume_id ELSE b.volume_id END AS matched_id FROM (SELECT * FROM {probes}) p LEFT JOIN {volumes} a ON p.serial = a.serial
-  LEFT JOIN {volumes} b ON p.serial IS NULL AND b.serial IS NULL AND p.lab = b.label AND p.total_bytes = b.total_bytes AND p.fs_type IS NOT DISTINCT FROM b.fs_type)"""
+_MATCH = """m AS (SELECT p.*, CASE WHEN p.serial IS NOT NULL THEN a.volume_id ELSE b.volume_id END AS matched_id FROM {probes} p LEFT JOIN {volumes} a ON p.serial = a.serial
+  LEFT JOIN {volumes} b ON p.serial IS NULL AND b.serial IS NULL AND p.label = b.label AND p.total_bytes = b.total_bytes AND p.fs_type IS NOT DISTINCT FROM b.fs_type)"""
 
 
-@query("volume_match", "WITH " + _MATCH.replace("p.lab", "p.label") + " SELECT probe_id, matched_id FROM m")
+@query("volume_match", f"WITH {_MATCH} SELECT probe_id, matched_id FROM m")
 def volume_match(t: Tables):
     return snapshot.volume_match(t.probes, t.volumes).select("probe_id", "matched_id")
 
 
-@query("register_volumes", "WITH " + _MATCH.replace("SELECT * FROM {probes}", "SELECT probe_id, serial, coalesce(given_label, label) AS lab, given_label, fs_type, total_bytes FROM {probes}") + """, g AS (SELECT matched_id, max(given_label) AS given, max(fs_type) AS fs, max(total_bytes) AS size FROM m WHERE matched_id IS NOT NULL GROUP BY matched_id)
-SELECT volume_id, coalesce(given, label) AS label, serial, coalesce(fs, fs_type) AS fs_type, coalesce(size, total_bytes) AS total_bytes FROM {volumes} LEFT JOIN g ON volume_id = matched_id
-UNION ALL SELECT probe_id, coalesce(lab, 'UNNAMED'), serial, fs_type, total_bytes FROM m WHERE matched_id IS NULL""")
+_LAST = "(SELECT {0} FROM m n WHERE {1} AND {0} IS NOT NULL ORDER BY n.probe_id DESC LIMIT 1)"
+_NEW = "(n.serial = f.serial OR f.serial IS NULL AND n.serial IS NULL AND n.matched_id IS NULL AND (n.probe_id = f.probe_id OR n.label = f.label AND n.total_bytes = f.total_bytes AND n.fs_type IS NOT DISTINCT FROM f.fs_type))"
+_NAMED = "coalesce(n.given_label, n.label, 'UNNAMED')"
+
+
+@query("register_volumes", f"""WITH {_MATCH}, f AS (SELECT * FROM m WHERE matched_id IS NULL QUALIFY row_number() OVER (PARTITION BY serial, CASE WHEN serial IS NULL THEN coalesce(label || '|' || total_bytes || '|' || coalesce(fs_type, '-'), probe_id) END ORDER BY probe_id) = 1)
+SELECT volume_id, coalesce({_LAST.format(_NAMED, 'n.matched_id = v.volume_id')}, label) AS label, serial, coalesce({_LAST.format('n.fs_type', 'n.matched_id = v.volume_id')}, fs_type) AS fs_type, coalesce({_LAST.format('n.total_bytes', 'n.matched_id = v.volume_id')}, total_bytes) AS total_bytes FROM {{volumes}} v
+UNION ALL SELECT probe_id, {_LAST.format(_NAMED, _NEW)}, serial, {_LAST.format('n.fs_type', _NEW)}, {_LAST.format('n.total_bytes', _NEW)} FROM f""")
 def register_volumes(t: Tables):
     return snapshot.register_volumes(t.probes, t.volumes)
 
 
+# --- one scan as a whole ---------------------------------------------------------------------------------------------
+@query("scan_job", """WITH n AS (SELECT * FROM {snapshot_new}), o AS (SELECT * FROM {snapshot_old})
+SELECT (SELECT count(DISTINCT volume_id) FROM n) AS dirs_seen, count(*) AS files_seen, count(*) FILTER (n.rel_path LIKE '%.mp3') AS audio_seen, count(*) FILTER (n.size_bytes % 19 = 0) AS errors, CAST(sum(n.size_bytes) AS BIGINT) AS bytes_seen,
+  (SELECT count(*) FROM n FULL JOIN o ON n.volume_id = o.volume_id AND n.rel_path = o.rel_path) AS files, count(*) FILTER (o.rel_path IS NULL OR n.size_bytes <> o.size_bytes OR n.mtime <> o.mtime OR o.content_hash IS NULL) AS hashed,
+  (SELECT count(DISTINCT volume_id) * 2 FROM n) AS directories FROM n LEFT JOIN o ON n.volume_id = o.volume_id AND n.rel_path = o.rel_path""")
+def scan_job_query(t: Tables):
+    """Two scans of the snapshots, the second on the tables of the first: its counters and what the tables hold."""
+    key = ["volume_id", "rel_path"]
+    old = t.snapshot_old.withColumns({"filename": F.lit(None).cast("string"), "extension": F.lit(None).cast("string"), "filename_norm": F.lit(None).cast("string"), "file_type": F.lit(None).cast("string"), "is_hidden": F.lit(False), "directory_id": F.lit(None).cast("string"), "file_id": F.lit(None).cast("string")})
+    digests = snapshot.scan_delta(t.snapshot_new, t.snapshot_old).where("need_hash").select(*key, F.lit("fresh").alias("content_hash"))
+    out = scan_job.scan(t.snapshot_new, old, F.lit(2).cast("long"), digests, t.snapshot_new.where("size_bytes % 19 = 0"))
+    totals = out.files.agg(F.count("*").alias("files"), F.count_if(F.col("content_hash") == "fresh").alias("hashed"))
+    return out.counters.crossJoin(totals).crossJoin(out.directories.agg(F.count("*").alias("directories")))  # one row by one row
+
+
 # --- duplicates by content -------------------------------------------------------------------------------------------
 _EXACT = "g AS (SELECT sha256(text) AS h, min(doc_id) AS group_id, count(*) AS n_members FROM {documents} GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT 'EXACT_HASH' AS kind, group_id, doc_id AS file_id, n_members FROM {documents} JOIN g ON sha256(text) = h)"
 
@@ -252,20 +287,34 @@ def dup_exact(t: Tables):
 _FUZZY = r"k AS (SELECT doc_id AS file_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[-_.\s]+', ' ', 'g')) AS key FROM {documents}), h AS (SELECT key, min(file_id) AS group_id, count(*) AS n_members FROM k WHERE key <> '' GROUP BY key HAVING count(*) >= 2), y AS (SELECT 'FUZZY_NAME' AS kind, group_id, file_id, n_members FROM k JOIN h USING (key))"
 
 
+_SOUND = _CLUSTERS.replace("SELECT 'AUDIO_FINGERPRINT'", "z AS (SELECT 'AUDIO_FINGERPRINT'") + ")"
+_ALL = f"WITH RECURSIVE {_SOUND.removeprefix('WITH RECURSIVE ')}, {_EXACT}, {_FUZZY}, u AS (SELECT *, group_id % 1000 AS created_at FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT kind, group_id, file_id, n_members FROM z))"
+
+
 def _groups(t: Tables):
     name = dedup.group_by_key(t.documents, tx.title_key(F.substring("text", 1, 40)), "FUZZY_NAME", "doc_id")
-    return dup_exact(t).unionByName(name)
+    return dup_exact(t).unionByName(name).unionByName(dup_fingerprint(t)).withColumn("created_at", F.col("group_id") % 1000)
+
 
+_REPORT = "SELECT kind, group_id, count(*) AS n_members, count(DISTINCT lang) AS n_volumes, CAST(sum(n_chars) AS BIGINT) AS total_bytes FROM u JOIN top USING (kind, group_id) JOIN {documents} ON file_id = doc_id GROUP BY kind, group_id"
+_TOP = "top AS (SELECT DISTINCT kind, group_id, created_at FROM u {0} ORDER BY created_at DESC, kind, group_id LIMIT {1})"
 
-@query("duplicate_report", f"WITH {_EXACT}, {_FUZZY}, u AS (SELECT * FROM x UNION ALL SELECT * FROM y), top AS (SELECT DISTINCT kind, group_id FROM u ORDER BY kind, group_id LIMIT 200) SELECT kind, group_id, count(*) AS n_members, count(DISTINCT lang) AS n_volumes, CAST(sum(n_chars) AS BIGINT) AS total_bytes FROM u JOIN top USING (kind, group_id) JOIN {{documents}} ON file_id = doc_id GROUP BY kind, group_id")
+
+@query("duplicate_report", f"{_ALL}, {_TOP.format('', 200)} {_REPORT}")
 def duplicate_report(t: Tables):
     return dedup.report(_groups(t), t.doc_files.select("file_id", "volume_id", "size_bytes"))
 
 
-@query("stats_dups", f"WITH {_EXACT}, {_FUZZY}, u AS (SELECT * FROM x UNION ALL SELECT * FROM y) SELECT kind, count(DISTINCT group_id) AS n_groups FROM u GROUP BY kind")
-def stats_dups(t: Tables):
-    from ..operators import stats
+_ONE_KIND = "WHERE kind = 'FUZZY_NAME'"
 
+
+@query("duplicate_report_by_kind", f"{_ALL}, {_TOP.format(_ONE_KIND, 20)} {_REPORT}")
+def duplicate_report_by_kind(t: Tables):
+    return dedup.report(_groups(t), t.doc_files.select("file_id", "volume_id", "size_bytes"), 20, "FUZZY_NAME")
+
+
+@query("stats_dups", f"{_ALL} SELECT kind, count(DISTINCT group_id) AS n_groups FROM u GROUP BY kind")
+def stats_dups(t: Tables):
     return stats.duplicates_by_kind(_groups(t))
 
 

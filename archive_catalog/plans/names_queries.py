@@ -44,7 +44,8 @@ def parse_filenames(t: Tables):
 
 @query("strip_junk", "SELECT file_id, title AS clean_title FROM {tracks}")
 def strip_junk(t: Tables):
-    noisy = F.concat("title", F.when(F.col("file_id") % 3 == 0, " (Official Music Video) [HD]").when(F.col("file_id") % 3 == 1, " - Lyric Video by someone").otherwise(" (Remastered 2009) www.example.com"))
+    """Titles with one to thirteen pieces of junk."""
+    noisy = F.concat("title", F.repeat(F.lit(" [HD]"), (F.col("file_id") % 13).cast("int")), F.when(F.col("file_id") % 3 == 0, " (Official Music Video) [HD]").when(F.col("file_id") % 3 == 1, " - Lyric Video by someone").otherwise(" (Remastered 2009) www.example.com"))
     return t.tracks.select("file_id", tx.strip_junk(noisy).alias("clean_title"))
 
 
@@ -156,12 +157,12 @@ def fingerprint_pairs(t: Tables):
     return acoustic.fingerprint_pairs(_prints(t), BER)
 
 
-@query(
-    "dup_fingerprint",
-    f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM q UNION SELECT b, a FROM q),
-    reach AS (SELECT x AS node, x AS hit FROM e UNION SELECT r.node, e.y FROM reach r JOIN e ON r.hit = e.x), l AS (SELECT node, min(hit) AS label FROM reach GROUP BY node)
-    SELECT 'FINGERPRINT' AS kind, label AS group_id, node AS file_id, count(*) OVER (PARTITION BY label) AS n_members FROM l""",
-)
+_CLUSTERS = f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM q UNION SELECT b, a FROM q),
+    reach AS (SELECT x AS node, x AS hit FROM e UNION SELECT r.node, e.y FROM reach r JOIN e ON r.hit = e.x), l AS (SELECT node, min(hit) AS label FROM reach GROUP BY node),
+    SELECT 'AUDIO_FINGERPRINT' AS kind, label AS group_id, node AS file_id, count(*) OVER (PARTITION BY label) AS n_members FROM l"""
+
+
+@query("dup_fingerprint", _CLUSTERS.replace("GROUP BY node),", "GROUP BY node)"))
 def dup_fingerprint(t: Tables):
     return acoustic.fingerprint_groups(acoustic.fingerprint_pairs(_prints(t), BER))
 
@@ -210,6 +211,7 @@ def phase_totals(t: Tables):
 
 
 # --- keys and the reference set --------------------------------------------------------------------------------------
+# Wheel codes by pitch class from C.
 _WHEEL = "['8B','3B','10B','5B','12B','7B','2B','9B','4B','11B','6B','1B']"
 _WHEEL_MINOR = "['5A','12A','7A','2A','9A','4A','11A','6A','1A','8A','3A','10A']"
 _NOTES = "['C','C#','D','Eb','E','F','F#','G','Ab','A','Bb','B']"
@@ -340,3 +342,33 @@ SELECT o_orderkey AS directory_id, file_id, fingerprint FROM {orders} LEFT JOIN
 def enrich_albums(t: Tables):
     dirs = t.orders.select(F.col("o_orderkey").alias("directory_id"), F.when(F.col("o_orderkey") % 3 == 0, "MIXED").when(F.col("o_orderkey") % 3 == 1, "ALBUM").otherwise("ALBUM_RIP").alias("type"))
     return enrich.enrich_albums(dirs, t.tracks.withColumn("rel_path", F.col("filename"))).drop("duration_sec")
+
+
+_REQUESTS = """al AS (SELECT o_orderkey AS directory_id, 'Album ' || CAST(o_orderkey AS STRING) AS name FROM {orders} WHERE o_orderkey % 3 > 0),
+f AS (SELECT directory_id, file_id, fingerprint, artist FROM {tracks} WHERE fingerprint IS NOT NULL QUALIFY row_number() OVER (PARTITION BY directory_id ORDER BY filename, file_id) = 1),
+a AS (SELECT al.directory_id, name, file_id, sha256(fingerprint) AS lookup, CASE WHEN file_id % 2 = 0 THEN artist END AS resolved_artist FROM al LEFT JOIN f ON al.directory_id = f.directory_id),
+r AS (SELECT 'FINGERPRINT' AS scope, 'ACOUSTID' AS source, file_id AS ref_file_id, NULL AS ref_dir_id, lookup AS query_used FROM a WHERE lookup IS NOT NULL
+  UNION ALL SELECT 'FINGERPRINT', 'MUSICBRAINZ', file_id, NULL, 'r' || substr(lookup, 1, 8) FROM a WHERE lookup IS NOT NULL AND file_id % 3 = 0 AND lookup < '8'
+  UNION ALL SELECT 'ALBUM', 'DISCOGS', NULL, directory_id, trim(coalesce(resolved_artist, '') || ' ' || name) FROM a)"""
+
+
+def _requests(t: Tables):
+    dirs = t.orders.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("directory_id"), F.concat(F.lit("Album "), F.col("o_orderkey").cast("string")).alias("name"))
+    tracks = t.tracks.withColumn("rel_path", F.col("filename"))
+    first = enrich.enrich_albums(dirs.withColumn("type", F.lit("ALBUM")), tracks)
+    known = tracks.select("file_id", F.when(F.col("file_id") % 3 == 0, F.lit("w")).alias("work_id"), F.when(F.col("file_id") % 2 == 0, F.col("artist")).alias("resolved_artist")).distinct()
+    albums = dirs.join(first, "directory_id").join(known, "file_id", "left").withColumn("tag_album", F.lit(None).cast("string"))
+    digest = F.sha2("fingerprint", 256)
+    best = t.tracks.where(F.col("fingerprint").isNotNull() & (digest < "8")).select(digest.alias("query_used"), F.concat(F.lit("r"), F.substring(digest, 1, 8)).alias("recording_mbid")).distinct()
+    return enrich.enrich_requests(albums, best)
+
+
+@query("enrich_requests", f"WITH {_REQUESTS} SELECT DISTINCT * FROM r")
+def enrich_requests(t: Tables):
+    return _requests(t)
+
+
+@query("open_requests", f"WITH {_REQUESTS}, c AS (SELECT DISTINCT sha256('fp' || CAST(p_partkey AS STRING)) AS query_used FROM {{part}} WHERE p_partkey % 2 = 0) SELECT DISTINCT r.* FROM r WHERE NOT (source = 'ACOUSTID' AND query_used IN (SELECT query_used FROM c))")
+def open_requests(t: Tables):
+    cached = t.part.where("p_partkey % 2 = 0").select(F.lit("FINGERPRINT").alias("scope"), F.lit("ACOUSTID").alias("source"), F.sha2(F.concat(F.lit("fp"), F.col("p_partkey").cast("string")), 256).alias("query_used"))
+    return enrich.open_requests(_requests(t), cached)

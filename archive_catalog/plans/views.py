@@ -11,8 +11,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS = {
     "volumes": """SELECT CAST(n_nationkey AS STRING) AS volume_id, n_name AS label, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'S' || CAST(n_nationkey AS STRING) END AS serial,
         CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE r_name END AS fs_type, CAST(n_nationkey AS BIGINT) * 1000000 AS total_bytes FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
-    # one probe per customer, of their nation's disk; every seventh is unknown
-    "probes": """SELECT 'p' || CAST(c_custkey AS STRING) AS probe_id, CASE WHEN c_custkey % 7 = 0 THEN 'X' || CAST(c_custkey AS STRING) ELSE serial END AS serial,
+    # one probe per customer, of their nation's disk; every seventh is of one of ten unknown disks
+    "probes": """SELECT 'p' || CAST(c_custkey AS STRING) AS probe_id, CASE WHEN c_custkey % 7 = 0 THEN 'X' || CAST(c_custkey % 70 AS STRING) ELSE serial END AS serial,
         CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE label END AS label, CASE WHEN c_custkey % 5 = 0 THEN 'named ' || CAST(c_custkey % 10 AS STRING) END AS given_label, fs_type, total_bytes FROM {customer} JOIN {volumes} ON volume_id = CAST(c_nationkey AS STRING)""",
     "page_files": """SELECT page_id AS file_id, CAST(page_id % 2 AS STRING) AS volume_id, CAST(length(html) AS BIGINT) AS size_bytes,
         regexp_extract(url, '://([^/]+/[a-z]+)/', 1) || CASE page_id % 12 WHEN 0 THEN '/Front Cover.JPG' WHEN 1 THEN '/CD1/01 - intro ' || CAST(page_id AS STRING) || '.mp3'

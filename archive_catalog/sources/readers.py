@@ -48,14 +48,31 @@ def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
 
 
-def decode_text(raw: DataFrame, content: str = "content", fallback: str = "windows-1252") -> DataFrame:
-    """Bytes to text: UTF-8 where they are valid, else the fallback. ``encoding`` says which."""
+def upper_half(charset: str) -> str:
+    """What the bytes from 0x80 on stand for in a single-byte character set; bytes without a meaning stay as they are."""
+    return "".join(bytes([b]).decode(charset, "ignore") or chr(b) for b in range(0x80, 0x100))
+
+
+_LATIN = "".join(map(chr, range(0x80, 0x100)))
+
+
+def decode_text(raw: DataFrame, content: str = "content", fallback: str = "windows-1250") -> DataFrame:
+    """Bytes to text: UTF-8 where they are valid, else the fallback, a single-byte character set. ``encoding`` says which.
+
+    Spark decodes few character sets, so the fallback goes by way of Latin-1, whose bytes are the first 256 code points.
+    """
     valid = F.is_valid_utf8(F.col(content).cast("string"))
+    other = F.translate(F.decode(F.col(content), "ISO-8859-1"), _LATIN, upper_half(fallback))
     return raw.withColumn("encoding", F.when(valid, "UTF-8").otherwise(fallback)).withColumn(
-        "text", F.when(valid, F.regexp_replace(F.col(content).cast("string"), r"^\x{FEFF}", "")).otherwise(F.decode(F.col(content), fallback))
+        "text", F.when(valid, F.regexp_replace(F.col(content).cast("string"), r"^\x{FEFF}", "")).otherwise(other)
     )
 
 
+def encode_text(text: Column, charset: str = "windows-1250") -> Column:
+    """The inverse, for texts of that character set only."""
+    return F.encode(F.translate(text, upper_half(charset), _LATIN), "ISO-8859-1")
+
+
 def map_metadata(documents: DataFrame, raw: str = "raw", filename: str = "filename") -> DataFrame:
     """Typed technical and tag columns of raw tag documents (JSON)."""
     d = F.from_json(raw, schemas.TAG_DOCUMENT)
@@ -127,11 +144,10 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_sizes(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
-    """Bytes of each table's data files and of all together, largest first."""
+    """Bytes of each table's data files and of all together, largest first. Only file listings are read, no rows."""
     out = None
     for name in names:
-        path = F.col("_metadata.file_path")
-        one = spark.read.parquet(f"{folder}/{name}.parquet").select(path.alias("file"), F.col("_metadata.file_size").alias("size")).groupBy("file").agg(F.max("size").alias("size")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size_bytes"))
-        one = one.select(F.lit(name).alias("table_name"), "size_bytes")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{folder}/{name}.parquet")
+        one = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes")).select(F.lit(name).alias("table_name"), "size_bytes")
         out = one if out is None else out.unionByName(one)
     return out.unionByName(out.agg(F.sum("size_bytes").alias("size_bytes")).select(F.lit("total").alias("table_name"), "size_bytes")).orderBy(F.desc("size_bytes"), "table_name")

@@ -7,44 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.snapshot import latest, snapshot_upsert
 
+PART = "part"
 
-class VersionedTable:
-    """A Parquet table whose versions are folders ``v<n>``: one is read while the next is written, and a batch written twice gives the same version."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The ingested table; empty before the first batch."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(StructType([*schema.fields, StructField(PART, IntegerType())])).parquet(path)
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v{version:08d}"
 
-    def _exists(self, version: int) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self._folder(version) + "/_SUCCESS")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+def upsert_batches(path: str, schema: StructType, key: list[str], order: str, parts: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that upserts into a Parquet table partitioned by a hash of the key.
 
-    def read(self, version: int, schema: StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self._folder(version)) if version >= 0 and self._exists(version) else self.spark.createDataFrame([], schema)
-
-    def write(self, version: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._folder(version))
-
-
-def upsert_batches(table: VersionedTable, schema: StructType, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: version n of the table is version n - 1 with batch n upserted, so a replayed batch changes nothing."""
+    A batch reads and overwrites (dynamically) only the partitions of its own keys. The new partitions are first written beside the table, so that it is not read while it is
+    overwritten, and a batch that fails half-way is repeated with the same result: an upsert of the same rows under the same number changes nothing.
+    A new checkpoint on an old table goes on with the table as it is.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        before = table.read(number - 1, schema)
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in key]), F.lit(parts)).cast("int")
         rows = latest(batch, key, [F.desc(order), *[F.col(c) for c in batch.columns if c not in (*key, order)]])
-        table.write(number, snapshot_upsert(before, rows, F.lit(number).cast("long"), key).select(*[f.name for f in schema.fields]))
+        touched = [r[PART] for r in rows.select(part.alias(PART)).distinct().collect()]  # at most ``parts`` numbers
+        table = read_table(spark, path, schema)
+        before = table.where(F.col(PART).isin(touched)).drop(PART) if PART in table.columns else table
+        after = snapshot_upsert(before, rows, F.lit(number).cast("long"), key).select(*[f.name for f in schema.fields], part.alias(PART))
+        after.write.mode("overwrite").parquet(f"{path}-batch")
+        ready = spark.read.schema(after.schema).parquet(f"{path}-batch")
+        ready.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
 
     return run
 
 
-def stream_ingest(spark: SparkSession, source: str, schema: StructType, table: VersionedTable, table_schema: StructType, checkpoint: str, key: list[str], order: str, files_per_batch: int = 1) -> StreamingQuery:
+def stream_ingest(spark: SparkSession, source: str, schema: StructType, path: str, table_schema: StructType, checkpoint: str, key: list[str], order: str, files_per_batch: int = 1) -> StreamingQuery:
     """Ingest whatever files are there and stop; started again with the same checkpoint it continues after them."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return stream.writeStream.foreachBatch(upsert_batches(table, table_schema, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(upsert_batches(path, table_schema, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

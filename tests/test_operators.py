@@ -4,10 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from archive_catalog.operators import acoustic, analyze, browse, cue, dedup, enrich, snapshot
+from archive_catalog.operators import acoustic, analyze, browse, cue, dedup, enrich, scan_job, snapshot, stats
 from archive_catalog.operators.graph import components
 from archive_catalog.sources import readers
-from archive_catalog.streaming.ingest import VersionedTable, stream_ingest
+from archive_catalog.streaming.ingest import read_table, stream_ingest
 
 CUE = 'REM x\nPERFORMER "P"\nTITLE "Album"\nFILE "rip.flac" WAVE\n  TRACK 01 AUDIO\n    TITLE "One"\n    INDEX 00 00:00:00\n    INDEX 01 00:02:00\n  TRACK 02 AUDIO\n    TITLE Two\n    PERFORMER "Q"\n    INDEX 00 03:00:00\n'
 
@@ -110,17 +110,125 @@ def test_search_union_prefers_audio(spark):
 
 def test_stream_continues_after_restart(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "k string, x int, seq long")
-    table = VersionedTable(spark, str(tmp_path / "t"))
+    table = str(tmp_path / "t")
     schema = rows.withColumn("first_seen", F.lit(0).cast("long")).withColumn("last_seen", F.lit(0).cast("long")).schema
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert read_table(spark, table, schema).count() == 0
 
-    def run():
-        q = stream_ingest(spark, str(tmp_path / "in"), rows.schema, table, schema, str(tmp_path / "state"), ["k"], "seq")
-        q.awaitTermination()
-        return q.lastProgress["batchId"] if q.lastProgress else None
+    def run(state, source="in"):
+        stream_ingest(spark, str(tmp_path / source), rows.schema, table, schema, str(tmp_path / state), ["k"], "seq").awaitTermination()
+        return sorted((r["k"], r["x"], r["first_seen"]) for r in read_table(spark, table, schema).collect())
 
-    first = run()
+    assert run("state") == [("a", 1, 0), ("b", 2, 0)]
     spark.createDataFrame([("a", 5, 2)], "k string, x int, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    second = run()
-    assert second > first
-    assert sorted((r["k"], r["x"], r["first_seen"]) for r in table.read(second, schema).collect()) == [("a", 5, 0), ("b", 2, 0)]
+    assert run("state") == [("a", 5, 0), ("b", 2, 0)]
+    # a new checkpoint goes on with the table that is there
+    spark.createDataFrame([("c", 7, 1)], "k string, x int, seq long").coalesce(1).write.parquet(str(tmp_path / "more"))
+    assert run("other", "more") == [("a", 5, 0), ("b", 2, 0), ("c", 7, 0)]
+
+
+def test_sources_from_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "list.csv").write_text("volume_id,rel_path,is_dir,size_bytes,mtime,ctime\nv,sub,true,0,2020-01-02 03:04:05,\nv,sub/b.mp3,false,7,2020-01-02 03:04:05,\nv,.hidden,false,1,,\nv,a.txt,false,1,,\n")
+    listed = readers.read_manifest(spark, str(tmp_path / "m"), "csv")
+    walked = [r["rel_path"] for r in readers.file_inventory(listed).orderBy(readers.walk_order()).collect()]
+    assert walked == [".hidden", "a.txt", "sub", "sub/b.mp3"]  # a directory before what it holds
+    listed.write.parquet(str(tmp_path / "p"))
+    assert readers.read_manifest(spark, str(tmp_path / "p")).count() == 4
+
+    (tmp_path / "raw" / "deep").mkdir(parents=True)
+    (tmp_path / "raw" / "a.cue").write_bytes("TITLE \"Zażółć\"".encode("cp1250"))
+    (tmp_path / "raw" / "deep" / "b.cue").write_bytes(b"\xef\xbb\xbf" + "Łódź".encode())
+    (tmp_path / "raw" / "c.bin").write_bytes(b"x")
+    files = readers.read_binary(spark, str(tmp_path / "raw"), "*.cue")
+    assert {(r["text"], r["encoding"]) for r in readers.decode_text(files).collect()} == {('TITLE "Zażółć"', "windows-1250"), ("Łódź", "UTF-8")}
+    hashes = {r["content_hash"] for r in readers.content_hash(files).collect()}
+    assert len(hashes) == 2 and all(len(h) == 64 for h in hashes)
+
+    (tmp_path / "ref" / "0" / "a").mkdir(parents=True)
+    one = '{"metadata": {"tags": {"musicbrainz_recordingid": ["m1"]}}, "rhythm": {"bpm": 120.5}, "tonal": {"key_key": "A", "key_scale": "minor"}}'
+    (tmp_path / "ref" / "0" / "m1.json").write_text(one)
+    (tmp_path / "ref" / "0" / "a" / "again.json").write_text(one)
+    (tmp_path / "ref" / "0" / "a" / "noid.json").write_text('{"metadata": {}, "rhythm": {"bpm": 1}}')
+    (tmp_path / "ref" / "bad.json").write_text("{no json")
+    (tmp_path / "ref" / "x.txt").write_text("x")
+    got = readers.reference_features(readers.read_reference(spark, str(tmp_path / "ref"))).collect()
+    assert [tuple(r) for r in got] == [("m1", 120.5, "A", "minor", "8A")]
+
+
+def test_encoding_round_trip(spark):
+    df = spark.createDataFrame([("Zażółć gęślą jaźń",), ("plain",), ("€ „x”",)], "t string")
+    raw = df.select("t", readers.encode_text(F.col("t")).alias("content"))
+    assert all(bytes(r["content"]) == r["t"].encode("cp1250") for r in raw.collect())
+    assert all(r["t"] == r["text"] for r in readers.decode_text(raw).collect())
+
+
+def test_register_volumes(spark):
+    volumes = spark.createDataFrame([("v1", "OLD", "S1", None, 5), ("v2", "SOFT", None, "ntfs", 9)], "volume_id string, label string, serial string, fs_type string, total_bytes long")
+    probes = spark.createDataFrame(
+        [
+            ("p1", "S1", "DET", None, "ext4", 6), ("p2", "S1", None, None, None, None), ("p3", None, "SOFT", "Given", "ntfs", 9), ("p4", "X7", "A", None, "fat", 1), ("p5", "X7", "B", "Mine", None, 2),
+            ("p6", None, "N", None, "fat", 3), ("p7", None, "N", None, "fat", 3), ("p8", None, None, None, None, None), ("p9", None, None, None, None, None), ("q0", None, "Given", None, "ntfs", 9),
+        ],
+        "probe_id string, serial string, label string, given_label string, fs_type string, total_bytes long",
+    )
+    rows = {r["volume_id"]: tuple(r)[1:] for r in snapshot.register_volumes(probes, volumes).collect()}
+    assert rows == {
+        "v1": ("UNNAMED", "S1", "ext4", 6), "v2": ("Given", None, "ntfs", 9), "p4": ("Mine", "X7", "fat", 2), "p6": ("N", None, "fat", 3), "p8": ("UNNAMED", None, None, None), "p9": ("UNNAMED", None, None, None),
+        "q0": ("Given", None, "ntfs", 9),  # what is detected is matched, not what was given
+    }
+    again = snapshot.register_volumes(probes, snapshot.register_volumes(probes, volumes))
+    assert sum(r["serial"] == "X7" for r in again.collect()) == 1
+
+
+FILES = "volume_id string, rel_path string, size_bytes long, mtime long, content_hash string, status string, filename string, extension string, filename_norm string, file_type string, is_hidden boolean, directory_id string, file_id string, first_seen long, last_seen long"
+
+
+def test_scan_from_inventory_to_counters(spark):
+    """Two scans of a small tree: an album, a set of two discs, system files; a file changes, one goes, one can't be read."""
+    tree = ["Album/01 - A.mp3", "Album/02 - B.mp3", "Album/x.cue", "Album/front.jpg", "Set/CD1/01.flac", "Set/CD2/01.flac", "Thumbs.db", "$RECYCLE.BIN/x.mp3"]
+    manifest = lambda rows: spark.createDataFrame([("v", p, s, m) for p, s, m in rows], "volume_id string, rel_path string, size_bytes long, mtime long")
+    digest = lambda m, mark: m.select("volume_id", "rel_path", F.concat(F.lit(mark), "rel_path").alias("content_hash"))
+    first = manifest([(p, 10, 1) for p in tree])
+    one = scan_job.scan(first, spark.createDataFrame([], FILES), F.lit(1).cast("long"), digest(first, "h1 "))
+    assert one.counters.first().asDict() == {"dirs_seen": 4, "files_seen": 7, "audio_seen": 4, "errors": 0, "bytes_seen": 70}
+    counts = {r["rel_path"]: (r["file_count"], r["audio_count"], r["has_cue"]) for r in one.directories.collect()}
+    assert counts == {"": (1, 0, False), "Album": (4, 2, True), "Set": (0, 0, False), "Set/CD1": (1, 1, False), "Set/CD2": (1, 1, False)}
+    known = one.files.select(*[c.split()[0] for c in FILES.split(", ")])
+    second = manifest([(p, 11 if p.endswith("A.mp3") else 10, 1) for p in tree if not p.endswith("B.mp3")] + [("Album/03 - C.mp3", 5, 1)])
+    two = scan_job.scan(second, known, F.lit(2).cast("long"), digest(second, "h2 "), manifest([("Album/03 - C.mp3", 0, 0)]))
+    rows = {r["rel_path"]: (r["content_hash"], r["status"], r["first_seen"], r["last_seen"]) for r in two.files.collect()}
+    assert rows["Album/01 - A.mp3"] == ("h2 Album/01 - A.mp3", "METADATA_READ", 1, 2)
+    assert rows["Album/02 - B.mp3"] == ("h1 Album/02 - B.mp3", "METADATA_READ", 1, 1)
+    assert rows["Album/03 - C.mp3"] == ("h2 Album/03 - C.mp3", "ERROR", 2, 2)
+    assert rows["Album/x.cue"] == ("h1 Album/x.cue", "HASHED", 1, 2)
+    assert two.counters.first()["errors"] == 1
+
+
+def test_enrich_requests(spark):
+    albums = spark.createDataFrame(
+        [("d1", "Album", "f1", "print", 10.0, "w1", "Artist", "Tagged"), ("d2", "B", None, None, None, None, None, None), ("d3", "Third", "f3", "other", 5.0, None, None, None), ("d4", "", None, None, None, None, None, None)],
+        "directory_id string, name string, file_id string, fingerprint string, duration_sec double, work_id string, resolved_artist string, tag_album string",
+    )
+    best = albums.where("fingerprint IS NOT NULL").select(F.sha2("fingerprint", 256).alias("query_used"), F.concat(F.lit("mb-"), "file_id").alias("recording_mbid"))
+    got = {tuple(r)[1:] for r in enrich.enrich_requests(albums, best).collect()}
+    import hashlib
+
+    key = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {("ACOUSTID", "f1", None, key("print")), ("ACOUSTID", "f3", None, key("other")), ("MUSICBRAINZ", "f1", None, "mb-f1"), ("DISCOGS", None, "d1", "Artist Tagged"), ("DISCOGS", None, "d3", "Third")}
+    assert got == want  # a query of one letter is none
+    cache = spark.createDataFrame([("ALBUM", "DISCOGS", "Third"), ("FILE", "ACOUSTID", key("print"))], "scope string, source string, query_used string")
+    assert {r["query_used"] for r in enrich.open_requests(enrich.enrich_requests(albums, best), cache).collect()} == {x[3] for x in want} - {"Third"}
+
+
+def test_newest_groups_of_a_kind(spark):
+    groups = spark.createDataFrame([("A", i, 10 * i + j, i) for i in range(5) for j in range(2)] + [("B", 9, 99, 9), ("B", 9, 98, 9)], "kind string, group_id int, file_id int, created_at int")
+    files = groups.select("file_id", F.lit("v").alias("volume_id"), F.lit(1).alias("size_bytes"))
+    ids = lambda df: sorted(r["group_id"] for r in df.collect())
+    assert ids(dedup.report(groups, files, 2)) == [4, 9] and ids(dedup.report(groups, files, 2, "A")) == [3, 4]
+
+
+def test_interrupted_runs(spark):
+    runs = spark.createDataFrame([(i, "v", "SCAN", "INTERRUPTED" if i in (1, 18) else "COMPLETED", i) for i in range(20)], "run_id int, volume_id string, kind string, status string, started_at int")
+    volumes = spark.createDataFrame([("v", "Disk")], "volume_id string, label string")
+    assert [(r["run_id"], r["label"]) for r in stats.interrupted_runs(runs, volumes).collect()] == [(18, "Disk")]
