@@ -264,8 +264,9 @@ def searcher(items):
     return decontaminate.Searcher(np.random.default_rng(0).normal(size=(decontaminate.BUCKETS, decontaminate.RANK)), idf, decontaminate._items(rows, idf))
 
 
-def test_search_equals_brute_force():
-    """No stretch that meets the rule is missed, with any share of the words kept."""
+def test_search_equals_brute_force(monkeypatch):
+    """The bound that goes before the cosines loses nothing: with all windows as candidates, every stretch that meets the rule is found."""
+    monkeypatch.setattr(decontaminate, "NEARNESS", -2)
     rng = random.Random(11)
     word = lambda: min(int(rng.paretovariate(0.6)), 400)
     items = [([word() for _ in range(rng.randint(1, 18))], None) for _ in range(12)] + [([word() for _ in range(12)], "w3 w1"), ([word() for _ in range(12)], "?!")]
@@ -331,6 +332,49 @@ def test_finds_items_of_any_length():
     assert {(i, i) for i in range(36)} | {(36 + i, 12 + i) for i in range(12)} <= found
 
 
+def test_recall_of_the_latent_search(spark, small, monkeypatch):
+    """Against the rule alone: items of 8 to 200 words with 20, 30 and 40 percent of their words replaced, by unknown ones or by words of the corpus."""
+    items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").collect()]
+    corpus = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    texts = [r["text"] for r in corpus.collect()]
+    clean = [t.split() for t in texts if t and len(t.split()) > 220 and not any(x in t for x in items)]
+    rng = random.Random(3)
+
+    def passage(n):
+        words = rng.choice(clean)
+        at = rng.randrange(len(words) - n)
+        return " ".join(words[at : at + n])
+
+    kinds = {"given": items, 8: [passage(8) for _ in range(40)], 127: [passage(127) for _ in range(15)], 200: [passage(200) for _ in range(15)]}
+    bench = spark.createDataFrame([(t,) for xs in kinds.values() for t in xs], "text string")
+    seen = decontaminate.written(decontaminate.gathered(corpus, 2000), "lsi-documents")
+    frequency, n = decontaminate.document_frequencies(seen)
+    idf = np.log((1 + n) / (1 + frequency)) + 1
+    vectors = (idf[:, None] * decontaminate.latent_basis(decontaminate.fitted_passages(seen, bench, 2000), idf)).astype(np.float32)
+    for kind, xs in kinds.items():
+        search = decontaminate.Searcher(vectors, idf, decontaminate._items([{"item_id": i, "text": t, "answer": None} for i, t in enumerate(xs)], idf))
+        for share in (0.2, 0.3, 0.4):
+            planted = []
+            for x in xs * 3:
+                other = lambda: f"zz{rng.randrange(10**9)}" if rng.random() < 0.5 else rng.choice(rng.choice(clean))
+                planted.append(" ".join([*rng.choice(clean)[:60], *(w if rng.random() >= share else other() for w in x.split()), *rng.choice(clean)[:60]]))
+            found = {(d, x.item_id, round(near, 9) <= 1) for d, x, near, *_ in search(planted)}
+            with monkeypatch.context() as m:
+                m.setattr(decontaminate, "NEARNESS", -2)
+                want = {(d, x.item_id, True) for d, x, *_ in search(planted)}
+            assert found <= want and len(found) >= 0.9 * len(want) and len(want) > 10, (kind, share, len(found), len(want))
+
+
+def test_long_texts_are_searched_in_slices(monkeypatch):
+    rng = np.random.default_rng(8)
+    items = [(rng.integers(0, 3000, 30).tolist(), None) for _ in range(5)]
+    search = searcher(items)
+    text = " ".join(f"w{w}" for x, _ in items for w in [*rng.integers(0, 3000, 500).tolist(), *x] * 3)
+    whole = [(x.item_id, share) for _, x, _, share, _ in search([text])]
+    monkeypatch.setattr(decontaminate, "WINDOW_SLICE", 64)
+    assert [(x.item_id, share) for _, x, _, share, _ in search([text])] == whole == [(i, 1.0) for i in range(5)]
+
+
 def test_basis_is_fitted_on_documents_and_whole_items(spark):
     texts = [" ".join(f"d{i % 7}x{j}" for j in range(30)) for i in range(40)] + [None, ""]
     items = docs(spark, [" ".join(f"i{j}" for j in range(100)), None])
