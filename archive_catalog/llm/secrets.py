@@ -3,12 +3,12 @@
 Strong spans (assignments, access key ids, long hexadecimal runs) are reported wherever they stand. Weak candidates say little
 alone: a login-like ``name: value``, a mixed random-looking token, an endpoint (URL or host with port). They are reported only when
 complementary parts co-occur: parts become intervals, an interval join pairs identifiers with secrets whose gap is at
-most ``scope`` code points, within one text, and endpoints join those pairs in the same way. The join is an equi-join on (text, block of
+most ``scope`` code points, within one row's text, and endpoints join those pairs in the same way. The join is an equi-join on (row, block of
 ``scope`` code points), the left side listed under the blocks of both its ends, the right side under the neighbouring blocks too, so it costs the parts near each other only.
 
 Positions are code points: a match starts after the pieces and matches before it. Everything is DataFrame functions.
 
-Defined results: a null text is an empty one; rows that repeat id and text share their links; a null id stays null; an empty table gives
+Defined results: a null text is an empty one; rows that repeat id and text are scanned each; a null id stays null; identifiers and secrets may be of any length; an empty table gives
 no rows; other columns are ignored. Strong spans are leftmost and non-overlapping per kind; those too short are dropped without a retry.
 """
 
@@ -73,47 +73,46 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text:
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     strong = [_spans(body, i, k, p, part, 6 if k == "assign" else 0).alias(k) for i, (k, (p, part)) in enumerate(STRONG.items())]
     weak = [_spans(body, len(STRONG) + i, k, p, part).alias(k) for i, (k, (p, part)) in enumerate(WEAK.items())]
-    # the digest names a text in the links; only texts with weak candidates take part in them
-    found = rows.select("doc_id", F.sha2(body, 256).alias("text_key"), *strong, *weak)
+    # links are made row by row, so that copies of one text don't meet in one task
+    found = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), *strong, *weak)
     scanned = written(
         found.select(
-            "doc_id", "text_key", *[F.size(k).cast("long").alias(f"n_{k}") for k in STRONG],
+            "doc_id", "row", *[F.size(k).cast("long").alias(f"n_{k}") for k in STRONG],
             F.array_sort(F.flatten(F.array(*STRONG))).alias("strong"), F.flatten(F.array(*WEAK)).alias("weak"),
         ),
         "secret-spans",
     )
     kinds = F.concat(F.transform("strong", lambda s: s["part"]), F.transform("weak", lambda s: s["part"]))
     both = F.array_contains(kinds, "identifier") & F.array_contains(kinds, "secret") & (F.size("weak") > 0)
-    parts = (
-        scanned.where(both).select("text_key", "strong", "weak").dropDuplicates(["text_key"])
-        .select("text_key", F.explode(F.concat("strong", "weak")).alias("s")).select("text_key", "s.*")
-    )
+    parts = scanned.where(both).select("row", F.explode(F.concat("strong", "weak")).alias("s")).select("row", "s.*")
 
     def edges(start: str, end: str) -> Column:
         """The blocks of both ends: what is near a long identifier may be near one of them only."""
         return F.explode(F.array_distinct(F.array(F.floor(F.col(start) / scope), F.floor(F.col(end) / scope))))
 
-    identifiers = parts.where("part = 'identifier'").withColumn("block", edges("start", "end")).select("text_key", "block", *[F.col(c).alias(f"i_{c}") for c in ("start", "end", "kind", "name")])
+    identifiers = parts.where("part = 'identifier'").withColumn("block", edges("start", "end")).select("row", "block", *[F.col(c).alias(f"i_{c}") for c in ("start", "end", "kind", "name")])
     # from each interval to the blocks where a part that is near enough can start
     reach = F.explode(F.sequence(F.floor((F.col("start") - 2 * scope) / scope), F.floor((F.col("end") + scope) / scope)))
-    secrets = parts.where("part = 'secret'").withColumn("block", reach).select("text_key", "block", *[F.col(c).alias(f"s_{c}") for c in ("start", "end", "kind", "name")])
+    secrets = parts.where("part = 'secret'").withColumn("block", reach).select("row", "block", *[F.col(c).alias(f"s_{c}") for c in ("start", "end", "kind", "name")])
     apart = F.greatest(F.col("i_start"), F.col("s_start")) - F.least(F.col("i_end"), F.col("s_end"))
-    pairs = identifiers.join(secrets, ["text_key", "block"]).where((apart >= 0) & (apart <= scope))
-    endpoints = parts.where("part = 'endpoint'").withColumn("block", reach).select("text_key", "block", *[F.col(c).alias(f"e_{c}") for c in ("start", "end", "kind", "name")])
+    pairs = identifiers.join(secrets, ["row", "block"]).where((apart >= 0) & (apart <= scope))
+    endpoints = parts.where("part = 'endpoint'").withColumn("block", reach).select("row", "block", *[F.col(c).alias(f"e_{c}") for c in ("start", "end", "kind", "name")])
     away = F.greatest(F.col("i_start"), F.col("e_start")) - F.least(F.col("i_end"), F.col("e_end"))
     sites = (
-        pairs.select("text_key", "i_start", "i_end").distinct().withColumn("block", edges("i_start", "i_end")).join(endpoints, ["text_key", "block"]).where((away >= 0) & (away <= scope))
-        .select("text_key", F.col("e_start").alias("start"), F.col("e_kind").alias("kind"), F.col("e_end").alias("end"), F.col("e_name").alias("name"))
+        pairs.select("row", "i_start", "i_end").distinct().withColumn("block", edges("i_start", "i_end")).join(endpoints, ["row", "block"]).where((away >= 0) & (away <= scope))
+        .select("row", F.col("e_start").alias("start"), F.col("e_kind").alias("kind"), F.col("e_end").alias("end"), F.col("e_name").alias("name"))
     )
 
     def side(prefix: str) -> DataFrame:
-        return pairs.select("text_key", *[F.col(f"{prefix}_{c}").alias(c) for c in ("start", "kind", "end", "name")])
+        return pairs.select("row", *[F.col(f"{prefix}_{c}").alias(c) for c in ("start", "kind", "end", "name")])
 
     linked = side("i").unionByName(side("s")).unionByName(sites).where(F.col("kind") >= len(STRONG)).distinct()
-    per_text = linked.groupBy("text_key").agg(F.collect_list(F.struct("start", "kind", "end", "name")).alias("linked"))
+    per_row = linked.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "name")).alias("linked"))
     base = F.transform("strong", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["name"].alias("name")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    return scanned.join(per_text, "text_key", "left").select(
+    # rows whose parts can't be complementary are not shuffled at all
+    every = scanned.where(both).join(per_row, "row", "left").unionByName(scanned.where(~both).withColumn("linked", none))
+    return every.select(
         "doc_id", *[f"n_{k}" for k in STRONG], F.sha2(_listed(F.col("strong")), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat(base, F.coalesce("linked", none)))).alias("spans"), F.size(F.coalesce("linked", none)).cast("long").alias("n_linked"),
     )
