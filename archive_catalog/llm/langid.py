@@ -3,10 +3,10 @@
 Each language gets a codeword of +1 and -1 (rows of a Hadamard matrix without its constant column, so all are equally far apart and
 single wrong bits are corrected). For every bit a binary logistic classifier on hashed byte n-grams (1 to 3, lower-cased) is
 trained to tell the languages with +1 from those with -1. A text's bit margins are decoded by loss weighting: the codeword with
-the least total logistic loss, each bit weighted by its training accuracy, wins. A small gap to the second is flagged as ambiguous.
+the least total logistic loss, each bit weighted by its accuracy on a fifth of the sample that it was not trained on, wins. A small gap to the second is flagged as ambiguous.
 
-The classifiers are fitted on at most ``per_language`` labelled rows of each of at most ``most_languages`` languages, chosen by a hash of
-the id; every whole text is predicted. Prediction sees the text alone.
+The classifiers are fitted on a bounded sample of labelled rows: ``per_language`` of each language at most, fewer where there are so many languages that this would pass
+``SAMPLE_ROWS`` in all, chosen by a hash of the text; no language is left out. Every whole text is predicted. Prediction sees the text alone.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any labelled row all are ``und``; with
 one language all texts with letters are of it; null ids and repeated rows are predicted like any other (a null id is not held out
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from .shared import U64, chunks, mix64
 
 DIMENSIONS = 1 << 12
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 250
+#: Bounds what reaches the driver: rows of 8 KB.
+SAMPLE_ROWS = 8192
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 18
@@ -91,45 +92,59 @@ def train(languages: list[str], features: np.ndarray, labels: np.ndarray, steps:
         speed_b = 0.9 * speed_b - rate * pull.sum(axis=0)
         weights += speed_w
         bias += speed_b
-    right = (np.sign(features @ weights + bias) == target).mean(axis=0)
-    return Model(languages, codes, weights, bias, np.maximum(right * 2 - 1, 0.01) if len(languages) > 1 else np.ones(codes.shape[1]))
+    return Model(languages, codes, weights, bias, np.ones(codes.shape[1]))
+
+
+def weighed(model: Model, features: np.ndarray, labels: np.ndarray) -> Model:
+    """``model`` with each bit weighted by how often it is right on these rows, above chance."""
+    right = (np.sign(features @ model.weights + model.bias) == model.codes[labels]).mean(axis=0)
+    return replace(model, trust=np.maximum(right * 2 - 1, 0.01))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> DataFrame:
-    """(doc_id, lang) of the rows to learn from: for each of the first languages by name, those with the least hashes."""
-    ids = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    by_hash = F.xxhash64("doc_id")
-    spread = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).orderBy(by_hash, "doc_id")
-    some = ids.withColumn("k", F.row_number().over(spread)).where(F.col("k") <= per_language).drop("k")
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(by_hash, "doc_id"))).where(F.col("k") <= per_language).drop("k")
-    kept = some.select("lang").distinct().orderBy("lang").limit(most_languages)
-    return some.join(kept, "lang", "left_semi")
+def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, text) of at most ``per_language`` distinct texts a language, those with the least hashes; ids decide only that no held-out row is among them.
 
+    The hashes alone are ranked, first in 16 parts a language; texts are read again for the few that are chosen.
+    """
+    usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id")))
+    hashed = usable.select("lang", F.xxhash64("text").alias("h"))
+    ranked = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("k") <= per_language).drop("k")
+    some = ranked(hashed.withColumn("part", F.pmod("h", F.lit(16))), "lang", "part").drop("part").distinct()
+    chosen = ranked(some, "lang")
+    rows = usable.select("lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["lang", "h"])  # per_language rows a language
+    # copies of a chosen text, however many, are one row: each task keeps one, then all tasks together
+    return rows.groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """``docs``: doc_id, text, lang. Collects the bounded sample's n-gram counts."""
-    chosen = labelled_sample(docs, per_language, most_languages).distinct()
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", F.col("lang").alias("learn"))), "doc_id").where("lang = learn").select("doc_id", "lang", "text")
+    n = docs.where("lang IS NOT NULL").agg(F.countDistinct("lang").alias("n")).first()["n"]
+    rows = labelled_sample(docs, max(1, min(per_language, sample_rows // max(1, n))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if _LETTER.search(t) else "" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([ngram_counts(t).astype("<f4").tobytes() for t in texts], pa.binary())], names=["lang", "grams"])
-
-    got = rows.mapInArrow(features, "lang string, grams binary").toPandas()  # most_languages * per_language rows of 16 KB at most
-    got = got[[len(g) > 0 and np.frombuffer(g, "<f4").any() for g in got["grams"]]]
-    if not len(got):
+            lang, grams = [], []
+            for name, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if _LETTER.search(text):
+                    lang.append(name)
+                    grams.append(ngram_counts(text).astype("<f2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(grams, pa.binary())], names=["lang", "grams"])
+
+    got = sorted((r["lang"], bytes(r["grams"])) for r in rows.mapInArrow(features, "lang string, grams binary").toLocalIterator())  # at most sample_rows, or one a language
+    if not got:
         return None
-    got = got.sort_values(["lang", "grams"])
-    languages = sorted(got["lang"].unique())
-    matrix = np.stack([np.frombuffer(g, "<f4") for g in got["grams"]])
-    labels = np.array([languages.index(x) for x in got["lang"]])
+    languages = sorted({x for x, _ in got})
+    place = {x: i for i, x in enumerate(languages)}
+    labels = np.array([place[x] for x, _ in got])
+    matrix = np.frombuffer(b"".join(g for _, g in got), "<f2").reshape(len(got), DIMENSIONS).astype(np.float32)
     del got
-    return train(languages, matrix, labels)
+    test = np.arange(len(labels)) % 5 == 4
+    model = train(languages, matrix[~test], labels[~test])
+    return weighed(model, matrix[test], labels[test]) if len(languages) > 1 and test.any() else model
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
