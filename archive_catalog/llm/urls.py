@@ -1,8 +1,9 @@
 """URL filtering by fixed prefix rules and by association rules mined with FP-growth.
 
 A URL becomes a set of tokens (host labels by place, path words, query keys). Labelled URLs add an item for their verdict; FP-growth
-finds frequent token combinations, and those rules whose consequence is a verdict are kept if their confidence and support
-suffice and no shorter rule of the same verdict is as confident. Mined rules match by an inverted index: each rule is listed under its rarest
+finds frequent token combinations, and those rules whose consequence is a verdict are kept if their support and confidence suffice and no shorter rule of the same verdict is
+as confident. Confidence suffices if it is ``min_confidence`` or more and if the verdict is likelier under the rule than among all labelled URLs by more than chance: the lower bound of
+its Wilson interval at ``Z`` standard deviations must be above the verdict's base rate. So labels that have nothing to do with URLs yield no rules. Mined rules match by an inverted index: each rule is listed under its rarest
 token, distinct URLs look their tokens up there, and the rest of the rule is then checked in the URL's own token set. Fixed rules go first.
 
 Defined results: a null URL or one without "://" has empty host and path, no tokens and the verdict ``allow``; repeated URLs
@@ -21,6 +22,7 @@ from .shared import written
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK = "verdict="
+Z = 2.58
 
 
 def host_of(url: Column) -> Column:
@@ -50,13 +52,20 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.flatten(F.array(labels, words, query, F.array(F.concat(F.lit("site:"), host))))), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
-    """Rules (rule_id, items, verdict, confidence, support) from rows (url, verdict)."""
+def wilson_low(share: Column, n: Column, z: float = Z) -> Column:
+    """Lower end of the interval of a share that was seen in n cases."""
+    return (share + z * z / (n * 2) - z * F.sqrt(share * (F.lit(1.0) - share) / n + z * z / (n * n * 4))) / (F.lit(1.0) + z * z / n)
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, least: int = 5) -> DataFrame:
+    """Rules (rule_id, items, verdict, confidence, support) from rows (url, verdict); ``least``: URLs that hold a rule and its verdict."""
     baskets = labelled.where(F.col("url").isNotNull() & F.col("verdict").isNotNull()).select(F.array_union(tokens_of(F.col("url")), F.array(F.concat(F.lit(MARK), "verdict"))).alias("items"))
-    # equal baskets only in number: FP-growth counts them, so its trees grow with distinct combinations
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    total = baskets.count()
+    # FP-growth counts equal baskets, so its trees grow with distinct combinations
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, least / max(1, total))), minConfidence=min_confidence).fit(baskets)
     found = (
         model.associationRules.where(F.col("consequent")[0].startswith(MARK))
+        .where(wilson_low(F.col("confidence"), F.col("support") * total / F.col("confidence")) > F.col("confidence") / F.col("lift"))
         .select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], len(MARK) + 1, 1000).alias("verdict"), "confidence", "support")
     )
     rules = written(found.withColumn("rule_id", F.xxhash64(F.array_join("items", "\x01"), "verdict")), "url-rules")
