@@ -6,8 +6,9 @@ rows continue clockwise to the next node of a shard with room. The bounds sum to
 most one apart (law ``rows``), and only overflow moves away from the shard the ring alone would give.
 
 The walk needs only the row count of every arc, so it runs on a table of ``shards * vnodes`` counts, however many rows there are;
-its result, a list of (arc, first rank, last rank, shard, first slot), places all rows by their rank in their arc. Ranks come
-from per-task counters plus offsets per (task, arc), so no row is shuffled to be ranked and a hot key is no hot task.
+its result, a list of (arc, first rank, last rank, shard, first slot), places all rows by their rank in their arc. Rows without their texts are sorted by
+the hash of their key (then key, size and checksum), so which rows of an arc overflow depends on the rows alone, not on how they are split into files; ranks are
+per-task counters plus offsets per (task, arc). Ranges of the sort are cut within equal rows too, so a hot key is no hot task.
 
 Defined results: a null key hashes to a fixed position; repeated rows and equal keys are separate rows that may overflow
 like any other; a null text has size 1 and the checksum of no bytes; an empty table gives an empty result;
@@ -95,7 +96,11 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 64, key: str = "doc_i
                 names=["doc_id", "size", "text_crc32", "home_shard", "task", "arc", "place"],
             )
 
-    ranked = written(rows.mapInArrow(rank, "doc_id long, size long, text_crc32 long, home_shard int, task int, arc int, place long"), "ring-ranks")
+    # equal rows may stand in any order; the last column only lets the sort cut between them
+    order = ["hash", "doc_id", "size", "text_crc32"]
+    placed = rows.withColumn("cut", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(*order, "cut").sortWithinPartitions(*order, "cut").drop("cut")
+    ranked = written(placed.mapInArrow(rank, "doc_id long, size long, text_crc32 long, home_shard int, task int, arc int, place long"), "ring-ranks")
     held = ranked.groupBy("arc", "task").agg(F.count("*").alias("n"))
     per_arc = {r["arc"]: r["n"] for r in held.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # shards * vnodes rows at most
     counts = np.array([per_arc.get(a, 0) for a in range(shards * vnodes)], np.int64)
