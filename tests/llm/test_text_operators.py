@@ -1,6 +1,7 @@
 """Secrets, personal data, packing, language ID, decontamination and chat formatting against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -70,6 +71,31 @@ def test_long_identifiers_are_linked_at_both_ends(spark):
     assert rows == {0: ["login", "random"], 1: ["login", "random"], 2: ["login", "random"], 3: ["access", "random"], 4: ["endpoint", "login", "random"], 5: ["random", "login", "endpoint"]}
 
 
+def test_links_equal_brute_force(spark):
+    """Planted parts anywhere: what is linked is what a comparison of all parts of a text links."""
+    rng = random.Random(17)
+    parts = {"login": "login: user{}", "random": "Zx9kQ2mN7pL4vR8tW1y{}", "endpoint": "db{}.example.com:5432", "access": "AKIAABCDEFGH12345{}", "hex": "{}" + "deadbeef" * 3, "assign": "token=secret{}"}
+    part_of = {"login": "identifier", "access": "identifier", "random": "secret", "hex": "secret", "assign": "secret", "endpoint": "endpoint"}
+    texts, want = [], []
+    for _ in range(120):
+        text, spans = "", []
+        for _ in range(rng.randrange(9)):
+            text += " " + "lorem ipsum " * rng.choice((0, 1, 6, 13, 14, 40))
+            kind = rng.choice(list(parts))
+            body = parts[kind].format(rng.randrange(100, 999))
+            spans.append((kind, len(text), len(text) + len(body)))
+            text += body
+        near = lambda a, b: 0 <= max(a[1], b[1]) - min(a[2], b[2]) <= secrets.SCOPE
+        pairs = [(a, b) for a in spans for b in spans if part_of[a[0]] == "identifier" and part_of[b[0]] == "secret" and near(a, b)]
+        linked = {x for p in pairs for x in p} | {e for e in spans if e[0] == "endpoint" and any(near(a, e) for a, _ in pairs)}
+        texts.append(text)
+        want.append({x for x in linked if x[0] in ("login", "random", "endpoint")})
+    assert sum(map(bool, want)) > 40 and sum(not w for w in want) > 10
+    for r in secrets.find_secrets(docs(spark, texts)).collect():
+        got = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)}
+        assert {x for x in got if x[0] in ("login", "random", "endpoint")} == want[r["doc_id"]], texts[r["doc_id"]]
+
+
 def test_secrets_empty_and_null_id(spark):
     empty = docs(spark, []).where("false")
     assert secrets.find_secrets(empty).count() == 0
@@ -211,9 +237,33 @@ def test_language_id_edges(spark):
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "123 !"), (3, "the cat"), (3, "the cat")], "doc_id long, text string")
     assert [r["lang_pred"] for r in langid.predict(odd, model, ("doc_id",)).collect()] == ["und", "und", "und", "en", "en"]
     assert langid.fit(docs(spark, []).where("false")) is None
+    # repeated ids and copies bring no more rows than the bound; every language is learned
+    many = spark.createDataFrame([(i % 3 + 1, f"{'abcdefghij'[k]}{i % 7} word{k}", f"l{k}") for i in range(40) for k in range(10)], "doc_id long, text string, lang string")
+    sample = langid.labelled_sample(many, 2).collect()
+    assert Counter(r["lang"] for r in sample) == {f"l{k}": 2 for k in range(10)}
+    assert langid.fit(many, sample_rows=10).languages == [f"l{k}" for k in range(10)]
+
+
+def test_loss_weighted_decoding_equals_brute_force():
+    rng = np.random.default_rng(4)
+    codes = langid.codewords(6)
+    model = langid.Model([str(i) for i in range(6)], codes, rng.normal(size=(30, codes.shape[1])), rng.normal(size=codes.shape[1]), rng.random(codes.shape[1]))
+    rows = rng.normal(size=(50, 30))
+    best, score, unsure = model.decode(rows)
+    for x, b, s, u in zip(rows, best, score, unsure, strict=True):
+        loss = [sum(t * math.log1p(math.exp(-c * (x @ w + z))) for c, w, z, t in zip(code, model.weights.T, model.bias, model.trust, strict=True)) for code in codes]
+        assert b == int(np.argmin(loss)) and math.isclose(s, 1 / sum(math.exp(min(loss) - v) for v in loss)) and u == (s < 0.6)
+
+
+def test_language_id_ambiguity_and_long_texts(spark):
+    odd = spark.createDataFrame([(3, "the cat")], "doc_id long, text string")
     assert {r["lang_pred"] for r in langid.predict(odd, None, ("doc_id",)).collect()} == {"und"}
     codes = langid.codewords(5)
     assert all((codes[i] != codes[j]).sum() == 4 for i in range(5) for j in range(i))
+    model = langid.fit(docs(spark, ["the cat and the dog", "le chat et le chien"] * 20).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr")))
+    long = spark.createDataFrame([(1, "the cat and the dog " * 60_000), (2, "le chat et le chien " * 60_000), (4, "")], "doc_id long, text string").withColumn("lang_pred", F.lit("clash"))
+    assert [r["lang_pred"] for r in langid.predict(long.drop("lang_pred"), model, ("doc_id",)).collect()] == ["en", "fr", "und"]
+    assert np.allclose(langid.ngram_counts("the cat and the dog " * 60_000), langid.ngram_counts("the cat and the dog " * 40_000), atol=1e-4)
 
 
 # --- decontamination -------------------------------------------------------------------------------------------------
