@@ -162,10 +162,12 @@ def candidate_groups(classes: DataFrame, docs: DataFrame, band: Banding, scratch
 def differences(groups: DataFrame, band: Banding, scratch: Scratch) -> DataFrame:
     """label, node, n (shingles), d (elements of the difference), w, elements: (k: how many differences hold it, x), rarest first, without those of one class only."""
     held = groups.select("label", F.explode("shingles").alias("x")).groupBy("label", "x").agg(F.count("*").alias("k")).where("k > 1")
-    held = scratch.written(held.join(groups.groupBy("label").agg(F.count("*").alias("m")), "label"), "held")
+    # what is small is written before it is joined, so that a join's large partitions (a large group) can be split
+    sizes = scratch.written(groups.groupBy("label").agg(F.count("*").alias("m")), "sizes")
+    held = scratch.written(held.join(sizes, "label"), "held")
     # a set of shingles that half of the classes hold is at most twice as large as their average
     major = held.where("2 * k > m").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("x", (F.col("m") - F.col("k")).alias("k")))).alias("major"))
-    split = groups.join(major, "label", "left").select("label", "node", "shingles", F.coalesce("major.x", F.array().cast("array<long>")).alias("x"), F.coalesce("major.k", F.array().cast("array<long>")).alias("k"))
+    split = groups.join(scratch.written(major, "major"), "label", "left").select("label", "node", "shingles", F.coalesce("major.x", F.array().cast("array<long>")).alias("x"), F.coalesce("major.k", F.array().cast("array<long>")).alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,6 +204,7 @@ def links(apart: DataFrame, band: Banding, scratch: Scratch) -> DataFrame:
     """(u, v): pairs that connect exactly those classes of ``differences`` that links connect."""
     per = 2 * (100 + band.percent)
     lead = apart.groupBy("label").agg(F.min_by("node", F.struct("w", "node")).alias("leader"), F.min("w").alias("low"), F.max("w").alias("high"))
+    lead = scratch.written(lead, "lead")
     rows = scratch.written(apart.join(lead, "label").withColumn("near", F.col("w") + F.col("low") <= 0), "led")
     star = rows.where("near AND node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v"))
     span = F.col("high") - F.col("low") + 1
