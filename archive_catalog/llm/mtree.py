@@ -1,34 +1,44 @@
 """Exact top-k search by inner product with M-trees.
 
-The vectors are dealt into blocks of a bounded number of rows; in each block an M-tree of pages is built, and every block of queries
-searches every block of vectors, best node first. Inner product becomes a metric by one more coordinate: with M the largest norm of a
+Vectors are dealt to the nearest of a bounded number of pivots, and each pivot's cell is cut into blocks of a bounded number of rows. Of every block an M-tree of pages is built
+once and written. Inner product becomes a metric by one more coordinate: with M the largest norm of a
 block, v becomes (v, sqrt(M^2 - |v|^2)) and a query (q, 0), so distance falls as the product grows. A node stores its
 routing vector, covering radius and distance to its parent's routing vector; a subtree is skipped when the parent's distance alone,
 or else its own distance minus the radius, shows that nothing below beats the k-th best. Bounds are floating point with a slack far above
 the rounding error; scores are exact integers.
 
-The query set grows with the data, so queries are not broadcast: they are dealt to tasks in blocks, once per block of
-vectors, and each task holds one block of either. The work is queries times vectors at most, less what the bounds save.
+A query first searches the cell of its likeliest pivot. Its k-th best score there is the bar for all other cells: it is routed only to those whose covering radius
+can reach the bar (q v <= q c + |q| r for a cell with centre c and radius r). The query set grows with the data, so queries are not broadcast: they go to tasks in blocks,
+each of which meets one tree, and all queries of a task go through the tree together, each taking its most promising page first.
 
-Defined results: a component x counts as floor(256 x); null vectors, or those with a null or non-finite component, take no part, nor do
+Defined results: a component x counts as floor(256 x), components beyond what a long holds are cut to its range, and scores are exact as long as they fit a long; null vectors,
+or those with a null or non-finite component, take no part, nor do
 rows with a null id; a query's own id is no candidate; rows that repeat id and vector count once; vectors of another length are compared
-over the common length only as zeros beyond; fewer candidates give fewer ranks; ties go to the smaller id; other columns are ignored.
+over the common length only as zeros beyond; fewer candidates give fewer ranks; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 PAGE = 256
 CHILDREN = 32
 BLOCK = 8192
 QUERY_BLOCK = 2048
+#: Pivots at most, and the rows that they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 256, 4096
+#: Pages that queries take one by one, best first, before the rest goes page by page.
+FIRST_PAGES = 3
 
 
 @dataclass
@@ -50,6 +60,11 @@ def _distances(points: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((points - one) ** 2).sum(axis=1), 0))
 
 
+def _to(points: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Distances of many points to one, by a product of matrices; a rounding error is covered by the slack of what uses it."""
+    return np.sqrt(np.maximum((points * points).sum(axis=1) - 2 * (points @ one) + one @ one, 0))
+
+
 def _deal(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pivots far from each other and the nearest pivot of each point."""
     n = min(most, max(2, -(-2 * len(points) // PAGE)))
@@ -85,6 +100,7 @@ class Index:
     lift: float
     root: Node
     exact: bool
+    wide: int
 
     @classmethod
     def of(cls, ids: np.ndarray, vectors: np.ndarray) -> Index:
@@ -100,51 +116,69 @@ class Index:
             if node.rows is not None:  # a page holds its rows side by side
                 node.page, node.ids = vectors[node.rows].astype(np.float64 if exact else np.int64), ids[node.rows]
             todo += node.children or []
-        return cls(float(top), root, exact)
-
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), best first."""
-        q = np.append(query.astype(np.float64), 0.0)
-        query = query.astype(np.float64 if self.exact else np.int64)
-        square = float(q @ q) + self.lift
-        best: list[tuple[int, int]] = []  # heap of (score, -id): its least is the k-th best
-        slack = 1e-6 * (1 + np.sqrt(square))
-        count = 0
-        # the k-th best score s stands for the distance sqrt(square - 2 s): nodes no nearer than that, ties apart, are skipped
-        todo = [(0.0, count, self.root, float(_distances(q[None, :], self.root.routing)[0]))]
-        reach = np.inf
+        return cls(float(top), root, exact, vectors.shape[1])
+
+    def pages(self, queries: np.ndarray, reach: Callable[[], np.ndarray]) -> Iterator[tuple[Node, np.ndarray, np.ndarray]]:
+        """(page, lower bound of each query's distance, distance to the parent), from the root down; ``reach``: how far each query still looks."""
+        todo = [(self.root, np.zeros(len(queries)), _to(queries, self.root.routing))]
         while todo:
-            bound, _, node, here = heapq.heappop(todo)
-            if bound > reach + slack:
-                break
+            node, bound, here = todo.pop()
             if node.rows is not None:
-                near = np.abs(node.near - here) <= reach + slack  # by the distance to the parent only
-                page, ids = (node.page, node.ids) if 2 * np.count_nonzero(near) > len(near) else (node.page[near], node.ids[near])
-                scores = page @ query
-                fit = ids != own
-                if len(best) == k:
-                    fit &= scores >= best[0][0]
-                hits = np.flatnonzero(fit)
-                if len(hits) > 4 * k:  # what the page's own best leave out can't be among the best
-                    scored = scores[hits]
-                    hits = hits[scored >= np.partition(scored, len(scored) - k)[len(scored) - k]]
-                for i in hits:
-                    item = (int(scores[i]), -int(ids[i]))
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-                if len(best) == k:
-                    reach = float(np.sqrt(max(0.0, square - 2 * best[0][0])))
+                yield node, bound, here
                 continue
-            maybe = np.flatnonzero(np.abs(node.near - here) - node.radii <= reach + slack)
-            d = _distances(node.routings[maybe], q)
-            for i, dist in zip(maybe, d, strict=True):
-                low = max(bound, dist - node.radii[i])
-                if low <= reach + slack:
-                    count += 1
-                    heapq.heappush(todo, (low, count, node.children[i], float(dist)))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            for child, near, radius, routing in zip(node.children, node.near, node.radii, node.routings, strict=True):
+                low = np.maximum(bound, np.abs(near - here) - radius)  # by the stored distance to the parent only
+                dist = np.full(len(queries), np.inf)
+                some = np.flatnonzero(low <= reach())
+                if len(some):
+                    dist[some] = _to(queries[some], routing)
+                    todo.append((child, np.maximum(low, np.where(np.isinf(dist), np.inf, dist - radius)), dist))
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+        """For each query the k best (score, id), best first, of those that reach its ``bar`` (if any); ``own``: the queries' ids."""
+        q = np.concatenate([queries.astype(np.float64), np.zeros((len(queries), 1))], axis=1)
+        whole = queries.astype(np.float64 if self.exact else np.int64)
+        square = (q * q).sum(axis=1) + self.lift
+        slack = 1e-6 * (1 + np.sqrt(square))
+        scores = np.full((len(q), k), np.iinfo(np.int64).min, np.int64)
+        ids = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
+        full = np.zeros(len(q), np.int64)
+        least = np.full(len(q), np.nan) if bar is None else bar
+
+        def reach() -> np.ndarray:
+            # the k-th best score s stands for the distance sqrt(square - 2 s); nothing farther, ties apart, can be better
+            score = np.where(full >= k, scores[:, -1].astype(np.float64), np.nan)
+            return np.nan_to_num(np.sqrt(np.maximum(0.0, square - 2.0 * np.fmax(score, least))) + slack, nan=np.inf)
+
+        def visit(page: Node, which: np.ndarray) -> None:
+            found = (whole[which] @ page.page.T).astype(np.int64)
+            fit = (page.ids[None, :] != own[which][:, None]) & ~(found < least[which][:, None]) & ((found >= scores[which, -1][:, None]) | (full[which] < k)[:, None])
+            for row in np.flatnonzero(fit.any(axis=1)):
+                i, hits = which[row], np.flatnonzero(fit[row])
+                s = np.concatenate([scores[i, : full[i]], found[row, hits]])
+                names = np.concatenate([ids[i, : full[i]], page.ids[hits]])
+                order = np.lexsort((names, -s))[:k]
+                full[i] = len(order)
+                scores[i, : full[i]], ids[i, : full[i]] = s[order], names[order]
+
+        listed = list(self.pages(q, reach))
+        bounds = np.stack([bound for _, bound, _ in listed], axis=1)
+        first = np.argsort(bounds, axis=1, kind="stable")[:, :FIRST_PAGES]
+        for turn in range(first.shape[1]):
+            far = reach()
+            for at in np.unique(first[:, turn]):
+                which = np.flatnonzero((first[:, turn] == at) & (bounds[:, at] <= far))
+                if len(which):
+                    visit(listed[at][0], which)
+                    bounds[which, at] = np.inf
+        for at, (page, _, here) in enumerate(listed):
+            far = reach()
+            which = np.flatnonzero(np.isfinite(bounds[:, at]) & (bounds[:, at] <= far))
+            # by the rows' stored distances to the page's routing vector
+            which = which[(here[which] - far[which] <= page.near.max()) & (here[which] + far[which] >= page.near.min())]
+            if len(which):
+                visit(page, which)
+        return [[(int(s), int(n)) for s, n in zip(scores[i, : full[i]], ids[i, : full[i]], strict=True)] for i in range(len(q))]
 
 
 def quantised(vector: Column) -> Column:
@@ -154,31 +188,118 @@ def quantised(vector: Column) -> Column:
     return F.when(fine, F.transform(F.when(fine, x), lambda v: F.floor(v * 256).cast("long")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Rows query_id, rank, vec_id, score. Both inputs: vec_id long, q array<long>."""
-    n, m = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)))
-    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(query_blocks)))
-    # every pair of blocks is one group: its vectors and its queries
-    right = dealt.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("block", F.col("query_block").cast("long").alias("query_block"), "vec_id", "q")
-    left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("block").cast("long").alias("block"), "query_block", "vec_id", "q")
+def _matrix(column, wide: int | None = None) -> np.ndarray:
+    """Rows of integers, zeros beyond their length."""
+    rows = [np.asarray(v, np.int64) for v in column]
+    wide = max([wide or 1, *map(len, rows)])
+    return np.stack([np.pad(v, (0, wide - len(v))) for v in rows]) if rows else np.zeros((0, wide), np.int64)
+
+
+def pivots_of(vectors: DataFrame, most: int) -> np.ndarray:
+    """At most ``most`` vectors far from each other, out of ``PIVOT_SAMPLE`` by hash."""
+    sample = vectors.orderBy(F.xxhash64("q"), "vec_id").limit(PIVOT_SAMPLE).select("q").collect()  # PIVOT_SAMPLE rows
+    points = np.unique(_matrix(r["q"] for r in sample).astype(np.float64), axis=0)
+    if not len(points):
+        return points
+    chosen, least = [0], _distances(points, points[0])
+    while len(chosen) < most and least.max() > 0:
+        chosen.append(int(least.argmax()))
+        least = np.minimum(least, _distances(points, points[chosen[-1]]))
+    return points[chosen]
+
+
+def _fit(points: np.ndarray, wide: int) -> np.ndarray:
+    return np.pad(points, ((0, 0), (0, max(0, wide - points.shape[1]))))
+
+
+def placed(rows: DataFrame, pivots: np.ndarray, best: bool = False) -> DataFrame:
+    """Rows with the nearest pivot as ``cell`` and the distance to it; ``best``: the pivot with the largest product instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _matrix(b.column("q").to_pylist(), pivots.shape[1]).astype(np.float64)
+            p = _fit(pivots, v.shape[1])
+            product = v @ p.T
+            away = (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * product
+            cell = (product.argmax(axis=1) if best else away.argmin(axis=1)).astype(np.int64)
+            dist = np.sqrt(np.maximum(((v - p[cell]) ** 2).sum(axis=1), 0)) if len(v) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("q"), pa.array(cell), pa.array(dist)], names=["vec_id", "q", "cell", "away"])
+
+    return rows.mapInArrow(run, "vec_id long, q array<long>, cell long, away double")
+
+
+def _trees(dealt: DataFrame) -> DataFrame:
+    """(cell, part, tree): one M-tree a block."""
+
+    def build_one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        tree = Index.of(frame["vec_id"].to_numpy(np.int64), _matrix(frame["q"]))
+        return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "tree": [pickle.dumps(tree)]})
+
+    return dealt.groupBy("cell", "part").applyInPandas(build_one, "cell long, part long, tree binary")
+
+
+def _searched(asked: DataFrame, trees: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of every block for every query of ``asked`` (vec_id, q, cell, bar), queries in chunks of a bounded number."""
 
     def search(_: tuple, ask: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
-        if len(ask) and len(data):
-            wide = max(len(v) for v in data["q"])
-            wide = max(wide, *(len(v) for v in ask["q"]))
-            fit = lambda c: np.stack([np.pad(np.asarray(v, np.int64), (0, wide - len(v))) for v in c])
-            index = Index.of(data["vec_id"].to_numpy(np.int64), fit(data["q"]))
-            for own, query in zip(ask["vec_id"].to_numpy(np.int64), fit(ask["q"]), strict=True):
-                out += [(int(own), vec_id, score) for score, vec_id in index.search(int(own), query, k)]
+        if len(ask):
+            for blob in data["tree"]:
+                tree = pickle.loads(blob)
+                queries = _matrix(ask["q"])
+                wide = tree.wide
+                queries = _fit(queries[:, :wide], wide)  # beyond the block's length its vectors are zero
+                own = ask["vec_id"].to_numpy(np.int64)
+                for i, hits in zip(own, tree.search(own, queries, k, ask["bar"].to_numpy(np.float64, na_value=np.nan)), strict=True):
+                    out += [(int(i), vec_id, score) for score, vec_id in hits]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInPandas(search, "query_id long, vec_id long, score long")
-    # the best k of every block, merged with partial aggregation
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
-    ranked = best.select("query_id", F.posexplode("best").alias("at", "hit"))
+    parts = trees.select("cell", "part").join(chunks, "cell")
+    keyed = asked.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "q"), F.col("chunks"))).select("cell", "part", "chunk", "vec_id", "q", "bar").toDF("c", "p", "n", "vec_id", "q", "bar")
+    held = trees.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("cell", "part", "chunk", "tree")
+    return keyed.groupBy("c", "p", "n").cogroup(held.groupBy("cell", "part", "chunk")).applyInPandas(search, "query_id long, vec_id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """query_id and its k best (minus score, vec_id), merged with partial aggregation."""
+    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
+
+
+def _in_chunks(asked: DataFrame, query_block: int) -> DataFrame:
+    return asked.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("long").alias("chunks"))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Rows query_id, rank, vec_id, score. Both inputs: vec_id long, q array<long>."""
+    scratch = Scratch(vectors.sparkSession, "mtree")
+    n = vectors.count()
+    pivots = pivots_of(vectors, max(1, min(PIVOTS, -(-n // block))))
+    if not len(pivots):
+        return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).cast("int").alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where("false")
+    near = scratch.written(placed(vectors, pivots), "cells")
+    cells = near.groupBy("cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / block).cast("long").alias("parts"))
+    held = {r["cell"]: (r["radius"], r["parts"]) for r in cells.collect()}  # PIVOTS rows at most
+    parts = F.element_at(F.create_map(*[F.lit(x) for c, (_, p) in held.items() for x in (int(c), int(p))]), F.col("cell"))
+    trees = scratch.written(_trees(near.withColumn("part", F.pmod(F.xxhash64("vec_id", "q"), parts))), "trees")
+    known = np.array(sorted(held))
+    home = scratch.written(placed(queries, pivots[known], best=True).withColumn("cell", F.get(F.array(*[F.lit(int(c)) for c in known]), F.col("cell").cast("int"))).withColumn("bar", F.lit(None).cast("double")).drop("away"), "home")
+    first = scratch.written(_searched(home, trees, _in_chunks(home, query_block), k), "first")
+    bar = _best(first, k).select(F.col("query_id").alias("vec_id"), F.when(F.size("best") >= k, -F.get("best.minus", F.lit(k - 1))).cast("double").alias("bar"))
+    radii = np.array([held[c][0] for c in known])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _matrix(b.column("q").to_pylist(), pivots.shape[1]).astype(np.float64)
+            p = _fit(pivots[known], v.shape[1])
+            most = v @ p.T + np.linalg.norm(v, axis=1)[:, None] * radii[None, :]
+            most += 1e-6 * (1 + np.abs(most))
+            least = b.column("bar").to_numpy(zero_copy_only=False).astype(np.float64)
+            rows, to = np.nonzero(((most >= least[:, None]) | np.isnan(least)[:, None]) & (known[None, :] != b.column("cell").to_numpy()[:, None]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("vec_id", "q", "bar")), pa.array(known[to].astype(np.int64))], names=["vec_id", "q", "bar", "cell"])
+
+    more = scratch.written(home.drop("bar").join(bar, "vec_id", "left").select("vec_id", "q", "cell", "bar").mapInArrow(route, "vec_id long, q array<long>, bar double, cell long"), "routed")
+    found = first.unionByName(_searched(more, trees, _in_chunks(more, query_block), k))
+    ranked = _best(found, k).select("query_id", F.posexplode("best").alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
 
 
