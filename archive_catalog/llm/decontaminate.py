@@ -90,7 +90,7 @@ def gathered(docs: DataFrame, fit_passages: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, held = np.zeros(BUCKETS + 1, np.int64), 0, {}
         for b in batches:
-            for lo, hi in chunks(b.column("text"), 2000, 1 << 23):
+            for lo, hi in chunks(b.column("text"), 2000, 1 << 22):
                 h, bounds = word_hashes(b.column("text")[lo:hi].to_pylist(), punctuation=False)
                 places = buckets(h)
                 seen = (np.repeat(np.arange(hi - lo), np.diff(bounds)) * BUCKETS + places).astype(np.uint32)
@@ -128,7 +128,7 @@ def _passages(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in chunks(b.column("text"), 2000, 1 << 23):
+            for lo, hi in chunks(b.column("text"), 2000, 1 << 22):
                 h, bounds = word_hashes(b.column("text")[lo:hi].to_pylist(), punctuation=False)
                 places = buckets(h).astype(np.int16)
                 words = [places[at : min(e, at + PASSAGE_WORDS)] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for at in range(s, e, PASSAGE_WORDS)]

@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, band: Banding) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in chunks(batch.column("text"), 2000, 1 << 23):
+            for lo, hi in chunks(batch.column("text"), 2000, 1 << 22):
                 n, node, halves = [], [], []
                 for s in shingle_sets(batch.column("text")[lo:hi].to_pylist(), band.words):
                     n.append(len(s))

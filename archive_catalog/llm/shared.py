@@ -61,7 +61,7 @@ _APART[[i for i in range(128) if not chr(i).isalnum()]] = True
 _BY_PLACE = random64(256, 7) | U64(1)
 _BY_BLOCK = random64(1, 8)[0]
 _CUT = re.compile(rb"[ \t-\r]")
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 18
 
 
 def _hash_slice(raw: bytes, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ def word_hashes(texts: list[str | None], punctuation: bool = True) -> tuple[np.n
     """64-bit hashes of all words of ``texts`` in order, and the bounds of each text's words (length n + 1).
 
     Words end at ASCII white space; without ``punctuation`` at all other ASCII signs too.
-    Works on slices of a few MB that end at white space, so memory does not follow the longest text beyond its hashes.
+    Works on slices that end at white space and fit the cache, so memory does not follow the longest text beyond its hashes.
     """
     hashes, bounds, total = [], np.zeros(len(texts) + 1, np.int64), 0
     group, size, first = [], 0, 0

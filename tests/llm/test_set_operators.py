@@ -130,11 +130,19 @@ def test_mtree_equals_brute_force():
     vectors[100:300] = vectors[100]
     ids = rng.permutation(900) * 3
     index = mtree.Index.of(ids, vectors)
-    for i in range(0, 900, 31):
+    asked = np.arange(0, 900, 7)
+    want = []
+    for i in asked:
         scores = vectors @ vectors[i]
-        order = [j for j in np.lexsort((ids, -scores)) if j != i][:5]
-        assert index.search(int(ids[i]), vectors[i], 5) == [(int(scores[j]), int(ids[j])) for j in order]
-    assert mtree.Index.of(ids[:1], vectors[:1]).search(int(ids[0]), vectors[0], 5) == []
+        want.append([(int(scores[j]), int(ids[j])) for j in np.lexsort((ids, -scores)) if j != i][:5])
+    assert index.search(ids[asked], vectors[asked], 5) == want
+    # a bar leaves what is below it out
+    bar = np.array([float(w[2][0]) for w in want])
+    assert index.search(ids[asked], vectors[asked], 5, bar) == [[x for x in w if x[0] >= b] for w, b in zip(want, bar, strict=True)]
+    assert mtree.Index.of(ids[:1], vectors[:1]).search(ids[:1], vectors[:1], 5) == [[]]
+    big = vectors.astype(np.int64) * 10**7  # beyond what floating point holds exactly
+    found = mtree.Index.of(ids, big).search(ids[asked], big[asked], 5)
+    assert found == [[(s * 10**14, i) for s, i in w] for w in want]
 
 
 def test_top_k_blocks_and_edges(spark):
@@ -142,7 +150,7 @@ def test_top_k_blocks_and_edges(spark):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(260)] + [(500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [0.0] * 6), (7, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     data = df.select("vec_id", mtree.quantised(F.col("embedding")).alias("q")).where("vec_id IS NOT NULL AND q IS NOT NULL").distinct()
-    got = sorted(map(tuple, mtree.top_k(data, data.where("vec_id % 50 = 0"), block=70, query_block=3).collect()))
+    got = sorted(map(tuple, mtree.top_k(data, data.where("vec_id % 50 = 0"), block=30, query_block=3).collect()))
     q = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows[:260]}
     want = []
     for i in range(0, 260, 50):
