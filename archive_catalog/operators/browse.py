@@ -43,6 +43,9 @@ def search_context(hits: DataFrame, files: DataFrame, most: int = 12) -> DataFra
     """Each hit with other files of its directory: audio and other, ``most`` each, by name."""
     near = files.join(hits.select("directory_id").distinct(), "directory_id", "left_semi").select("directory_id", F.col("file_id").alias("other"), F.col("filename").alias("name"), F.col("file_type") == "AUDIO")
     near = near.toDF("directory_id", "other", "name", "is_audio")
+    # a hit may be among the first itself; more than one beyond ``most`` is never needed, so a large directory is cut before it meets its hits
+    first = Window.partitionBy("directory_id", "is_audio").orderBy("name", "other")
+    near = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most + 1).drop("k")
     pairs = hits.select("file_id", "directory_id").join(near, "directory_id").where("other <> file_id")
     w = Window.partitionBy("file_id", "is_audio").orderBy("name", "other")
     few = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)

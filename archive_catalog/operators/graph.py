@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder, set for this session."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode (as in tests), else one in the warehouse, which executors share."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        own = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if re.fullmatch(r"local(\[[0-9*, ]*\])?", sc.master) else f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own)
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 

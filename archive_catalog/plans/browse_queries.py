@@ -39,7 +39,7 @@ def search_files(t: Tables):
     return browse.search_files(_named(t), "re the").select("file_id")
 
 
-_HITS = f"""audio AS (SELECT file_id, directory_id, filename FROM {{doc_files}} WHERE file_type = 'AUDIO' AND lower(filename) LIKE '%and%'),
+_HITS = f"""audio AS (SELECT file_id, directory_id, filename FROM {{doc_files}} WHERE file_type = 'AUDIO' AND (lower(filename) LIKE '%and%' OR strip_accents(lower(filename)) LIKE '%and%')),
 names AS (SELECT file_id, directory_id, filename FROM {{doc_files}} WHERE lower(filename) LIKE '%an%' OR {_FLAT} LIKE '%an%'),
 both_hits AS (SELECT 'audio' AS source, file_id, directory_id, filename AS title FROM audio UNION ALL SELECT 'file', file_id, directory_id, filename FROM names WHERE file_id NOT IN (SELECT file_id FROM audio)),
 hits AS (SELECT *, (SELECT count(*) FROM both_hits) AS total FROM both_hits ORDER BY source, title, file_id LIMIT {CAP})"""

@@ -55,7 +55,7 @@ def sanitize_text(t: Tables):
 
 @query("mojibake", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR regexp_matches(text, '[Â-Å][\u0080-ɏ]') THEN 'suspected-mojibake' END AS flag FROM {documents}")
 def mojibake(t: Tables):
-    tag = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 10), F.lit("Ä\u0099")))
+    tag = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("Ä\u0099")))
     return t.documents.select("doc_id", tx.mojibake(tag, F.col("text")).alias("flag"))
 
 
@@ -284,7 +284,7 @@ def dup_exact(t: Tables):
     return dedup.exact(readers.content_hash(t.documents.select(F.col("doc_id").alias("file_id"), "text"), "text"))
 
 
-_FUZZY = r"k AS (SELECT doc_id AS file_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[-_.\s]+', ' ', 'g')) AS key FROM {documents}), h AS (SELECT key, min(file_id) AS group_id, count(*) AS n_members FROM k WHERE key <> '' GROUP BY key HAVING count(*) >= 2), y AS (SELECT 'FUZZY_NAME' AS kind, group_id, file_id, n_members FROM k JOIN h USING (key))"
+_FUZZY = r"k AS (SELECT doc_id AS file_id, trim(regexp_replace(lower(text), '[-_.\s]+', ' ', 'g')) AS key FROM {documents}), h AS (SELECT key, min(file_id) AS group_id, count(*) AS n_members FROM k WHERE key <> '' GROUP BY key HAVING count(*) >= 2), y AS (SELECT 'FUZZY_NAME' AS kind, group_id, file_id, n_members FROM k JOIN h USING (key))"
 
 
 _SOUND = _CLUSTERS.replace("SELECT 'AUDIO_FINGERPRINT'", "z AS (SELECT 'AUDIO_FINGERPRINT'") + ")"
@@ -292,7 +292,7 @@ _ALL = f"WITH RECURSIVE {_SOUND.removeprefix('WITH RECURSIVE ')}, {_EXACT}, {_FU
 
 
 def _groups(t: Tables):
-    name = dedup.group_by_key(t.documents, tx.title_key(F.substring("text", 1, 40)), "FUZZY_NAME", "doc_id")
+    name = dedup.group_by_key(t.documents, tx.title_key(F.col("text")), "FUZZY_NAME", "doc_id")
     return dup_exact(t).unionByName(name).unionByName(dup_fingerprint(t)).withColumn("created_at", F.col("group_id") % 1000)
 
 

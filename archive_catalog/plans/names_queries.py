@@ -106,7 +106,7 @@ def dup_fuzzy(t: Tables):
 def _sheets(t: Tables):
     """A sheet per conversation: user turns are tracks that begin a minute and some frames apart."""
     at = F.format_string("%02d:%02d:%02d", F.col("turn") * 4, F.col("turn") % 60, (F.col("turn") * 7) % 75)
-    title = F.regexp_replace(F.substring("text", 1, 30), r'["\r\n]', "")
+    title = F.regexp_replace("text", r'["\r\n]', "")
     lines = F.concat(F.lit("  TRACK "), F.format_string("%02d", F.col("turn") + 1), F.lit(' AUDIO\n    TITLE "'), title, F.lit('"\n    PERFORMER "'), "role", F.lit('"\n    INDEX 00 '), at, F.lit("\n    INDEX 01 "), at, F.lit("\n"))
     rows = t.conversations.withColumn("line", lines)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "")
@@ -114,7 +114,7 @@ def _sheets(t: Tables):
     return rows.groupBy("conv_id").agg(body.alias("body")).select(F.col("conv_id").alias("sheet_id"), F.concat(head, "body").alias("text"))
 
 
-_CUE = r"""c AS (SELECT conv_id AS sheet_id, CAST(row_number() OVER w AS BIGINT) AS ord, CAST(turn + 1 AS INTEGER) AS track_no, regexp_replace(substr(text, 1, 30), '["\r\n]', '', 'g') AS title, role AS performer,
+_CUE = r"""c AS (SELECT conv_id AS sheet_id, CAST(row_number() OVER w AS BIGINT) AS ord, CAST(turn + 1 AS INTEGER) AS track_no, regexp_replace(text, '["\r\n]', '', 'g') AS title, role AS performer,
   CAST(turn * 4 * 60000 + (turn % 60) * 1000 + round(((turn * 7) % 75) * 1000 / 75) AS INTEGER) AS start_ms FROM {conversations} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 d AS (SELECT *, lead(start_ms) OVER (PARTITION BY sheet_id ORDER BY ord) AS end_ms FROM c)"""
 
@@ -164,7 +164,7 @@ _CLUSTERS = f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM q UNIO
 
 @query("dup_fingerprint", _CLUSTERS.replace("GROUP BY node),", "GROUP BY node)"))
 def dup_fingerprint(t: Tables):
-    return acoustic.fingerprint_groups(acoustic.fingerprint_pairs(_prints(t), BER))
+    return acoustic.fingerprint_clusters(_prints(t), BER)
 
 
 @query("fingerprint_ingest", """SELECT event_id, event_id % 5 = 4 AS rejected, CASE WHEN event_id % 5 <> 4 THEN 'AQ' || CAST(event_id AS STRING) END AS fingerprint, CASE WHEN event_id % 5 <> 4 THEN CAST(100 + event_id % 300 AS DOUBLE) END AS duration FROM {events}""")

@@ -19,7 +19,7 @@ VIEWS = {
         WHEN 2 THEN '/cd 2/02_Outro_' || CAST(page_id AS STRING) || '.flac' WHEN 3 THEN '/Thumbs.db' WHEN 4 THEN '/.hidden.txt' WHEN 5 THEN '/sheet.cue' WHEN 6 THEN '/03. Song_Name.' || CAST(page_id AS STRING) || '.ogg'
         WHEN 7 THEN '/folder.png' WHEN 8 THEN '/$RECYCLE.BIN/x' || CAST(page_id AS STRING) || '.mp3' WHEN 9 THEN '/A1 - Side ' || CAST(page_id AS STRING) || '.WAV' WHEN 10 THEN '/list.m3u' ELSE '/back-cd.jpeg' END AS rel_path FROM {pages}""",
     "page_dirs": """SELECT DISTINCT volume_id, regexp_replace(rel_path, '/[^/]*$', '') AS dir_path FROM {page_files}""",
-    "doc_files": """SELECT doc_id AS file_id, lang AS volume_id, source AS directory_id, text, n_chars AS size_bytes, substr(text, 1, 40) AS filename,
+    "doc_files": """SELECT doc_id AS file_id, lang AS volume_id, source AS directory_id, text, n_chars AS size_bytes, text AS filename,
         CASE doc_id % 9 WHEN 0 THEN 'IMAGE' WHEN 1 THEN 'CUE' WHEN 2 THEN 'TEXT' ELSE 'AUDIO' END AS file_type, CASE WHEN doc_id % 13 = 0 THEN 'ERROR' ELSE 'HASHED' END AS status FROM {documents}""",
     "tracks": """SELECT l_orderkey AS directory_id, l_orderkey * 1000000 + l_partkey * 100 + l_linenumber AS file_id, p_name AS title, p_brand AS artist, CAST(l_quantity * 60 AS DOUBLE) AS duration_sec,
         CASE WHEN l_partkey % 5 = 0 THEN '' ELSE '0' || CAST(l_linenumber AS STRING) || ' - ' END || p_brand || ' - ' || p_name || CASE WHEN l_partkey % 3 = 0 THEN ' (Official Video)' ELSE '' END || '.mp3' AS filename,

@@ -41,6 +41,19 @@ def test_bit_error_rate_and_pairs(spark):
     items = spark.createDataFrame([(1, [0, 0xFFFFFFFF], 100.0), (2, [0, 0xFFFFFFFE], 107.0), (3, [0, 0xFFFFFFFF], 107.5), (4, [], 100.0), (5, None, 100.0)], "file_id long, fp array<bigint>, duration_sec double")
     got = {(r["a"], r["b"]): r["ber"] for r in acoustic.fingerprint_pairs(items).collect()}
     assert got == {(1, 2): 1 / 64, (2, 3): 1 / 64}
+    assert {(r["a"], r["b"]): r["ber"] for r in acoustic.fingerprint_pairs(items, share=1).collect()} == got
+
+
+def test_clusters_of_equal_fingerprints(spark):
+    """Groups are those of all pairs, with copies, empty and missing fingerprints among the items; buckets are cut into parts."""
+    rng = random.Random(3)
+    prints = [[rng.randrange(1 << 32) for _ in range(2)] for _ in range(6)] + [[]]
+    rows = [(i, rng.choice(prints), 100.0 + 3 * rng.randrange(5)) for i in range(60)]
+    rows += [(100 + i, [rng.choice(prints)[0] ^ (1 << rng.randrange(32)), 7], 103.0) for i in range(10)] + [(200, None, 100.0), (201, [], 100.0), (202, [1], None)]
+    items = spark.createDataFrame(rows, "file_id long, fp array<bigint>, duration_sec double")
+    got = {(r["group_id"], r["file_id"], r["n_members"]) for r in acoustic.fingerprint_clusters(items).collect()}
+    want = {(r["group_id"], r["file_id"], r["n_members"]) for r in acoustic.fingerprint_groups(acoustic.fingerprint_pairs(items, share=7)).collect()}
+    assert got == want and len(want) > 40
 
 
 def test_decode_fingerprint():
