@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, chunks, mix64, random64, word_hashes, written
+from .shared import Scratch, U64, chunks, mix64, random64, word_hashes
 
 BUCKETS = 1 << 15
 RANK = 64
@@ -138,9 +138,9 @@ def _passages(texts: DataFrame) -> DataFrame:
 
 
 def fitted_passages(gathered: DataFrame, items: DataFrame, fit_passages: int) -> DataFrame:
-    """What the basis is fitted on: the first ``fit_passages`` passages of documents by hash, and all of the items, dealt over ``FIT_TASKS`` files."""
+    """What the basis is fitted on: the first ``fit_passages`` passages of documents by hash, and all of the items, dealt over ``FIT_TASKS`` tasks."""
     sample = gathered.where("key IS NOT NULL").select("key", "words").dropDuplicates(["key"]).orderBy("key").limit(fit_passages).select("words")
-    return written(sample.unionByName(_passages(items.select("text"))).repartition(FIT_TASKS), "lsi-passages")
+    return sample.unionByName(_passages(items.select("text"))).repartition(FIT_TASKS)
 
 
 def latent_basis(passages: DataFrame, idf: np.ndarray, rounds: int = 2, extra: int = 8) -> np.ndarray:
@@ -354,13 +354,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, fit_passages: int = FIT_
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text"), answer.alias("answer"))
-    seen = written(gathered(rows.select("text"), fit_passages), "lsi-documents")
+    scratch = Scratch(docs.sparkSession, "lsi")
+    seen = scratch.written(gathered(rows.select("text"), fit_passages), "documents")
     frequency, n = document_frequencies(seen)
     idf = np.log((1 + n) / (1 + frequency)) + 1  # positive, so that words all documents hold count too
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size["n"] // ITEM_BLOCK), -(-size["bytes"] // (2 * BLOCK_WORDS)))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    vectors = (idf[:, None] * latent_basis(fitted_passages(seen, items, fit_passages), idf)).astype(np.float32)
+    passages = scratch.written(fitted_passages(seen, items, fit_passages), "passages")
+    vectors = (idf[:, None] * latent_basis(passages, idf)).astype(np.float32)
+    scratch.drop()
     found = None
     for block in range(blocks):
         part = dealt.where(F.col("block") == block)

@@ -6,7 +6,8 @@ only at lengths, and pieces of one length are interchangeable, so the placing ru
 finds the tightest open window that still fits, and runs of equal windows are handled as one. The result is exactly what the
 piece-by-piece algorithm gives for the whole input at once; it is a list of ranges (length, first rank, end rank,
 first window, offset) that grows with the window size, not with the input. Pieces take their place by their rank within their length,
-counted per task plus offsets per (task, length): no piece is shuffled to be ranked.
+counted per task plus offsets per (task, length): no piece is shuffled to be ranked. So pieces of one length change places with the way that the input is split into files; the
+windows stay as well filled.
 
 Defined results: a null text is an empty one and packs as its end token alone; equal rows are packed separately; a null id stays
 null; an empty table gives an empty result; other columns are ignored.

@@ -290,3 +290,41 @@ def test_stages_decide_on_rows_not_on_ids(spark, small):
     assert {k: n for k, n in got.items() if k[0] != 4} == Counter(want) and sum(n for k, n in got.items() if k[0] == 4) == 1
     kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.clean(spark, out, small).collect())
     assert kept == got - Counter([(None, dirty), (5, other)])
+
+
+def test_run_is_the_stages_one_after_another(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small)
+    whole = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, small).collect())
+    assert whole == Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in docs.collect()) and len(whole) > 100
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_of_an_empty_table(spark, small, at):
+    """And of nulls in every column, columns that clash and rows that repeat."""
+    name, stage = corpus_pipeline.STAGES[at]
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumns({"node": F.lit(1), "row_key": F.lit("x"), "label": F.lit(None).cast("string")})
+    assert stage(spark, docs.where("false"), small).count() == 0
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(None, None, None, None, None, None, None, None)] * 2 + [(1, "", None, None, None, None, None, None), (1, "only words of a plain text", None, "s", 3, 1, "y", "z")], docs.schema))
+    rows = stage(spark, odd, small).collect()
+    kept = {"language_id": 0, "near_dedup": 3, "decontaminate": 4, "redact_pii": 4, "pack": 4}  # without labels no language is learned
+    assert len(rows) == kept[name]
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(2)
+    words = ["w" + str(rng.randrange(50_000)) for _ in range(150_000)]
+    near = list(words)
+    for i in range(0, len(near), 200):
+        near[i] = "changed"
+    far = words[:70_000] + ["v" + str(rng.randrange(50_000)) for _ in range(80_000)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((words, near, far))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect()) == [(0, 0), (1, 0), (2, 2)]
+
+
+def test_top_k_with_clashing_columns_and_overlong_components(spark):
+    df = spark.createDataFrame([(50, [1.0, 2.0], 1, 2), (51, [1e30, 0.0], 1, 2), (52, [3.0], 1, 2), (53, [0.5, 0.5, 9.0], 1, 2)], "vec_id long, embedding array<double>, cell int, part int")
+    data = df.select("vec_id", mtree.quantised(F.col("embedding")).alias("q")).where("q IS NOT NULL AND vec_id <> 51").distinct()
+    got = [tuple(r) for r in mtree.top_k(data, data.where("vec_id % 50 = 0")).collect()]
+    assert sorted(got) == [(50, 1, 52, 768 * 256), (50, 2, 53, 128 * 256 + 128 * 512)]

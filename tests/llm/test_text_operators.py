@@ -507,3 +507,13 @@ def test_chat_round_trip(spark):
             ok, state = ok and r in chat.CHAT.follows.get(state, ()), r
         assert rows[c]["valid"] is (ok and state in chat.CHAT.accepting)
     assert chat.digest(chat.format_chats(df.where("false"))).count() == 0
+    # the segments are the formatted text, so the loss mask is one of its characters
+    for r in chat.format_chats(df).collect():
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+
+
+def test_chat_of_very_long_texts(spark):
+    long = "<a|b>\\ " * 200_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    r = chat.digest(chat.format_chats(df)).first()
+    assert (r["loss_chars"], r["loss_sha256"], r["valid"]) == (len(long), hashlib.sha256(long.encode()).hexdigest(), True)
