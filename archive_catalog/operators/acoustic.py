@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,52 +66,73 @@ def fingerprint_groups(pairs: DataFrame) -> DataFrame:
     return labels.join(sizes, "label").select(F.lit("AUDIO_FINGERPRINT").alias("kind"), F.col("label").alias("group_id"), F.col("node").alias("file_id"), "n_members")
 
 
-def _unpack(bits: np.ndarray, at: int, width: int) -> np.ndarray:
-    """Groups of ``width`` bits from bit ``at`` on, least bit first."""
-    n = (len(bits) - at) // width
-    return (bits[at : at + n * width].reshape(n, width).astype(np.int64) << np.arange(width)).sum(axis=1)
+def _fields(bits: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of ``width`` bits, least bit first: ``count[i]`` of them from bit ``first[i]`` on, for all i one after the other."""
+    at = np.repeat(first, count) + width * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    return (bits[at[:, None] + np.arange(width)].astype(np.int64) << np.arange(width)).sum(axis=1) if len(at) else np.zeros(0, np.int64)
+
+
+def _ranks(owner: np.ndarray, n: int) -> np.ndarray:
+    """Place of each element among those of its owner; owners don't fall."""
+    count = np.bincount(owner, minlength=n)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def decode_one(text: str) -> list[int] | None:
-    """Sub-fingerprints of a compressed fingerprint; null if malformed.
+def decode_many(raw: list[bytes | None]) -> list[np.ndarray | None]:
+    """Sub-fingerprints of compressed fingerprints, all of a batch at once; null where malformed.
 
     After a head of four bytes (the last three: the number of words) come 3-bit steps between set bits, ending with 0 for each word; a
     step of 7 takes a 5-bit addition from the part that follows. Words are XORed with their predecessor.
     """
-    try:
-        raw = base64.urlsafe_b64decode(text.replace("+", "-").replace("/", "_") + "=" * (-len(text) % 4))
-    except (ValueError, AttributeError):
-        return None
-    size = int.from_bytes(raw[1:4], "big") if len(raw) >= 4 else 0
-    if not 0 < size <= 1_000_000:
-        return None
-    bits = np.unpackbits(np.frombuffer(raw[4:], np.uint8), bitorder="little")
-    steps = _unpack(bits, 0, 3)
-    ends = np.flatnonzero(steps == 0)
-    if len(ends) < size:
-        return None
-    steps = steps[: ends[size - 1] + 1]
+    n = len(raw)
+    size = np.array([int.from_bytes(r[1:4], "big") if r is not None and len(r) >= 4 else 0 for r in raw], np.int64)
+    length = np.array([max(0, len(r) - 4) if r is not None else 0 for r in raw], np.int64)
+    good = (size > 0) & (size <= length * 8 // 3)  # a word takes one step at least
+    length[~good] = 0
+    bits = np.unpackbits(np.frombuffer(b"".join(r[4:] for r, g in zip(raw, good, strict=True) if g), np.uint8), bitorder="little")
+    start = (np.cumsum(length) - length) * 8
+    count = length * 8 // 3
+    steps, owner = _fields(bits, start, count, 3), np.repeat(np.arange(n), count)
+    before = np.cumsum(steps == 0) - (steps == 0)  # words that ended before, in all
+    ended = np.bincount(owner[steps == 0], minlength=n)
+    good &= ended >= size
+    word = before - np.repeat(np.cumsum(ended) - ended, count)
+    use = (word < np.repeat(size, count)) & good[owner]
+    steps, owner, word = steps[use], owner[use], word[use]
     wide = np.flatnonzero(steps == 7)
-    at = -(-len(steps) * 3 // 8) * 8
-    more = _unpack(bits, at, 5)
-    if len(more) < len(wide):
-        return None
-    steps[wide] += more[: len(wide)]
-    word = np.cumsum(steps == 0) - (steps == 0)
+    used = np.bincount(owner, minlength=n)
+    more = np.bincount(owner[wide], minlength=n)
+    at = -(-used * 3 // 8) * 8
+    good &= at + 5 * more <= length * 8
+    more[~good] = 0
+    wide = wide[good[owner[wide]]]
+    steps[wide] += _fields(bits, start + at, more, 5)
     total = np.cumsum(steps)
-    base = np.concatenate(([0], total[np.flatnonzero(steps == 0)]))[word]
-    place = total - base - 1
-    ok = steps > 0
-    if (place[ok] > 31).any():
-        return None
-    words = np.zeros(size, np.int64)
-    np.bitwise_xor.at(words, word[ok], 1 << place[ok])
-    return np.bitwise_xor.accumulate(words).tolist()
+    new = np.ones(len(steps), bool)
+    new[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+    place = total - np.repeat((total - steps)[new], np.diff(np.append(np.flatnonzero(new), len(steps)))) - 1
+    set_ = steps > 0
+    good[np.unique(owner[set_ & (place > 31)])] = False
+    set_ &= good[owner]
+    held = np.where(good, size, 0)
+    base = np.cumsum(held) - held
+    words = np.zeros(held.sum(), np.int64)
+    np.bitwise_xor.at(words, base[owner[set_]] + word[set_], np.int64(1) << place[set_])
+    whole = np.bitwise_xor.accumulate(words)
+    whole ^= np.repeat(np.concatenate(([0], whole))[base], held)  # each print begins anew
+    return [whole[b : b + k] if g else None for b, k, g in zip(base, held, good, strict=True)]
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def decode_fingerprint(text: pd.Series) -> pd.Series:
-    return text.map(decode_one, na_action="ignore")
+def _decoded(raw: pd.Series) -> pd.Series:
+    return pd.Series(decode_many(list(raw)), dtype=object)
+
+
+def decode_fingerprint(text: Column) -> Column:
+    """Sub-fingerprints of base64 texts, in either alphabet, padded or not; null if malformed."""
+    plain = F.rtrim(F.translate(text, "-_", "+/"), F.lit("="))
+    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
+    return _decoded(F.try_to_binary(padded, F.lit("base64")))
 
 
 def merge_acoustic(audio: DataFrame, computed: DataFrame) -> DataFrame:

@@ -49,24 +49,48 @@ def test_clusters_of_equal_fingerprints(spark):
     rng = random.Random(3)
     prints = [[rng.randrange(1 << 32) for _ in range(2)] for _ in range(6)] + [[]]
     rows = [(i, rng.choice(prints), 100.0 + 3 * rng.randrange(5)) for i in range(60)]
-    rows += [(100 + i, [rng.choice(prints)[0] ^ (1 << rng.randrange(32)), 7], 103.0) for i in range(10)] + [(200, None, 100.0), (201, [], 100.0), (202, [1], None)]
+    rows += [(100 + i, [rng.choice(prints[:6])[0] ^ (1 << rng.randrange(32)), 7], 103.0) for i in range(10)] + [(200, None, 100.0), (201, [], 100.0), (202, [1], None)]
     items = spark.createDataFrame(rows, "file_id long, fp array<bigint>, duration_sec double")
     got = {(r["group_id"], r["file_id"], r["n_members"]) for r in acoustic.fingerprint_clusters(items).collect()}
     want = {(r["group_id"], r["file_id"], r["n_members"]) for r in acoustic.fingerprint_groups(acoustic.fingerprint_pairs(items, share=7)).collect()}
     assert got == want and len(want) > 40
 
 
-def test_decode_fingerprint():
+def compressed(words, head=b"\x01"):
+    """A plain encoder: steps between set bits of each word XORed with the one before."""
+    steps, more, last = [], [], 0
+    for w in words:
+        at = 0
+        for bit in range(32):
+            if (w ^ last) >> bit & 1:
+                step, at = bit + 1 - at, bit + 1
+                steps.append(min(step, 7))
+                if step >= 7:
+                    more.append(step - 7)
+        steps.append(0)
+        last = w
+    out = b""
+    for values, width in ((steps, 3), (more, 5)):
+        bits = "".join(format(v, f"0{width}b")[::-1] for v in values)
+        bits += "0" * (-len(bits) % 8)
+        out += bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    return head + len(words).to_bytes(3, "big") + out
+
+
+def test_decode_fingerprint(spark):
     import base64
 
-    # word 0: bits 0 and 2 (steps 1, 2, end); word 1: bit 9 (step 7 + 3, end), XORed with word 0
-    bits = "".join(format(v, "03b")[::-1] for v in (1, 2, 0, 7, 0))
-    bits += "0" * (-len(bits) % 8) + format(3, "05b")[::-1]
-    bits += "0" * (-len(bits) % 8)
-    raw = bytes([1, 0, 0, 2]) + bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
-    text = base64.urlsafe_b64encode(raw).decode().rstrip("=")
-    assert acoustic.decode_one(text) == [5, 5 ^ (1 << 9)]
-    assert acoustic.decode_one("AQ") is None and acoustic.decode_one("AQAAAA") is None
+    rng = random.Random(1)
+    prints = [[5, 5 ^ (1 << 9)], [0], [0xFFFFFFFF, 1, 1 << 31]] + [[rng.randrange(1 << 32) & rng.randrange(1 << 32) for _ in range(rng.randrange(1, 60))] for _ in range(40)]
+    raw = [compressed(p) for p in prints]
+    bad = [b"", b"\x01\x00", b"\x01\x00\x00\x00", b"\x01\x00\x00\x05\x00", b"\x01\x0f\xff\xff" + b"\x00" * 9, raw[0][:-1], b"\x01\x00\x00\x01" + b"\xff" * 3]
+    mixed = [x for pair in zip(raw, bad * 7, strict=False) for x in pair]
+    got = [None if x is None else x.tolist() for x in acoustic.decode_many(mixed)]
+    assert got[::2] == prints and not any(got[1::2])
+    texts = [base64.urlsafe_b64encode(raw[3]).decode().rstrip("="), base64.b64encode(raw[4]).decode(), "AQ", "not base64!", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    assert [r["w"] for r in df.select("i", acoustic.decode_fingerprint(F.col("t")).alias("w")).orderBy("i").collect()] == [prints[3], prints[4], None, None, None]
+    assert acoustic.decode_many([]) == []
 
 
 def test_upsert_is_idempotent(spark):
