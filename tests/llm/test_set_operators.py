@@ -304,7 +304,7 @@ def test_run_is_the_stages_one_after_another(spark, small):
 def test_stages_of_an_empty_table(spark, small, at):
     """And of nulls in every column, columns that clash and rows that repeat."""
     name, stage = corpus_pipeline.STAGES[at]
-    docs = spark.read.parquet(f"{small}/documents.parquet").withColumns({"node": F.lit(1), "row_key": F.lit("x"), "label": F.lit(None).cast("string")})
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumns({"node": F.lit(None).cast("int"), "row_key": F.lit(None).cast("string"), "label": F.lit(None).cast("string")})
     assert stage(spark, docs.where("false"), small).count() == 0
     odd = docs.limit(0).unionByName(spark.createDataFrame([(None, None, None, None, None, None, None, None)] * 2 + [(1, "", None, None, None, None, None, None), (1, "only words of a plain text", None, "s", 3, 1, "y", "z")], docs.schema))
     rows = stage(spark, odd, small).collect()
