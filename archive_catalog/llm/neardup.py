@@ -143,9 +143,10 @@ def _candidate_sets(docs: DataFrame, nodes: DataFrame, band: Banding, scratch: S
 
 def candidate_groups(classes: DataFrame, docs: DataFrame, band: Banding, scratch: Scratch) -> DataFrame | None:
     """(label, node, shingles) of the classes that may link with another of their group; null if there are none."""
-    cells = _cells(classes, band)
+    # each class makes many cells: dealt evenly over as many tasks as a shuffle has, so that none aggregates more than its share
+    cells = _cells(classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), band)
     hot = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("cell")
-    members = scratch.written(cells.join(hot, "cell").distinct(), "cells")
+    members = scratch.written(cells.join(hot, "cell"), "cells")
     nodes = scratch.written(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "n_shingles"), "nodes")
     sets = _candidate_sets(docs, nodes, band, scratch)
     held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
