@@ -188,11 +188,18 @@ def quantised(vector: Column) -> Column:
     return F.when(fine, F.transform(F.when(fine, x), lambda v: F.floor(v * 256).cast("long")))
 
 
-def _matrix(column, wide: int | None = None) -> np.ndarray:
-    """Rows of integers, zeros beyond their length."""
-    rows = [np.asarray(v, np.int64) for v in column]
-    wide = max([wide or 1, *map(len, rows)])
-    return np.stack([np.pad(v, (0, wide - len(v))) for v in rows]) if rows else np.zeros((0, wide), np.int64)
+def _matrix(column, wide: int = 1) -> np.ndarray:
+    """Rows of integers from an Arrow list column or a sequence of arrays, zeros beyond their length; ``wide`` columns at least."""
+    if isinstance(column, pa.ListArray):
+        ends = column.offsets.to_numpy()
+        flat, sizes = column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends)
+    else:
+        rows = [np.asarray(v, np.int64) for v in column]
+        flat, sizes = np.concatenate([np.empty(0, np.int64), *rows]), np.array([len(v) for v in rows], np.int64)
+    wide = max(wide, int(sizes.max(initial=0)))
+    out = np.zeros((len(sizes), wide), np.int64)
+    out[np.arange(wide)[None, :] < sizes[:, None]] = flat
+    return out
 
 
 def pivots_of(vectors: DataFrame, most: int) -> np.ndarray:
@@ -217,7 +224,7 @@ def placed(rows: DataFrame, pivots: np.ndarray, best: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _matrix(b.column("q").to_pylist(), pivots.shape[1]).astype(np.float64)
+            v = _matrix(b.column("q"), pivots.shape[1]).astype(np.float64)
             p = _fit(pivots, v.shape[1])
             product = v @ p.T
             away = (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * product
@@ -289,7 +296,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _matrix(b.column("q").to_pylist(), pivots.shape[1]).astype(np.float64)
+            v = _matrix(b.column("q"), pivots.shape[1]).astype(np.float64)
             p = _fit(pivots[known], v.shape[1])
             most = v @ p.T + np.linalg.norm(v, axis=1)[:, None] * radii[None, :]
             most += 1e-6 * (1 + np.abs(most))
