@@ -250,16 +250,39 @@ def near_duplicates(docs: DataFrame, band: Banding = Banding(), key: str = "doc_
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs = written(signatures(rows, band), "minhash-signatures")
     labels = class_components(rows.withColumnRenamed("doc_id", "id"), sigs, band)
-    marked = sigs.select("doc_id", "n_shingles", "node")
-    # classes in no component are components of their own; a hot class is counted with partial aggregation and joined back
-    marked = marked.withColumn("label", F.col("node")) if labels is None else marked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = marked.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return marked.join(smallest, "label", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce(F.coalesce("least", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept")
-    )
+    # by class first: what the rows are joined with is a written table of one row a class, so that a hot class can be split
+    named = sigs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    if labels is not None:
+        scratch = Scratch(docs.sparkSession, "minhash-labels")
+        known = scratch.written(named.join(labels, "node"), "known")
+        first = scratch.written(known.groupBy("label").agg(F.min("least").alias("first")), "first")
+        linked = known.join(first, "label").select("node", "first")
+        named = named.join(linked, "node", "left").select("node", F.coalesce("first", "least").alias("least"))
+        named = written(named, "minhash-components")
+        scratch.drop()
+    else:
+        named = written(named, "minhash-components")
+    kept = F.coalesce(F.coalesce("least", "doc_id") == F.col("doc_id"), F.lit(False))
+    return sigs.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import table
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 4 THEN list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)])
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, hash(unnest(shingles)) AS shingle FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, count(*) AS k FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (SELECT x, y FROM p WHERE 100 * k >= 80 * (n - k)),
+t AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS hit FROM t UNION SELECT r.doc_id, t.y FROM r JOIN t ON r.hit = t.x),
+c AS (SELECT doc_id, min(hit) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+"""

@@ -6,7 +6,7 @@ from .chat import OP6_SQL, op6_chat_format
 from .decontaminate import op7_lsi_decontaminate
 from .langid import op8_ecoc_langid
 from .mtree import OP5_SQL, op5_mtree_topk
-from .neardup import op3_minhash_neardup
+from .neardup import OP3_SQL, op3_minhash_neardup
 from .packing import op4_best_fit_packing
 from .pii import op2_semicrf_pii
 from .secrets import op1_secret_links
@@ -20,4 +20,4 @@ QUERIES = {
         op6_chat_format, op7_lsi_decontaminate, op8_ecoc_langid, op9_url_rules, op10_ring_shards,
     )
 }
-ORACLES = {"op5_mtree_topk": OP5_SQL, "op6_chat_format": OP6_SQL}
+ORACLES = {"op3_minhash_neardup": OP3_SQL, "op5_mtree_topk": OP5_SQL, "op6_chat_format": OP6_SQL}
