@@ -13,7 +13,17 @@ from ..operators.graph import shared_folder
 U64 = np.uint64
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python in batches of so many rows at most: a batch of the default 10,000 is held on both sides at once, in buffers twice its size."""
+    if int(spark.conf.get(ARROW_ROWS)) > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
