@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, U64, chunks, mix64, random64, word_hashes
+from .shared import Scratch, U64, chunks, mix64, random64, released, word_hashes
 
 BUCKETS = 1 << 15
 RANK = 64
@@ -323,6 +323,7 @@ def find_items(docs: DataFrame, vectors: np.ndarray, idf: np.ndarray, items: lis
     shared = docs.sparkSession.sparkContext.broadcast((vectors, idf, items))  # BUCKETS x RANK numbers and a block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         search = Searcher(*shared.value)
         for b in batches:
             for lo, hi in chunks(b.column("text"), 500, 1 << 21):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks, written
+from .shared import chunks, released, written
 
 WINDOW = 2048
 END_ID = 1
@@ -193,6 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        released()
         task, seen, encode = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64), WordTokens(tokenizer_path)
         for b in batches:
             for lo, hi in chunks(b.column("text"), 2000, 1 << 23):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import shared_folder
@@ -48,6 +50,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).written(df, "rows")
 
 
+def released() -> None:
+    """Memory that earlier tasks of this Python worker no longer use goes back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = x ^ (x >> U64(30))
