@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archive_catalog.llm import chat, decontaminate, langid, packing, pii, secrets
+from archive_catalog.llm.shared import written
 
 DOC = "doc_id long, text string, lang string, kind string, task int, node long"
 
@@ -432,7 +433,7 @@ def test_recall_of_the_latent_search(spark, small, monkeypatch):
 
     kinds = {"given": items, 8: [passage(8) for _ in range(40)], 127: [passage(127) for _ in range(15)], 200: [passage(200) for _ in range(15)]}
     bench = spark.createDataFrame([(t,) for xs in kinds.values() for t in xs], "text string")
-    seen = decontaminate.written(decontaminate.gathered(corpus, 2000), "lsi-documents")
+    seen = written(decontaminate.gathered(corpus, 2000), "lsi-documents")
     frequency, n = decontaminate.document_frequencies(seen)
     idf = np.log((1 + n) / (1 + frequency)) + 1
     vectors = (idf[:, None] * decontaminate.latent_basis(decontaminate.fitted_passages(seen, bench, 2000), idf)).astype(np.float32)
@@ -463,7 +464,7 @@ def test_long_texts_are_searched_in_slices(monkeypatch):
 def test_basis_is_fitted_on_documents_and_whole_items(spark):
     texts = [" ".join(f"d{i % 7}x{j}" for j in range(30)) for i in range(40)] + [None, ""]
     items = docs(spark, [" ".join(f"i{j}" for j in range(100)), None])
-    seen = decontaminate.written(decontaminate.gathered(docs(spark, texts).select("text").repartition(3), 500), "lsi-documents")
+    seen = written(decontaminate.gathered(docs(spark, texts).select("text").repartition(3), 500), "lsi-documents")
     assert decontaminate.document_frequencies(seen)[1] == len(texts)
     fitted = decontaminate.fitted_passages(seen, items, 500)
     rows = [r["words"] for r in fitted.collect()]
