@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
 
@@ -50,6 +51,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).written(df, "rows")
 
 
+def heaviest(counts: DataFrame, weight: str, most: int) -> DataFrame:
+    """At most ``most`` rows of the greatest weights (1 or more): all above a bound taken from a histogram of weights, whose steps are sixteenths of a power of two."""
+    step = F.floor(F.log2(weight) * 16)
+    total, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # 1,024 rows at most
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 def released() -> None:
     """Memory that earlier tasks of this Python worker no longer use goes back to the system: workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
