@@ -3,7 +3,7 @@
 Both tokenizers encode each text whole. Where both have a token that ends at the same byte and the next tokens of both begin with a space
 mark, an anchor splits the document into windows: a tuple of ids of the one, a tuple of ids of the other, over the same bytes. Windows recur, as words do, so the
 alignment of a window (its groups between shared ends, its links between overlapping tokens) is made once and kept by its id tuples
-in a memo of bounded size. Before any of that the joined bytes of either side are compared with the text.
+in a memo of bounded size. Neither vocabulary has a token with a space after another character, so what stands between single spaces is encoded on its own, and recent encodings are kept as well. Before any of that the joined bytes of either side are compared with the text.
 
 How often a pair of ids is linked in the whole corpus is summed from each task's counts of windows. Of these sums the most frequent pairs (``HEAD`` at most) travel to
 the tasks that look them up; links with rarer pairs are joined with the table of sums, so every link gets its exact count and no key of that join is hot.
@@ -21,6 +21,8 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,22 @@ from .shared import Scratch, chunks, heaviest
 
 #: Pairs of ids that travel to the tasks: 17 bytes each.
 HEAD = 1 << 18
-#: Windows, and bytes of their ids, that a memo holds at most.
-MEMO, MEMO_BYTES = 1 << 17, 1 << 24
-_SPLIT = b"\xff\xff\xff\xff"
+#: Windows, and bytes of their ids, that a memo holds at most; likewise pieces of text whose ids are kept.
+MEMO, MEMO_BYTES = 1 << 18, 1 << 24
+PIECES, PIECES_BYTES = 1 << 18, 1 << 23
 #: Characters that both encoders of the first vocabulary class alike, as tests confirm.
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ–-…]*")
-_LONG_WORD = re.compile(r"\S{400}")
+_LONG = 400
+#: Single spaces, at which no token of either side goes on.
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+_WIDE = re.compile(r"\s\s")
+
+
+def pieces_of(text: str) -> list[str]:
+    """``text`` without the single spaces between other characters, in pieces."""
+    if not text or text[0].isspace() or text[-1].isspace() or _WIDE.search(text):
+        return _GAP.split(text) if text else []
+    return text.split(" ")
 #: How the byte-level vocabulary splits texts (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -91,25 +103,64 @@ class Encoders:
         written = [self.pieces.id_to_piece(i) for i in range(self.pieces.vocab_size())]
         self.second = Vocabulary.of([bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(written)])
 
-    def encode_first(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) and not _LONG_WORD.search(text):
-            return self.fast.encode_to_numpy(" " + text, disallowed_special=())
-        return np.asarray(self.tokenizer.encode(" " + text, add_special_tokens=False).ids, np.uint32)
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
+
+    def encode_first(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each as if a space stood before it: plain ones are encoded as one text and cut where their bytes end."""
+        plain = [i for i, p in enumerate(pieces) if len(p) < _LONG and not (p[0].isspace() or p[-1].isspace()) and _PLAIN.fullmatch(p)]
+        out: list[bytes] = [b""] * len(pieces)
+        if plain:
+            ids = self.fast.encode_to_numpy(" " + " ".join([pieces[i] for i in plain]), disallowed_special=())
+            ends = np.cumsum([1 + len(pieces[i].encode()) for i in plain])
+            cut, raw = [0, *(4 * np.searchsorted(np.cumsum(self.first.size[ids]), ends, "left") + 4).tolist()], ids.tobytes()
+            for i, s, e in zip(plain, cut[:-1], cut[1:], strict=True):
+                out[i] = raw[s:e]
+        others = set(range(len(pieces))).difference(plain)
+        for i in others:
+            out[i] = np.asarray(self.tokenizer.encode(" " + pieces[i], add_special_tokens=False).ids, np.uint32).tobytes()
+        return out
+
+    def encode_second(self, pieces: list[str]) -> list[bytes]:
+        ids = self.pieces.encode(pieces, num_threads=1)
+        upto = [0, *(4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()]
+        raw = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
+        return [raw[s:e] for s, e in zip(upto[:-1], upto[1:], strict=True)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Keeps the ids of ``pieces``, each as if a space stood before it; those that the older half has move to the newer one."""
+        known = [p for p in pieces if p in self.older]
+        self.kept.update((p, self.older[p]) for p in known)
+        new = list(pieces.difference(known))
+        self.kept.update(zip(new, zip(self.encode_first(new), self.encode_second(new), strict=True), strict=True))
+        self.held += sum(map(len, pieces))
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids by either, of texts whose bytes both give back; others have none."""
-        none, out = np.empty(0, np.uint32), []
-        for text, two in zip(texts, self.pieces.encode([t or "" for t in texts], num_threads=1), strict=True):
+        cut = [pieces_of(t or "") for t in texts]
+        if len(self.kept) > PIECES // 2 or self.held > PIECES_BYTES // 2:
+            self.older, self.kept, self.held = self.kept, {}, 0
+        self.learn(set(chain.from_iterable(cut)).difference(self.kept))
+        none, out, get = np.empty(0, np.uint32), [], self.kept.__getitem__
+        for text, own in zip(texts, cut, strict=True):
             pair = (none, none)
             if text:
                 raw = np.frombuffer(f" {text}".encode("utf-8", "surrogatepass"), np.uint8)
-                one, two = self.encode_first(text), np.asarray(two, np.uint32)
+                got = list(map(get, own))
+                one, two = (np.frombuffer(b"".join([g[i] for g in got]), np.uint32) for i in (0, 1))
                 if np.array_equal(self.first.spelled(one), raw) and np.array_equal(self.second.spelled(two), raw):
                     pair = (one, two)
             out.append(pair)
         return out
 
 
+@lru_cache(1)
+def encoders(byte_level_path: str, piece_path: str) -> Encoders:
+    """One for all tasks of a Python worker."""
+    return Encoders(byte_level_path, piece_path)
+
+
 @dataclass
 class Windows:
     """Windows of documents laid end to end: ids of both sides and the bounds of windows in them; ``per_doc`` counts them."""
@@ -121,9 +172,22 @@ class Windows:
     per_doc: np.ndarray
 
     def keys(self) -> list[bytes]:
-        a, b = self.one.astype("<u4").tobytes(), self.two.astype("<u4").tobytes()
-        p, q = (4 * self.one_at).tolist(), (4 * self.two_at).tolist()
-        return [a[s:e] + _SPLIT + b[u:v] for s, e, u, v in zip(p[:-1], p[1:], q[:-1], q[1:], strict=True)]
+        """The id tuples of all windows, as bytes: those of the one side, a mark, those of the other."""
+        n_one, n_two, n = np.diff(self.one_at), np.diff(self.two_at), np.arange(len(self.one_at) - 1)
+        at = 4 * (self.one_at + self.two_at + np.arange(len(self.one_at)))
+        flat = np.full(len(self.one) + len(self.two) + len(n), 0xFFFFFFFF, np.uint32)
+        flat[np.arange(len(self.one)) + np.repeat(self.two_at[:-1] + n, n_one)] = self.one
+        flat[np.arange(len(self.two)) + np.repeat(self.one_at[1:] + n + 1, n_two)] = self.two
+        raw, at = flat.tobytes(), at.tolist()
+        return [raw[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+
+    def chosen(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some windows laid end to end, by the one side and the other, and how many of each."""
+        out = []
+        for ids, at in ((self.one, self.one_at), (self.two, self.two_at)):
+            n = at[which + 1] - at[which]
+            out += [ids[np.arange(n.sum()) + np.repeat(at[which] - (np.cumsum(n) - n), n)], n]
+        return out[0], out[2], out[1], out[3]
 
 
 def windows(first: Vocabulary, second: Vocabulary, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Windows:
@@ -162,13 +226,8 @@ class Aligner:
         names = lambda v, end: np.array([f"{i}{end}" for i in range(len(v.size))], object)
         self.names = [names(first, ","), names(first, "|"), names(second, ","), names(second, ";")]
 
-    def __call__(self, keys: list[bytes], spelled: bool = True) -> Aligned:
+    def __call__(self, one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray, spelled: bool = True) -> Aligned:
         """Aligns windows, all in one go: their bytes are laid end to end."""
-        ids = [np.frombuffer(k, "<u4") for k in keys]
-        mid = [int(np.flatnonzero(x == 0xFFFFFFFF)[0]) for x in ids]
-        one, two = np.concatenate([x[:m] for x, m in zip(ids, mid, strict=True)]), np.concatenate([x[m + 1 :] for x, m in zip(ids, mid, strict=True)])
-        n_one = np.array(mid)
-        n_two = np.array([len(x) for x in ids]) - n_one - 1
         size_one, size_two = self.first.size[one], self.second.size[two]
         ends_one, ends_two = np.cumsum(size_one), np.cumsum(size_two)
         lo, hi = np.searchsorted(ends_two, ends_one - size_one, "right"), np.searchsorted(ends_two - size_two, ends_one, "left")
@@ -198,27 +257,61 @@ class Aligner:
 
 
 class Memo:
-    """Numbers of windows by their ids; ``learn`` is called with the keys that are new. Forgets all once it is full, at the end of a batch."""
+    """Numbers of windows by their ids, and how often each came; ``learn`` is called with the ids of new windows."""
 
     def __init__(self, learn):
-        self.learn, self.numbers, self.held = learn, {}, 0
+        self.learn, self.numbers, self.held, self.times = learn, {}, 0, np.zeros(0, np.int64)
 
     def full(self) -> bool:
         return len(self.numbers) >= MEMO or self.held >= MEMO_BYTES
 
-    def clear(self) -> None:
-        self.numbers, self.held = {}, 0
-
-    def __call__(self, keys: list[bytes]) -> np.ndarray:
+    def forget(self) -> np.ndarray:
+        """Forgets all windows but the quarter that came most often, if more than once; which those were, for their numbers begin anew."""
+        most = max(2, int(np.sort(self.times)[-(len(self.times) // 4 + 1)])) if len(self.times) else 0
+        stay, keys = np.flatnonzero(self.times > most), list(self.numbers)
+        keys = [keys[i] for i in stay.tolist()]
+        self.numbers, self.held, self.times = dict(zip(keys, range(len(keys)), strict=True)), sum(map(len, keys)), np.zeros(len(keys), np.int64)
+        if self.full():  # by very long windows
+            self.numbers, self.held, self.times, stay = {}, 0, self.times[:0], stay[:0]
+        return stay
+
+    def __call__(self, cut: Windows) -> np.ndarray:
+        keys = cut.keys()
         got = list(map(self.numbers.get, keys))
         if None in got:
-            new = list(dict.fromkeys(k for k, g in zip(keys, got, strict=True) if g is None))
-            self.learn(new)
-            for k in new:
-                self.numbers[k] = len(self.numbers)
-                self.held += len(k)
-            got = list(map(self.numbers.__getitem__, keys))
-        return np.array(got, np.int64)
+            new = {k: i for i, (k, g) in enumerate(zip(keys, got, strict=True)) if g is None}
+            self.learn(*cut.chosen(np.fromiter(new.values(), np.int64, len(new))))
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            self.held += sum(map(len, new))
+            got = [self.numbers[k] if g is None else g for k, g in zip(keys, got, strict=True)]
+        out = np.array(got, np.int64)
+        self.times = np.bincount(out, minlength=len(self.numbers)) + np.append(self.times, np.zeros(len(self.numbers) - len(self.times), np.int64))
+        return out
+
+
+@dataclass
+class Kept:
+    """What is known of the windows in a memo, by their numbers: spelled groups, counts, links."""
+
+    spelled: list[str]
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray
+
+    @classmethod
+    def none(cls) -> Kept:
+        zero = np.zeros(0, np.int64)
+        return cls([], zero, zero, zero)
+
+    def add(self, got: Aligned) -> None:
+        self.spelled += got.groups
+        self.n_groups, self.n_links = np.append(self.n_groups, got.n_groups), np.append(self.n_links, np.diff(got.links_at))
+        self.pairs = np.append(self.pairs, got.pairs)
+
+    def only(self, stay: np.ndarray) -> Kept:
+        n = self.n_links[stay]
+        at = (np.cumsum(self.n_links) - self.n_links)[stay]
+        return Kept([self.spelled[i] for i in stay.tolist()], self.n_groups[stay], n, self.pairs[np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)])
 
 
 def _sums(values: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
@@ -236,45 +329,33 @@ def tokenised(docs: DataFrame, byte_level_path: str, piece_path: str, digest: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoders, row = Encoders(byte_level_path, piece_path), TaskContext.get().partitionId() << 36
-        aligner = Aligner(encoders.first, encoders.second)
-        spelled, n_groups, n_links, known = [], [], [], []
-        times = np.zeros(0, np.int64)
-
-        def learn(keys: list[bytes]) -> None:
-            got = aligner(keys)
-            spelled.extend(got.groups)
-            n_groups.append(got.n_groups)
-            n_links.append(np.diff(got.links_at))
-            known.append(got.pairs)
-
-        memo = Memo(learn)
+        both, row = encoders(byte_level_path, piece_path), TaskContext.get().partitionId() << 36
+        aligner = Aligner(both.first, both.second)
+        kept = Kept.none()
+        memo = Memo(lambda *ids: kept.add(aligner(*ids)))
 
         def counted() -> Iterator[pa.RecordBatch]:
-            nonlocal times
-            if memo.numbers:
-                pairs, which = np.unique(np.concatenate(known), return_inverse=True)
-                n = np.bincount(which, weights=np.repeat(times, np.concatenate(n_links)), minlength=len(pairs)).astype(np.int64)
+            nonlocal kept
+            if memo.times.any():
+                pairs, which = np.unique(kept.pairs, return_inverse=True)
+                n = np.bincount(which, weights=np.repeat(memo.times, kept.n_links), minlength=len(pairs)).astype(np.int64)
+                pairs, n = pairs[n > 0], n[n > 0]
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(len(pairs), t) for t in [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary()]), pa.array(pairs), pa.array(n)], names=names)
-            memo.clear()
-            times = np.zeros(0, np.int64)
-            for x in (spelled, n_groups, n_links, known):
-                x.clear()
+            kept = kept.only(memo.forget())
 
         names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b", "pair", "n"]
         for batch in batches:
             for lo, hi in chunks(batch.column("text"), 500, 1 << 21):
                 texts = batch.column("text")[lo:hi].to_pylist()
-                ids = encoders.encode(texts)
-                cut = windows(encoders.first, encoders.second, ids)
-                got = memo(cut.keys())
-                times = np.bincount(got, minlength=len(spelled)) + np.append(times, np.zeros(len(spelled) - len(times), np.int64))
-                words, bounds = list(map(spelled.__getitem__, got.tolist())), np.concatenate(([0], np.cumsum(cut.per_doc))).tolist()
+                ids = both.encode(texts)
+                cut = windows(both.first, both.second, ids)
+                got = memo(cut)
+                words, bounds = list(map(kept.spelled.__getitem__, got.tolist())), np.concatenate(([0], np.cumsum(cut.per_doc))).tolist()
                 groups = (";".join(words[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True))
                 groups = [g and (hashlib.sha256(g.encode()).hexdigest() if digest else g) for g in groups]
                 each = [np.array([len(p[i]) for p in ids], np.int64) for i in (0, 1)]
-                sums = [_sums(np.concatenate([*x, np.empty(0, np.int64)])[got], cut.per_doc) for x in (n_groups, n_links)]
-                raw = [pa.array([p[i].astype("<u2" if len(v.size) < 1 << 16 else "<u4").tobytes() for p in ids], pa.binary()) for i, v in ((0, encoders.first), (1, encoders.second))]
+                sums = [_sums(x[got], cut.per_doc) for x in (kept.n_groups, kept.n_links)]
+                raw = [pa.array([p[i].astype("<u2" if len(v.size) < 1 << 16 else "<u4").tobytes() for p in ids], pa.binary()) for i, v in ((0, both.first), (1, both.second))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(ids))), batch.column("doc_id")[lo:hi], *map(pa.array, each + sums), pa.array(groups, pa.string()), *raw, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())],
                     names=names,
@@ -292,17 +373,21 @@ def looked_up(found: DataFrame, head, byte_level_path: str, piece_path: str) ->
     """Rows of documents with ``n_best`` and ``count_sum`` over links with pairs of the head (sorted pairs, counts, whether best), and ``rest``, the other links' pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = Encoders(byte_level_path, piece_path)
-        aligner, (pairs, counts, best) = Aligner(encoders.first, encoders.second), head.value
-        sums, bests, rest = [], [], []
-
-        def learn(keys: list[bytes]) -> None:
-            got = aligner(keys, spelled=False)
-            at = np.minimum(np.searchsorted(pairs, got.pairs), max(len(pairs) - 1, 0))
-            hit = pairs[at] == got.pairs if len(pairs) else np.zeros(len(got.pairs), bool)
-            per = np.diff(got.links_at)
-            sums.append(_sums(np.where(hit, counts[at], 0) if len(pairs) else 0 * got.pairs, per))
-            bests.append(_sums((hit & best[at]).astype(np.int64) if len(pairs) else 0 * got.pairs, per))
+        both = encoders(byte_level_path, piece_path)
+        aligner, (pairs, counts, best) = Aligner(both.first, both.second), head.value
+        sums, bests, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def learn(*ids: np.ndarray) -> None:
+            nonlocal sums, bests
+            got = aligner(*ids, spelled=False)
+            at, hit = np.zeros(len(got.pairs), np.int64), np.zeros(len(got.pairs), bool)
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, got.pairs), len(pairs) - 1)
+                hit = pairs[at] == got.pairs
+            found, per = at[hit], np.diff(got.links_at)
+            values = np.zeros((2, len(hit)), np.int64)
+            values[:, hit] = counts[found], best[found]
+            sums, bests = np.append(sums, _sums(values[0], per)), np.append(bests, _sums(values[1], per))
             misses = np.concatenate(([0], np.cumsum(~hit)))[got.links_at].tolist()
             lost = got.pairs[~hit].tolist()
             rest.extend(lost[s:e] for s, e in zip(misses[:-1], misses[1:], strict=True))
@@ -311,18 +396,17 @@ def looked_up(found: DataFrame, head, byte_level_path: str, piece_path: str) ->
         for batch in batches:
             for lo, hi in chunks(batch.column("a"), 500, 1 << 20):
                 part = batch.slice(lo, hi - lo)
-                kinds = ["<u2" if len(v.size) < 1 << 16 else "<u4" for v in (encoders.first, encoders.second)]
+                kinds = ["<u2" if len(v.size) < 1 << 16 else "<u4" for v in (both.first, both.second)]
                 ids = [tuple(np.frombuffer(x, kind).astype(np.uint32) for x, kind in zip(p, kinds, strict=True)) for p in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)]
-                cut = windows(encoders.first, encoders.second, ids)
-                got = memo(cut.keys())
+                cut = windows(both.first, both.second, ids)
+                got = memo(cut)
                 others, bounds = list(map(rest.__getitem__, got.tolist())), np.concatenate(([0], np.cumsum(cut.per_doc))).tolist()
                 listed = [[x for w in others[s:e] if w for x in w] or None for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                own = [_sums(np.concatenate([*x, np.empty(0, np.int64)])[got], cut.per_doc) for x in (bests, sums)]
+                own = [_sums(x[got], cut.per_doc) for x in (bests, sums)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *map(pa.array, own), pa.array(listed, pa.list_(pa.int64()))], names=[*keep, "n_best", "count_sum", "rest"])
                 if memo.full():
-                    memo.clear()
-                    for x in (sums, bests, rest):
-                        x.clear()
+                    stay = memo.forget()
+                    sums, bests, rest[:] = sums[stay], bests[stay], [rest[i] for i in stay.tolist()]
 
     keep = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
     return found.select(*keep, "a", "b").mapInArrow(run, f"{_DOC}, groups string, n_best long, count_sum long, rest array<long>")
