@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components, shared_folder
+from . import soundalike
+from .dedup import with_group
+from .graph import components
+from .scratch import Scratch
 
 BAND_SEC = 7.0
 MAX_BER = 0.15
-#: Rows of a bucket that meet in a task.
-TASK_ROWS = 4096
+#: Rows of either side that meet in a task.
+TASK_ROWS = 2048
 
 
 def bit_error_rate(a: Column, b: Column) -> Column:
@@ -23,47 +26,34 @@ def bit_error_rate(a: Column, b: Column) -> Column:
     return F.when(n > 0, bits / (F.lit(32.0) * n)).otherwise(1.0)
 
 
-def fingerprint_pairs(items: DataFrame, max_ber: float = MAX_BER, band: float = BAND_SEC, share: int = TASK_ROWS) -> DataFrame:
-    """(a, b, ber) of items (file_id, fp, duration_sec) of about the same length and sound.
+def fingerprint_pairs(items: DataFrame, max_ber: float = MAX_BER, band: float = BAND_SEC, share: int = TASK_ROWS, counts: tuple | None = None) -> DataFrame:
+    """(a, b, ber) of items (file_id, fp, duration_sec) of about the same length and sound."""
+    return soundalike.pairs(items.where("fp IS NOT NULL AND duration_sec IS NOT NULL"), max_ber, band, share, counts)
 
-    A range predicate alone would be a nested loop; buckets of the band's width make it an equi-join: the left side looks into its own
-    bucket and the next, pairs within one bucket are taken once. Most tracks are of a few lengths, so a bucket is dealt into parts of about ``share`` rows: the right side
-    is in one of them, the left side in each. Only so many parts as a bucket needs are made.
-    """
-    use = items.where("fp IS NOT NULL AND duration_sec IS NOT NULL").select("file_id", "fp", "duration_sec", F.floor(F.col("duration_sec") / band).alias("bucket"))
-    parts = use.groupBy("bucket").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
-    left = use.select(F.col("file_id").alias("x"), F.col("fp").alias("fx"), F.col("duration_sec").alias("dx"), F.col("bucket").alias("own"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    left = left.join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = use.join(parts, "bucket").select(F.col("file_id").alias("y"), F.col("fp").alias("fy"), F.col("duration_sec").alias("dy"), "bucket", F.pmod(F.hash("file_id"), F.col("parts")).alias("part"))
-    near = F.abs(F.col("dx") - F.col("dy")) <= band
-    once = (F.col("own") != F.col("bucket")) | (F.col("x") < F.col("y"))
-    ber = bit_error_rate(F.col("fx"), F.col("fy"))
-    return left.join(right, ["bucket", "part"]).where(near & once & (ber <= max_ber)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), ber.alias("ber"))
-
-
-def alike(items: DataFrame) -> DataFrame:
+
+def alike(scratch: Scratch, items: DataFrame) -> DataFrame:
     """(file_id, first): of items with equal fingerprints and durations the least id stands for all."""
-    same = items.where("fp IS NOT NULL AND duration_sec IS NOT NULL").select("file_id", F.xxhash64("fp").alias("h"), F.sha2(F.to_json("fp"), 256).alias("print"), "duration_sec")
-    first = same.groupBy("h", "print", "duration_sec").agg(F.min("file_id").alias("first"))
-    return same.join(first, ["h", "print", "duration_sec"]).select("file_id", "first")
+    same = scratch.written(items.where("fp IS NOT NULL AND duration_sec IS NOT NULL").select("file_id", F.sha2(F.to_json(F.struct("fp", "duration_sec")), 256).alias("print")), "prints")
+    return with_group(scratch, same, "print", F.min("file_id").alias("first")).select("file_id", "first")
 
 
-def fingerprint_clusters(items: DataFrame, max_ber: float = MAX_BER, band: float = BAND_SEC) -> DataFrame:
+def fingerprint_clusters(items: DataFrame, max_ber: float = MAX_BER, band: float = BAND_SEC, share: int = TASK_ROWS, counts: tuple | None = None) -> DataFrame:
     """(kind, group_id, file_id, n_members) of items that sound alike, directly or by others; equal fingerprints are compared as one."""
-    shared_folder(items.sparkSession)
-    named = alike(items).checkpoint()
-    ones = items.join(named.select(F.col("first").alias("file_id")).distinct(), "file_id", "left_semi")
-    pairs = fingerprint_pairs(ones, max_ber, band).select("a", "b")
+    scratch = Scratch(items.sparkSession, "clusters")
+    named = scratch.written(alike(scratch, items), "named")
+    ones = items.join(named.where("file_id = first").select("file_id"), "file_id", "left_semi")
     # an empty fingerprint is like nothing, not even its own kind
-    sounding = named.join(items.where(F.size("fp") > 0).select("file_id"), "file_id", "left_semi").where("first <> file_id")
+    sounding = named.where("first <> file_id").join(items.where(F.size("fp") > 0).select("file_id"), "file_id", "left_semi")
+    pairs = soundalike.links(ones, max_ber, band, share, counts)
     return fingerprint_groups(pairs.unionByName(sounding.select(F.col("first").alias("a"), F.col("file_id").alias("b"))))
 
 
 def fingerprint_groups(pairs: DataFrame) -> DataFrame:
     """(kind, group_id, file_id, n_members): transitive closure of the pairs."""
-    labels = components(pairs, "a", "b")
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n_members"))
-    return labels.join(sizes, "label").select(F.lit("AUDIO_FINGERPRINT").alias("kind"), F.col("label").alias("group_id"), F.col("node").alias("file_id"), "n_members")
+    scratch = Scratch(pairs.sparkSession, "groups")
+    labels = scratch.written(components(pairs, "a", "b"), "labels")
+    sized = with_group(scratch, labels, "label", F.count("*").alias("n_members"))
+    return sized.select(F.lit("AUDIO_FINGERPRINT").alias("kind"), F.col("label").alias("group_id"), F.col("node").alias("file_id"), "n_members")
 
 
 def _fields(bits: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:

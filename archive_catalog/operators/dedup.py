@@ -6,18 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .scratch import Scratch
+
+
+#: A key with more than this share of all rows is heavy, so there are at most as many heavy keys.
+HEAVY_KEYS = 4096
+
+
+def with_group(scratch: Scratch, rows: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """``rows`` (a written table) with aggregates of the rows of their key; null keys stay away.
+
+    Keys are aggregated with partial sums first. Rows of heavy keys, at most ``HEAVY_KEYS`` in number whatever the data, stay where they are and take their groups from a broadcast; the others
+    are joined by shuffle, where no key has more than one in ``HEAVY_KEYS`` of the rows.
+    """
+    groups = scratch.written(rows.where(F.col(key).isNotNull()).groupBy(key).agg(*aggregates, F.count("*").alias("_rows")), f"by-{key}")
+    total = groups.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"]
+    heavy = groups.where(F.col("_rows") * HEAVY_KEYS > total) if total > HEAVY_KEYS else groups.where(F.lit(False))
+    light = groups.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    hot = rows.join(F.broadcast(heavy), key)
+    cold = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return hot.unionByName(cold).drop("_rows")
 
 
 def group_by_key(files: DataFrame, key: Column, kind: str, file_id: str = "file_id", least: int = 2) -> DataFrame:
     """(kind, group_id, file_id, n_members) of files whose key, neither null nor empty, ``least`` files share; the least file id names the group.
 
-    Keys are counted with partial aggregation and joined back, so a hot key is neither one task nor a pair list.
+    Keys travel as digests, written once: names may be long texts.
     """
-    keyed = files.select(F.col(file_id).alias("file_id"), key.alias("_key"))
-    # null keys never join; the filter for empty ones stands on an aggregate, so that it isn't pushed down to make the key once more
-    groups = keyed.groupBy("_key").agg(F.min("file_id").alias("group_id"), F.count("*").alias("n_members"), F.bool_or(F.col("_key") != "").alias("_named"))
-    groups = groups.where((F.col("n_members") >= least) & F.col("_named")).drop("_named")
-    return keyed.join(groups, "_key").select(F.lit(kind).alias("kind"), "group_id", "file_id", "n_members")
+    scratch = Scratch(files.sparkSession, "keys")
+    keyed = files.select(F.col(file_id).alias("file_id"), key.alias("_key")).select("file_id", F.sha2(F.when(F.col("_key") != "", F.col("_key").cast("string")).cast("binary"), 256).alias("_key"))
+    grouped = with_group(scratch, scratch.written(keyed, "files"), "_key", F.min("file_id").alias("group_id"), F.count("*").alias("n_members"))
+    return grouped.where(F.col("n_members") >= least).select(F.lit(kind).alias("kind"), "group_id", "file_id", "n_members")
 
 
 def exact(files: DataFrame, digest: str = "content_hash", file_id: str = "file_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping, in DataFrame joins only."""
+"""Connected components by least neighbours and pointer doubling, in DataFrame joins only; the folder that executors share."""
 
 from __future__ import annotations
 
@@ -19,30 +19,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(node, label): each node with the least node that it is connected with. Every step cuts lineage in the shared checkpoint folder.
+    """(node, label): each node with the least node that it is connected with. Every step is a table in the shared folder, deleted once the next one stands.
 
     Each round points every node to its least neighbour, follows the pointers to their ends by doubling, and goes on with the edges between different ends: they
     are few, so the edges as a whole are joined once only. A round at least halves the nodes that still have edges.
     """
-    shared_folder(edges.sparkSession)
+    from .scratch import Scratch
+
+    scratch = Scratch(edges.sparkSession, "components")
     a, b = F.col(src), F.col(dst)
-    live = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().checkpoint()
-    maps = []
+    live = scratch.written(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges-0")
+    maps, step = [], 0
     while True:
         there = live.select(F.col("a").alias("node"), F.col("b").alias("near"))
-        ups = there.unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("near"))).groupBy("node").agg(F.least("node", F.min("near")).alias("up")).checkpoint()
+        ups = scratch.written(there.unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("near"))).groupBy("node").agg(F.least("node", F.min("near")).alias("up")), f"ups-{step}")
         while True:
             top = ups.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            after = ups.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")).checkpoint()
+            after = scratch.written(ups.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")), f"ups-{step + 1}")
+            scratch.drop(f"ups-{step}")
+            step += 1
             ups = after.select("node", "up")
             if after.where("moved").isEmpty():
                 break
         maps.append(ups)
         ends = live.join(ups.toDF("a", "x"), "a").join(ups.toDF("b", "y"), "b").where("x <> y")
-        live = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
+        rest = scratch.written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges-{len(maps)}")
+        scratch.drop(f"edges-{len(maps) - 1}")
+        live, step = rest, step + 1
         if live.isEmpty():
             break
     labels = maps.pop().toDF("node", "label")
     for ups in reversed(maps):
         labels = ups.join(labels.toDF("up", "label"), "up", "left").select("node", F.coalesce("label", "up").alias("label"))
-    return labels.checkpoint() if maps else labels
+    return labels

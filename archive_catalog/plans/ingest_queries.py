@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..operators import analyze, dedup, scan_job, snapshot, stats
 from ..operators.graph import shared_folder
 from ..sources import readers
 from ..streaming.ingest import read_table, stream_ingest
+from ..streaming.newest import compact, read_newest, stream_newest
 from .catalogue import query
 from .names_queries import _CLUSTERS, dup_fingerprint
 from .views import TABLES, Tables
@@ -148,7 +150,10 @@ def integrity_report(t: Tables):
     )
 
 
-@query("stream_ingest")
+_ARRIVED = "SELECT volume_id, rel_path, size_bytes, mtime, CAST(2 AS BIGINT) AS seq FROM {snapshot_new} UNION ALL SELECT volume_id, rel_path, size_bytes, mtime, CAST(1 AS BIGINT) FROM {snapshot_old}"
+
+
+@query("stream_ingest", f"SELECT * FROM ({_ARRIVED}) QUALIFY row_number() OVER (PARTITION BY volume_id, rel_path ORDER BY seq DESC) = 1")
 def stream_ingest_query(t: Tables):
     """The snapshots arrive as files and are upserted by a stream; the table after the last batch."""
     base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
@@ -160,6 +165,24 @@ def stream_ingest_query(t: Tables):
     return read_table(t.spark, f"{base}/table", schema).select("volume_id", "rel_path", "size_bytes", "mtime", "seq")
 
 
+@query(
+    "stream_newest",
+    f"SELECT volume_id, rel_path, CAST(max(CASE WHEN seq = top THEN size_bytes END) AS BIGINT) AS size_bytes, CAST(max(CASE WHEN seq = top THEN mtime END) AS BIGINT) AS mtime, max(seq) AS seq, min(seq) AS first_seen, max(seq) AS last_seen FROM (SELECT *, max(seq) OVER (PARTITION BY volume_id, rel_path) AS top FROM ({_ARRIVED})) GROUP BY volume_id, rel_path",
+)
+def stream_newest_query(t: Tables):
+    """The newer manifest comes first, the older one late, and the newer one again; a second query on the same checkpoint takes the rest, then the table is compacted."""
+    base = f"{shared_folder(t.spark)}/newest-{uuid.uuid4().hex}"
+    key, columns = ["volume_id", "rel_path"], ["volume_id", "rel_path", "size_bytes", "mtime"]
+    new = t.snapshot_new.select(*columns, F.lit(2).cast("long").alias("seq"))
+    old = t.snapshot_old.select(*columns, F.lit(1).cast("long").alias("seq"))
+    for i, rows in enumerate((new, old, new)):
+        rows.write.mode("append").parquet(f"{base}/in")
+        if i:
+            stream_newest(t.spark, f"{base}/in", rows.schema, f"{base}/table", f"{base}/state", key, "seq", 64).awaitTermination()
+    compact(t.spark, f"{base}/table", new.schema, key, "seq")
+    return read_newest(t.spark, f"{base}/table", new.schema, key, "seq")
+
+
 # --- directories -----------------------------------------------------------------------------------------------------
 _TREE = """p AS (SELECT DISTINCT volume_id, string_split(rel_path, '/') AS parts FROM {page_files}),
 e AS (SELECT DISTINCT volume_id, unnest([list_slice(parts, 1, k) FOR k IN range(0, len(parts))]) AS d FROM p),
@@ -291,9 +314,14 @@ _SOUND = _CLUSTERS.replace("SELECT 'AUDIO_FINGERPRINT'", "z AS (SELECT 'AUDIO_FI
 _ALL = f"WITH RECURSIVE {_SOUND.removeprefix('WITH RECURSIVE ')}, {_EXACT}, {_FUZZY}, u AS (SELECT *, group_id % 1000 AS created_at FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT kind, group_id, file_id, n_members FROM z))"
 
 
-def _groups(t: Tables):
-    name = dedup.group_by_key(t.documents, tx.title_key(F.col("text")), "FUZZY_NAME", "doc_id")
-    return dup_exact(t).unionByName(name).unionByName(dup_fingerprint(t)).withColumn("created_at", F.col("group_id") % 1000)
+def _groups(t: Tables, kinds: tuple[str, ...] = schemas.DUPLICATE_KINDS):
+    """Duplicates of the kinds asked for; no other is made."""
+    makers = {
+        "EXACT_HASH": lambda: dup_exact(t), "FUZZY_NAME": lambda: dedup.group_by_key(t.documents, tx.title_key(F.col("text")), "FUZZY_NAME", "doc_id"),
+        "AUDIO_FINGERPRINT": lambda: dup_fingerprint(t),
+    }
+    rows = [make() for kind, make in makers.items() if kind in kinds]
+    return reduce(lambda x, y: x.unionByName(y), rows).withColumn("created_at", F.col("group_id") % 1000)
 
 
 _REPORT = "SELECT kind, group_id, count(*) AS n_members, count(DISTINCT lang) AS n_volumes, CAST(sum(n_chars) AS BIGINT) AS total_bytes FROM u JOIN top USING (kind, group_id) JOIN {documents} ON file_id = doc_id GROUP BY kind, group_id"
@@ -310,7 +338,7 @@ _ONE_KIND = "WHERE kind = 'FUZZY_NAME'"
 
 @query("duplicate_report_by_kind", f"{_ALL}, {_TOP.format(_ONE_KIND, 20)} {_REPORT}")
 def duplicate_report_by_kind(t: Tables):
-    return dedup.report(_groups(t), t.doc_files.select("file_id", "volume_id", "size_bytes"), 20, "FUZZY_NAME")
+    return dedup.report(_groups(t, ("FUZZY_NAME",)), t.doc_files.select("file_id", "volume_id", "size_bytes"), 20, "FUZZY_NAME")
 
 
 @query("stats_dups", f"{_ALL} SELECT kind, count(DISTINCT group_id) AS n_groups FROM u GROUP BY kind")

@@ -37,6 +37,8 @@ def upsert_batches(path: str, schema: StructType, key: list[str], order: str, pa
         touched = [r[PART] for r in rows.select(part.alias(PART)).distinct().collect()]  # at most ``parts`` numbers
         table = read_table(spark, path, schema)
         before = table.where(F.col(PART).isin(touched)).drop(PART) if PART in table.columns else table
+        known = before.select(*key, F.col(order).alias("_before"))
+        rows = rows.join(known, key, "left").where(F.col("_before").isNull() | (F.col(order) >= F.col("_before"))).drop("_before")  # a late manifest takes nothing back
         after = snapshot_upsert(before, rows, F.lit(number).cast("long"), key).select(*[f.name for f in schema.fields], part.alias(PART))
         after.write.mode("overwrite").parquet(f"{path}-batch")
         ready = spark.read.schema(after.schema).parquet(f"{path}-batch")
