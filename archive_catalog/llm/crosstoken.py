@@ -103,56 +103,89 @@ class Encoders:
         written = [self.pieces.id_to_piece(i) for i in range(self.pieces.vocab_size())]
         self.second = Vocabulary.of([bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(written)])
 
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.newer, self.older = Store(), Store()
+        self.aligner = Aligner(self.first, self.second)
+        self.small = max(len(self.first.size), len(self.second.size)) <= 1 << 16
+
+    def packed(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Ids of texts as a binary column."""
+        at = (2 if self.small else 4) * np.concatenate(([0], np.cumsum(counts)))
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids.astype("<u2" if self.small else "<u4"))])
+
+    def unpacked(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = column.to_pylist()
+        ids = np.frombuffer(b"".join(raw), "<u2" if self.small else "<u4")
+        return ids.astype(np.uint32), np.array([len(x) for x in raw], np.int64) // (2 if self.small else 4)
+
+    def encode_first(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, each as if a space stood before it, end to end, and how many of each: plain ones are encoded as one text and cut where their bytes end."""
+        plain = np.array([len(p) < _LONG and not (p[0].isspace() or p[-1].isspace()) and _PLAIN.fullmatch(p) is not None for p in pieces], bool)
+        if plain.all() and pieces:
+            ids = self.fast.encode_to_numpy(" " + " ".join(pieces), disallowed_special=())
+            ends = np.cumsum([1 + len(p.encode()) for p in pieces])
+            return ids, np.diff(np.searchsorted(np.cumsum(self.first.size[ids]), ends, "left") + 1, prepend=0)
+        if not plain.any():
+            each = [np.asarray(self.tokenizer.encode(" " + p, add_special_tokens=False).ids, np.uint32) for p in pieces]
+            return np.concatenate([np.empty(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+        parts = [self.encode_first([p for p, yes in zip(pieces, plain, strict=True) if yes == kind]) for kind in (True, False)]
+        order = np.argsort(np.argsort(~plain, kind="stable"))
+        return _gathered(*(np.concatenate([x[i] for x in parts]) for i in (0, 1)), order)
+
+    def encode_second(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.pieces.encode(pieces, num_threads=1)
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by either of all texts, end to end, and how many each text has; texts whose bytes the two don't both give back have none."""
+        cut = [pieces_of(t or "") for t in texts]
+        if self.newer.full():
+            self.newer, self.older = Store(), self.newer
+        missing = set(chain.from_iterable(cut)).difference(self.newer.numbers)
+        known = [p for p in missing if p in self.older.numbers]
+        self.newer.add(known, *self.older.ids(known))
+        new = list(missing.difference(known))
+        self.newer.add(new, self.encode_first(new), self.encode_second(new))
+        (one, n_one), (two, n_two) = self.newer.ids(list(chain.from_iterable(cut)))
+        upto = np.cumsum([len(c) for c in cut])
+        bounds = [np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], upto))].astype(np.int64) for n in (n_one, n_two)]
+        raw = np.frombuffer("".join([f" {t}" for t in texts if t]).encode("utf-8", "surrogatepass"), np.uint8)
+        if not (np.array_equal(self.first.spelled(one), raw) and np.array_equal(self.second.spelled(two), raw)):
+            keep = []
+            for i, text in enumerate(texts):
+                own = np.frombuffer(f" {text}".encode("utf-8", "surrogatepass"), np.uint8)
+                same = [np.array_equal(v.spelled(x[at[i] : at[i + 1]]), own) for v, x, at in ((self.first, one, bounds[0]), (self.second, two, bounds[1]))]
+                keep.append(not text or all(same))
+            counts = [np.diff(at) for at in bounds]
+            one, two = (x[np.repeat(keep, n)] for x, n in zip((one, two), counts, strict=True))
+            return one, two, np.stack([n * np.array(keep) for n in counts], axis=1)
+        return one, two, np.stack([np.diff(at) for at in bounds], axis=1)
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches laid end to end those chosen, in that order, and their sizes."""
+    n = sizes[which]
+    return flat[np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n), n)], n
+
+
+class Store:
+    """Pieces of text and their ids by both tokenizers."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
         self.held = 0
+        self.sides = [(np.empty(0, np.uint32), np.empty(0, np.int64)) for _ in range(2)]
 
-    def encode_first(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each as if a space stood before it: plain ones are encoded as one text and cut where their bytes end."""
-        plain = [i for i, p in enumerate(pieces) if len(p) < _LONG and not (p[0].isspace() or p[-1].isspace()) and _PLAIN.fullmatch(p)]
-        out: list[bytes] = [b""] * len(pieces)
-        if plain:
-            ids = self.fast.encode_to_numpy(" " + " ".join([pieces[i] for i in plain]), disallowed_special=())
-            ends = np.cumsum([1 + len(pieces[i].encode()) for i in plain])
-            cut, raw = [0, *(4 * np.searchsorted(np.cumsum(self.first.size[ids]), ends, "left") + 4).tolist()], ids.tobytes()
-            for i, s, e in zip(plain, cut[:-1], cut[1:], strict=True):
-                out[i] = raw[s:e]
-        others = set(range(len(pieces))).difference(plain)
-        for i in others:
-            out[i] = np.asarray(self.tokenizer.encode(" " + pieces[i], add_special_tokens=False).ids, np.uint32).tobytes()
-        return out
+    def full(self) -> bool:
+        return len(self.numbers) > PIECES // 2 or self.held > PIECES_BYTES // 2
 
-    def encode_second(self, pieces: list[str]) -> list[bytes]:
-        ids = self.pieces.encode(pieces, num_threads=1)
-        upto = [0, *(4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()]
-        raw = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
-        return [raw[s:e] for s, e in zip(upto[:-1], upto[1:], strict=True)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Keeps the ids of ``pieces``, each as if a space stood before it; those that the older half has move to the newer one."""
-        known = [p for p in pieces if p in self.older]
-        self.kept.update((p, self.older[p]) for p in known)
-        new = list(pieces.difference(known))
-        self.kept.update(zip(new, zip(self.encode_first(new), self.encode_second(new), strict=True), strict=True))
+    def add(self, pieces: list[str], *sides: tuple[np.ndarray, np.ndarray]) -> None:
+        self.numbers.update(zip(pieces, range(len(self.numbers), len(self.numbers) + len(pieces)), strict=True))
         self.held += sum(map(len, pieces))
+        self.sides = [(np.append(a, x), np.append(b, y)) for (a, b), (x, y) in zip(self.sides, sides, strict=True)]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids by either, of texts whose bytes both give back; others have none."""
-        cut = [pieces_of(t or "") for t in texts]
-        if len(self.kept) > PIECES // 2 or self.held > PIECES_BYTES // 2:
-            self.older, self.kept, self.held = self.kept, {}, 0
-        self.learn(set(chain.from_iterable(cut)).difference(self.kept))
-        none, out, get = np.empty(0, np.uint32), [], self.kept.__getitem__
-        for text, own in zip(texts, cut, strict=True):
-            pair = (none, none)
-            if text:
-                raw = np.frombuffer(f" {text}".encode("utf-8", "surrogatepass"), np.uint8)
-                got = list(map(get, own))
-                one, two = (np.frombuffer(b"".join([g[i] for g in got]), np.uint32) for i in (0, 1))
-                if np.array_equal(self.first.spelled(one), raw) and np.array_equal(self.second.spelled(two), raw):
-                    pair = (one, two)
-            out.append(pair)
-        return out
+    def ids(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        which = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        return [_gathered(*side, which) for side in self.sides]
 
 
 @lru_cache(1)
@@ -183,22 +216,17 @@ class Windows:
 
     def chosen(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of some windows laid end to end, by the one side and the other, and how many of each."""
-        out = []
-        for ids, at in ((self.one, self.one_at), (self.two, self.two_at)):
-            n = at[which + 1] - at[which]
-            out += [ids[np.arange(n.sum()) + np.repeat(at[which] - (np.cumsum(n) - n), n)], n]
-        return out[0], out[2], out[1], out[3]
+        (one, n_one), (two, n_two) = (_gathered(ids, np.diff(at), which) for ids, at in ((self.one, self.one_at), (self.two, self.two_at)))
+        return one, two, n_one, n_two
 
 
-def windows(first: Vocabulary, second: Vocabulary, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Windows:
-    """Cuts documents at the shared ends before space-marked tokens, and between documents."""
-    one, two = np.concatenate([np.empty(0, np.uint32), *(a for a, _ in pairs)]), np.concatenate([np.empty(0, np.uint32), *(b for _, b in pairs)])
+def windows(first: Vocabulary, second: Vocabulary, one: np.ndarray, two: np.ndarray, counts: np.ndarray) -> Windows:
+    """Cuts documents, laid end to end, at the shared ends before space-marked tokens, and between documents. ``counts``: ids of each, by either side."""
     zero = np.zeros(1, np.int64)
     if not len(one):
-        return Windows(one, two, zero, zero, np.zeros(len(pairs), np.int64))
+        return Windows(one, two, zero, zero, np.zeros(len(counts), np.int64))
     ends_one, ends_two = np.cumsum(first.size[one]), np.cumsum(second.size[two])
     before_one, before_two = np.append(first.marked[one[1:]], True), np.append(second.marked[two[1:]], True)
-    counts = np.array([(len(a), len(b)) for a, b in pairs])
     last = np.unique(np.cumsum(counts[:, 0])[counts[:, 0] > 0]) - 1  # each document's last token
     before_one[last] = True
     before_two[np.unique(np.cumsum(counts[:, 1])[counts[:, 1] > 0]) - 1] = True
@@ -234,12 +262,12 @@ class Aligner:
         n = hi - lo
         which = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
         pairs = np.repeat(one.astype(np.int64), n) << 32 | two[which].astype(np.int64)
-        upto = np.cumsum(n_one)
-        links_at = np.concatenate(([0], np.cumsum(n)[upto - 1]))
-        at_end = np.zeros(ends_one[-1] + 1, bool)
+        upto = np.concatenate(([0], np.cumsum(n_one)))
+        links_at = np.concatenate(([0], np.cumsum(n)))[upto]
+        at_end = np.zeros(int(size_one.sum()) + 1, bool)
         at_end[ends_two] = True
         closes_one = at_end[ends_one]
-        n_groups = np.diff(np.concatenate(([0], np.cumsum(closes_one)[upto - 1])))
+        n_groups = np.diff(np.concatenate(([0], np.cumsum(closes_one)))[upto])
         if not spelled:
             return Aligned(pairs, links_at, n_groups, None)
         at_end[:] = False
@@ -330,8 +358,7 @@ def tokenised(docs: DataFrame, byte_level_path: str, piece_path: str, digest: bo
         from pyspark import TaskContext
 
         both, row = encoders(byte_level_path, piece_path), TaskContext.get().partitionId() << 36
-        aligner = Aligner(both.first, both.second)
-        kept = Kept.none()
+        aligner, kept = both.aligner, Kept.none()
         memo = Memo(lambda *ids: kept.add(aligner(*ids)))
 
         def counted() -> Iterator[pa.RecordBatch]:
@@ -347,20 +374,20 @@ def tokenised(docs: DataFrame, byte_level_path: str, piece_path: str, digest: bo
         for batch in batches:
             for lo, hi in chunks(batch.column("text"), 500, 1 << 21):
                 texts = batch.column("text")[lo:hi].to_pylist()
-                ids = both.encode(texts)
-                cut = windows(both.first, both.second, ids)
+                one, two, per = both.encode(texts)
+                cut = windows(both.first, both.second, one, two, per)
                 got = memo(cut)
                 words, bounds = list(map(kept.spelled.__getitem__, got.tolist())), np.concatenate(([0], np.cumsum(cut.per_doc))).tolist()
                 groups = (";".join(words[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True))
                 groups = [g and (hashlib.sha256(g.encode()).hexdigest() if digest else g) for g in groups]
-                each = [np.array([len(p[i]) for p in ids], np.int64) for i in (0, 1)]
+                each = [np.ascontiguousarray(per[:, i], np.int64) for i in (0, 1)]
                 sums = [_sums(x[got], cut.per_doc) for x in (kept.n_groups, kept.n_links)]
-                raw = [pa.array([p[i].astype("<u2" if len(v.size) < 1 << 16 else "<u4").tobytes() for p in ids], pa.binary()) for i, v in ((0, both.first), (1, both.second))]
+                raw = [both.packed(x, n) for x, n in zip((one, two), each, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(ids))), batch.column("doc_id")[lo:hi], *map(pa.array, each + sums), pa.array(groups, pa.string()), *raw, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())],
+                    [pa.array(np.arange(row, row + len(texts))), batch.column("doc_id")[lo:hi], *map(pa.array, each + sums), pa.array(groups, pa.string()), *raw, pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64())],
                     names=names,
                 )
-                row += len(ids)
+                row += len(texts)
                 if memo.full():
                     yield from counted()
         yield from counted()
@@ -374,39 +401,22 @@ def looked_up(found: DataFrame, head, byte_level_path: str, piece_path: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = encoders(byte_level_path, piece_path)
-        aligner, (pairs, counts, best) = Aligner(both.first, both.second), head.value
-        sums, bests, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-
-        def learn(*ids: np.ndarray) -> None:
-            nonlocal sums, bests
-            got = aligner(*ids, spelled=False)
-            at, hit = np.zeros(len(got.pairs), np.int64), np.zeros(len(got.pairs), bool)
-            if len(pairs):
-                at = np.minimum(np.searchsorted(pairs, got.pairs), len(pairs) - 1)
-                hit = pairs[at] == got.pairs
-            found, per = at[hit], np.diff(got.links_at)
-            values = np.zeros((2, len(hit)), np.int64)
-            values[:, hit] = counts[found], best[found]
-            sums, bests = np.append(sums, _sums(values[0], per)), np.append(bests, _sums(values[1], per))
-            misses = np.concatenate(([0], np.cumsum(~hit)))[got.links_at].tolist()
-            lost = got.pairs[~hit].tolist()
-            rest.extend(lost[s:e] for s, e in zip(misses[:-1], misses[1:], strict=True))
-
-        memo = Memo(learn)
+        aligner, (pairs, counts, best) = both.aligner, head.value
         for batch in batches:
-            for lo, hi in chunks(batch.column("a"), 500, 1 << 20):
+            for lo, hi in chunks(batch.column("a"), 500, 1 << 19):
                 part = batch.slice(lo, hi - lo)
-                kinds = ["<u2" if len(v.size) < 1 << 16 else "<u4" for v in (both.first, both.second)]
-                ids = [tuple(np.frombuffer(x, kind).astype(np.uint32) for x, kind in zip(p, kinds, strict=True)) for p in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)]
-                cut = windows(both.first, both.second, ids)
-                got = memo(cut)
-                others, bounds = list(map(rest.__getitem__, got.tolist())), np.concatenate(([0], np.cumsum(cut.per_doc))).tolist()
-                listed = [[x for w in others[s:e] if w for x in w] or None for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                own = [_sums(x[got], cut.per_doc) for x in (bests, sums)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *map(pa.array, own), pa.array(listed, pa.list_(pa.int64()))], names=[*keep, "n_best", "count_sum", "rest"])
-                if memo.full():
-                    stay = memo.forget()
-                    sums, bests, rest[:] = sums[stay], bests[stay], [rest[i] for i in stay.tolist()]
+                (one, n_one), (two, n_two) = (both.unpacked(part.column(c)) for c in ("a", "b"))
+                got = aligner(one, two, n_one, n_two, spelled=False)
+                kinds, which = np.unique(got.pairs, return_inverse=True)
+                value, is_best, hit = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64), np.zeros(len(kinds), bool)
+                if len(pairs):
+                    at = np.minimum(np.searchsorted(pairs, kinds), len(pairs) - 1)
+                    hit = pairs[at] == kinds
+                    value[hit], is_best[hit] = counts[at[hit]], best[at[hit]]
+                per = np.diff(got.links_at)
+                lost = ~hit[which]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lost)))[got.links_at].astype(np.int32)), pa.array(got.pairs[lost]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(_sums(is_best[which], per)), pa.array(_sums(value[which], per)), lists], names=[*keep, "n_best", "count_sum", "rest"])
 
     keep = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
     return found.select(*keep, "a", "b").mapInArrow(run, f"{_DOC}, groups string, n_best long, count_sum long, rest array<long>")
@@ -424,7 +434,7 @@ def align(docs: DataFrame, byte_level_path: str, piece_path: str, digest: bool =
     got = heaviest(pairs, "n", HEAD).toArrow().sort_by("pair")  # HEAD rows of 17 bytes at most
     head = spark.sparkContext.broadcast(tuple(got.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")))
     found = scratch.written(looked_up(both.where("pair IS NULL"), head, byte_level_path, piece_path), "found")
-    tail = found.where("rest IS NOT NULL").select("row", F.explode("rest").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("times")).join(pairs, "pair")
+    tail = found.where("size(rest) > 0").select("row", F.explode("rest").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("times")).join(pairs, "pair")
     more = tail.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("sum_more"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("best_more"))
     plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
     return found.drop("rest").join(more, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", plus("n_best", "best_more"), plus("count_sum", "sum_more"))
