@@ -7,7 +7,9 @@ features see a candidate span at once (its shape, digits, checksum, parts, lengt
 Every candidate holds a digit or an at sign, so cutting regions out loses none. The field is trained by stochastic gradient ascent on the likelihood
 (forward-backward over segments) on windows of at most ``SAMPLE`` texts (some without any entity), chosen by a hash of the text's id, each as it is and once more with its
 entities written in other ways that the patterns miss (a host without a dot, spaced or dotted numbers, phones without a plus sign) or spoilt
-(a number part above 255, a wrong check digit), the latter being no entities. So it learns from planted forms of all kinds, not from the patterns alone.
+(a number part above 255, a wrong check digit), the latter being no entities, and a third time between single words and signs, with dates, book and order numbers that are none. So it learns from planted forms of all kinds, not from the patterns alone.
+
+For training, windows longer than ``WINDOW_TOKENS`` tokens and all but the first ``WINDOW_REGIONS`` regions of a window are left out; texts are scanned whole.
 
 Defined results: a null text is an empty one; a null id stays null; repeated rows are scanned each; without training regions the field
 adds nothing; an empty table gives no rows; other columns are ignored. Positions are code points.
@@ -32,6 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 32
 SAMPLE = 600
 HASHED = 1 << 13
+WINDOW_REGIONS, WINDOW_TOKENS = 20, 400
 NEAR = 24
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _SPOT = re.compile(r"[0-9@+]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+_GOES_ON = re.compile(r"[.-]?[A-Za-z0-9]")  # what follows belongs to the same address
 _DIGITS = re.compile(r"[0-9]")
 _LONG = re.compile(r"[0-9](?:[ .-]?[0-9]){6,}")
 
@@ -131,7 +135,7 @@ def span_features(region: Region, i: int, j: int) -> list[int]:
 def candidates(region: Region) -> list[tuple[int, int]]:
     """Segments (first token, last token) that may be entities: they hold a digit or an at sign, begin and end well and have no wide gap."""
     text, tokens = region.text, region.tokens
-    # words belong to an entity only in an address: an at sign stands before or after them, with no space between
+    # words belong to an entity only in an address: an at sign stands before or after them, with no space within
     address = [False] * (len(tokens) + 1)
     for j in range(len(tokens) - 1, -1, -1):
         a, b = tokens[j]
@@ -142,16 +146,19 @@ def candidates(region: Region) -> list[tuple[int, int]]:
             continue
         if s and text[s - 1] in _LOCAL and text[s - 1].isalnum() and text[s].isalnum():
             continue
-        digit = at = False
+        digit = at = gap = False
         for j in range(i, min(len(tokens), i + LONGEST)):
             a, b = tokens[j]
             if j > i and (a - tokens[j - 1][1] > 1 or text[tokens[j - 1][1] : a] not in ("", " ")):
                 break
+            gap = gap or j > i and a > tokens[j - 1][1]
             digit = digit or text[a] in "0123456789"
-            at = at or text[a] == "@"
-            if text[a].isalpha() and not at and not address[j]:
+            if text[a].isalpha() and (gap or not at and not address[j]):
                 break
-            if (digit or at) and b - s >= 5 and text[b - 1].isascii() and text[b - 1].isalnum():
+            at = at or text[a] == "@"
+            if at and (gap or text[a] != "@" and not (text[a].isascii() and (text[a].isalnum() or text[a] in "._%+-"))):
+                break  # an address has no space, and after its at sign no other signs
+            if (digit or at) and b - s >= 5 and text[b - 1].isascii() and text[b - 1].isalnum() and not (at and _GOES_ON.match(text, b)):
                 out.append((i, j))
     return out
 
@@ -291,14 +298,49 @@ def rewritten(text: str, spans: list[Span], n: int) -> tuple[str, list[Span]]:
     return "".join(out) + text[last:], found
 
 
+#: What may stand right around an entity, and numbers that are none.
+_AROUND = ("{} {}, {}", "{} <{}> {}", "{} [{}] {}", "{} {}; {}", "{} {}! {}", "{} '{}' {}", "{}\n{}\n{}", "{}={}&{}")
+
+
+def _no_entity(n: int) -> str:
+    return (
+        f"{1990 + n % 40}-{1 + n % 12:02}-{1 + n % 28:02} {n % 24:02}:{n * 7 % 60:02}", f"97{8 + n % 2}-{n % 10}-{10 + n % 90}-{100000 + n * 7919 % 900000}-{n * 3 % 10}", f"{1 + n % 28}/{1 + n % 12}/{1990 + n % 40}", f"#{100000 + n * 104729 % 900000}-{n % 10}",
+        f"{n % 7}.{n % 10}.{n * 3 % 100}", f"{1900 + n % 120}-{1900 + n % 130}",
+    )[n % 6]
+
+
+def framed(text: str, spans: list[Span], n: int, other: bool) -> tuple[str, list[Span]]:
+    """The entities of a text, as they are or in ``other`` forms, between single words of it and signs; between them numbers that are no entities."""
+    words = re.findall(r"[^\W\d_]{2,}", text) or ["and"]
+    out, size, found = [], 0, []
+
+    def put(piece: str, kind: int | None = None, at: int = 0, length: int = 0) -> None:
+        nonlocal size
+        if kind is not None:
+            found.append((kind, size + at, size + at + length))
+        out.append(piece)
+        size += len(piece)
+
+    for i, (kind, s, e) in enumerate(spans):
+        left, right = words[(n + 2 * i) % len(words)], words[(n + 3 * i + 1) % len(words)]
+        body, real = other_form(kind, text[s:e], n + i) if other else (text[s:e], True)
+        if kind == 0 and other:  # names and hosts of other shapes than the corpus has
+            a, b = (re.sub("[^a-z]", "", w.lower()) or "x" for w in (words[(n + 5 * i + 2) % len(words)], words[(n + 7 * i + 3) % len(words)]))
+            body = (f"{a}@{b}", f"{a}.{b[:1]}@{b}", f"{a}_{b}@{b}", f"{a}{n % 90}@{b}-{n % 9}", f"{a}@{b}-{a}", f"{a}+{b}@{a}", body)[(n // 2 + i) % 7]
+        frame = _AROUND[(n + i) % len(_AROUND)]
+        put(frame.format(left, body, right), kind if real else None, len(frame.split("{}")[0] + left + frame.split("{}")[1]), len(body))
+        put(f" {right} {_no_entity(n + i)} {left} ")
+    return "".join(out), found
+
+
 def train(texts: list[str], epochs: int = 8, rate: float = 0.3) -> Field:
     field, data = Field.empty(), []
     for n, text in enumerate(texts):
         spans = base_spans(text)
-        for body, own in ((text, spans), rewritten(text, spans, n)) if spans else ((text, spans),):
-            for region in list(regions(body))[:20]:
+        for body, own in ((text, spans), rewritten(text, spans, n), framed(text, spans, n, False), *(framed(text, spans, n // 2 + 3 * k, True) for k in range(4))) if spans else ((text, spans),):
+            for region in list(regions(body))[:WINDOW_REGIONS]:
                 gold = gold_segments(region, own)
-                if gold is not None and len(region.tokens) <= 400:
+                if gold is not None and len(region.tokens) <= WINDOW_TOKENS:
                     lattice = Lattice.of(region)
                     if any(lattice.by_end):
                         data.append((lattice, gold))

@@ -181,6 +181,42 @@ def test_pii_held_out_precision_and_recall(spark):
     assert not [x for t in clean for x in pii.find(t, field)[1]]
 
 
+PLAIN_WORDS = "now and then or the please thanks before after quick brown fox call write see room page said".split()
+FRAMES = ["{}", "write to {} {w} {w}", "{w} {}, {w}", "({}) {w}", "{w} {w} {}\n{w} {w}", "{w}: {}; {w}", "{w} {} {w} {w} {w}.", "\"{}\" {w}", "{w} {} \u2013 {w}"]
+
+
+def written_freely(rng):
+    """Entities in forms of their own, not those that training makes, with their kinds."""
+    name, host = rng.choice(["john", "anna.k", "root", "carl_m", "x+y"]), rng.choice(["localhost", "server", "intranet", "mail-2", "example.org", "a.b.co"])
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    return rng.choice([
+        f"{name}@{host}", f"{name}@{host}", f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}", f"+{d(2)} {d(3)} {d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+44{d(10)}", "4111 1111 1111 1111", "5500-0000-0000-0004",
+    ])
+
+
+def test_no_plain_word_in_a_span(spark, small):
+    """500 entities in frames that training doesn't use: no span covers a plain word beside them, and the base forms are found whole."""
+    rng = random.Random(11)
+    field = pii.fit(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    cases = ["write to john@localhost now and then", "anna@server or", "bob@host, thanks", "root@box please", "a@b the quick brown", "carl.m@intranet before", "call 5 john@localhost now", "room 12 or 14 said", "see 978-3-16-148410-0 now"]
+    entities = [None] * len(cases)
+    for _ in range(500):
+        entity, frame = written_freely(rng), rng.choice(FRAMES)
+        while "{w}" in frame:
+            frame = frame.replace("{w}", rng.choice(PLAIN_WORDS), 1)
+        cases.append(frame.replace("{}", entity))
+        entities.append(entity)
+    addresses = 0
+    for text, entity in zip(cases, entities, strict=True):
+        base, added = pii.find(text, field)
+        for _, s, e in base + added:
+            assert not set(re.findall(r"[a-z]+", text[s:e])) & set(PLAIN_WORDS), (text, text[s:e])
+            assert entity is None or text.index(entity) <= s and e <= text.index(entity) + len(entity), (text, text[s:e])
+        if entity and "@" in entity:
+            addresses += any(text[s:e] == entity for k, s, e in base + added if k == 0)
+    assert addresses > 0.9 * sum("@" in e for e in entities if e), addresses
+
+
 def test_pii_empty_table(spark):
     none = docs(spark, []).where("false")
     field = pii.fit(none)
