@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .snapshot import latest
+from .trigram import TextIndex, joined
 
 #: What the title shows: reconciled, else the tag, else the file's name.
 TITLE = ("resolved_title", "tag_title", "filename")
@@ -31,6 +32,34 @@ def search_files(files: DataFrame, q: str) -> DataFrame:
     return files.where(_contains("filename_lower", q) | F.coalesce(F.col("filename_norm_ascii").contains(tx.flatten_diacritics(F.lit(q.lower()))), F.lit(False)))
 
 
+#: Forms under which files are indexed, and those of them that hold tags.
+LOWER, KEYED, TAGGED = "lower", "key", "tags"
+
+
+def index_files(index: TextIndex, files: DataFrame) -> TextIndex:
+    """Indexes names (filename_lower, filename_norm_ascii) and, of rows that have them, titles and artists without accents."""
+    tags = [c for c in ("resolved_title", "resolved_artist", "tag_title", "tag_artist") if c in files.columns]
+    forms = {LOWER: F.col("filename_lower"), KEYED: F.col("filename_norm_ascii")}
+    if tags:
+        has = F.coalesce(*tags).isNotNull()
+        forms[TAGGED] = F.when(has, tx.flatten_diacritics(F.lower(joined(*tags))))
+    return index.build(files, "file_id", forms)
+
+
+def _flat(index: TextIndex, q: str) -> str:
+    return index.spark.range(1).select(tx.flatten_diacritics(F.lit(q.lower())).alias("q")).first()["q"]
+
+
+def find_audio(index: TextIndex, q: str) -> DataFrame:
+    """(file_id,) as ``search_audio`` finds them: what holds a text also holds it without accents, so one form does."""
+    return index.matches(TAGGED, _flat(index, q)).withColumnRenamed("id", "file_id")
+
+
+def find_files(index: TextIndex, q: str) -> DataFrame:
+    """(file_id,) as ``search_files`` finds them."""
+    return index.matches(LOWER, q.lower()).union(index.matches(KEYED, _flat(index, q))).distinct().withColumnRenamed("id", "file_id")
+
+
 def search_union(audio_hits: DataFrame, file_hits: DataFrame, cap: int) -> DataFrame:
     """(source, file_id, directory_id, title, total): hits by audio first, then by name those not hit already; ``total`` counts before the cap."""
     one = audio_hits.select(F.lit("audio").alias("source"), "file_id", "directory_id", F.coalesce(*TITLE).alias("title"))

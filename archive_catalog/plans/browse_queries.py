@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import analyze, browse, cue, snapshot, stats
+from ..operators.graph import shared_folder
+from ..operators.scratch import Scratch
+from ..operators.trigram import TextIndex
 from .catalogue import query
 from .ingest_queries import _COUNTS, _FILES, _TREE, _counts, _directories, _files
 from .names_queries import _CUE, _VERSION, _sheets
@@ -34,9 +39,32 @@ def _named(t: Tables):
 _FLAT = "strip_accents(trim(regexp_replace(lower(filename), '[-_.\\s]+', ' ', 'g')))"
 
 
+def _index(t: Tables):
+    """The index of the documents' names, built once and used as long as the table's files stay the same."""
+    table = t.documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    version = table.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct("*")))), ","), 256).alias("v")).first()["v"]
+    index = TextIndex(t.spark, f"{shared_folder(t.spark)}/names-{version[:32]}")
+    if not index.exists():
+        files = _named(t)
+        audio = F.when(F.col("file_type") == "AUDIO", F.col("filename"))
+        browse.index_files(index, files.withColumn("resolved_title", audio))
+    return index
+
+
 @query("search_files", f"SELECT file_id FROM {{doc_files}} WHERE lower(filename) LIKE '%re the%' OR {_FLAT} LIKE '%re the%'")
 def search_files(t: Tables):
-    return browse.search_files(_named(t), "re the").select("file_id")
+    return browse.find_files(_index(t), "re the")
+
+
+_WORDS = ("é", "ou", "ÉA", "|", "ing", "nd the", "à le", "zzqzz")
+
+
+@query("search_words", " UNION ALL ".join(f"SELECT '{w}' AS q, count(*) FILTER (lower(filename) LIKE '%{w.lower()}%' OR {_FLAT} LIKE '%' || strip_accents('{w.lower()}') || '%') AS names, count(*) FILTER (file_type = 'AUDIO' AND strip_accents(lower(filename)) LIKE '%' || strip_accents('{w.lower()}') || '%') AS audio FROM {{doc_files}}" for w in _WORDS))
+def search_words(t: Tables):
+    """How many files several searches find, with accents and of one and two letters."""
+    index = _index(t)
+    one = lambda w: browse.find_files(index, w).agg(F.count("*").alias("names")).crossJoin(browse.find_audio(index, w).agg(F.count("*").alias("audio"))).select(F.lit(w).alias("q"), "names", "audio")  # noqa: E731  one row by one row
+    return reduce(lambda x, y: x.unionByName(y), [one(w) for w in _WORDS])
 
 
 _HITS = f"""audio AS (SELECT file_id, directory_id, filename FROM {{doc_files}} WHERE file_type = 'AUDIO' AND (lower(filename) LIKE '%and%' OR strip_accents(lower(filename)) LIKE '%and%')),
@@ -46,10 +74,12 @@ hits AS (SELECT *, (SELECT count(*) FROM both_hits) AS total FROM both_hits ORDE
 
 
 def _hits(t: Tables):
-    none = F.lit(None).cast("string")
-    files = _named(t)
-    audio = browse.search_audio(files.where("file_type = 'AUDIO'").withColumns({"resolved_title": F.col("filename"), "resolved_artist": none, "tag_title": none, "tag_artist": none}), "and")
-    return browse.search_union(audio, browse.search_files(files, "an"), CAP)
+    """The hits, written once: they are counted, cut and joined."""
+    scratch, index, none = Scratch(t.spark, "hits"), _index(t), F.lit(None).cast("string")
+    rows = t.doc_files.select("file_id", "directory_id", "filename").withColumns({"resolved_title": F.col("filename"), "tag_title": none})
+    audio, files = (scratch.written(found, name) for found, name in ((browse.find_audio(index, "and"), "audio"), (browse.find_files(index, "an"), "files")))
+    hits = browse.search_union(rows.join(audio, "file_id", "left_semi"), rows.join(files, "file_id", "left_semi"), CAP)
+    return scratch.written(hits, "hits")
 
 
 @query("search_union", f"WITH {_HITS} SELECT * FROM hits")
