@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +59,24 @@ def enrich_albums(directories: DataFrame, audio: DataFrame) -> DataFrame:
     return albums.join(first, "directory_id", "left").select("directory_id", F.col("t.file_id").alias("file_id"), F.col("t.fingerprint").alias("fingerprint"), F.col("t.duration_sec").alias("duration_sec"))
 
 
-def enrich_requests(albums: DataFrame, best: DataFrame) -> DataFrame:
+def whole_print(fingerprint: Column) -> Column:
+    """The key of a lookup: a digest of the whole fingerprint, as prints may begin alike."""
+    return F.sha2(fingerprint, 256)
+
+
+def print_start(fingerprint: Column) -> Column:
+    """The key under which earlier caches hold a lookup: the fingerprint's first 64 characters."""
+    return F.substring(fingerprint, 1, 64)
+
+
+def enrich_requests(albums: DataFrame, best: DataFrame, lookup_key: Callable[[Column], Column] = whole_print) -> DataFrame:
     """What three services are to be asked for each album, each request once: (scope, source, ref_file_id, ref_dir_id, query_used).
 
     ``albums``: directory_id, name and the representative track's file_id, fingerprint, duration_sec, work_id, resolved_artist, tag_album (null if there is none);
-    ``best``: query_used (a lookup's key), recording_mbid. A lookup is keyed by the digest of the whole fingerprint, as prints may begin alike; a recording, asked for
+    ``best``: query_used (a lookup's key), recording_mbid. A lookup is keyed by ``lookup_key`` (``print_start`` finds what an earlier cache holds); a recording, asked for
     tracks of a known work only, by its id; a release by artist and album.
     """
-    ready = albums.where(F.col("fingerprint").isNotNull() & (F.col("duration_sec") > 0)).withColumn("lookup", F.sha2("fingerprint", 256))
+    ready = albums.where(F.col("fingerprint").isNotNull() & (F.col("duration_sec") > 0)).withColumn("lookup", lookup_key(F.col("fingerprint")))
 
     def asked(rows: DataFrame, scope: str, source: str, query: Column, file_id: Column, directory_id: Column) -> DataFrame:
         return rows.select(F.lit(scope).alias("scope"), F.lit(source).alias("source"), file_id.alias("ref_file_id"), directory_id.alias("ref_dir_id"), query.alias("query_used"))
@@ -108,6 +120,20 @@ def apply_recordings(audio: DataFrame, best: DataFrame, recordings: DataFrame) -
     )
 
 
+def apply_to_works(works: DataFrame, audio: DataFrame, best: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Works (work_id, title, artist, confidence) with title, artist, outside id and confidence of what the recordings of their tracks say.
+
+    ``audio``: lookup_key and work_id of the tracks that were looked up. Of several recordings of a work that with the least track wins; a work that none speaks of stays as it is.
+    """
+    found = apply_recordings(audio.withColumn("acoust_id", F.lit(None).cast("string")), best, recordings).where("work_mbid IS NOT NULL AND work_id IS NOT NULL")
+    said = F.min_by(F.struct("work_mbid", "work_title", "work_artist", "work_confidence"), F.struct("file_id", "work_mbid"))
+    new = found.groupBy("work_id").agg(said.alias("new"))
+    return works.join(new, "work_id", "left").select(
+        *[c for c in works.columns if c not in ("title", "artist", "confidence", "work_mbid")], F.coalesce("new.work_title", "title").alias("title"), F.coalesce("new.work_artist", "artist").alias("artist"),
+        F.col("new.work_mbid").alias("work_mbid"), F.coalesce("new.work_confidence", "confidence").alias("confidence"),
+    )
+
+
 def enrich_totals(albums: DataFrame, hits: dict[str, DataFrame]) -> DataFrame:
     """Albums processed and queries that each source answered."""
     out = albums.agg(F.count("*").alias("albums"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,23 +164,28 @@ def register_volumes(probes: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def integrity_report(tables: dict[str, DataFrame], unique: dict[str, list[str]], foreign: list[tuple[str, str, str, str]], enums: list[tuple[str, str, tuple[str, ...]]], not_negative: list[tuple[str, str]]) -> DataFrame:
-    """(rule, subject, violations): counts of rows that break a rule, of rules that are broken."""
-    out = None
-
-    def add(rule: str, subject: str, rows: DataFrame, n: Column | None = None) -> None:
-        nonlocal out
-        one = rows.agg(F.coalesce(n if n is not None else F.count("*"), F.lit(0)).cast("long").alias("violations")).select(F.lit(rule).alias("rule"), F.lit(subject).alias("subject"), "violations")
-        out = one if out is None else out.unionByName(one)
+    """(rule, subject, violations): counts of rows that break a rule, of rules that are broken.
 
-    for name, key in unique.items():
-        add("unique", f"{name}({','.join(key)})", tables[name].groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), F.sum(F.col("n") - 1))
-    for child, column, parent, pk in foreign:
-        add("foreign", f"{child}.{column}", tables[child].where(F.col(column).isNotNull()).join(tables[parent].select(F.col(pk).alias(column)).distinct(), column, "left_anti"))
+    All rules of single rows are counted in one pass over their table. A key rule takes one aggregate by the key; a reference is looked up
+    by its distinct values, counted first, so neither a hot key nor a long child table travels.
+    """
+    rules: dict[str, list[tuple[str, str, Column]]] = {}
     for name, column, allowed in enums:
-        add("enum", f"{name}.{column}", tables[name].where(~F.col(column).isin(*allowed)))
+        rules.setdefault(name, []).append(("enum", f"{name}.{column}", ~F.col(column).isin(*allowed)))
     for name, column in not_negative:
-        add("range", f"{name}.{column}", tables[name].where(F.col(column) < 0))
-    return out.where("violations > 0")
+        rules.setdefault(name, []).append(("range", f"{name}.{column}", F.col(column) < 0))
+    parts = []
+    for name, own in rules.items():
+        counted = tables[name].agg(*[F.count_if(broken).alias(f"_{i}") for i, (_, _, broken) in enumerate(own)])
+        listed = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(subject).alias("subject"), F.col(f"_{i}").alias("violations")) for i, (rule, subject, _) in enumerate(own)])
+        parts.append(counted.select(F.explode(listed).alias("r")).select("r.*"))
+    one = lambda rule, subject, rows: rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations")).select(F.lit(rule).alias("rule"), F.lit(subject).alias("subject"), "violations")
+    for name, key in unique.items():
+        parts.append(one("unique", f"{name}({','.join(key)})", tables[name].groupBy(*key).agg((F.count("*") - 1).alias("n"))))
+    for child, column, parent, pk in foreign:
+        values = tables[child].where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+        parts.append(one("foreign", f"{child}.{column}", values.join(tables[parent].select(F.col(pk).alias(column)), column, "left_anti")))
+    return reduce(lambda x, y: x.unionByName(y), parts).where("violations > 0")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from archive_catalog.functions import text as tx
 from archive_catalog.operators import acoustic, analyze, browse, cue, dedup, enrich, scan_job, snapshot, stats
 from archive_catalog.operators.graph import components
 from archive_catalog.sources import readers
@@ -269,3 +270,31 @@ def test_interrupted_runs(spark):
     runs = spark.createDataFrame([(i, "v", "SCAN", "INTERRUPTED" if i in (1, 18) else "COMPLETED", i) for i in range(20)], "run_id int, volume_id string, kind string, status string, started_at int")
     volumes = spark.createDataFrame([("v", "Disk")], "volume_id string, label string")
     assert [(r["run_id"], r["label"]) for r in stats.interrupted_runs(runs, volumes).collect()] == [(18, "Disk")]
+
+
+def test_lookups_under_either_key(spark):
+    long = "A" * 70
+    albums = spark.createDataFrame([(1, 10, long, 200.0, "w1", None, None, "name"), (2, 11, long + "B", 200.0, None, "x", "y", "name")], "directory_id long, file_id long, fingerprint string, duration_sec double, work_id string, resolved_artist string, tag_album string, name string")
+    cache = spark.createDataFrame([("FINGERPRINT", "ACOUSTID", "A" * 64)], "scope string, source string, query_used string")
+    best = spark.createDataFrame([("A" * 64, "rec")], "query_used string, recording_mbid string")
+    old = enrich.enrich_requests(albums, best, enrich.print_start)
+    assert {(r["source"], r["query_used"]) for r in enrich.open_requests(old, cache).collect()} == {("MUSICBRAINZ", "rec"), ("DISCOGS", "name"), ("DISCOGS", "x y")}
+    new = enrich.enrich_requests(albums, best)
+    assert len({r["query_used"] for r in enrich.open_requests(new, cache).where("source = 'ACOUSTID'").collect()}) == 2
+
+
+def test_recordings_reach_their_works(spark):
+    works = spark.createDataFrame([("w1", "old", "a", 0.5), ("w2", "stays", "b", 0.4), ("w3", "bare", None, 0.3)], "work_id string, title string, artist string, confidence double")
+    audio = spark.createDataFrame([(2, "k2", "w1"), (1, "k1", "w1"), (3, "k9", "w2"), (4, "k1", None), (5, "k3", "w3")], "file_id long, lookup_key string, work_id string")
+    best = spark.createDataFrame([("k1", "r1"), ("k2", "r2"), ("k3", "r3")], "query_used string, recording_mbid string")
+    recordings = spark.createDataFrame([("r1", "m1", "One", "A1"), ("r2", "m2", "Two", "A2"), ("r3", "m3", "Bare!", None)], "recording_mbid string, work_mbid string, work_title string, artist string")
+    got = sorted((r["work_id"], r["title"], r["artist"], r["work_mbid"], r["confidence"]) for r in enrich.apply_to_works(works, audio, best, recordings).collect())
+    assert got == [("w1", "One", "A1", "m1", enrich.WORK_CONFIDENCE), ("w2", "stays", "b", None, 0.4), ("w3", "Bare!", None, "m3", enrich.WORK_CONFIDENCE)]
+
+
+def test_white_space_beyond_ascii(spark):
+    rows = [("Song by x", "Song"), ("Song (Official Video)", "Song"), ("Song by x", "Song"), ("Songbyx", "Songbyx"), ("Song - Video", "Song")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", tx.strip_junk(F.col("t"))).collect())
+    kinds = spark.createDataFrame([("Radio Edit", "RADIO_EDIT"), ("a cappella", "ACAPELLA"), ("a-cappella", "ACAPELLA"), ("original　mix", "ORIGINAL")], "t string, want string")
+    assert all(r["got"] == r["want"] for r in kinds.withColumn("got", tx.version_kind(F.col("t"))).collect())
