@@ -117,6 +117,25 @@ def directory_counts(directories: DataFrame, files: DataFrame) -> DataFrame:
     return directories.join(n, "directory_id", "left").fillna({"file_count": 0, "audio_count": 0, "has_cue": False})
 
 
+def subtree_totals(directories: DataFrame, files: DataFrame) -> DataFrame:
+    """Files, audio files, bytes and directories of each directory's whole subtree, itself included; ``height`` is the depth of the deepest directory below it.
+
+    Counts per directory are made first and then given to every ancestor, which its path names: one row a directory and level instead of one a file,
+    summed by tasks before they meet, so a root is no hot key. A chain of any depth takes the same two aggregations, not one a level.
+    """
+    own = directory_counts(directories.select("volume_id", "rel_path", "directory_id", "depth"), files).join(
+        files.groupBy("directory_id").agg(F.sum("size_bytes").alias("bytes")), "directory_id", "left"
+    )
+    parts = F.filter(F.split("rel_path", "/"), lambda p: p != "")
+    upto = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    each = own.select("volume_id", F.explode(upto).alias("rel_path"), "file_count", "audio_count", F.coalesce("bytes", F.lit(0)).alias("bytes"), "depth")
+    sums = each.groupBy("volume_id", "rel_path").agg(
+        F.sum("file_count").alias("tree_files"), F.sum("audio_count").alias("tree_audio"), F.sum("bytes").alias("tree_bytes"), F.count("*").alias("tree_directories"), F.max("depth").alias("deepest")
+    )
+    found = directories.select("volume_id", "rel_path", "directory_id", "depth").join(sums, ["volume_id", "rel_path"])
+    return found.select("directory_id", "tree_files", "tree_audio", "tree_bytes", "tree_directories", (F.col("deepest") - F.col("depth")).alias("height"))
+
+
 def run_counters(files: DataFrame, directory: str = "directory_id") -> DataFrame:
     """Totals of one scan."""
     return files.agg(

@@ -222,6 +222,17 @@ def directory_counts(t: Tables):
     return _counts(t).select("directory_id", "file_count", "audio_count", "has_cue")
 
 
+@query(
+    "subtree_totals",
+    f"""WITH {_TREE}, {_FILES}, below AS (SELECT a.directory_id AS top, a.depth AS top_depth, b.directory_id, b.depth FROM dirs a JOIN dirs b ON a.volume_id = b.volume_id AND (a.rel_path = '' OR b.rel_path = a.rel_path OR starts_with(b.rel_path, a.rel_path || '/'))),
+    d AS (SELECT top AS directory_id, count(*) AS tree_directories, CAST(max(depth) - max(top_depth) AS INTEGER) AS height FROM below GROUP BY top),
+    n AS (SELECT top AS directory_id, count(*) AS tree_files, count(*) FILTER (file_type = 'AUDIO') AS tree_audio, CAST(sum(size_bytes) AS BIGINT) AS tree_bytes FROM below JOIN files USING (directory_id) GROUP BY top)
+    SELECT d.directory_id, coalesce(tree_files, 0) AS tree_files, coalesce(tree_audio, 0) AS tree_audio, coalesce(tree_bytes, 0) AS tree_bytes, tree_directories, height FROM d LEFT JOIN n ON d.directory_id = n.directory_id""",
+)
+def subtree_totals(t: Tables):
+    return snapshot.subtree_totals(_directories(t), _files(t))
+
+
 _DISCS = r"""discs AS (SELECT parent_id, directory_id, CASE WHEN regexp_extract(rel_path, '([^/]*)$', 1) = 'CD1' THEN 1 WHEN regexp_extract(rel_path, '([^/]*)$', 1) = 'cd 2' THEN 2 END AS disc_no FROM dirs),
 md AS (SELECT parent_id, count(disc_no) >= 2 AND count(DISTINCT disc_no) >= 2 AS parent_is_multidisc FROM discs WHERE parent_id IS NOT NULL GROUP BY parent_id)"""
 

@@ -298,3 +298,20 @@ def test_white_space_beyond_ascii(spark):
     assert all(r["got"] == r["want"] for r in df.withColumn("got", tx.strip_junk(F.col("t"))).collect())
     kinds = spark.createDataFrame([("Radio Edit", "RADIO_EDIT"), ("a cappella", "ACAPELLA"), ("a-cappella", "ACAPELLA"), ("original　mix", "ORIGINAL")], "t string, want string")
     assert all(r["got"] == r["want"] for r in kinds.withColumn("got", tx.version_kind(F.col("t"))).collect())
+
+
+def test_subtrees_of_a_deep_chain(spark):
+    """A chain of 60 directories with a file at every third, a sibling with a name that begins alike, and a second volume."""
+    chain = ["/".join(f"d{k}" for k in range(i)) for i in range(61)]
+    paths = [("v", f"{d}/f{i}.mp3" if d else f"f{i}.mp3", i) for i, d in enumerate(chain) if i % 3 == 0] + [("v", "d0x/a.txt", 1000), ("v", "d0/b.mp3", 5), ("w", "d0/c.mp3", 7)]
+    files = spark.createDataFrame(paths, "volume_id string, rel_path string, size_bytes long").withColumn("file_type", tx.file_type(F.col("rel_path")))
+    tree = snapshot.with_parent(snapshot.directory_tree(files))
+    placed = snapshot.file_directory(files, tree)
+    rows = snapshot.subtree_totals(tree, placed).join(tree.select("directory_id", "volume_id", "rel_path"), "directory_id").collect()
+    got = {(r["volume_id"], r["rel_path"]): (r["tree_files"], r["tree_audio"], r["tree_bytes"], r["tree_directories"], r["height"]) for r in rows}
+    for (v, d), have in got.items():
+        under = [p for p in paths if p[0] == v and (not d or p[1].startswith(d + "/"))]
+        dirs = [x for w, x in got if w == v and (not d or x == d or x.startswith(d + "/"))]
+        level = lambda x: x.count("/") + 1 if x else 0
+        assert have == (len(under), sum(p[1].endswith(".mp3") for p in under), sum(p[2] for p in under), len(dirs), max(map(level, dirs)) - level(d)), d
+    assert len(got) == 61 + 1 + 2
