@@ -13,8 +13,8 @@ each of which meets one tree, and all queries of a task go through the tree toge
 
 Defined results: a component x counts as floor(256 x), components beyond what a long holds are cut to its range, and scores are exact as long as they fit a long; null vectors,
 or those with a null or non-finite component, take no part, nor do
-rows with a null id; a query's own id is no candidate; rows that repeat id and vector count once; vectors of another length are compared
-over the common length only as zeros beyond; fewer candidates give fewer ranks; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
+rows with a null id; a query's own row is no candidate, but every other one is: rows that repeat id and vector are searched once and count as often as they stand there, as candidates
+and as queries; vectors of another length are compared over the common length only as zeros beyond; fewer candidates give fewer ranks; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
@@ -50,6 +50,7 @@ class Node:
     rows: np.ndarray | None = None
     page: np.ndarray | None = None
     ids: np.ndarray | None = None
+    copies: np.ndarray | None = None
     children: list[Node] | None = None
     near: np.ndarray | None = None
     routings: np.ndarray | None = None
@@ -103,7 +104,9 @@ class Index:
     wide: int
 
     @classmethod
-    def of(cls, ids: np.ndarray, vectors: np.ndarray) -> Index:
+    def of(cls, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None = None) -> Index:
+        """``copies``: how many rows each vector stands for (else one)."""
+        copies = np.ones(len(ids), np.int64) if copies is None else copies
         norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
         top = norms.max()
         points = np.concatenate([vectors.astype(np.float64), np.sqrt(top - norms)[:, None]], axis=1)
@@ -114,7 +117,7 @@ class Index:
         while todo:
             node = todo.pop()
             if node.rows is not None:  # a page holds its rows side by side
-                node.page, node.ids = vectors[node.rows].astype(np.float64 if exact else np.int64), ids[node.rows]
+                node.page, node.ids, node.copies = vectors[node.rows].astype(np.float64 if exact else np.int64), ids[node.rows], copies[node.rows]
             todo += node.children or []
         return cls(float(top), root, exact, vectors.shape[1])
 
@@ -137,8 +140,11 @@ class Index:
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
         """For each query the k best (score, id), best first, of those that reach its ``bar`` (if any); ``own``: the queries' ids."""
         q = np.concatenate([queries.astype(np.float64), np.zeros((len(queries), 1))], axis=1)
-        whole = queries.astype(np.float64 if self.exact else np.int64)
-        square = (q * q).sum(axis=1) + self.lift
+        norms = (q * q).sum(axis=1)
+        # a query may be far longer than the block's vectors, so its products can be inexact where theirs aren't
+        exact = self.exact and norms.max(initial=0) * self.lift * 16 < 2.0**106
+        whole = queries.astype(np.float64 if exact else np.int64)
+        square = norms + self.lift
         slack = 1e-6 * (1 + np.sqrt(square))
         scores = np.full((len(q), k), np.iinfo(np.int64).min, np.int64)
         ids = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
@@ -151,10 +157,17 @@ class Index:
             return np.nan_to_num(np.sqrt(np.maximum(0.0, square - 2.0 * np.fmax(score, least))) + slack, nan=np.inf)
 
         def visit(page: Node, which: np.ndarray) -> None:
-            found = (whole[which] @ page.page.T).astype(np.int64)
-            fit = (page.ids[None, :] != own[which][:, None]) & ~(found < least[which][:, None]) & ((found >= scores[which, -1][:, None]) | (full[which] < k)[:, None])
+            found = (whole[which] @ (page.page if exact or not self.exact else page.page.astype(np.int64)).T).astype(np.int64)
+            times = np.broadcast_to(page.copies, found.shape)
+            mine = page.ids[None, :] == own[which][:, None]
+            if mine.any():
+                times = times.copy()
+                at, hit = np.nonzero(mine)
+                times[at, hit] -= (queries[which[at]] == page.page[hit]).all(axis=1)
+            fit = (times > 0) & ~(found < least[which][:, None]) & ((found >= scores[which, -1][:, None]) | (full[which] < k)[:, None])
             for row in np.flatnonzero(fit.any(axis=1)):
                 i, hits = which[row], np.flatnonzero(fit[row])
+                hits = np.repeat(hits, np.minimum(times[row, hits], k))
                 s = np.concatenate([scores[i, : full[i]], found[row, hits]])
                 names = np.concatenate([ids[i, : full[i]], page.ids[hits]])
                 order = np.lexsort((names, -s))[:k]
@@ -220,7 +233,7 @@ def _fit(points: np.ndarray, wide: int) -> np.ndarray:
 
 
 def placed(rows: DataFrame, pivots: np.ndarray, best: bool = False) -> DataFrame:
-    """Rows with the nearest pivot as ``cell`` and the distance to it; ``best``: the pivot with the largest product instead."""
+    """Rows (vec_id, q and the numbers beside them) with the nearest pivot as ``cell`` and the distance to it; ``best``: the pivot with the largest product instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,26 +243,26 @@ def placed(rows: DataFrame, pivots: np.ndarray, best: bool = False) -> DataFrame
             away = (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * product
             cell = (product.argmax(axis=1) if best else away.argmin(axis=1)).astype(np.int64)
             dist = np.sqrt(np.maximum(((v - p[cell]) ** 2).sum(axis=1), 0)) if len(v) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("q"), pa.array(cell), pa.array(dist)], names=["vec_id", "q", "cell", "away"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], names=[*b.schema.names, "cell", "away"])
 
-    return rows.mapInArrow(run, "vec_id long, q array<long>, cell long, away double")
+    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "cell long, away double"]))
 
 
 def _trees(dealt: DataFrame) -> DataFrame:
     """(cell, part, tree): one M-tree a block."""
 
     def build_one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        tree = Index.of(frame["vec_id"].to_numpy(np.int64), _matrix(frame["q"]))
+        tree = Index.of(frame["vec_id"].to_numpy(np.int64), _matrix(frame["q"]), frame["copies"].to_numpy(np.int64))
         return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "tree": [pickle.dumps(tree)]})
 
     return dealt.groupBy("cell", "part").applyInPandas(build_one, "cell long, part long, tree binary")
 
 
 def _searched(asked: DataFrame, trees: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of every block for every query of ``asked`` (vec_id, q, cell, bar), queries in chunks of a bounded number."""
+    """(query_id, nth, times, vec_id, score): the k best of every block for every query of ``asked`` (vec_id, nth, times, q, cell, bar), queries in chunks of a bounded number."""
 
     def search(_: tuple, ask: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
         if len(ask):
             for blob in data["tree"]:
                 tree = pickle.loads(blob)
@@ -257,19 +270,19 @@ def _searched(asked: DataFrame, trees: DataFrame, chunks: DataFrame, k: int) ->
                 wide = tree.wide
                 queries = _fit(queries[:, :wide], wide)  # beyond the block's length its vectors are zero
                 own = ask["vec_id"].to_numpy(np.int64)
-                for i, hits in zip(own, tree.search(own, queries, k, ask["bar"].to_numpy(np.float64, na_value=np.nan)), strict=True):
-                    out += [(int(i), vec_id, score) for score, vec_id in hits]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                for i, nth, times, hits in zip(own, ask["nth"], ask["times"], tree.search(own, queries, k, ask["bar"].to_numpy(np.float64, na_value=np.nan)), strict=True):
+                    out += [(int(i), int(nth), int(times), vec_id, score) for score, vec_id in hits]
+        return pd.DataFrame(out, columns=["query_id", "nth", "times", "vec_id", "score"]).astype("int64")
 
     parts = trees.select("cell", "part").join(chunks, "cell")
-    keyed = asked.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "q"), F.col("chunks"))).select("cell", "part", "chunk", "vec_id", "q", "bar").toDF("c", "p", "n", "vec_id", "q", "bar")
+    keyed = asked.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "q"), F.col("chunks"))).select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("chunk").alias("n"), "vec_id", "nth", "times", "q", "bar")
     held = trees.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("cell", "part", "chunk", "tree")
-    return keyed.groupBy("c", "p", "n").cogroup(held.groupBy("cell", "part", "chunk")).applyInPandas(search, "query_id long, vec_id long, score long")
+    return keyed.groupBy("c", "p", "n").cogroup(held.groupBy("cell", "part", "chunk")).applyInPandas(search, "query_id long, nth long, times long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """query_id and its k best (minus score, vec_id), merged with partial aggregation."""
-    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
+    """A query (query_id, nth, times) and its k best (minus score, vec_id), merged with partial aggregation."""
+    return found.groupBy("query_id", "nth", "times").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
 
 
 def _in_chunks(asked: DataFrame, query_block: int) -> DataFrame:
@@ -277,8 +290,11 @@ def _in_chunks(asked: DataFrame, query_block: int) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Rows query_id, rank, vec_id, score. Both inputs: vec_id long, q array<long>."""
+    """Rows query_id, rank, vec_id, score. Both inputs: vec_id long, q array<long>. Of queries that share an id each (``nth``) has its own ranks, given as often (``times``) as it is asked."""
     scratch = Scratch(vectors.sparkSession, "mtree")
+    vectors = vectors.groupBy("vec_id", "q").agg(F.count("*").alias("copies"))
+    nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("q")).cast("long")
+    queries = queries.groupBy("vec_id", "q").agg(F.count("*").alias("times")).withColumn("nth", nth)
     n = vectors.count()
     pivots = pivots_of(vectors, max(1, min(PIVOTS, -(-n // block))))
     if not len(pivots):
@@ -291,22 +307,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     known = np.array(sorted(held))
     home = scratch.written(placed(queries, pivots[known], best=True).withColumn("cell", F.get(F.array(*[F.lit(int(c)) for c in known]), F.col("cell").cast("int"))).withColumn("bar", F.lit(None).cast("double")).drop("away"), "home")
     first = scratch.written(_searched(home, trees, _in_chunks(home, query_block), k), "first")
-    bar = _best(first, k).select(F.col("query_id").alias("vec_id"), F.when(F.size("best") >= k, -F.get("best.minus", F.lit(k - 1))).cast("double").alias("bar"))
+    bar = _best(first, k).select(F.col("query_id").alias("vec_id"), "nth", F.when(F.size("best") >= k, -F.get("best.minus", F.lit(k - 1))).cast("double").alias("bar"))
     radii = np.array([held[c][0] for c in known])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = _matrix(b.column("q"), pivots.shape[1]).astype(np.float64)
             p = _fit(pivots[known], v.shape[1])
-            most = v @ p.T + np.linalg.norm(v, axis=1)[:, None] * radii[None, :]
-            most += 1e-6 * (1 + np.abs(most))
+            size = np.linalg.norm(v, axis=1)[:, None]
+            most = v @ p.T + size * radii[None, :]
+            most += 1e-6 * (1 + np.abs(most)) + 1e-9 * size * (np.linalg.norm(p, axis=1) + radii)[None, :]
             least = b.column("bar").to_numpy(zero_copy_only=False).astype(np.float64)
             rows, to = np.nonzero(((most >= least[:, None]) | np.isnan(least)[:, None]) & (known[None, :] != b.column("cell").to_numpy()[:, None]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("vec_id", "q", "bar")), pa.array(known[to].astype(np.int64))], names=["vec_id", "q", "bar", "cell"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("vec_id", "nth", "times", "q", "bar")), pa.array(known[to].astype(np.int64))], names=["vec_id", "nth", "times", "q", "bar", "cell"])
 
-    more = scratch.written(home.drop("bar").join(bar, "vec_id", "left").select("vec_id", "q", "cell", "bar").mapInArrow(route, "vec_id long, q array<long>, bar double, cell long"), "routed")
+    more = scratch.written(home.drop("bar").join(bar, ["vec_id", "nth"], "left").select("vec_id", "nth", "times", "q", "cell", "bar").mapInArrow(route, "vec_id long, nth long, times long, q array<long>, bar double, cell long"), "routed")
     found = first.unionByName(_searched(more, trees, _in_chunks(more, query_block), k))
-    ranked = _best(found, k).select("query_id", F.posexplode("best").alias("at", "hit"))
+    asked = _best(found, k).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    ranked = asked.select("query_id", F.posexplode("best").alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
 
 
@@ -314,7 +332,7 @@ def op5_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import table
 
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("q"))
-    rows = rows.where("vec_id IS NOT NULL AND q IS NOT NULL").distinct()
+    rows = rows.where("vec_id IS NOT NULL AND q IS NOT NULL")
     return top_k(rows, rows.where("vec_id % 50 = 0"))
 
 

@@ -160,6 +160,26 @@ def test_top_k_blocks_and_edges(spark):
     assert mtree.top_k(data.where("false"), data.where("false")).count() == 0
 
 
+def test_every_row_but_the_query_itself_is_a_candidate(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(-99, 99) for _ in range(4)]) for i in range(120)]
+    rows += rows[:60:7] + [(50, [7, 7, 7, 7]), rows[50], rows[50]]
+    got = sorted(map(tuple, mtree.top_k(spark.createDataFrame(rows, "vec_id long, q array<long>"), spark.createDataFrame([r for r in rows if r[0] % 50 == 0], "vec_id long, q array<long>"), block=30, query_block=3).collect()))
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(rows) if b != a)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_long_queries_on_short_vectors_score_exactly():
+    vectors = np.array([[2**24 + 1, 3], [2**24, 1]])
+    index = mtree.Index.of(np.array([1, 2]), vectors)
+    ask = np.array([[2**31 + 1, 2**30 + 7]])
+    assert index.search(np.array([0]), ask, 2) == [sorted([(int(ask[0] @ v), i) for i, v in ((1, vectors[0]), (2, vectors[1]))], reverse=True)]
+
+
 # --- URLs ------------------------------------------------------------------------------------------------------------
 def brute_rule(url):
     if url is None or "://" not in url:
