@@ -2,7 +2,7 @@
 
 Every batch of texts is turned into postings where it is read: for each sequence the ids of its texts, so what is shuffled is as many lists as a batch has different sequences.
 Postings are sorted by sequence, and a search reads the parts of the files that hold its own. It intersects its rarest sequences and looks at the
-texts of what remains; a search of one or two characters looks at the texts, which are kept in the searched form. Several forms of a text (flattened, normalised) are indexed under names of their own.
+texts of what remains. Texts never move: what remains, ``FEW`` ids at most, is broadcast; where every sequence is more frequent than that, the texts are looked at where they lie. A search of one or two characters looks at the texts, which are kept in the searched form. Several forms of a text (flattened, normalised) are indexed under names of their own.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Sequences that a search intersects.
 RAREST = 3
+#: Ids that travel to the texts at most.
+FEW = 1 << 20
 #: Between fields that are searched as one text; no search may hold it.
 BETWEEN = "\x01"
 
@@ -84,8 +86,11 @@ class TextIndex:
             if len(counts) < len(grams):
                 return texts.select("id").limit(0)
             rarest = sorted(grams, key=lambda g: (counts[g], g))[:RAREST]
+            if counts[rarest[0]] > FEW:
+                return texts.where(F.col("text").contains(what)).select("id").distinct()
+            rarest = [g for g in rarest if counts[g] <= FEW]
             found = self.postings(form, rarest).select("gram", F.explode("ids").alias("id"))
             if len(rarest) > 1:
                 found = found.groupBy("id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(rarest))
-            texts = texts.join(found.select("id"), "id", "left_semi")
+            texts = texts.join(F.broadcast(found.select("id")), "id", "left_semi")  # FEW ids at most: each holds the rarest sequence
         return texts.where(F.col("text").contains(what)).select("id").distinct()
