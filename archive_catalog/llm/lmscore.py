@@ -6,7 +6,8 @@ in training rows or not) are looked up in the tasks; the others are joined with
 *Model.* Ids are those of a public subword vocabulary, a start id before each text and its end id after it. The chance of the next id is that of its class
 given what stands before, times that of the id within its class. Within a class ids follow their counts in all training rows (plus one): the counts of words, spelled in ids. The most
 frequent ids are classes of their own, the others are dealt, by whether they end a word, into classes of equal weight. The class follows from one layer of causal self-attention
-and a bias for each distance, then a hidden layer. It is trained in numpy by Adam on pieces of at most ``SAMPLE`` training rows, chosen by a hash of the row.
+and a bias for each distance, then a hidden layer. It is trained in numpy by Adam on every position of every training row: rows go, in the order of a hash, into stretches of about
+``WINDOWS`` windows. One stretch is learnt first; the others each go on from its weights, in the tasks that hold them, and the weights that they reach are averaged by their windows.
 
 *Windows.* A text's positions are scored in stretches of ``STRIDE``; each stretch attends to itself, causally, and to the ``CONTEXT`` positions before it, so windows overlap, and each id is
 scored once, with ``CONTEXT`` ids before it at least (or all there are). Windows of many texts are scored together.
@@ -17,7 +18,6 @@ training rows all counts are 0 and the model is uniform over classes; an empty t
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import WordTokens
-from .shared import Scratch, chunks, heaviest
+from .shared import Scratch, chunks, heaviest, written
 
 #: Words that travel to the tasks at most; of each the bytes and a count.
 HEAD = 1 << 18
-#: Training pieces at most, and the words of one.
-SAMPLE, PIECE_WORDS, PIECE_BYTES = 4096, 80, 2048
+#: Windows that are learnt in a row: what a task holds of them at once.
+WINDOWS = 1 << 15
 CONTEXT, STRIDE = 16, 32
 WIDTH, HEADS, HIDDEN = 16, 1, 24
 #: Ids with an embedding of their own; the others share SHARED more by their rank.
@@ -137,54 +137,69 @@ def _joined(x: np.ndarray) -> np.ndarray:
     return x.transpose(0, 2, 1, 3).reshape(x.shape[0], x.shape[2], -1)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+def _longest(x: np.ndarray) -> float:
+    """The greatest length of a head's part of a row."""
+    return float(np.sqrt((x.reshape(len(x), HEADS, -1) ** 2).sum(axis=-1).max()))
 
 
 def gradients(p: dict[str, np.ndarray], rows: np.ndarray, there: np.ndarray, classes: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over ``counted`` targets and its gradients. ``rows``: keys of each window, ``there`` which of them exist; ``classes``: targets of the last STRIDE."""
     n, keys = rows.shape
     dist = distances(keys)
-    x = p["embed"][rows]
-    xq = x[:, -STRIDE:]
-    q, k, v = _split(xq @ p["query"]), _split(x @ p["key"]), _split(x @ p["value"])
+    flat = lambda y: y.reshape(-1, y.shape[-1])
     scale = np.float32((WIDTH // HEADS) ** -0.5)
-    seen = (dist >= 0)[None, None] & there[:, None, None, :]
-    seen |= (dist == 0)[None, None]  # padding looks at itself
-    a = np.where(seen, np.clip(q @ k.transpose(0, 1, 3, 2) * scale, -SCORE_BOUND, SCORE_BOUND) + p["near"][:, np.maximum(dist, 0)], np.float32(-1e9))
-    w = _softmax(a)
-    o = _joined(w @ v)
-    z = np.concatenate([xq, o], axis=-1)
+    x = p["embed"].take(rows, axis=0)
+    xq = np.ascontiguousarray(x[:, -STRIDE:])
+    # queries, keys and values of each embedding row are tables, as the rows are fewer than the places
+    queries, known = p["embed"] @ p["query"] * scale, p["embed"] @ p["key"]
+    q, k, v = _split(queries.take(rows[:, -STRIDE:], axis=0)), _split(known.take(rows, axis=0)), _split((p["embed"] @ p["value"]).take(rows, axis=0))
+    # a further column of ones adds up the weights; keys that do not exist are zero in all columns, so that they count for nothing
+    exists = np.broadcast_to(there[:, None, :, None], (n, HEADS, keys, 1)).astype(x.dtype)
+    v = np.concatenate([v * exists, exists], axis=-1)
+    w = q @ k.transpose(0, 1, 3, 2)
+    if not _longest(queries) * _longest(known) < SCORE_BOUND:
+        np.clip(w, -SCORE_BOUND, SCORE_BOUND, out=w)
+    np.exp(w, out=w)
+    w *= np.where(dist >= 0, np.exp(p["near"][:, np.maximum(dist, 0)]), 0).astype(x.dtype)
+    o = w @ v
+    total = o[..., -1:].copy()
+    total[total == 0] = 1  # padding that sees nothing
+    o = o[..., :-1] / total
+    z = np.concatenate([flat(xq), flat(_joined(o))], axis=-1)
     h = np.maximum(z @ p["hidden"] + p["lift"], 0)
-    chance = _softmax(np.minimum(h @ p["out"] + p["bias"], SCORE_BOUND))
-    at = np.take_along_axis(chance, classes[..., None], -1)[..., 0]
-    total = max(1, int(counted.sum()))
-    loss = -float(np.log(np.maximum(at[counted], 1e-30)).sum()) / total
-
-    d = chance
-    np.put_along_axis(d, classes[..., None], (at - 1)[..., None], -1)
-    d *= (counted[..., None] / np.float32(total)).astype(d.dtype)
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    g = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
-    dh = (d @ p["out"].T) * (h > 0)
-    g |= {"hidden": flat(z).T @ flat(dh), "lift": flat(dh).sum(axis=0)}
+    d = h @ p["out"]
+    d += p["bias"]
+    np.clip(d, -SCORE_BOUND, SCORE_BOUND, out=d)
+    np.exp(d, out=d)
+    d /= (d @ np.ones(d.shape[1], d.dtype))[:, None]
+    place, aims, use = np.arange(len(d)), classes.ravel(), counted.ravel()
+    share = 1 / max(1, int(use.sum()))
+    loss = -float(np.log(np.maximum(d[place, aims][use], 1e-30)).sum()) * share
+
+    d[place, aims] -= 1
+    d *= (use * d.dtype.type(share))[:, None]
+    g = {"out": h.T @ d, "bias": d.sum(axis=0)}
+    dh = d @ p["out"].T
+    dh *= h > 0
+    g |= {"hidden": z.T @ dh, "lift": dh.sum(axis=0)}
     dz = dh @ p["hidden"].T
-    do = _split(dz[..., WIDTH:])
-    dw = do @ v.transpose(0, 1, 3, 2)
-    da = w * (dw - (dw * w).sum(axis=-1, keepdims=True))
+    do = _split(dz[:, WIDTH:].reshape(n, STRIDE, WIDTH)) / total
+    da = np.concatenate([do, -(do * o).sum(axis=-1, keepdims=True)], axis=-1) @ v.transpose(0, 1, 3, 2)
+    da *= w
     near = np.zeros_like(p["near"])
     ok = dist >= 0
     for i, side in enumerate(da.sum(axis=0)):
         near[i] += np.bincount(dist[ok], weights=side[ok], minlength=near.shape[1]).astype(near.dtype)
     g["near"] = near
-    dq, dk, dv = _joined(da @ k) * scale, _joined(da.transpose(0, 1, 3, 2) @ q) * scale, _joined(w.transpose(0, 1, 3, 2) @ do)
-    g |= {"query": flat(xq).T @ flat(dq), "key": flat(x).T @ flat(dk), "value": flat(x).T @ flat(dv)}
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, -STRIDE:] += dz[..., :WIDTH] + dq @ p["query"].T
-    embed = np.zeros_like(p["embed"])
-    np.add.at(embed, rows.ravel(), flat(dx))
-    g["embed"] = embed
+    dq, dk, dv = (flat(_joined(y)) for y in ((da @ k) * scale, da.transpose(0, 1, 3, 2) @ q, (w.transpose(0, 1, 3, 2) @ do) * exists))
+    g |= {"query": flat(xq).T @ dq, "key": flat(x).T @ dk, "value": flat(x).T @ dv}
+    dx = (dk @ p["key"].T + dv @ p["value"].T).reshape(x.shape)
+    dx[:, -STRIDE:] += (dz[:, :WIDTH] + dq @ p["query"].T).reshape(xq.shape)
+    order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")
+    sorted_rows = rows.ravel()[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][sorted_rows[first]] = np.add.reduceat(flat(dx).take(order, axis=0), first, axis=0)
     return loss, g
 
 
@@ -199,39 +214,48 @@ def laid_out(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return place, first, n
 
 
-#: Steps at most, and passes over the pieces at most: fewer pieces are learnt by heart otherwise.
+#: Steps at most in several passes, and passes over the pieces at most: fewer pieces are learnt by heart otherwise. One pass is always whole.
 STEPS, PASSES, STEP_WINDOWS = 500, 12, 64
+RATE, LATER_RATE = 0.01, 0.003
 
 
-def train(pieces: list[np.ndarray], classes: Classes, steps: int | None = None, rate: float = 0.01, seed: int = 1) -> dict[str, np.ndarray]:
-    """``pieces``: ids with the start and end ids where they belong. Adam with a rate that falls to nothing."""
-    p = fresh(seed)
+def train(pieces: list[np.ndarray], classes: Classes, steps: int | None = None, rate: float = RATE, seed: int = 1, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """``pieces``: ids with the start and end ids where they belong. Adam with a rate that falls to nothing; every window has its turn before any comes again. ``start``: weights to go on from."""
+    p = {k: v.copy() for k, v in start.items()} if start else fresh(seed)
     pieces = [x for x in pieces if len(x) > 1]
     if not pieces:
         return p
     place, first, n = laid_out([x[:-1] for x in pieces])
     ids, after = np.concatenate([x[:-1] for x in pieces]), np.concatenate([x[1:] for x in pieces])
-    rows = np.where(place < 0, ROWS - 1, classes.row[ids[place]])
-    targets, counted = np.where(place < 0, 0, classes.of[after[place]]), place >= 0
-    share = np.bincount(targets[counted], minlength=ALONE + 2 * DEALT) + 1.0
-    p["bias"] = np.log(share / share.sum()).astype(np.float32)
-    starts = np.concatenate([np.arange(f, f + k * STRIDE, STRIDE) for f, k in zip(first, n, strict=True)])
+    counted = place >= 0
+    rows, targets = np.where(counted, classes.row[ids[place]], ROWS - 1).astype(np.int32), np.where(counted, classes.of[after[place]], 0).astype(np.int32)
+    if not start:
+        share = np.bincount(targets[counted], minlength=ALONE + 2 * DEALT) + 1.0
+        p["bias"] = np.log(share / share.sum()).astype(np.float32)
+    starts = np.arange(len(place) // STRIDE) * STRIDE
     origin = np.repeat(first, n)
-    steps = steps or min(STEPS, -(-PASSES * len(starts) // STEP_WINDOWS))
+    once = -(-len(starts) // STEP_WINDOWS)
+    steps = steps or max(once, min(STEPS, -(-PASSES * len(starts) // STEP_WINDOWS)))
     rng = np.random.default_rng(seed)
-    mean, spread = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    names, shapes = list(p), [v.shape for v in p.values()]
+    ends = np.cumsum([v.size for v in p.values()])
+    weights = np.concatenate([v.ravel() for v in p.values()])
+    p = {k: w.reshape(s) for k, w, s in zip(names, np.split(weights, ends[:-1]), shapes, strict=True)}  # views
+    mean, spread = np.zeros_like(weights), np.zeros_like(weights)
     for t in range(1, steps + 1):
-        who = rng.integers(0, len(starts), STEP_WINDOWS)
+        if (t - 1) % once == 0:
+            turns = rng.permutation(len(starts))
+        who = turns[(t - 1) % once * STEP_WINDOWS :][:STEP_WINDOWS]
         keys = starts[who][:, None] + np.arange(-CONTEXT, STRIDE)
         there = keys >= origin[who][:, None]
         keys = np.where(there, keys, 0)
-        _, g = gradients(p, rows[keys], there & counted[keys], targets[keys[:, CONTEXT:]], counted[keys[:, CONTEXT:]])
+        _, g = gradients(p, rows.take(keys), there & counted.take(keys), targets.take(keys[:, CONTEXT:]), counted.take(keys[:, CONTEXT:]))
         now = rate * (1 - (t - 1) / steps)
-        for k, v in g.items():
-            mean[k] = 0.9 * mean[k] + 0.1 * v
-            spread[k] = 0.99 * spread[k] + 0.01 * v * v
-            p[k] = p[k] - np.float32(now) * (mean[k] / (1 - 0.9**t)) / (np.sqrt(spread[k] / (1 - 0.99**t)) + np.float32(1e-8))
-    return p
+        g = np.concatenate([g[k].ravel() for k in names])
+        mean += np.float32(0.1) * (g - mean)
+        spread += np.float32(0.01) * (g * g - spread)
+        weights -= np.float32(now / (1 - 0.9**t)) * mean / (np.sqrt(spread * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8))
+    return {k: v.copy() for k, v in p.items()}
 
 
 @dataclass
@@ -252,9 +276,8 @@ class Model:
             d = distances(keys)
             near = np.where(d >= 0, p["near"][:, np.maximum(d, 0)], np.float32(-np.inf)).astype(np.float32)
             self.masks[keys] = np.exp(near)
-        longest = lambda x: float(np.sqrt((x.reshape(len(x), HEADS, -1) ** 2).sum(axis=-1).max()))
         #: no score can pass the bound, so none needs to be held back
-        self.tame = longest(self.query) * longest(self.key) < SCORE_BOUND
+        self.tame = _longest(self.query) * _longest(self.key) < SCORE_BOUND
 
     def _windows(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 chance of each target class; ``rows``: keys of each window, the last STRIDE of which are queries."""
@@ -266,17 +289,16 @@ class Model:
         np.exp(a, out=a)
         a *= self.masks[rows.shape[1]]
         o = a @ v
-        o /= a.sum(axis=-1, keepdims=True)
+        o /= (a @ np.ones(a.shape[-1], a.dtype))[..., None]
         h = _joined(o) @ self.mixed
         h += self.plain.take(own, axis=0)
         np.maximum(h, 0, out=h)
         logits = h.reshape(-1, HIDDEN) @ self.out
         logits += self.bias
         np.minimum(logits, SCORE_BOUND, out=logits)
-        logits = logits.reshape(*own.shape, -1)
-        at = np.take_along_axis(logits, classes[..., None], -1)[..., 0]
+        at = logits[np.arange(len(logits)), classes.ravel()]
         np.exp(logits, out=logits)
-        return (at - np.log(logits.sum(axis=-1))) * np.float32(1 / np.log(10))
+        return ((at - np.log(logits @ np.ones(logits.shape[1], logits.dtype))) * np.float32(1 / np.log(10))).reshape(own.shape)
 
     def scores(self, streams: list[np.ndarray]) -> np.ndarray:
         """log10 chance of each stream of ids, after the start id, with the end id."""
@@ -362,33 +384,56 @@ def spelled_words(words: DataFrame, path: str) -> DataFrame:
     return words.select("word", "learnt").mapInArrow(run, "word binary, learnt long, ids binary")
 
 
-def sample_pieces(docs: DataFrame, training_rows: int, path: str, most: int = SAMPLE) -> list[np.ndarray]:
-    """Ids of stretches of at most PIECE_WORDS words of about ``most`` training rows. ``docs``: doc_id, text, learnt."""
-    wanted = min(1.0, 1.2 * most / max(1, training_rows))
-    chosen = docs.where("learnt").withColumn("h", F.xxhash64("text", "doc_id")).where(F.pmod("h", F.lit(1 << 30)) < int(wanted * (1 << 30)))
+def _pieces(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Streams of a batch's rows between start and end ids; long ones in parts of at most WINDOWS windows, each of which begins with the last id of the one before."""
+    most = WINDOWS * STRIDE
+    for raw in b.column("ids"):
+        ids = np.concatenate(([START], np.frombuffer(raw.as_py(), "<u2"), [END])).astype(np.int32)
+        for at in range(0, len(ids) - 1, most):
+            yield ids[at : at + most + 1]
+
+
+def learnt_from(rows: DataFrame, classes: Classes, tasks: int, start: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], int]:
+    """Weights after all of ``rows`` (h, ids), and how many windows these have: the mean of what stretches of rows, in the order of ``h``, come to, by their windows."""
+    spark = rows.sparkSession
+    shapes = {k: v.shape for k, v in fresh().items()}
+    given = spark.sparkContext.broadcast((classes, start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, start = given.value
+        held, size = [], 0
+        total, windows = 0.0, 0
+
+        def learn() -> None:
+            nonlocal total, windows, held, size
+            p = train(held, classes) if start is None else train(held, classes, -(-size // STEP_WINDOWS), LATER_RATE, start=start)
+            total = total + size * np.concatenate([p[k].ravel() for k in shapes]).astype(np.float64)
+            windows += size
+            held, size = [], 0
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, out = b.column("h").to_pylist(), []
-            for k, text in zip(h, b.column("text").to_pylist(), strict=True):
-                words = words_of(text)
-                at = int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little") % max(1, len(words))
-                piece, size = [], 0
-                for w in words[at : at + PIECE_WORDS]:
-                    size += len(w) + 1
-                    if size > PIECE_BYTES:
-                        break
-                    piece.append(w)
-                out.append((at == 0, at + len(piece) == len(words), b" ".join(piece)))
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.bool_(), pa.bool_(), pa.binary()), strict=True))], names=["h", "begins", "ends", "piece"])
-
-    got = chosen.select("h", "text").mapInArrow(cut, "h long, begins boolean, ends boolean, piece binary").limit(2 * most).toArrow()  # PIECE_BYTES each
-    spell = WordIds(path)
-    out = []
-    for r in sorted(got.to_pylist(), key=lambda r: (r["h"], r["piece"]))[:most]:
-        ids = np.frombuffer(b"".join(spell(r["piece"].split())), "<u4").astype(np.int64)
-        out.append(np.concatenate([[START] * r["begins"], ids, [END] * r["ends"]]).astype(np.int64))
-    return out
+            for piece in _pieces(b):
+                n = -(-(len(piece) - 1) // STRIDE)
+                if size + n > WINDOWS and size:
+                    learn()
+                held.append(piece)
+                size += n
+        if size:
+            learn()
+        if windows:
+            yield pa.RecordBatch.from_arrays([pa.array([windows]), pa.array([total])], names=["windows", "total"])
+
+    rows = rows.select("h", "ids")
+    dealt = (rows.repartition(tasks, "h") if tasks > 1 else rows.repartition(1)).sortWithinPartitions("h", "ids")
+    sums = written(dealt.mapInArrow(run, "windows long, total array<double>"), "weights")
+    windows = sums.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n")).first()["n"]
+    if not windows:
+        return start or fresh(), 0
+    mean = sums.select(F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("w")).toArrow()  # one row a weight of the model
+    flat = np.empty(mean.num_rows, np.float64)
+    flat[mean.column("pos").to_numpy()] = mean.column("w").to_numpy() / windows
+    parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1])
+    return {k: x.reshape(s) for (k, s), x in zip(shapes.items(), parts, strict=True)}, windows
 
 
 def ends_of_words(path: str) -> np.ndarray:
@@ -401,12 +446,31 @@ def ends_of_words(path: str) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, words: DataFrame, training_rows: int, path: str) -> Model:
-    """``docs``: doc_id, text, learnt; ``words``: their counts."""
-    counts = id_counts(words, path)
-    counts[END] += training_rows
-    classes = Classes.of_counts(counts, ends_of_words(path))
-    return Model(classes, train(sample_pieces(docs, training_rows, path), classes))
+def fit(rows: DataFrame, classes: Classes) -> Model:
+    """From all training rows. ``rows``: h, ids, windows."""
+    total = rows.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n")).first()["n"]
+    stretches = max(1, -(-total // WINDOWS))
+    turn = F.pmod("h", F.lit(stretches))
+    weights, first = learnt_from(rows.where(turn == 0), classes, 1)
+    if stretches > 1:
+        # each task has several stretches, as long as there are enough
+        later, others = learnt_from(rows.where(turn != 0), classes, max(1, min(stretches - 1, max(64, stretches // 16))), weights if first else None)
+        weights = {k: ((first * v + others * later[k]) / max(1, first + others)).astype(np.float32) for k, v in weights.items()}
+    return Model(classes, weights)
+
+
+def with_scores(found: DataFrame, model: Model) -> DataFrame:
+    """``found`` with the score of each row's ``ids`` in their place."""
+    given = found.sparkSession.sparkContext.broadcast((model.classes, model.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*given.value)
+        for b in batches:
+            for lo, hi in chunks(b.column("ids"), 500, 1 << 20):
+                streams = [np.frombuffer(raw.as_py(), "<u2").astype(np.int32) for raw in b.column("ids")[lo:hi]]
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[:-1]), pa.array(own.scores(streams), pa.float64())], names=[*b.schema.names[:-1], "score"])
+
+    return found.select("row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
 
 
 def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", test: Column | None = None) -> DataFrame:
@@ -417,17 +481,19 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     rows = rows.withColumn("learnt", F.coalesce(~F.col("held_out") & F.col("doc_id").isNotNull(), F.lit(False)))
     words = scratch.written(counted_words(rows), "words")
     n = words.agg(F.coalesce(F.sum("learnt"), F.lit(0)).alias("tokens"), F.count_if(F.col("learnt") > 0).alias("kinds"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("learnt"))), F.lit(0)).alias("rows")).first()
-    model = fit(rows, words, n["rows"], path)
+    counts = id_counts(words, path)
+    counts[END] += n["rows"]
+    classes = Classes.of_counts(counts, ends_of_words(path))
     top = spelled_words(heaviest(words.where("word IS NOT NULL"), "seen", HEAD), path).toArrow()  # HEAD rows at most
     ids = top.column("ids").to_pylist()
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    head = spark.sparkContext.broadcast((top.column("word").combine_chunks(), top.column("learnt").to_numpy(), sizes, b"".join(ids), model.classes, model.weights))
+    head = spark.sparkContext.broadcast((top.column("word").combine_chunks(), top.column("learnt").to_numpy(), sizes, b"".join(ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names, learnt, sizes, raw, classes, weights = head.value
-        numbers, own = {w: i for i, w in enumerate(names.to_pylist())}, Model(classes, weights)
+        names, learnt, sizes, raw = head.value
+        numbers = {w: i for i, w in enumerate(names.to_pylist())}
         flat = np.frombuffer(raw, "<u4")
         spell, row = WordIds(path), TaskContext.get().partitionId() << 36
         for b in batches:
@@ -444,26 +510,28 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
                 which = number.copy()
                 which[others] = len(sizes) + np.arange(len(others))
                 n = counts[which]
-                ids = pool[np.arange(n.sum()) + np.repeat((np.cumsum(counts) - counts)[which] - (np.cumsum(n) - n), n)].astype(np.int64)
-                streams = np.split(ids, np.concatenate(([0], np.cumsum(n)))[bounds[1:-1]])
+                ids = pool[np.arange(n.sum()) + np.repeat((np.cumsum(counts) - counts)[which] - (np.cumsum(n) - n), n)].astype("<u2")
+                ends = np.concatenate(([0], np.cumsum(n)))[bounds]
+                spelt = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)])
                 times = np.where(number >= 0, learnt[number], 0) if len(learnt) else np.zeros(len(number), np.int64)
                 upto = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[bounds])
                 lists = np.searchsorted(others, bounds).astype(np.int32)
                 rest = pa.ListArray.from_arrays(pa.array(lists), pa.array([every[i] for i in others.tolist()], pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + hi - lo)), b.column("doc_id")[lo:hi], b.column("held_out")[lo:hi], pa.array(np.diff(bounds) + 1), pa.array(upto(times > 0).astype(np.int64)), pa.array(upto(np.log10(times + 1.0))),
-                     pa.array(own.scores(streams), pa.float64()), rest],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rest"],
+                    [pa.array(np.arange(row, row + hi - lo)), b.column("doc_id")[lo:hi], b.column("held_out")[lo:hi], b.column("learnt")[lo:hi], b.column("h")[lo:hi], pa.array(np.diff(bounds) + 1), pa.array(upto(times > 0).astype(np.int64)), pa.array(upto(np.log10(times + 1.0))),
+                     pa.array(np.diff(ends) // STRIDE + 1), spelt, rest],
+                    names=["row", "doc_id", "held_out", "learnt", "h", "n_tokens", "n_known", "logs", "windows", "ids", "rest"],
                 )
                 row += hi - lo
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest array<binary>"
-    found = scratch.written(rows.select("doc_id", "text", "held_out").mapInArrow(run, schema), "found")
+    schema = "row long, doc_id long, held_out boolean, learnt boolean, h long, n_tokens long, n_known long, logs double, windows long, ids binary, rest array<binary>"
+    found = scratch.written(rows.select("doc_id", "text", "held_out", "learnt", F.xxhash64("text", "doc_id").alias("h")).mapInArrow(run, schema), "found")
+    scored = scratch.written(with_scores(found, fit(found.where("learnt"), classes)), "scored")
     tail = found.where("size(rest) > 0").select("row", F.explode("rest").alias("word")).join(words.where("learnt > 0").select("word", "learnt"), "word")
     more = tail.groupBy("row").agg(F.count("*").alias("known_more"), F.sum(F.log10(F.col("learnt") + 1)).alias("logs_more"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     end = F.log10(F.lit(n["rows"] + 1.0))
-    return found.join(more, "row", "left").select(
+    return scored.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero(F.col("known_more")) + int(n["rows"] > 0)).alias("n_known"), F.lit(n["tokens"]).cast("long").alias("train_tokens"),
         (F.col("logs") + zero(F.col("logs_more")) + end - F.col("n_tokens") * F.log10(F.lit(float(n["tokens"] + n["kinds"] + 1)))).alias("base_score"), "score",
     )

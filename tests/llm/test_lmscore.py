@@ -182,3 +182,47 @@ def test_nulls_and_empty_tables(spark):
     rows = lmscore.score(docs(spark, ["a", None], [None, None]), PATH).orderBy("n_tokens").collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["held_out"]) for r in rows] == [(1, 0, 0, 0.0, False), (2, 0, 0, 0.0, False)]
     assert all(math.isfinite(r["score"]) for r in rows)
+
+
+def test_every_position_of_every_training_row_is_learnt_from(spark, monkeypatch):
+    """Of rows, long ones too, only the order of the words differs, so that all counts stay: the scores of other texts change with each of them."""
+    monkeypatch.setattr(lmscore, "WINDOWS", 40)
+    monkeypatch.setattr(lmscore, "SAMPLE", 4, raising=False)
+    rng = random.Random(4)
+    learnt = [i for i in range(200) if not out(i)][:12]
+    texts = {i: [rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) for _ in range(1500 if i == learnt[0] else 100)] for i in learnt}
+    probe = next(i for i in range(200) if out(i))
+
+    def scored(texts):
+        ids = [*texts, probe]
+        rows = lmscore.score(docs(spark, [*map(" ".join, texts.values()), "the alpha of the beta"], ids).repartition(2), PATH).collect()
+        return next(r["score"] for r in rows if r["doc_id"] == probe)
+
+    plain = scored(texts)
+    assert scored(dict(reversed(texts.items()))) == plain
+    for i in (learnt[0], learnt[5], learnt[8], learnt[11]):
+        changed = texts | {i: texts[i][:-4] + texts[i][:-5:-1]}
+        assert changed[i] != texts[i] and scored(changed) != plain, i
+
+
+def test_later_stretches_make_the_model_better(spark, monkeypatch):
+    """Each id follows from the one before the last, with many stretches in several tasks; each window is trained on."""
+    rng, seen = np.random.default_rng(7), []
+    words = ["red", "green", "blue", "black", "white", "brown", "grey", "pink"]
+
+    def text(n):
+        s = [int(rng.integers(8)), int(rng.integers(8))]
+        while len(s) < n:
+            s.append((3 * s[-2] + 1) % 8)
+        return " ".join(words[i] for i in s)
+
+    texts = [text(120) for _ in range(600)]
+    monkeypatch.setattr(lmscore, "WINDOWS", 500)
+    whole = lmscore.learnt_from
+    monkeypatch.setattr(lmscore, "learnt_from", lambda *a: seen.append((a[1], *whole(*a))) or seen[-1][1:])
+    rows = [r for r in lmscore.score(docs(spark, texts), PATH).collect() if r["held_out"]]
+    assert len(seen) == 2 and sum(n for *_, n in seen) == 4 * sum(not out(i) for i in range(600))
+    spell = lmscore.WordIds(PATH)
+    streams = [np.frombuffer(b"".join(spell(lmscore.words_of(texts[r["doc_id"]]))), "<u4").astype(int) for r in rows]
+    first = lmscore.Model(*seen[0][:2]).scores(streams).sum() / sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows) > first
