@@ -154,3 +154,24 @@ def test_many_keys_over_the_bound(spark, strict, monkeypatch):
     got = sorted((r["file_id"], r["n"], r["first"]) for r in dedup.with_group(scratch, table, "k", F.count("*").alias("n"), F.min("file_id").alias("first")).collect())
     assert got == sorted((i, 30, i % 3) if i < 90 else (i, 1, i) for i in range(120))
     scratch.drop()
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_short_prints_are_compared_at_once(spark, monkeypatch, kind):
+    """Prints of 0 to 4 words against brute force, by the rows' own comparison never."""
+    rng = random.Random(11)
+    rows = [(i, [rng.getrandbits(32) & 0xFFFF for _ in range(rng.choice([0, 1, 2, 2, 2, 3, 4]))], 100.0 + rng.random() * 30, 1, 2, 3) for i in range(300)]
+    rows += [(300 + i, noisy(rng, rows[i][1], 0.05), rows[i][2] + rng.random(), 1, 2, 3) for i in range(60)]
+    if kind == "string":
+        rows = [(f"f{i:04}", *r) for i, *r in rows]
+    items = spark.createDataFrame(rows, SCHEMA.replace("file_id long", f"file_id {kind}"))
+
+    def never(*_):
+        raise AssertionError("compared row by row")
+
+    monkeypatch.setattr(soundalike, "_block", never)
+    for max_ber, share in ((0.2, 2048), (0.3, 10)):
+        want = brute(rows, max_ber)
+        assert {(r["a"], r["b"]): r["ber"] for r in acoustic.fingerprint_pairs(items, max_ber, share=share).collect()} == want
+        links = {(r["a"], r["b"]) for r in soundalike.links(items, max_ber, 7.0, share).collect()}
+        assert links <= set(want) and closure(links) == closure(want)
