@@ -18,12 +18,13 @@ training rows all counts are 0 and the model is uniform over classes; an empty t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ START, END, IDS = 49406, 49407, 49408
 #: A task's counts are sent on at so many words, or bytes of text.
 FLUSH_WORDS, FLUSH_BYTES = 300_000, 1 << 25
 CACHE_WORDS, CACHE_BYTES = 200_000, 1 << 23
+#: Characters of texts that are split into words at once, but for longer texts.
+PART_BYTES = 1 << 21
+NAMES = ["word", "seen", "learnt"]
 BATCH = 48
 
 
@@ -142,64 +146,83 @@ def _longest(x: np.ndarray) -> float:
     return float(np.sqrt((x.reshape(len(x), HEADS, -1) ** 2).sum(axis=-1).max()))
 
 
+@cache
+def _reach(keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the keys that each query sees (0 for others), and which these are."""
+    dist = distances(keys)
+    return np.maximum(dist, 0), dist >= 0
+
+
 def gradients(p: dict[str, np.ndarray], rows: np.ndarray, there: np.ndarray, classes: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over ``counted`` targets and its gradients. ``rows``: keys of each window, ``there`` which of them exist; ``classes``: targets of the last STRIDE."""
     n, keys = rows.shape
-    dist = distances(keys)
+    own, kind, half = rows[:, -STRIDE:], p["embed"].dtype, WIDTH // HEADS
+    dist, seen = _reach(keys)
     flat = lambda y: y.reshape(-1, y.shape[-1])
-    scale = np.float32((WIDTH // HEADS) ** -0.5)
-    x = p["embed"].take(rows, axis=0)
-    xq = np.ascontiguousarray(x[:, -STRIDE:])
-    # queries, keys and values of each embedding row are tables, as the rows are fewer than the places
-    queries, known = p["embed"] @ p["query"] * scale, p["embed"] @ p["key"]
-    q, k, v = _split(queries.take(rows[:, -STRIDE:], axis=0)), _split(known.take(rows, axis=0)), _split((p["embed"] @ p["value"]).take(rows, axis=0))
-    # a further column of ones adds up the weights; keys that do not exist are zero in all columns, so that they count for nothing
-    exists = np.broadcast_to(there[:, None, :, None], (n, HEADS, keys, 1)).astype(x.dtype)
-    v = np.concatenate([v * exists, exists], axis=-1)
+    sums = lambda y: np.ones(len(y), kind) @ y
+    scale = np.float32(half**-0.5)
+    # queries, keys and values of each embedding row are tables, as the rows are fewer than the places. A further column of ones adds up the weights;
+    # keys that do not exist take the last row, which is zero in all columns, so that they count for nothing
+    queries, known = p["embed"] @ (p["query"] * scale), np.zeros((ROWS + 1, WIDTH), kind)
+    np.matmul(p["embed"], p["key"], out=known[:-1])
+    valued = np.zeros((ROWS + 1, HEADS, half + 1), kind)
+    valued[:-1, :, :-1] = (p["embed"] @ p["value"]).reshape(ROWS, HEADS, half)
+    valued[:-1, :, -1] = 1
+    place = np.where(there, rows, ROWS)
+    q, k, v = _split(queries.take(own, axis=0)), _split(known.take(place, axis=0)), _split(valued.reshape(ROWS + 1, -1).take(place, axis=0))
     w = q @ k.transpose(0, 1, 3, 2)
     if not _longest(queries) * _longest(known) < SCORE_BOUND:
         np.clip(w, -SCORE_BOUND, SCORE_BOUND, out=w)
     np.exp(w, out=w)
-    w *= np.where(dist >= 0, np.exp(p["near"][:, np.maximum(dist, 0)]), 0).astype(x.dtype)
+    w *= np.where(seen, np.exp(p["near"][:, dist]), 0).astype(kind)
     o = w @ v
     total = o[..., -1:].copy()
     total[total == 0] = 1  # padding that sees nothing
-    o = o[..., :-1] / total
-    z = np.concatenate([flat(xq), flat(_joined(o))], axis=-1)
-    h = np.maximum(z @ p["hidden"] + p["lift"], 0)
+    x = np.concatenate([p["embed"], np.zeros((1, WIDTH), kind)]).take(place, axis=0)
+    z = np.empty((n, STRIDE, 2 * WIDTH), kind)
+    z[..., :WIDTH] = x[:, -STRIDE:]
+    o = np.divide(o[..., :-1], total, out=z[..., WIDTH:].reshape(n, STRIDE, HEADS, half).transpose(0, 2, 1, 3))
+    z = flat(z)
+    h = z @ p["hidden"]
+    h += p["lift"]
+    np.maximum(h, 0, out=h)
     d = h @ p["out"]
     d += p["bias"]
     np.clip(d, -SCORE_BOUND, SCORE_BOUND, out=d)
     np.exp(d, out=d)
-    d /= (d @ np.ones(d.shape[1], d.dtype))[:, None]
-    place, aims, use = np.arange(len(d)), classes.ravel(), counted.ravel()
+    every = d @ np.ones(d.shape[1], kind)
+    aims, use = np.arange(len(d)) * d.shape[1] + classes.ravel(), counted.ravel()
     share = 1 / max(1, int(use.sum()))
-    loss = -float(np.log(np.maximum(d[place, aims][use], 1e-30)).sum()) * share
+    loss = -float(np.log(np.maximum((d.take(aims) / every)[use], 1e-30)).sum()) * share
 
-    d[place, aims] -= 1
-    d *= (use * d.dtype.type(share))[:, None]
-    g = {"out": h.T @ d, "bias": d.sum(axis=0)}
+    part = use * kind.type(share)
+    d *= (part / every)[:, None]
+    d.ravel()[aims] -= part
+    g = {"out": h.T @ d, "bias": sums(d)}
     dh = d @ p["out"].T
     dh *= h > 0
-    g |= {"hidden": z.T @ dh, "lift": dh.sum(axis=0)}
+    g |= {"hidden": z.T @ dh, "lift": sums(dh)}
     dz = dh @ p["hidden"].T
-    do = _split(dz[:, WIDTH:].reshape(n, STRIDE, WIDTH)) / total
-    da = np.concatenate([do, -(do * o).sum(axis=-1, keepdims=True)], axis=-1) @ v.transpose(0, 1, 3, 2)
+    back = np.empty((n, HEADS, STRIDE, half + 1), kind)
+    do = np.divide(_split(dz[:, WIDTH:].reshape(n, STRIDE, WIDTH)), total, out=back[..., :-1])
+    back[..., -1] = (do * o) @ np.full(half, -1, kind)
+    da = back @ v.transpose(0, 1, 3, 2)
     da *= w
     near = np.zeros_like(p["near"])
-    ok = dist >= 0
-    for i, side in enumerate(da.sum(axis=0)):
-        near[i] += np.bincount(dist[ok], weights=side[ok], minlength=near.shape[1]).astype(near.dtype)
+    for i, side in enumerate(sums(da.reshape(n, -1)).reshape(HEADS, STRIDE, keys)):
+        near[i] += np.bincount(dist[seen], weights=side[seen], minlength=near.shape[1]).astype(near.dtype)
     g["near"] = near
-    dq, dk, dv = (flat(_joined(y)) for y in ((da @ k) * scale, da.transpose(0, 1, 3, 2) @ q, (w.transpose(0, 1, 3, 2) @ do) * exists))
-    g |= {"query": flat(xq).T @ dq, "key": flat(x).T @ dk, "value": flat(x).T @ dv}
-    dx = (dk @ p["key"].T + dv @ p["value"].T).reshape(x.shape)
-    dx[:, -STRIDE:] += (dz[:, :WIDTH] + dq @ p["query"].T).reshape(xq.shape)
-    order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")
-    sorted_rows = rows.ravel()[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][sorted_rows[first]] = np.add.reduceat(flat(dx).take(order, axis=0), first, axis=0)
+    dq, both = flat(_joined(da @ k)), np.empty((n, keys, 2 * WIDTH), kind)
+    np.matmul(da.transpose(0, 1, 3, 2), q, out=_split(both[..., :WIDTH]))
+    np.matmul(w.transpose(0, 1, 3, 2), do, out=_split(both[..., WIDTH:]))
+    both = flat(both)
+    sides = flat(x).T @ both
+    g |= {"query": z[:, :WIDTH].T @ dq * scale, "key": sides[:, :WIDTH], "value": sides[:, WIDTH:]}
+    dx = (both @ np.concatenate([p["key"].T, p["value"].T])).reshape(x.shape)
+    dx[:, -STRIDE:] += (dq @ (p["query"].T * scale) + dz[:, :WIDTH]).reshape(n, STRIDE, WIDTH)
+    embed = np.zeros((ROWS + 1) * WIDTH, kind)
+    np.add.at(embed, (place.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), dx.ravel())
+    g["embed"] = embed[:-WIDTH].reshape(ROWS, WIDTH)
     return loss, g
 
 
@@ -228,7 +251,7 @@ def train(pieces: list[np.ndarray], classes: Classes, steps: int | None = None,
     place, first, n = laid_out([x[:-1] for x in pieces])
     ids, after = np.concatenate([x[:-1] for x in pieces]), np.concatenate([x[1:] for x in pieces])
     counted = place >= 0
-    rows, targets = np.where(counted, classes.row[ids[place]], ROWS - 1).astype(np.int32), np.where(counted, classes.of[after[place]], 0).astype(np.int32)
+    rows, targets = np.where(counted, classes.row[ids[place]], ROWS - 1), np.where(counted, classes.of[after[place]], 0)
     if not start:
         share = np.bincount(targets[counted], minlength=ALONE + 2 * DEALT) + 1.0
         p["bias"] = np.log(share / share.sum()).astype(np.float32)
@@ -323,30 +346,54 @@ class Model:
 
 
 # --- counts ----------------------------------------------------------------------------------------------------------
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``words_of`` for an array of texts: the number of each word in order, the different words (binary), and the bounds of each text's words (length n + 1)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    number, kinds = coded.indices.to_numpy(), coded.dictionary
+    bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+    empty = pc.index(kinds, "").as_py()  # what stands before white space at the beginning, or after it at the end
+    if empty >= 0:
+        kept = number != empty
+        bounds = np.concatenate(([0], np.cumsum(kept)))[bounds]
+        number = number[kept]
+        number = number - (number > empty)
+        kinds = pa.concat_arrays([kinds[:empty], kinds[empty + 1 :]])
+    return number, kinds.cast(pa.binary()), bounds
+
+
 def counted_words(docs: DataFrame) -> DataFrame:
     """(word, seen, learnt): how often each word occurs in all rows and in training rows; the null word is the end. ``docs``: text, learnt (boolean)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, size = (Counter(), Counter()), 0
+        held, words, size = [], 0, 0
+        ends = np.zeros(2, np.int64)
+
+        def sums() -> pa.Table:
+            return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("seen", "sum"), ("learnt", "sum")]).select(["word", "seen_sum", "learnt_sum"]).rename_columns(NAMES)
 
-        def sums() -> pa.RecordBatch:
-            words = list(both[0].keys() | both[1].keys())
-            learnt = np.array([both[1][w] for w in words], np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(learnt + np.array([both[0][w] for w in words], np.int64)), pa.array(learnt)], names=["word", "seen", "learnt"])
-            for c in both:
-                c.clear()
-            return out
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal held, words, size
+            held.append(pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array(ends[:1]), pa.array(ends[1:])], names=NAMES))
+            yield from sums().combine_chunks().to_batches()
+            held, words, size = [], 0, 0
+            ends[:] = 0
 
         for b in batches:
-            for text, learnt in zip(b.column("text"), b.column("learnt").to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                both[learnt].update(words)
-                both[learnt][None] += 1
-                size += 8 * len(words) if text.as_py() is None else text.as_buffer().size
-                if len(both[0]) + len(both[1]) > FLUSH_WORDS or size > FLUSH_BYTES:
-                    yield sums()
-                    size = 0
-        yield sums()
+            for lo, hi in chunks(b.column("text"), 2000, PART_BYTES):
+                texts, learnt = b.column("text")[lo:hi], b.column("learnt")[lo:hi].to_numpy(zero_copy_only=False)
+                number, kinds, bounds = split_words(texts)
+                known = number[np.repeat(learnt, np.diff(bounds))]
+                held.append(pa.RecordBatch.from_arrays([kinds, *(pa.array(np.bincount(x, minlength=len(kinds))) for x in (number, known))], names=NAMES))
+                ends += hi - lo, int(learnt.sum())
+                words += len(kinds)
+                size += pc.sum(pc.binary_length(texts)).as_py() or 0
+                if words > FLUSH_WORDS:
+                    held = sums().combine_chunks().to_batches()
+                    words = sum(map(len, held))
+                if words > FLUSH_WORDS or size > FLUSH_BYTES:
+                    yield from sent()
+        yield from sent()
 
     parts = docs.select("text", "learnt").mapInArrow(run, "word binary, seen long, learnt long")
     return parts.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("learnt").alias("learnt"))
@@ -497,18 +544,20 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
         flat = np.frombuffer(raw, "<u4")
         spell, row = WordIds(path), TaskContext.get().partitionId() << 36
         for b in batches:
-            for lo, hi in chunks(b.column("text"), 500, 1 << 20):
-                words = [words_of(t) for t in b.column("text")[lo:hi].to_pylist()]
-                every = [w for own_words in words for w in own_words]
-                number = np.fromiter((numbers.get(w, -1) for w in every), np.int64, len(every))
-                bounds = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+            for lo, hi in chunks(b.column("text"), 2000, PART_BYTES):
+                word, kinds, bounds = split_words(b.column("text")[lo:hi])
+                kinds_of = kinds.to_pylist()
+                kind = np.fromiter((numbers.get(w, -1) for w in kinds_of), np.int64, len(kinds))
+                apart_of = np.flatnonzero(kind < 0)
+                apart = spell([kinds_of[i] for i in apart_of.tolist()])
+                number = kind[word]
                 others = np.flatnonzero(number < 0)
-                apart = spell([every[i] for i in others.tolist()])
                 # ids of the words at hand, then of the others, brought into the order of the text
                 counts = np.concatenate([sizes, np.fromiter(map(len, apart), np.int64, len(apart)) // 4])
                 pool = np.concatenate([flat, np.frombuffer(b"".join(apart), "<u4")])
-                which = number.copy()
-                which[others] = len(sizes) + np.arange(len(others))
+                place = kind.copy()
+                place[apart_of] = len(sizes) + np.arange(len(apart_of))
+                which = place[word]
                 n = counts[which]
                 ids = pool[np.arange(n.sum()) + np.repeat((np.cumsum(counts) - counts)[which] - (np.cumsum(n) - n), n)].astype("<u2")
                 ends = np.concatenate(([0], np.cumsum(n)))[bounds]
@@ -516,7 +565,7 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
                 times = np.where(number >= 0, learnt[number], 0) if len(learnt) else np.zeros(len(number), np.int64)
                 upto = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[bounds])
                 lists = np.searchsorted(others, bounds).astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(lists), pa.array([every[i] for i in others.tolist()], pa.binary()))
+                rest = pa.ListArray.from_arrays(pa.array(lists), kinds.take(pa.array(word[others])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + hi - lo)), b.column("doc_id")[lo:hi], b.column("held_out")[lo:hi], b.column("learnt")[lo:hi], b.column("h")[lo:hi], pa.array(np.diff(bounds) + 1), pa.array(upto(times > 0).astype(np.int64)), pa.array(upto(np.log10(times + 1.0))),
                      pa.array(np.diff(ends) // STRIDE + 1), spelt, rest],

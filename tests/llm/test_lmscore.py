@@ -226,3 +226,15 @@ def test_later_stretches_make_the_model_better(spark, monkeypatch):
     streams = [np.frombuffer(b"".join(spell(lmscore.words_of(texts[r["doc_id"]]))), "<u4").astype(int) for r in rows]
     first = lmscore.Model(*seen[0][:2]).scores(streams).sum() / sum(r["n_tokens"] for r in rows)
     assert sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows) > first
+
+
+def test_words_of_many_texts_at_once():
+    """As ``words_of`` has them, with each different word once."""
+    import pyarrow as pa
+
+    texts = pa.array([None, "", " a  B\tc\x0bd\x0ce\rf\n", "x\x1cy \x85z\xa0w \u00c9 a", "  ", "A", *(" ".join(WORDS[i:]) for i in range(len(WORDS)))])
+    for some in (texts, texts[2:4], texts[4:5], texts[:0]):
+        number, kinds, bounds = lmscore.split_words(some)
+        kinds = kinds.to_pylist()
+        assert len(set(kinds)) == len(kinds)
+        assert [[kinds[i] for i in number[a:b]] for a, b in zip(bounds, bounds[1:])] == [lmscore.words_of(t) for t in some.to_pylist()]
