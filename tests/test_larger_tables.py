@@ -29,3 +29,20 @@ def test_requests_of_albums_whose_files_share_an_id(spark, shared_ids, name):
     want = con.execute(catalogue.ORACLES[name])
     names = [d[0] for d in want.description]
     assert sorted(repr(tuple(r[c] for c in names)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
+
+
+def test_repeated_lines_are_dropped_where_their_order_is(spark, tmp_path):
+    """No task that reads lines holds them: they are dealt by order first, and all groups of an order are then in one part."""
+    folder = str(tmp_path)
+    duckdb.sql(f"COPY (SELECT CAST(k AS BIGINT) AS p_partkey, 'name ' || k AS p_name, 'Brand#' || k AS p_brand, 'type' AS p_type FROM range(1, 40) x(k)) TO '{folder}/part.parquet' (FORMAT parquet)")
+    lines = "SELECT CAST(i // 4 AS BIGINT) AS l_orderkey, CAST(i % 39 + 1 AS BIGINT) AS l_partkey, CAST(i % 7 AS BIGINT) AS l_suppkey, CAST(i % 4 + 1 AS INTEGER) AS l_linenumber, CAST(i % 5 AS DOUBLE) AS l_quantity FROM range(400) x(i), range(3) y(again)"
+    duckdb.sql(f"COPY ({lines}) TO '{folder}/lineitem.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    got = catalogue.QUERIES["sequence_flags"](spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning(l_orderkey")
+    want = con.execute(catalogue.ORACLES["sequence_flags"])
+    names = [d[0] for d in want.description]
+    assert sorted(repr(tuple(r[c] for c in names)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
