@@ -153,8 +153,12 @@ def _reach(keys: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(dist, 0), dist >= 0
 
 
-def gradients(p: dict[str, np.ndarray], rows: np.ndarray, there: np.ndarray, classes: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over ``counted`` targets and its gradients. ``rows``: keys of each window, ``there`` which of them exist; ``classes``: targets of the last STRIDE."""
+#: Where each number of each embedding row stands, with a further row for keys that do not exist.
+_PLACES = np.arange((ROWS + 1) * WIDTH).reshape(-1, WIDTH)
+
+
+def gradients(p: dict[str, np.ndarray], rows: np.ndarray, there: np.ndarray, classes: np.ndarray, counted: np.ndarray, measured: bool = True) -> tuple[float | None, dict[str, np.ndarray]]:
+    """Mean loss over ``counted`` targets (if ``measured``) and its gradients. ``rows``: keys of each window, ``there`` which of them exist; ``classes``: targets of the last STRIDE."""
     n, keys = rows.shape
     own, kind, half = rows[:, -STRIDE:], p["embed"].dtype, WIDTH // HEADS
     dist, seen = _reach(keys)
@@ -171,10 +175,10 @@ def gradients(p: dict[str, np.ndarray], rows: np.ndarray, there: np.ndarray, cla
     place = np.where(there, rows, ROWS)
     q, k, v = _split(queries.take(own, axis=0)), _split(known.take(place, axis=0)), _split(valued.reshape(ROWS + 1, -1).take(place, axis=0))
     w = q @ k.transpose(0, 1, 3, 2)
-    if not _longest(queries) * _longest(known) < SCORE_BOUND:
+    if not (w.max() <= SCORE_BOUND and w.min() >= -SCORE_BOUND):
         np.clip(w, -SCORE_BOUND, SCORE_BOUND, out=w)
     np.exp(w, out=w)
-    w *= np.where(seen, np.exp(p["near"][:, dist]), 0).astype(kind)
+    w *= np.exp(p["near"]).take(dist, axis=1) * seen
     o = w @ v
     total = o[..., -1:].copy()
     total[total == 0] = 1  # padding that sees nothing
@@ -188,12 +192,13 @@ def gradients(p: dict[str, np.ndarray], rows: np.ndarray, there: np.ndarray, cla
     np.maximum(h, 0, out=h)
     d = h @ p["out"]
     d += p["bias"]
-    np.clip(d, -SCORE_BOUND, SCORE_BOUND, out=d)
+    if not (d.max() <= SCORE_BOUND and d.min() >= -SCORE_BOUND):
+        np.clip(d, -SCORE_BOUND, SCORE_BOUND, out=d)
     np.exp(d, out=d)
     every = d @ np.ones(d.shape[1], kind)
     aims, use = np.arange(len(d)) * d.shape[1] + classes.ravel(), counted.ravel()
     share = 1 / max(1, int(use.sum()))
-    loss = -float(np.log(np.maximum((d.take(aims) / every)[use], 1e-30)).sum()) * share
+    loss = -float(np.log(np.maximum((d.take(aims) / every)[use], 1e-30)).sum()) * share if measured else None
 
     part = use * kind.type(share)
     d *= (part / every)[:, None]
@@ -201,27 +206,26 @@ def gradients(p: dict[str, np.ndarray], rows: np.ndarray, there: np.ndarray, cla
     g = {"out": h.T @ d, "bias": sums(d)}
     dh = d @ p["out"].T
     dh *= h > 0
-    g |= {"hidden": z.T @ dh, "lift": sums(dh)}
-    dz = dh @ p["hidden"].T
     back = np.empty((n, HEADS, STRIDE, half + 1), kind)
-    do = np.divide(_split(dz[:, WIDTH:].reshape(n, STRIDE, WIDTH)), total, out=back[..., :-1])
-    back[..., -1] = (do * o) @ np.full(half, -1, kind)
+    do = np.divide(_split((dh @ p["hidden"][WIDTH:].T).reshape(n, STRIDE, WIDTH)), total, out=back[..., :-1])
+    np.negative(np.einsum("nhsi,nhsi->nhs", do, o), out=back[..., -1])
     da = back @ v.transpose(0, 1, 3, 2)
     da *= w
     near = np.zeros_like(p["near"])
     for i, side in enumerate(sums(da.reshape(n, -1)).reshape(HEADS, STRIDE, keys)):
-        near[i] += np.bincount(dist[seen], weights=side[seen], minlength=near.shape[1]).astype(near.dtype)
-    g["near"] = near
-    dq, both = flat(_joined(da @ k)), np.empty((n, keys, 2 * WIDTH), kind)
+        near[i] += np.bincount(dist.ravel(), weights=side.ravel(), minlength=near.shape[1]).astype(near.dtype)  # what is not seen adds 0
+    dq = flat(_joined(da @ k))
+    g |= {"near": near, "hidden": z.T @ dh, "lift": sums(dh), "query": z[:, :WIDTH].T @ dq * scale}
+    both = np.empty((n, keys, 2 * WIDTH), kind)
     np.matmul(da.transpose(0, 1, 3, 2), q, out=_split(both[..., :WIDTH]))
     np.matmul(w.transpose(0, 1, 3, 2), do, out=_split(both[..., WIDTH:]))
     both = flat(both)
     sides = flat(x).T @ both
-    g |= {"query": z[:, :WIDTH].T @ dq * scale, "key": sides[:, :WIDTH], "value": sides[:, WIDTH:]}
+    g |= {"key": sides[:, :WIDTH], "value": sides[:, WIDTH:]}
     dx = (both @ np.concatenate([p["key"].T, p["value"].T])).reshape(x.shape)
-    dx[:, -STRIDE:] += (dq @ (p["query"].T * scale) + dz[:, :WIDTH]).reshape(n, STRIDE, WIDTH)
+    dx[:, -STRIDE:] += (dh @ p["hidden"][:WIDTH].T + dq @ (p["query"].T * scale)).reshape(n, STRIDE, WIDTH)
     embed = np.zeros((ROWS + 1) * WIDTH, kind)
-    np.add.at(embed, (place.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), dx.ravel())
+    np.add.at(embed, _PLACES.take(place.ravel(), axis=0).ravel(), dx.ravel())
     g["embed"] = embed[:-WIDTH].reshape(ROWS, WIDTH)
     return loss, g
 
@@ -264,7 +268,7 @@ def train(pieces: list[np.ndarray], classes: Classes, steps: int | None = None,
     ends = np.cumsum([v.size for v in p.values()])
     weights = np.concatenate([v.ravel() for v in p.values()])
     p = {k: w.reshape(s) for k, w, s in zip(names, np.split(weights, ends[:-1]), shapes, strict=True)}  # views
-    mean, spread = np.zeros_like(weights), np.zeros_like(weights)
+    mean, spread, step = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights)
     for t in range(1, steps + 1):
         if (t - 1) % once == 0:
             turns = rng.permutation(len(starts))
@@ -272,12 +276,23 @@ def train(pieces: list[np.ndarray], classes: Classes, steps: int | None = None,
         keys = starts[who][:, None] + np.arange(-CONTEXT, STRIDE)
         there = keys >= origin[who][:, None]
         keys = np.where(there, keys, 0)
-        _, g = gradients(p, rows.take(keys), there & counted.take(keys), targets.take(keys[:, CONTEXT:]), counted.take(keys[:, CONTEXT:]))
+        use = counted.take(keys)
+        _, g = gradients(p, rows.take(keys), there & use, targets.take(keys[:, CONTEXT:]), use[:, CONTEXT:], measured=False)
         now = rate * (1 - (t - 1) / steps)
         g = np.concatenate([g[k].ravel() for k in names])
-        mean += np.float32(0.1) * (g - mean)
-        spread += np.float32(0.01) * (g * g - spread)
-        weights -= np.float32(now / (1 - 0.9**t)) * mean / (np.sqrt(spread * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8))
+        np.subtract(g, mean, out=step)
+        step *= np.float32(0.1)
+        mean += step
+        g *= g
+        g -= spread
+        g *= np.float32(0.01)
+        spread += g
+        np.multiply(spread, np.float32(1 / (1 - 0.99**t)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.multiply(mean, np.float32(now / (1 - 0.9**t)), out=step)
+        step /= g
+        weights -= step
     return {k: v.copy() for k, v in p.items()}
 
 
@@ -291,7 +306,9 @@ class Model:
     def __post_init__(self):
         p = self.weights
         self.query = p["embed"] @ p["query"] * np.float32((WIDTH // HEADS) ** -0.5)
-        self.key, self.value = p["embed"] @ p["key"], p["embed"] @ p["value"]
+        self.key, self.value = p["embed"] @ p["key"], np.ones((len(p["embed"]), HEADS, WIDTH // HEADS + 1), p["embed"].dtype)
+        self.value[..., :-1] = (p["embed"] @ p["value"]).reshape(len(self.value), HEADS, -1)
+        self.value = self.value.reshape(len(self.value), -1)
         self.plain = p["embed"] @ p["hidden"][:WIDTH] + p["lift"]
         self.mixed, self.out, self.bias = p["hidden"][WIDTH:], p["out"], p["bias"]
         self.masks = {}
@@ -312,13 +329,13 @@ class Model:
         np.exp(a, out=a)
         a *= self.masks[rows.shape[1]]
         o = a @ v
-        o /= (a @ np.ones(a.shape[-1], a.dtype))[..., None]
-        h = _joined(o) @ self.mixed
+        h = _joined(o[..., :-1] / o[..., -1:]) @ self.mixed
         h += self.plain.take(own, axis=0)
         np.maximum(h, 0, out=h)
         logits = h.reshape(-1, HIDDEN) @ self.out
         logits += self.bias
-        np.minimum(logits, SCORE_BOUND, out=logits)
+        if not logits.max(initial=0) <= SCORE_BOUND:
+            np.minimum(logits, SCORE_BOUND, out=logits)
         at = logits[np.arange(len(logits)), classes.ravel()]
         np.exp(logits, out=logits)
         return ((at - np.log(logits @ np.ones(logits.shape[1], logits.dtype))) * np.float32(1 / np.log(10))).reshape(own.shape)
@@ -399,22 +416,19 @@ def counted_words(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("learnt").alias("learnt"))
 
 
-def id_counts(words: DataFrame, path: str) -> np.ndarray:
-    """How often each id occurs in training rows, from the words' counts."""
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id occurs in ``rows`` (ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens = np.zeros(IDS, np.int64), WordTokens(path)
+        total = np.zeros(IDS, np.int64)
         for b in batches:
-            texts = [w.decode("utf-8", "surrogatepass") for w in b.column("word").to_pylist()]
-            tokens.cache.clear()
-            tokens._learn(set(texts))
-            spelled = [tokens.cache[t] for t in texts]
-            times = np.repeat(b.column("learnt").to_numpy(zero_copy_only=False), [len(s) // 4 for s in spelled])
-            total += np.bincount(np.frombuffer(b"".join(spelled), "<u4"), weights=times, minlength=IDS).astype(np.int64)
+            raw = b.column("ids")
+            for lo, hi in chunks(raw, len(raw), 1 << 20):
+                total += np.bincount(np.frombuffer(b"".join(raw[lo:hi].to_numpy(zero_copy_only=False)), "<u2"), minlength=IDS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    found = words.where("word IS NOT NULL AND learnt > 0").select("word", "learnt").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # IDS rows at most
+    found = rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # IDS rows at most
     counts = np.zeros(IDS, np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return counts
@@ -426,7 +440,7 @@ def spelled_words(words: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = WordIds(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("learnt"), pa.array(spell(b.column("word").to_pylist()), pa.binary())], names=["word", "learnt", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("learnt"), pa.array(spell(b.column("word").to_numpy(zero_copy_only=False).tolist()), pa.binary())], names=["word", "learnt", "ids"])
 
     return words.select("word", "learnt").mapInArrow(run, "word binary, learnt long, ids binary")
 
@@ -528,9 +542,6 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     rows = rows.withColumn("learnt", F.coalesce(~F.col("held_out") & F.col("doc_id").isNotNull(), F.lit(False)))
     words = scratch.written(counted_words(rows), "words")
     n = words.agg(F.coalesce(F.sum("learnt"), F.lit(0)).alias("tokens"), F.count_if(F.col("learnt") > 0).alias("kinds"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("learnt"))), F.lit(0)).alias("rows")).first()
-    counts = id_counts(words, path)
-    counts[END] += n["rows"]
-    classes = Classes.of_counts(counts, ends_of_words(path))
     top = spelled_words(heaviest(words.where("word IS NOT NULL"), "seen", HEAD), path).toArrow()  # HEAD rows at most
     ids = top.column("ids").to_pylist()
     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -540,16 +551,14 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
         from pyspark import TaskContext
 
         names, learnt, sizes, raw = head.value
-        numbers = {w: i for i, w in enumerate(names.to_pylist())}
         flat = np.frombuffer(raw, "<u4")
         spell, row = WordIds(path), TaskContext.get().partitionId() << 36
         for b in batches:
             for lo, hi in chunks(b.column("text"), 2000, PART_BYTES):
                 word, kinds, bounds = split_words(b.column("text")[lo:hi])
-                kinds_of = kinds.to_pylist()
-                kind = np.fromiter((numbers.get(w, -1) for w in kinds_of), np.int64, len(kinds))
+                kind = pc.fill_null(pc.index_in(kinds, value_set=names), -1).to_numpy().astype(np.int64)
                 apart_of = np.flatnonzero(kind < 0)
-                apart = spell([kinds_of[i] for i in apart_of.tolist()])
+                apart = spell(kinds.take(pa.array(apart_of)).to_numpy(zero_copy_only=False).tolist())
                 number = kind[word]
                 others = np.flatnonzero(number < 0)
                 # ids of the words at hand, then of the others, brought into the order of the text
@@ -562,12 +571,12 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
                 ids = pool[np.arange(n.sum()) + np.repeat((np.cumsum(counts) - counts)[which] - (np.cumsum(n) - n), n)].astype("<u2")
                 ends = np.concatenate(([0], np.cumsum(n)))[bounds]
                 spelt = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)])
-                times = np.where(number >= 0, learnt[number], 0) if len(learnt) else np.zeros(len(number), np.int64)
+                times = np.where(kind >= 0, learnt[kind], 0) if len(learnt) else np.zeros(len(kind), np.int64)
                 upto = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[bounds])
                 lists = np.searchsorted(others, bounds).astype(np.int32)
                 rest = pa.ListArray.from_arrays(pa.array(lists), kinds.take(pa.array(word[others])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + hi - lo)), b.column("doc_id")[lo:hi], b.column("held_out")[lo:hi], b.column("learnt")[lo:hi], b.column("h")[lo:hi], pa.array(np.diff(bounds) + 1), pa.array(upto(times > 0).astype(np.int64)), pa.array(upto(np.log10(times + 1.0))),
+                    [pa.array(np.arange(row, row + hi - lo)), b.column("doc_id")[lo:hi], b.column("held_out")[lo:hi], b.column("learnt")[lo:hi], b.column("h")[lo:hi], pa.array(np.diff(bounds) + 1), pa.array(upto((times > 0)[word]).astype(np.int64)), pa.array(upto(np.log10(times + 1.0)[word])),
                      pa.array(np.diff(ends) // STRIDE + 1), spelt, rest],
                     names=["row", "doc_id", "held_out", "learnt", "h", "n_tokens", "n_known", "logs", "windows", "ids", "rest"],
                 )
@@ -575,6 +584,10 @@ def score(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
 
     schema = "row long, doc_id long, held_out boolean, learnt boolean, h long, n_tokens long, n_known long, logs double, windows long, ids binary, rest array<binary>"
     found = scratch.written(rows.select("doc_id", "text", "held_out", "learnt", F.xxhash64("text", "doc_id").alias("h")).mapInArrow(run, schema), "found")
+    # every word of the training rows is spelled there already, so ids are counted and words not spelled once more
+    counts = id_counts(found.where("learnt"))
+    counts[END] += n["rows"]
+    classes = Classes.of_counts(counts, ends_of_words(path))
     scored = scratch.written(with_scores(found, fit(found.where("learnt"), classes)), "scored")
     tail = found.where("size(rest) > 0").select("row", F.explode("rest").alias("word")).join(words.where("learnt > 0").select("word", "learnt"), "word")
     more = tail.groupBy("row").agg(F.count("*").alias("known_more"), F.sum(F.log10(F.col("learnt") + 1)).alias("logs_more"))

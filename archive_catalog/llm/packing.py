@@ -39,6 +39,14 @@ _PLAIN = re.compile(r"[!-\u012f\u0131-\u024f]+")
 _NUMERIC = "\\d\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"
 #: The tokenizer's own parts of a lower-cased plain word: some endings, letters, single digits, runs of other signs.
 _PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{_NUMERIC}]+|[{_NUMERIC}]|(?:[^\w\s]|_)+")
+_SIGNS = frozenset(".,;:!?)\"'-")
+
+
+def _marked(word: str) -> str:
+    """A lower-cased plain word with a zero byte after each of its parts. Most consist of letters and one sign."""
+    if word[:-1].isalpha() and word[-1:] in _SIGNS:
+        return f"{word[:-1]}\0{word[-1]}\0"
+    return _PART.sub("\\g<0>\0", word)
 
 
 class WordTokens:
@@ -88,7 +96,7 @@ class WordTokens:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _plain(self, words: list[str]) -> list[bytes]:
-        marked = _PART.sub("\\g<0>\0", " ".join(words).lower())
+        marked = " ".join([w + "\0" if w.isalpha() else _marked(w) for w in " ".join(words).lower().split(" ")])
         ids = np.asarray(self.bpe.encode_ordinary(marked), "<u4")
         cuts = np.flatnonzero(ids == self.space)
         raw = ids.tobytes()

@@ -238,3 +238,44 @@ def test_words_of_many_texts_at_once():
         kinds = kinds.to_pylist()
         assert len(set(kinds)) == len(kinds)
         assert [[kinds[i] for i in number[a:b]] for a, b in zip(bounds, bounds[1:])] == [lmscore.words_of(t) for t in some.to_pylist()]
+
+
+def test_words_are_spelled_once(spark, monkeypatch):
+    """Words at hand in the tasks are not spelled there, and no pass beside the texts' own spells words to count ids; counts are those of the training rows' ids."""
+    seen = []
+    whole = lmscore.Classes.of_counts
+    monkeypatch.setattr(lmscore.Classes, "of_counts", lambda counts, ends: seen.append(counts.copy()) or whole(counts, ends))
+    counted = lmscore.id_counts
+    monkeypatch.setattr(lmscore, "id_counts", lambda rows: seen.append(rows.columns) or counted(rows))
+    monkeypatch.setattr(lmscore, "HEAD", 4)
+    rng = random.Random(5)
+    texts = [None, "", *(" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(30))]
+    ids = [*range(31), None]
+    assert lmscore.score(docs(spark, texts, ids).repartition(3), PATH).count() == 32
+    spell = lmscore.WordIds(PATH)
+    want = np.zeros(lmscore.IDS, np.int64)
+    for i, t in zip(ids, texts, strict=True):
+        if i is not None and not out(i):
+            want += np.bincount(np.append(np.frombuffer(b"".join(spell(lmscore.words_of(t))), "<u4"), lmscore.END).astype(np.int64), minlength=lmscore.IDS)
+    assert "ids" in seen[0] and (seen[1] == want).all()
+
+
+def test_marks_of_plain_words():
+    """The quick way to mark a word's parts gives what the expression gives."""
+    rng = random.Random(6)
+    letters = [chr(c) for c in (*range(33, 0x130), *range(0x131, 0x250))]
+    words = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 6))).lower() for pool in (letters, "abz'stredmlv.,-_1\u00b2\u00aa\u00b5") for _ in range(5000)]
+    assert all(packing._marked(w) == packing._PART.sub("\\g<0>\0", w) for w in words)
+    assert all(w + "\0" == packing._PART.sub("\\g<0>\0", w) for w in words if w.isalpha())
+
+
+def test_scores_beyond_the_bound_are_held_back():
+    """Weights so great that products pass the bound: finite gradients and scores, as those of the bounded ones."""
+    model, rng = trained()
+    p = {k: v * (400 if k in ("query", "out") else 1) for k, v in model.weights.items()}
+    rows = rng.integers(0, 30, (2, lmscore.CONTEXT + lmscore.STRIDE))
+    full = np.ones(rows.shape, bool)
+    loss, g = lmscore.gradients(p, rows, full, np.zeros((2, lmscore.STRIDE), int), full[:, lmscore.CONTEXT :])
+    assert math.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+    assert lmscore.gradients(p, rows, full, np.zeros((2, lmscore.STRIDE), int), full[:, lmscore.CONTEXT :], measured=False)[0] is None
+    assert np.isfinite(lmscore.Model(model.classes, p).scores([rng.integers(0, 40_000, 100)])).all()
