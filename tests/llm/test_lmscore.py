@@ -241,7 +241,7 @@ def test_words_of_many_texts_at_once():
 
 
 def test_words_are_spelled_once(spark, monkeypatch):
-    """Words at hand in the tasks are not spelled there, and no pass beside the texts' own spells words to count ids; counts are those of the training rows' ids."""
+    """Ids are counted from the training rows' own ids, without a second spelling of all words, and the counts are right."""
     seen = []
     whole = lmscore.Classes.of_counts
     monkeypatch.setattr(lmscore.Classes, "of_counts", lambda counts, ends: seen.append(counts.copy()) or whole(counts, ends))
