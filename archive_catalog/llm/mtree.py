@@ -34,7 +34,7 @@ from .shared import Scratch
 PAGE = 256
 CHILDREN = 32
 BLOCK = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 #: Pivots at most, and the rows that they are chosen from.
 PIVOTS, PIVOT_SAMPLE = 256, 4096
 #: Pages that queries take one by one, best first, before the rest goes page by page.
@@ -79,6 +79,12 @@ def _deal(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(pivots), owner
 
 
+def _narrow(whole: np.ndarray) -> np.ndarray:
+    """Integers in the smallest type that holds them."""
+    kind = np.promote_types(np.min_scalar_type(whole.min(initial=0)), np.min_scalar_type(whole.max(initial=0)))
+    return whole.astype(kind if kind.kind in "iu" else np.int64)
+
+
 def build(points: np.ndarray, rows: np.ndarray | None = None, routing: np.ndarray | None = None) -> Node:
     """Bulk-loaded tree: at most PAGE rows a leaf and about CHILDREN children a node."""
     rows = np.arange(len(points)) if rows is None else rows
@@ -116,8 +122,8 @@ class Index:
         todo = [root]
         while todo:
             node = todo.pop()
-            if node.rows is not None:  # a page holds its rows side by side
-                node.page, node.ids, node.copies = vectors[node.rows].astype(np.float64 if exact else np.int64), ids[node.rows], copies[node.rows]
+            if node.rows is not None:  # a page holds its rows side by side, in as few bytes as they need: trees travel to every chunk of queries
+                node.page, node.ids, node.copies = _narrow(vectors[node.rows]), ids[node.rows], copies[node.rows]
             todo += node.children or []
         return cls(float(top), root, exact, vectors.shape[1])
 
@@ -157,7 +163,7 @@ class Index:
             return np.nan_to_num(np.sqrt(np.maximum(0.0, square - 2.0 * np.fmax(score, least))) + slack, nan=np.inf)
 
         def visit(page: Node, which: np.ndarray) -> None:
-            found = (whole[which] @ (page.page if exact or not self.exact else page.page.astype(np.int64)).T).astype(np.int64)
+            found = (whole[which] @ page.page.astype(whole.dtype).T).astype(np.int64)
             times = np.broadcast_to(page.copies, found.shape)
             mine = page.ids[None, :] == own[which][:, None]
             if mine.any():
@@ -258,8 +264,24 @@ def _trees(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("cell", "part").applyInPandas(build_one, "cell long, part long, tree binary")
 
 
-def _searched(asked: DataFrame, trees: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, nth, times, vec_id, score): the k best of every block for every query of ``asked`` (vec_id, nth, times, q, cell, bar), queries in chunks of a bounded number."""
+def _of_cell(numbers: dict[int, int]) -> Column:
+    """The number that belongs to a row's ``cell``; ``numbers`` has PIVOTS entries at most."""
+    return F.element_at(F.create_map(*[F.lit(x) for c, n in numbers.items() for x in (int(c), int(n))]), F.col("cell"))
+
+
+def _each(numbers: dict[int, int]) -> Column:
+    """A row for every number below that of the row's cell."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), _of_cell(numbers).cast("long") - 1))
+
+
+def _searched(asked: DataFrame, trees: DataFrame, parts: dict[int, int], k: int, query_block: int) -> DataFrame:
+    """(query_id, nth, times, vec_id, score): the k best of every block for every query of ``asked`` (vec_id, nth, times, q, cell, bar), queries in chunks of a bounded number.
+
+    How many blocks and chunks a cell has is known before, so queries and trees meet by one shuffle and without another join: written as files both are
+    so small, compared with their rows, that Spark would broadcast them. Both sides' keys are longs: a cogroup hashes them as they are, and an int goes elsewhere than an equal long.
+    """
+    sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("long").alias("chunks"))
+    chunks = {r["cell"]: r["chunks"] for r in sizes.collect()}  # PIVOTS rows at most
 
     def search(_: tuple, ask: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int, int, int]] = []
@@ -274,10 +296,13 @@ def _searched(asked: DataFrame, trees: DataFrame, chunks: DataFrame, k: int) ->
                     out += [(int(i), int(nth), int(times), vec_id, score) for score, vec_id in hits]
         return pd.DataFrame(out, columns=["query_id", "nth", "times", "vec_id", "score"]).astype("int64")
 
-    parts = trees.select("cell", "part").join(chunks, "cell")
-    keyed = asked.join(parts, "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "q"), F.col("chunks"))).select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("chunk").alias("n"), "vec_id", "nth", "times", "q", "bar")
-    held = trees.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("cell", "part", "chunk", "tree")
-    return keyed.groupBy("c", "p", "n").cogroup(held.groupBy("cell", "part", "chunk")).applyInPandas(search, "query_id long, nth long, times long, vec_id long, score long")
+    result = "query_id long, nth long, times long, vec_id long, score long"
+    if not chunks:
+        return asked.sparkSession.createDataFrame([], result)
+    key = lambda name: F.col(name).cast("long")
+    keyed = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "q"), _of_cell(chunks))).withColumn("part", _each(parts)).select(key("cell").alias("c"), key("part").alias("p"), key("chunk").alias("n"), "vec_id", "nth", "times", "q", "bar")
+    held = trees.where(F.col("cell").isin([int(c) for c in chunks])).withColumn("chunk", _each(chunks)).select(*(key(c).alias(c) for c in ("cell", "part", "chunk")), "tree")
+    return keyed.groupBy("c", "p", "n").cogroup(held.groupBy("cell", "part", "chunk")).applyInPandas(search, result)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -285,10 +310,6 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id", "nth", "times").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
 
 
-def _in_chunks(asked: DataFrame, query_block: int) -> DataFrame:
-    return asked.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("long").alias("chunks"))
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Rows query_id, rank, vec_id, score. Both inputs: vec_id long, q array<long>. Of queries that share an id each (``nth``) has its own ranks, given as often (``times``) as it is asked."""
     scratch = Scratch(vectors.sparkSession, "mtree")
@@ -302,11 +323,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     near = scratch.written(placed(vectors, pivots), "cells")
     cells = near.groupBy("cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / block).cast("long").alias("parts"))
     held = {r["cell"]: (r["radius"], r["parts"]) for r in cells.collect()}  # PIVOTS rows at most
-    parts = F.element_at(F.create_map(*[F.lit(x) for c, (_, p) in held.items() for x in (int(c), int(p))]), F.col("cell"))
-    trees = scratch.written(_trees(near.withColumn("part", F.pmod(F.xxhash64("vec_id", "q"), parts))), "trees")
+    parts = {c: p for c, (_, p) in held.items()}
+    trees = scratch.written(_trees(near.withColumn("part", F.pmod(F.xxhash64("vec_id", "q"), _of_cell(parts)))), "trees")
     known = np.array(sorted(held))
-    home = scratch.written(placed(queries, pivots[known], best=True).withColumn("cell", F.get(F.array(*[F.lit(int(c)) for c in known]), F.col("cell").cast("int"))).withColumn("bar", F.lit(None).cast("double")).drop("away"), "home")
-    first = scratch.written(_searched(home, trees, _in_chunks(home, query_block), k), "first")
+    home = scratch.written(placed(queries, pivots[known], best=True).withColumn("cell", F.get(F.array(*[F.lit(int(c)).cast("long") for c in known]), F.col("cell").cast("int"))).withColumn("bar", F.lit(None).cast("double")).drop("away"), "home")
+    first = scratch.written(_searched(home, trees, parts, k, query_block), "first")
     bar = _best(first, k).select(F.col("query_id").alias("vec_id"), "nth", F.when(F.size("best") >= k, -F.get("best.minus", F.lit(k - 1))).cast("double").alias("bar"))
     radii = np.array([held[c][0] for c in known])
 
@@ -321,8 +342,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
             rows, to = np.nonzero(((most >= least[:, None]) | np.isnan(least)[:, None]) & (known[None, :] != b.column("cell").to_numpy()[:, None]))
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("vec_id", "nth", "times", "q", "bar")), pa.array(known[to].astype(np.int64))], names=["vec_id", "nth", "times", "q", "bar", "cell"])
 
-    more = scratch.written(home.drop("bar").join(bar, ["vec_id", "nth"], "left").select("vec_id", "nth", "times", "q", "cell", "bar").mapInArrow(route, "vec_id long, nth long, times long, q array<long>, bar double, cell long"), "routed")
-    found = first.unionByName(_searched(more, trees, _in_chunks(more, query_block), k))
+    more = scratch.written(home.drop("bar").join(bar.hint("merge"), ["vec_id", "nth"], "left").select("vec_id", "nth", "times", "q", "cell", "bar").mapInArrow(route, "vec_id long, nth long, times long, q array<long>, bar double, cell long"), "routed")
+    found = first.unionByName(_searched(more, trees, parts, k, query_block))
     asked = _best(found, k).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     ranked = asked.select("query_id", F.posexplode("best").alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))

@@ -348,3 +348,30 @@ def test_top_k_with_clashing_columns_and_overlong_components(spark):
     data = df.select("vec_id", mtree.quantised(F.col("embedding")).alias("q")).where("q IS NOT NULL AND vec_id <> 51").distinct()
     got = [tuple(r) for r in mtree.top_k(data, data.where("vec_id % 50 = 0")).collect()]
     assert sorted(got) == [(50, 1, 52, 768 * 256), (50, 2, 53, 128 * 256 + 128 * 512)]
+
+
+def test_top_k_broadcasts_neither_queries_nor_trees(spark):
+    rng = random.Random(4)
+    data = spark.createDataFrame([(i, [rng.randrange(-99, 99) for _ in range(4)]) for i in range(300)], "vec_id long, q array<long>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # their files are far smaller than their rows
+    try:
+        plan = mtree.top_k(data, data.where("vec_id % 50 = 0"), block=30, query_block=3)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "FlatMapCoGroupsInPandas" in plan and "Join" not in plan
+
+
+def test_top_k_is_whole_where_cells_lie_in_partitions_of_their_own(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.randrange(-99, 99) for _ in range(4)]) for i in range(400)]
+    data = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would come together in one partition
+    try:
+        got = sorted(map(tuple, mtree.top_k(data, data.where("vec_id % 50 = 0"), block=30, query_block=3).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for i, v in rows[::50]:
+        best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for j, w in rows if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
