@@ -266,6 +266,14 @@ def test_newest_groups_of_a_kind(spark):
     assert ids(dedup.report(groups, files, 2)) == [4, 9] and ids(dedup.report(groups, files, 2, "A")) == [3, 4]
 
 
+def test_report_gives_every_member_with_file_and_volume(spark):
+    groups = spark.createDataFrame([("A", i, 10 * i + j, i) for i in range(3) for j in range(3)], "kind string, group_id int, file_id int, created_at int")
+    files = spark.createDataFrame([(10 * i + j, [None, "v", "w"][j], f"{j}.mp3", f"d{i}/{j}.mp3", 5 + j) for i in range(3) for j in range(3)], "file_id int, volume_id string, filename string, rel_path string, size_bytes int")
+    volumes = spark.createDataFrame([("v", "Disk")], "volume_id string, label string")
+    got = sorted(map(tuple, dedup.report_members(groups, files, volumes, 2).collect()))
+    assert got == [("A", i, 3, 2, 18, 10 * i + j, f"{j}.mp3", f"d{i}/{j}.mp3", 5 + j, "Disk" if j == 1 else None) for i in (1, 2) for j in range(3)]
+
+
 def test_interrupted_runs(spark):
     runs = spark.createDataFrame([(i, "v", "SCAN", "INTERRUPTED" if i in (1, 18) else "COMPLETED", i) for i in range(20)], "run_id int, volume_id string, kind string, status string, started_at int")
     volumes = spark.createDataFrame([("v", "Disk")], "volume_id string, label string")
