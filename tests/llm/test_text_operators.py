@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -554,3 +555,28 @@ def test_chat_of_very_long_texts(spark):
     df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
     r = chat.digest(chat.format_chats(df)).first()
     assert (r["loss_chars"], r["loss_sha256"], r["valid"]) == (len(long), hashlib.sha256(long.encode()).hexdigest(), True)
+
+
+def test_basis_is_fitted_on_every_passage_of_all_documents(spark):
+    texts = [" ".join(f"d{i}x{j}" for j in range(95)) for i in range(6)] + ["one two", "one two", None, "", "..."]
+    items = docs(spark, [" ".join(f"i{j}" for j in range(50)), None])
+    seen = written(decontaminate.gathered(docs(spark, texts).select("text").repartition(3)), "lsi-documents")
+    frequency, n = decontaminate.document_frequencies(seen)
+    assert n == len(texts)
+    fitted = decontaminate.fitted_passages(seen, items)
+    rows = [r["words"] for r in fitted.collect()]
+    assert sorted(map(len, rows)) == [2, 2, 10] + [15] * 6 + [40] * 13
+    # every text's words, and their directions, against a plain decomposition
+    idf = np.log((1 + n) / (1 + frequency)) + 1
+    known = np.linalg.norm(decontaminate.latent_basis(fitted, idf), axis=1)
+    assert known[decontaminate.buckets(decontaminate.word_hashes([" ".join(t or "" for t in texts)], punctuation=False)[0])].min() > 1e-3
+    matrix = np.zeros((len(rows), decontaminate.BUCKETS))
+    for i, words in enumerate(rows):
+        np.add.at(matrix[i], np.array(words), idf[np.array(words)])
+        matrix[i] /= np.linalg.norm(idf[np.array(words)])
+    scaled, weight = np.random.default_rng(1).normal(size=(decontaminate.BUCKETS + 1, 5)).astype(np.float32), np.append(idf, 0).astype(np.float32)
+    scaled[-1] = 0
+    total = np.zeros((decontaminate.BUCKETS, 5), np.float32)
+    rows *= 12  # some words often enough for the product of matrices
+    decontaminate._add_products(total, pa.array(rows, pa.list_(pa.int16())), scaled * weight[:, None], weight)
+    assert np.allclose(total * weight[:-1, None], 12 * matrix.T @ (matrix @ scaled[:-1]), atol=1e-3)
