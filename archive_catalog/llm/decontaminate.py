@@ -37,8 +37,8 @@ from .shared import Scratch, U64, chunks, mix64, random64, released, word_hashes
 
 BUCKETS = 1 << 15
 RANK = 64
-#: Tasks for a fit on a bounded number of passages.
-FIT_TASKS = 4
+#: Tasks of a fit, at least, and passages a task beyond that: each sends its part of the product, BUCKETS x (RANK + 8) numbers, however few its passages are.
+FIT_TASKS, TASK_PASSAGES = 4, 1 << 17
 PASSAGE_WORDS = 40
 #: Words that a batch of passages holds more often than this are multiplied as a matrix, others one occurrence of each at a time.
 OFTEN = 16
@@ -152,7 +152,8 @@ def _passages(texts: DataFrame) -> DataFrame:
 def fitted_passages(gathered: DataFrame, items: DataFrame, fit_passages: int | None = None) -> DataFrame:
     """What the basis is fitted on: all passages of documents and items. With ``fit_passages`` the first so many of documents by hash, and all of the items, dealt over ``FIT_TASKS`` tasks."""
     if fit_passages is None:
-        return gathered.where("words IS NOT NULL").select("words").unionByName(_passages(items.select("text")))
+        own = gathered.where("words IS NOT NULL").select("words")
+        return own.unionByName(_passages(items.select("text"))).coalesce(max(FIT_TASKS, -(-own.count() // TASK_PASSAGES)))
     sample = gathered.where("key IS NOT NULL").select("key", "words").dropDuplicates(["key"]).orderBy("key").limit(fit_passages).select("words")
     return sample.unionByName(_passages(items.select("text"))).repartition(FIT_TASKS)
 

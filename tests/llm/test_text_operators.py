@@ -560,12 +560,13 @@ def test_chat_of_very_long_texts(spark):
 def test_basis_is_fitted_on_every_passage_of_all_documents(spark):
     texts = [" ".join(f"d{i}x{j}" for j in range(95)) for i in range(6)] + ["one two", "one two", None, "", "..."]
     items = docs(spark, [" ".join(f"i{j}" for j in range(50)), None])
-    seen = written(decontaminate.gathered(docs(spark, texts).select("text").repartition(3)), "lsi-documents")
+    seen = written(decontaminate.gathered(docs(spark, texts).select("text").repartition(11)), "lsi-documents")
     frequency, n = decontaminate.document_frequencies(seen)
     assert n == len(texts)
     fitted = decontaminate.fitted_passages(seen, items)
     rows = [r["words"] for r in fitted.collect()]
     assert sorted(map(len, rows)) == [2, 2, 10] + [15] * 6 + [40] * 13
+    assert fitted.rdd.getNumPartitions() <= decontaminate.FIT_TASKS  # as parts of the product are of one size
     # every text's words, and their directions, against a plain decomposition
     idf = np.log((1 + n) / (1 + frequency)) + 1
     known = np.linalg.norm(decontaminate.latent_basis(fitted, idf), axis=1)
